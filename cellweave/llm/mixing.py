@@ -135,7 +135,7 @@ def mix(docs: DataFrame, block: int = 64, shard: int = 16384, bucket_rows: int =
     start = F.greatest(F.col("first"), F.col("block") * block)
     parts = parts.select("row", "source", "block", (start - F.col("first")).alias("skip"), (F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - start).alias("words"))
     parts = parts.join(times, parts.source.eqNullSafe(times.source) & (parts.block == times.block)).select("row", parts.block, "skip", "words", "times")
-    return {"documents": placed, "carried": base.select("row", "carried"), "slots": slots, "parts": parts}
+    return {"documents": placed, "carried": base.select("row", "carried", F.col("size").alias("all_words")), "slots": slots, "parts": parts}
 
 
 def taken(mixed: dict[str, DataFrame]) -> DataFrame:
@@ -151,11 +151,11 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     gives the text of those parts, white space included.  n_chars, where it is a column, follows.
     """
     mixed = mix(docs, text_col=text_col, carry=tuple(docs.columns), **options)
-    own = mixed["parts"].groupBy("row").agg(F.min("times").alias("least"), F.max("times").alias("most"), F.array_sort(F.collect_list(F.struct("skip", "words", "times"))).alias("parts"))
+    own = mixed["parts"].groupBy("row").agg(F.min("times").alias("least"), F.sum("words").alias("found"), F.max("times").alias("most"), F.array_sort(F.collect_list(F.struct("skip", "words", "times"))).alias("parts"))
     rows = mixed["carried"].join(own, "row").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
     text = F.col("carried")[text_col]
     pieces = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     some = F.array_join(F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= F.col("pass")), lambda p: F.slice(pieces, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), "")
-    rows = rows.withColumn("new_text", F.when(F.col("pass") <= F.col("least"), text).otherwise(some))
+    rows = rows.withColumn("new_text", F.when((F.col("pass") <= F.col("least")) & (F.col("found") == F.col("all_words")), text).otherwise(some))
     columns = [F.col("new_text").alias(c) if c == text_col else F.length("new_text").cast("long").alias(c) if c == "n_chars" else F.col("carried")[c].alias(c) for c in docs.columns]
     return rows.select(*columns)
