@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, mixing, packing, warc
+from . import fertility, licenses, mixing, multi_index, packing, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+def op4_rare_token_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search_every(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,7 +55,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_power_of_two_packing": op1_power_of_two_packing,
+    "op2_skip_chain_pii": op2_skip_chain_pii,
     "op3_warc_seekable": op3_warc_seekable,
+    "op4_rare_token_licences": op4_rare_token_licences,
+    "op7_inverted_multi_index": op7_inverted_multi_index,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op8_mixing": op8_mixing,
 }
