@@ -2,10 +2,10 @@
 
 A public subword vocabulary measures, for each document, characters per token, the share of byte
 fallback tokens and the entropy of its tokens (divided by its possible maximum).  Bands per
-language, from quartiles over all documents of that language, reject outliers: a document stays
-only if its values lie within ``width`` interquartile ranges of the quartiles.  Languages with
-fewer than ``min_docs`` documents, or beyond the ``max_bands`` most frequent, share one band of
-their script.
+language and size (powers of two of the number of tokens, as small texts scatter more), from
+quartiles over all their documents, reject outliers: a document stays only if its values lie within
+``width`` interquartile ranges of the quartiles.  Languages and sizes with fewer than ``min_docs``
+documents, or beyond the ``max_bands`` most frequent, share one band of their script.
 
 Base figures (words, symbols, repeated lines and windows) come along; documents under
 ``min_words`` words or with mostly repeated windows fail in any case.
@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: First code points of scripts.
 SCRIPTS = [("latin", 0x0, 0x370), ("greek", 0x370, 0x400), ("cyrillic", 0x400, 0x530), ("hebrew", 0x590, 0x600), ("arabic", 0x600, 0x780), ("indic", 0x900, 0xE00), ("cjk", 0x2E80, 0xFB00)]
-STATS = "doc_id long, band string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+STATS = "doc_id long, mark long, band string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 METRICS = ("chars_per_token", "byte_share", "token_entropy")
 
 
@@ -111,6 +111,11 @@ def script_of(text: str) -> str:
     return SCRIPTS[int(np.argmax(votes))][0] if max(votes) else "other"
 
 
+def mark_of(docs: DataFrame, text_col: str, lang_col: str):
+    """A hash by which a row's judgement finds it again."""
+    return F.xxhash64(docs[text_col].cast("string"), docs[lang_col].cast("string"))
+
+
 def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cache_words: int = 200_000) -> DataFrame:
     """One row per document: base figures and subword measures."""
 
@@ -120,7 +125,7 @@ def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for doc, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for doc, mark, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     text = text or ""
                     words = text.encode("utf-8", "replace").split()
                     if len(pieces) > pieces.limit:
@@ -129,11 +134,11 @@ def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
                     total, fallback, entropy = pieces.measure(ids, np.array(pieces.start, np.int64), np.array(pieces.size, np.int64)) if words else (0, 0.0, 0.0)
                     chars = len(text) - sum(map(text.count, SPACES))
                     script = "latin" if text.isascii() else script_of(text)
-                    rows.append((doc, script if lang is None else lang, script, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(ids), total, chars / total if total else 0.0, fallback, entropy))
+                    rows.append((doc, mark, f"{script if lang is None else lang}:{total.bit_length()}", script, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(ids), total, chars / total if total else 0.0, fallback, entropy))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3], strict=True)], names=[x.split()[0] for x in STATS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3], strict=True)], names=[x.split()[0] for x in STATS.split(", ")])
 
-    source = input_rows(docs, id_col, lang_col, text_col).select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    source = input_rows(docs, id_col, lang_col, text_col).select(F.col(id_col).cast("long"), mark_of(docs, text_col, lang_col), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     return source.mapInArrow(measure, STATS)
 
 
@@ -147,7 +152,7 @@ def bands(stats: DataFrame, key: str, width: float, min_words: int) -> DataFrame
     return made.select(key, "n", *low, *high)
 
 
-def judge(docs: DataFrame, model_path: str, width: float = 4.0, min_words: int = 50, min_docs: int = 100, max_bands: int = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, model_path: str, width: float = 4.0, min_words: int = 50, min_docs: int = 100, max_bands: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``fertility`` with base_failed and kept."""
     stats = materialize(fertility(docs, model_path, id_col, text_col, lang_col), "fertility")
     own = bands(stats, "band", width, min_words).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "band").limit(max_bands)
@@ -162,3 +167,11 @@ def judge(docs: DataFrame, model_path: str, width: float = 4.0, min_words: int =
         inside &= F.coalesce((F.col(m) <= high) if m != "token_entropy" else F.lit(True), F.lit(True))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.select(*[x.split()[0] for x in STATS.split(", ")], failed.alias("base_failed"), (~failed & inside).alias("kept"))
+
+
+def keep_good(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    good = judge(docs, model_path, id_col=id_col, text_col=text_col, lang_col=lang_col, **options).where("kept").select(F.col("doc_id").alias("good_id"), F.col("mark").alias("good_mark"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].cast("long").alias("i"), mark_of(docs, text_col, lang_col).alias("h"))
+    kept = rows.join(good, rows.i.eqNullSafe(good.good_id) & (rows.h == good.good_mark), "left_semi")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

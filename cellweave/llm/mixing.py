@@ -73,7 +73,7 @@ def in_ranges(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str
     return points.withColumn("cell", F.floor(F.col(at) / width)).join(cells, "cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("cell")
 
 
-def mix(docs: DataFrame, block: int = 64, shard: int = 16384, bucket_rows: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def mix(docs: DataFrame, block: int = 64, shard: int = 16384, bucket_rows: int = 1024, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The mix as tables.
 
     documents: row, doc_id, source, size, source_size, target, first (its first word's number

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, licenses, mixing, multi_index, packing, pii, warc
+from . import fertility, hmm, jaccard_join, licenses, line_dedup, mixing, multi_index, packing, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,17 +53,47 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.HiddenMarkov(table(spark, sf_dir, "documents")).score()
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_power_of_two_packing": op1_power_of_two_packing,
     "op2_skip_chain_pii": op2_skip_chain_pii,
     "op3_warc_seekable": op3_warc_seekable,
     "op4_rare_token_licences": op4_rare_token_licences,
     "op7_inverted_multi_index": op7_inverted_multi_index,
+    "op5_hidden_markov_lm": op5_hidden_markov_lm,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_jaccard_metric_join": op10_jaccard_metric_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_jaccard_metric_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, shingle FROM (
+                SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = d.doc_id""",
     "op3_warc_seekable": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, row_number() OVER () AS r FROM pages),
         d AS (SELECT page_id, r, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
