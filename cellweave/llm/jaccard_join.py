@@ -20,8 +20,9 @@ from the comparison are only those inside a component that is already connected.
 
 Plan: shingles are hashed in tasks; only a document's region keys are shuffled, and whole sets of
 just those points that share a region (picked by a bitmap of fixed size, which can let others
-pass).  The global order knows the ``frequent`` most frequent shingles, counted over all documents;
-that list and the bitmap are all that goes to the tasks.  Work tables are written to the shared
+pass).  The global order puts shingles with a rare word first, then those of the ``common`` most
+frequent words only, then the ``frequent`` most frequent shingles by count, all counted over all
+documents; those lists and the bitmap are all that goes to the tasks.  Work tables are written to the shared
 folder.
 
 Defined cases: null or empty text has an empty set, size 0, and links with nothing; fewer words
@@ -53,16 +54,23 @@ class Shingles:
     def __init__(self, width: int, cache: int = 300_000):
         self.width, self.cache, self.words = width, cache, {}
 
-    def of(self, text: str | None) -> np.ndarray:
+    def hashes(self, text: str | None) -> np.ndarray:
+        """Hashes of the words, in order."""
         tokens = (text or "").encode("utf-8", "replace").lower().split()
-        if not tokens:
-            return np.empty(0, np.int64)
         known = self.words
         if len(known) > self.cache:
             known.clear()
         for w in set(tokens).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in tokens], np.uint64)
+        return np.array([known[w] for w in tokens], np.uint64)
+
+    def of(self, text: str | None) -> np.ndarray:
+        return self.ranked(self.hashes(text), None)[0]
+
+    def ranked(self, h: np.ndarray, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The set, and which of its shingles consist of ``common`` words (sorted hashes) only."""
+        if not len(h):
+            return np.empty(0, np.int64), np.empty(0, bool)
         k = min(self.width, len(h))
         with np.errstate(over="ignore"):
             code = np.full(len(h) - k + 1, k, np.uint64)
@@ -70,7 +78,12 @@ class Shingles:
                 code = (code ^ h[j : len(h) - k + 1 + j]) * MIX[0]
                 code = (code ^ (code >> np.uint64(29))) * MIX[1]
             code = (code ^ (code >> np.uint64(32))) * MIX[2]
-        return np.unique(code.view(np.int64))
+        if common is None or not len(common):
+            return np.unique(code.view(np.int64)), None
+        usual = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        whole = np.logical_and.reduce([usual[j : len(h) - k + 1 + j] for j in range(k)])
+        sets, at = np.unique(code.view(np.int64), return_index=True)
+        return sets, whole[at]
 
 
 def point_of(shingles: np.ndarray) -> int:
@@ -88,47 +101,53 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return input_rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def frequent_shingles(texts: DataFrame, width: int, limit: int, least: int = 4, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and their counts; those under ``least`` in a chunk go uncounted there."""
+def frequent_items(texts: DataFrame, width: int, shingles: int, words: int, least: int = 4, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent shingles, and hashes of the most frequent words.
+
+    Counted over all documents; what occurs less than ``least`` times in a chunk of ``chunk``
+    shingles goes uncounted there.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, n = Shingles(width), [], 0
         for b in batches:
             for text in b.column(0):
-                held.append(sets.of(text.as_py()))
-                n += len(held[-1])
+                h = sets.hashes(text.as_py())
+                held.append((h, sets.ranked(h, None)[0]))
+                n += len(h)
                 if n >= chunk:
-                    yield counted(held)
+                    yield from counted(held)
                     held, n = [], 0
         if n:
-            yield counted(held)
+            yield from counted(held)
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        s, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(s[c >= least]), pa.array(c[c >= least])], names=["shingle", "n"])
+    def counted(held: list) -> Iterator[pa.RecordBatch]:
+        for kind in (0, 1):
+            s, c = np.unique(np.concatenate([x[kind] for x in held]).view(np.int64), return_counts=True)
+            s, c = s[c >= least], c[c >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(s), pa.array(c)], names=["kind", "item", "n"])
 
-    sums = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "shingle").limit(limit).collect()
-    top.sort(key=lambda r: r["shingle"])
-    return np.array([r["shingle"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
+    sums = materialize(texts.select("text").mapInArrow(count, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")), "frequent")
+    top = [sums.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).collect() for kind, limit in ((1, shingles), (0, words))]
+    top[0].sort(key=lambda r: r["item"])
+    return np.array([r["item"] for r in top[0]], np.int64), np.array([r["n"] for r in top[0]], np.int64), np.sort(np.array([r["item"] for r in top[1]], np.int64).view(np.uint64))
 
 
-def prefixes(texts: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(texts: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, mark, point, n (set size), regions (shingles whose regions the point belongs to)."""
-    known, counts = frequent
+    known, counts, common = frequent
     names = "doc_id long, mark long, point long, n long, regions array<long>"
 
-    def regions(s: np.ndarray) -> np.ndarray:
+    def regions(s: np.ndarray, usual: np.ndarray | None) -> np.ndarray:
         n = len(s)
         if 100 * n < percent * (n + 1):  # too small to link with a different set
             return s[:0]
-        p = n + (-percent * n // 100) + 1  # n - ceil(percent n / 100) + 1
+        # rare first: no common word alone, then common words only, then by count
+        often = np.zeros(n, np.int64) if usual is None else 2 * usual.astype(np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            often = np.where(known[at] == s, counts[at], 0)
-            if often.any():
-                return s[np.lexsort((s, often))[:p]]
-        return s[:p]
+            often = np.where(known[at] == s, counts[at] + 2, often)
+        return s[np.lexsort((s, often))[: n + (-percent * n // 100) + 1]]  # n - ceil(percent n / 100) + 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingles(width)
@@ -136,8 +155,8 @@ def prefixes(texts: DataFrame, width: int, percent: int, frequent: tuple[np.ndar
             for at in range(0, b.num_rows, 500):
                 part, rows = b.slice(at, 500), []
                 for doc, mark, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    s = sets.of(text)
-                    rows.append((doc, mark, point_of(s), len(s), regions(s)))
+                    s, usual = sets.ranked(sets.hashes(text), common)
+                    rows.append((doc, mark, point_of(s), len(s), regions(s, usual)))
                 if rows:
                     yield batch(rows, names)
 
@@ -217,11 +236,11 @@ def spread(labels: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame
     return labels.select("point", "label")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, pivots: int = 2, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, common: int = 10_000, pivots: int = 2, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, point, component_id (the smallest doc_id of
     the component)."""
     texts = texts_of(docs, id_col, text_col)
-    rows = materialize(prefixes(texts, width, percent, frequent_shingles(texts, width, frequent)), "points")
+    rows = materialize(prefixes(texts, width, percent, frequent_items(texts, width, frequent, common)), "points")
 
     # regions of shingles with at least two different points
     keyed = rows.select("point", "n", F.explode("regions").alias("region"))
