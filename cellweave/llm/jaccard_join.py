@@ -18,11 +18,11 @@ of near copies ends after a few comparisons each.  What is left is compared poin
 where distances to a common pivot differ by more than r.  Nothing is approximate: links missing
 from the comparison are only those inside a component that is already connected.
 
-Plan: shingles are hashed in tasks; only a document's region keys are shuffled, and whole sets of
-just those points that share a region (picked by a bitmap of fixed size, which can let others
-pass).  The global order puts shingles with a rare word first, then those of the ``common`` most
-frequent words only, then the ``frequent`` most frequent shingles by count, all counted over all
-documents; those lists and the bitmap are all that goes to the tasks.  Work tables are written to the shared
+Plan: shingles are hashed in tasks.  Most documents are alone: more of their shingles than a
+partner may lack occur in no other set.  That shows on a slice of the hash range, so only slices
+are shuffled; the points that are left, picked on a second reading by a bitmap of fixed size, write
+their whole sets.  The global order puts the ``frequent`` most frequent shingles of those sets
+last, by count; that list and the bitmap are all that goes to the tasks.  Work tables are written to the shared
 folder.
 
 Defined cases: null or empty text has an empty set, size 0, and links with nothing; fewer words
@@ -48,29 +48,26 @@ from .common import digest, input_rows, materialize
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingles:
     """Text -> sorted distinct shingle hashes."""
 
     def __init__(self, width: int, cache: int = 300_000):
-        self.width, self.cache, self.words = width, cache, {}
+        self.width, self.cache, self.words = width, cache, WordHashes()
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """Hashes of the words, in order."""
+    def of(self, text: str | None) -> np.ndarray:
         tokens = (text or "").encode("utf-8", "replace").lower().split()
+        if not tokens:
+            return np.empty(0, np.int64)
         known = self.words
         if len(known) > self.cache:
             known.clear()
-        for w in set(tokens).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([known[w] for w in tokens], np.uint64)
-
-    def of(self, text: str | None) -> np.ndarray:
-        return self.ranked(self.hashes(text), None)[0]
-
-    def ranked(self, h: np.ndarray, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """The set, and which of its shingles consist of ``common`` words (sorted hashes) only."""
-        if not len(h):
-            return np.empty(0, np.int64), np.empty(0, bool)
+        h = np.array([known[w] for w in tokens], np.uint64)
         k = min(self.width, len(h))
         with np.errstate(over="ignore"):
             code = np.full(len(h) - k + 1, k, np.uint64)
@@ -78,12 +75,7 @@ class Shingles:
                 code = (code ^ h[j : len(h) - k + 1 + j]) * MIX[0]
                 code = (code ^ (code >> np.uint64(29))) * MIX[1]
             code = (code ^ (code >> np.uint64(32))) * MIX[2]
-        if common is None or not len(common):
-            return np.unique(code.view(np.int64)), None
-        usual = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        whole = np.logical_and.reduce([usual[j : len(h) - k + 1 + j] for j in range(k)])
-        sets, at = np.unique(code.view(np.int64), return_index=True)
-        return sets, whole[at]
+        return np.unique(code.view(np.int64))
 
 
 def point_of(shingles: np.ndarray) -> int:
@@ -101,53 +93,16 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return input_rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def frequent_items(texts: DataFrame, width: int, shingles: int, words: int, least: int = 4, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent shingles, and hashes of the most frequent words.
+def spare(n, percent: int):
+    """How many shingles of a set of n may be missing from a partner."""
+    return n + (-percent * n // 100)
 
-    Counted over all documents; what occurs less than ``least`` times in a chunk of ``chunk``
-    shingles goes uncounted there.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held, n = Shingles(width), [], 0
-        for b in batches:
-            for text in b.column(0):
-                h = sets.hashes(text.as_py())
-                held.append((h, sets.ranked(h, None)[0]))
-                n += len(h)
-                if n >= chunk:
-                    yield from counted(held)
-                    held, n = [], 0
-        if n:
-            yield from counted(held)
-
-    def counted(held: list) -> Iterator[pa.RecordBatch]:
-        for kind in (0, 1):
-            s, c = np.unique(np.concatenate([x[kind] for x in held]).view(np.int64), return_counts=True)
-            s, c = s[c >= least], c[c >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(s), pa.array(c)], names=["kind", "item", "n"])
-
-    sums = materialize(texts.select("text").mapInArrow(count, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")), "frequent")
-    top = [sums.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).collect() for kind, limit in ((1, shingles), (0, words))]
-    top[0].sort(key=lambda r: r["item"])
-    return np.array([r["item"] for r in top[0]], np.int64), np.array([r["n"] for r in top[0]], np.int64), np.sort(np.array([r["item"] for r in top[1]], np.int64).view(np.uint64))
-
-
-def prefixes(texts: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, mark, point, n (set size), regions (shingles whose regions the point belongs to)."""
-    known, counts, common = frequent
-    names = "doc_id long, mark long, point long, n long, regions array<long>"
-
-    def regions(s: np.ndarray, usual: np.ndarray | None) -> np.ndarray:
-        n = len(s)
-        if 100 * n < percent * (n + 1):  # too small to link with a different set
-            return s[:0]
-        # rare first: no common word alone, then common words only, then by count
-        often = np.zeros(n, np.int64) if usual is None else 2 * usual.astype(np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            often = np.where(known[at] == s, counts[at] + 2, often)
-        return s[np.lexsort((s, often))[: n + (-percent * n // 100) + 1]]  # n - ceil(percent n / 100) + 1
+def points_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, mark, point, n (set size) and a slice of the set: shingles in a fixed part of the
+    hash range, 1.6 times as many as a partner may lack."""
+    names = "doc_id long, mark long, point long, n long, slice array<long>"
+    below = int(-(2**63) + min(1.0, 1.6 * (1 - percent / 100)) * (2**64 - 1))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingles(width)
@@ -155,16 +110,73 @@ def prefixes(texts: DataFrame, width: int, percent: int, frequent: tuple[np.ndar
             for at in range(0, b.num_rows, 500):
                 part, rows = b.slice(at, 500), []
                 for doc, mark, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    s, usual = sets.ranked(sets.hashes(text), common)
-                    rows.append((doc, mark, point_of(s), len(s), regions(s, usual)))
+                    s = sets.of(text)
+                    rows.append((doc, mark, point_of(s), len(s), s[: np.searchsorted(s, below)]))
                 if rows:
                     yield batch(rows, names)
 
     return texts.mapInArrow(make, names)
 
 
+def not_alone(rows: DataFrame, percent: int) -> DataFrame:
+    """Points that can link with a different point.
+
+    A partner within r holds all of a set's shingles but a few, so a point with more shingles than
+    that in no other set is alone; so is one too small to differ from a partner at all.
+    """
+    n = F.col("n")
+    points = rows.groupBy("point").agg(F.max("n").alias("n")).where(100 * n >= percent * (n + 1))
+    once = rows.select("point", F.explode("slice").alias("shingle")).groupBy("shingle").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a = b")
+    own = once.groupBy(F.col("a").alias("point")).agg(F.count(F.lit(1)).alias("own"))
+    return points.join(own, "point", "left").where(F.coalesce("own", F.lit(0)) <= n - F.ceil(percent * n / 100)).select("point")
+
+
+def frequent_shingles(sets: DataFrame, limit: int, least: int = 3, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of the sets, with counts; those under ``least`` in a chunk go
+    uncounted there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for x in b.column(0):
+                held.append(np.frombuffer(x.as_py(), np.int64))
+                n += len(held[-1])
+                if n >= chunk:
+                    yield counted(held)
+                    held, n = [], 0
+        if n:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        s, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s[c >= least]), pa.array(c[c >= least])], names=["shingle", "n"])
+
+    sums = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = sorted(sums.orderBy(F.desc("n"), "shingle").limit(limit).collect(), key=lambda r: r["shingle"])
+    return np.array([r["shingle"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
+
+
+def regions_of(sets: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """point, n, regions: the shingles, rare first, whose regions a point belongs to."""
+    known, counts = frequent
+    names = "point long, n long, regions array<long>"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.frombuffer(x.as_py(), np.int64)
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                often = np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                rows.append((p, len(s), s[np.lexsort((s, often))[: spare(len(s), percent) + 1]]))
+            if rows:
+                yield batch(rows, names)
+
+    return sets.select("point", "shingles").mapInArrow(make, names)
+
+
 def sets_of(texts: DataFrame, width: int, points: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """point, n, shingles of the given points (and some others that share their bit)."""
+    """point, n, shingles of the given points, each once."""
     at = points.select(F.pmod("point", F.lit(bits)).alias("at")).selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at % 64 AS INT)) AS b")
     marks = np.zeros(bits // 64, np.int64)
     for r in at.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():  # bits / 64 rows at most
@@ -180,12 +192,12 @@ def sets_of(texts: DataFrame, width: int, points: DataFrame, bits: int = 1 << 26
         for b in batches:
             for text in b.column(0):
                 s = sets.of(text.as_py())
-                p = point_of(s)
-                cell = p % bits
-                if int(wanted[cell >> 6]) >> (cell & 63) & 1 and p not in seen:
+                point = point_of(s)
+                cell = point % bits
+                if int(wanted[cell >> 6]) >> (cell & 63) & 1 and point not in seen:
                     if len(seen) < 100_000:
-                        seen.add(p)
-                    rows.append((p, len(s), s.tobytes()))
+                        seen.add(point)
+                    rows.append((point, len(s), s.tobytes()))
                     size += 8 * len(s)
                     if size >= 4 << 20:
                         yield batch(rows, names)
@@ -193,7 +205,8 @@ def sets_of(texts: DataFrame, width: int, points: DataFrame, bits: int = 1 << 26
         if rows:
             yield batch(rows, names)
 
-    return texts.select("text").mapInArrow(make, names)
+    made = texts.select("text").mapInArrow(make, names)
+    return made.join(points, "point", "left_semi").groupBy("point").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,17 +249,18 @@ def spread(labels: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame
     return labels.select("point", "label")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, common: int = 10_000, pivots: int = 2, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, pivots: int = 2, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, point, component_id (the smallest doc_id of
     the component)."""
     texts = texts_of(docs, id_col, text_col)
-    rows = materialize(prefixes(texts, width, percent, frequent_items(texts, width, frequent, common)), "points")
+    rows = materialize(points_of(texts, width, percent), "points")
+    open_points = materialize(not_alone(rows, percent), "open_points")
+    sets = materialize(sets_of(texts, width, open_points), "sets")
 
     # regions of shingles with at least two different points
-    keyed = rows.select("point", "n", F.explode("regions").alias("region"))
+    keyed = materialize(regions_of(sets, percent, frequent_shingles(sets, frequent)), "regions").select("point", "n", F.explode("regions").alias("region"))
     shared = keyed.groupBy("region").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("region")
-    members = materialize(keyed.join(shared, "region").groupBy("region", "point").agg(F.first("n").alias("n")), "members")
-    sets = materialize(sets_of(texts, width, members.select("point").distinct()).groupBy("point").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
+    members = materialize(keyed.join(shared, "region"), "members")
     labels = materialize(members.select("point").distinct().select("point", F.col("point").alias("label")), "labels")
     fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)  # noqa: E731  sizes of sets that can link
     radius = 1 - percent / 100 + 1e-9
@@ -291,7 +305,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int
     named = materialize(named, "points")
     smallest_id = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(smallest_id, "label").select("point", "component_id")
-    joined = rows.drop("regions").join(named, "point", "left")
+    joined = rows.drop("slice").join(named, "point", "left")
     return joined.select("doc_id", "mark", F.col("n").alias("n_shingles"), "point", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
