@@ -12,7 +12,7 @@ shingles, n - ceil(percent n / 100) + 1 in all.  Two documents that link share a
 documents: a region that still holds unconnected points draws ``pivots`` of its documents; each
 point gets its exact distance to them, falls to the nearest (its Voronoi cell) and is replicated to
 any other cell whose pivot is at most 2 r farther, the triangle inequality's window.  Points
-within r of a pivot link to it.  Cells join the same way, recursively, up to ``depth`` levels; a
+within r of a pivot link to it.  Cells of one pivot from several regions are one cell.  Cells join the same way, recursively, up to ``depth`` levels; a
 cell whose points are already connected needs no further work, which is how a group of thousands
 of near copies ends after a few comparisons each.  What is left is compared point by point, except
 where distances to a common pivot differ by more than r.  Nothing is approximate: links missing
@@ -100,9 +100,9 @@ def spare(n, percent: int):
 
 def points_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, mark, point, n (set size) and a slice of the set: shingles in a fixed part of the
-    hash range, 1.6 times as many as a partner may lack."""
+    hash range, 2.4 times as many as a partner may lack."""
     names = "doc_id long, mark long, point long, n long, slice array<long>"
-    below = int(-(2**63) + min(1.0, 1.6 * (1 - percent / 100)) * (2**64 - 1))
+    below = int(-(2**63) + min(1.0, 2.4 * (1 - percent / 100)) * (2**64 - 1))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingles(width)
@@ -119,16 +119,29 @@ def points_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def not_alone(rows: DataFrame, percent: int) -> DataFrame:
-    """Points that can link with a different point.
+    """point, n, m of those that can link with a different point; m: n without shingles of no other.
 
     A partner within r holds all of a set's shingles but a few, so a point with more shingles than
-    that in no other set is alone; so is one too small to differ from a partner at all.
+    that in no other set is alone; so is one too small to differ from a partner at all.  ``rows``
+    has the sets, or slices of them, as "slice".
     """
     n = F.col("n")
     points = rows.groupBy("point").agg(F.max("n").alias("n")).where(100 * n >= percent * (n + 1))
     once = rows.select("point", F.explode("slice").alias("shingle")).groupBy("shingle").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a = b")
     own = once.groupBy(F.col("a").alias("point")).agg(F.count(F.lit(1)).alias("own"))
-    return points.join(own, "point", "left").where(F.coalesce("own", F.lit(0)) <= n - F.ceil(percent * n / 100)).select("point")
+    return points.join(own, "point", "left").where(F.coalesce("own", F.lit(0)) <= n - F.ceil(percent * n / 100)).select("point", "n", (n - F.coalesce("own", F.lit(0))).alias("m"))
+
+
+def whole_sets(sets: DataFrame) -> DataFrame:
+    """point, n, slice: the shingles as arrays."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield batch([(p, n, np.frombuffer(x, np.int64)) for p, n, x in zip(*(c.to_pylist() for c in part.columns), strict=True)], "point long, n long, slice array<long>")
+
+    return sets.select("point", "n", "shingles").mapInArrow(make, "point long, n long, slice array<long>")
 
 
 def frequent_shingles(sets: DataFrame, limit: int, least: int = 3, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -157,22 +170,22 @@ def frequent_shingles(sets: DataFrame, limit: int, least: int = 3, chunk: int =
 
 
 def regions_of(sets: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """point, n, regions: the shingles, rare first, whose regions a point belongs to."""
+    """point, n, m, regions: the shingles, rare first, whose regions a point belongs to."""
     known, counts = frequent
-    names = "point long, n long, regions array<long>"
+    names = "point long, n long, m long, regions array<long>"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for p, m, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 s = np.frombuffer(x.as_py(), np.int64)
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 often = np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
-                rows.append((p, len(s), s[np.lexsort((s, often))[: spare(len(s), percent) + 1]]))
+                rows.append((p, len(s), m, s[np.lexsort((s, often))[: spare(len(s), percent) + 1]]))
             if rows:
                 yield batch(rows, names)
 
-    return sets.select("point", "shingles").mapInArrow(make, names)
+    return sets.select("point", "m", "shingles").mapInArrow(make, names)
 
 
 def sets_of(texts: DataFrame, width: int, points: DataFrame, bits: int = 1 << 26) -> DataFrame:
@@ -254,39 +267,46 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int
     the component)."""
     texts = texts_of(docs, id_col, text_col)
     rows = materialize(points_of(texts, width, percent), "points")
-    open_points = materialize(not_alone(rows, percent), "open_points")
-    sets = materialize(sets_of(texts, width, open_points), "sets")
+    sets = materialize(sets_of(texts, width, materialize(not_alone(rows, percent).select("point"), "open_points")), "sets")
+    # the same test on their whole sets, among themselves
+    whole = materialize(not_alone(whole_sets(sets), percent), "open_points")
+    sets = materialize(sets.join(whole.select("point", "m"), "point"), "sets")
 
     # regions of shingles with at least two different points
-    keyed = materialize(regions_of(sets, percent, frequent_shingles(sets, frequent)), "regions").select("point", "n", F.explode("regions").alias("region"))
+    keyed = materialize(regions_of(sets, percent, frequent_shingles(sets, frequent)), "regions").select("point", "n", "m", F.explode("regions").alias("region"))
     shared = keyed.groupBy("region").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("region")
     members = materialize(keyed.join(shared, "region"), "members")
     labels = materialize(members.select("point").distinct().select("point", F.col("point").alias("label")), "labels")
-    fits = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)  # noqa: E731  sizes of sets that can link
+
+    def fits(x: str, y: str):
+        """Whether sizes allow a link: the smaller m bounds the intersection."""
+        both = F.least(F.col(f"{x}m"), F.col(f"{y}m"))
+        return 100 * both >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - both)
+
     radius = 1 - percent / 100 + 1e-9
 
-    links, cells = None, members.withColumns({"far": F.lit(None).cast("double"), "pivot": F.lit(None).cast("long")})
+    links, cells = None, members.withColumn("far", F.lit(None).cast("double"))
     for level in range(depth):
         cells = unconnected(cells, labels)
         if cells.isEmpty():
             break
-        order = F.struct(digest("point", "region", F.lit(level)), "point", "n", "label")
+        order = F.struct(digest("point", F.lit(level)), "point", "n", "m", "label")
         drawn = smallest(cells, order, pivots)
-        offers = materialize(cells.join(drawn, "region").where((F.col("point") != F.col("p")) & (F.col("label") != F.col("p_label"))).select("region", "point", "n", "p", "p_n"), "offers")
-        exact = materialize(measured(offers.where(fits(F.col("n"), F.col("p_n"))).select(F.col("point").alias("a"), F.col("p").alias("b")), sets), "measured")
+        offers = materialize(cells.join(drawn, "region").where((F.col("point") != F.col("p")) & (F.col("label") != F.col("p_label"))).select("region", "point", "n", "m", "p", "p_n", "p_m"), "offers")
+        exact = materialize(measured(offers.where(fits("", "p_")).select(F.col("point").alias("a"), F.col("p").alias("b")), sets), "measured")
         found = exact.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
         links = found if links is None else links.union(found)
         labels = spread(labels, links, 2)
         # Voronoi cells with windows; a pivot is in its own cell, a point whose distance to a pivot was
         # not needed (by its size it can't link, or it is connected) stays in all cells
         far = 1 - F.col("both") / F.col("either")
-        away = offers.join(exact, (offers.point == exact.a) & (offers.p == exact.b), "left").select("region", "point", "n", "p", far.alias("far"))
-        own = drawn.select("region", F.col("p").alias("point"), F.col("p_n").alias("n"), "p", F.lit(0.0).alias("far"))
-        known = cells.join(drawn, "region").where((F.col("point") != F.col("p")) & (F.col("label") == F.col("p_label"))).select("region", "point", "n", "p", F.lit(None).cast("double").alias("far"))
+        away = offers.join(exact, (offers.point == exact.a) & (offers.p == exact.b), "left").select("region", "point", "n", "m", "p", far.alias("far"))
+        own = drawn.select("region", F.col("p").alias("point"), F.col("p_n").alias("n"), F.col("p_m").alias("m"), "p", F.lit(0.0).alias("far"))
+        known = cells.join(drawn, "region").where((F.col("point") != F.col("p")) & (F.col("label") == F.col("p_label"))).select("region", "point", "n", "m", "p", F.lit(None).cast("double").alias("far"))
         away = away.unionByName(own).unionByName(known)
         near = away.groupBy("region", "point").agg(F.min("far").alias("least"), F.count_if(F.col("far").isNull()).alias("unknown"))
         away = away.join(near, ["region", "point"]).where((F.col("unknown") > 0) | (F.col("far") <= F.col("least") + 2 * radius))
-        cells = materialize(away.select(F.xxhash64("region", "p").alias("region"), "point", "n", "far", F.col("p").alias("pivot")), "cells")
+        cells = materialize(away.groupBy(F.col("p").alias("region"), "point", "n", "m").agg(F.max("far").alias("far")), "cells")
 
     # what is left, point by point, inside the windows of the last pivot
     left = unconnected(cells, labels)
@@ -294,7 +314,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int
         x, y = left.alias("x"), left.alias("y")
         same = (F.col("x.region") == F.col("y.region")) & (F.col("x.point") < F.col("y.point")) & (F.col("x.label") != F.col("y.label"))
         window = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= radius, F.lit(True))
-        pairs = x.join(y, same & fits(F.col("x.n"), F.col("y.n")) & window).select(F.col("x.point").alias("a"), F.col("y.point").alias("b"))
+        pairs = x.join(y, same & fits("x.", "y.") & window).select(F.col("x.point").alias("a"), F.col("y.point").alias("b"))
         found = materialize(measured(pairs, sets), "measured").where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
         links = found if links is None else links.union(found)
     if links is not None:
@@ -314,9 +334,9 @@ def smallest(cells: DataFrame, order, k: int) -> DataFrame:
     out, rest = None, cells.withColumn("o", order)
     for _ in range(k):
         first = rest.groupBy("region").agg(F.min("o").alias("m"))
-        picked = first.select("region", F.col("m.point").alias("p"), F.col("m.n").alias("p_n"), F.col("m.label").alias("p_label"))
+        picked = first.select("region", F.col("m.point").alias("p"), F.col("m.n").alias("p_n"), F.col("m.m").alias("p_m"), F.col("m.label").alias("p_label"))
         out = picked if out is None else out.unionByName(picked)
-        rest = rest.join(first, "region").where(F.col("o") > F.col("m")).drop("m")
+        rest = rest.join(first.withColumnRenamed("m", "least"), "region").where(F.col("o") > F.col("least")).drop("least")
     return materialize(out, "pivots")
 
 
