@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import digest, input_rows, materialize
@@ -262,7 +262,7 @@ def spread(labels: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame
     return labels.select("point", "label")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, pivots: int = 2, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, pivots: int = 8, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, point, component_id (the smallest doc_id of
     the component)."""
     texts = texts_of(docs, id_col, text_col)
@@ -330,14 +330,10 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int
 
 
 def smallest(cells: DataFrame, order, k: int) -> DataFrame:
-    """region, p, p_n, p_label: the k points of least ``order`` in each region, by k aggregations."""
-    out, rest = None, cells.withColumn("o", order)
-    for _ in range(k):
-        first = rest.groupBy("region").agg(F.min("o").alias("m"))
-        picked = first.select("region", F.col("m.point").alias("p"), F.col("m.n").alias("p_n"), F.col("m.m").alias("p_m"), F.col("m.label").alias("p_label"))
-        out = picked if out is None else out.unionByName(picked)
-        rest = rest.join(first.withColumnRenamed("m", "least"), "region").where(F.col("o") > F.col("least")).drop("least")
-    return materialize(out, "pivots")
+    """region, p, p_n, p_m, p_label: the k points of least ``order`` in each region."""
+    w = Window.partitionBy("region").orderBy("o")
+    first = cells.select("region", order.alias("o")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return materialize(first.select("region", F.col("o.point").alias("p"), F.col("o.n").alias("p_n"), F.col("o.m").alias("p_m"), F.col("o.label").alias("p_label")), "pivots")
 
 
 def unconnected(cells: DataFrame, labels: DataFrame) -> DataFrame:
