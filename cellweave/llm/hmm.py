@@ -157,7 +157,14 @@ class HiddenMarkov:
         self.n_train = train.count()
         total = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.n, self.v = total[0] + self.n_train, total[1] + (self.n_train > 0)
-        top = self.counts.orderBy(F.desc("c"), "word").limit(hot).collect()
+        # the lowest count above which there are at most ``hot`` words, from the number of words by count
+        least, held = 1 << 62, 0
+        for r in sorted(self.counts.groupBy("c").count().collect(), key=lambda r: -r["c"]):
+            held += r["count"]
+            if held > hot:
+                break
+            least = r["c"]
+        top = sorted(self.counts.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"].encode()))
         self.hot = [(r["word"].encode(), r["c"]) for r in top]
         # what the buckets hold: all words after the single ones in that order
         rest = self.counts
