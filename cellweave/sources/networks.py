@@ -1,4 +1,4 @@
-"""Reading and writing networks, reference networks, count triples and table bundles."""
+"""Reading and writing networks, reference and table bundles."""
 
 from __future__ import annotations
 
@@ -32,23 +32,6 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.least(a, b).alias("gene1"), F.greatest(a, b).alias("gene2"), df[weight].cast("double").alias("lls"))
 
 
-def read_matrix_market(spark: SparkSession, matrix: str, features: str, barcodes: str) -> DataFrame:
-    """10X triple (gzipped or not) as cell_id, feature, value.  The id files are numbered by line."""
-    lines = spark.read.text(matrix).where(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("x"))
-    rows, cols = numbered(spark, features), numbered(spark, barcodes)
-    entries = lines.select(F.col("x")[0].cast("long").alias("i"), F.col("x")[1].cast("long").alias("j"), F.col("x")[2].cast("double").alias("value"))
-    # the line of dimensions names the last row and column and the number of entries
-    size = (rows.count(), cols.count(), entries.count() - 1)
-    entries = entries.where(~((F.col("i") == size[0]) & (F.col("j") == size[1]) & (F.col("value") == size[2])))
-    return entries.join(rows.withColumnsRenamed({"n": "i", "id": "feature"}), "i").join(cols.withColumnsRenamed({"n": "j", "id": "cell_id"}), "j").where("value <> 0").select("cell_id", "feature", "value")
-
-
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """n (from 1), id (first column) of a file's lines, each file read as a whole as its order counts."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("n", "line"))
-    return lines.select((F.col("n") + 1).cast("long").alias("n"), F.split("line", "\t")[0].alias("id"))
-
-
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
     """Assays, features, cells, maps and nets of an experiment, a Parquet folder each."""
     for name, df in tables.items():

@@ -45,11 +45,3 @@ def test_null_is_reproducible_and_p_in_range(net):
 def test_round_trip(spark, net, tmp_path):
     S.write_bundle({"net": net}, str(tmp_path / "b"))
     assert S.read_bundle(spark, str(tmp_path / "b"), ["net"])["net"].count() == 5
-
-
-def test_matrix_market(spark, tmp_path):
-    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n2 3 2\n1 1 5\n2 3 1\n")
-    (tmp_path / "f.tsv").write_text("g1\tA\ng2\tB\n")
-    (tmp_path / "c.tsv").write_text("c1\nc2\nc3\n")
-    got = S.read_matrix_market(spark, *(str(tmp_path / x) for x in ("m.mtx", "f.tsv", "c.tsv"))).collect()
-    assert sorted(map(tuple, got)) == [("c1", "g1", 5.0), ("c3", "g2", 1.0)]
