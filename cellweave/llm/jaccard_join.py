@@ -14,8 +14,9 @@ point gets its exact distance to them, falls to the nearest (its Voronoi cell) a
 any other cell whose pivot is at most 2 r farther, the triangle inequality's window.  Points
 within r of a pivot link to it.  Cells of one pivot from several regions are one cell.  Cells join the same way, recursively, up to ``depth`` levels; a
 cell whose points are already connected needs no further work, which is how a group of thousands
-of near copies ends after a few comparisons each.  What is left is compared point by point, except
-where distances to a common pivot differ by more than r.  Nothing is approximate: links missing
+of near copies ends after a few comparisons each.  What is left is compared point by point, in blocks
+of a cell, except where distances to a common pivot differ by more than r or both points are
+connected by then.  Nothing is approximate: links missing
 from the comparison are only those inside a component that is already connected.
 
 Plan: shingles are hashed in tasks.  Most documents are alone: more of their shingles than a
@@ -37,6 +38,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -262,7 +264,7 @@ def spread(labels: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame
     return labels.select("point", "label")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, pivots: int = 8, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int = 200_000, pivots: int = 2, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, point, component_id (the smallest doc_id of
     the component)."""
     texts = texts_of(docs, id_col, text_col)
@@ -311,11 +313,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int
     # what is left, point by point, inside the windows of the last pivot
     left = unconnected(cells, labels)
     if not left.isEmpty():
-        x, y = left.alias("x"), left.alias("y")
-        same = (F.col("x.region") == F.col("y.region")) & (F.col("x.point") < F.col("y.point")) & (F.col("x.label") != F.col("y.label"))
-        window = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= radius, F.lit(True))
-        pairs = x.join(y, same & fits("x.", "y.") & window).select(F.col("x.point").alias("a"), F.col("y.point").alias("b"))
-        found = materialize(measured(pairs, sets), "measured").where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
+        found = materialize(joined_cells(left, sets, percent, radius), "measured")
         links = found if links is None else links.union(found)
     if links is not None:
         labels = spread(labels, links, None)
@@ -329,6 +327,41 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, frequent: int
     return joined.select("doc_id", "mark", F.col("n").alias("n_shingles"), "point", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def joined_cells(cells: DataFrame, sets: DataFrame, percent: int, radius: float, block: int = 512) -> DataFrame:
+    """Links (a, b) between unconnected points of a cell.
+
+    A cell is cut into blocks of about ``block`` points; each pair of blocks is a task of its own,
+    to which every point comes once with its set.
+    """
+    sized = cells.join(cells.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "region")
+    sized = sized.withColumn("own", F.pmod(digest("point"), F.col("blocks")).cast("int"))
+    dealt = sized.select("region", "point", "n", "m", "far", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("region", "point", "n", "m", "far", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets.select("point", "shingles"), "point")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(s, np.int64) for s in pdf["shingles"]]
+        n, m, far = pdf["n"].to_numpy(), pdf["m"].to_numpy(), pdf["far"].to_numpy(dtype=float)
+        point, own, label = pdf["point"].to_numpy(), pdf["own"].to_numpy(), pdf["label"].to_numpy().copy()
+        apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        found = []
+        for x in range(len(pdf)):
+            both = np.minimum(m, m[x])
+            able = (100 * both >= percent * (n + n[x] - both)) & ~(np.abs(far - far[x]) > radius)
+            able &= (own != own[x]) if apart else True
+            able[: x + 1] = False
+            for y in np.flatnonzero(able):
+                if label[x] == label[y]:
+                    continue
+                u, v = (held[x], held[y]) if n[x] <= n[y] else (held[y], held[x])
+                c = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                if 100 * c >= percent * (n[x] + n[y] - c):
+                    found.append((point[x], point[y]))
+                    label[label == label[y]] = label[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("region", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def smallest(cells: DataFrame, order, k: int) -> DataFrame:
     """region, p, p_n, p_m, p_label: the k points of least ``order`` in each region."""
     w = Window.partitionBy("region").orderBy("o")
