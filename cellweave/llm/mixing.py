@@ -91,7 +91,7 @@ def mix(docs: DataFrame, block: int = 64, shard: int = 16384, bucket_rows: int =
     # targets, and quotas in whole blocks by cumulative rounding, so that they add up
     goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("blocks", F.ceil(F.col("source_size") / block))
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    upto = F.coalesce(F.sum(F.col("target") * F.col("blocks") / F.col("source_size")).over(by_source.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    upto = F.coalesce(F.sum(F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0))).over(by_source.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
     goal = goal.withColumn("q_to", F.round(upto).cast("long"))
     goal = goal.withColumn("q_from", F.coalesce(F.lag("q_to").over(by_source), F.lit(0).cast("long")))
     goal = materialize(goal, "mix")
