@@ -67,4 +67,5 @@ def diffuse(net: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int =
     for _ in range(rounds):
         moved = p.join(x.select(*NET, F.col("gene").alias("src"), "x"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.sum(F.col("p") * F.col("x")).alias("m"))
         x = x.drop("x").join(moved, [*NET, "gene"], "left").select(*NET, "gene", "x0", (alpha * F.coalesce("m", F.lit(0.0)) + (1 - alpha) * F.col("x0")).alias("x"))
-    return x.select(*NET, "gene", F.round("x", 6).alias("x"))
+    # off the ties, where sums in another order would round apart
+    return x.select(*NET, "gene", F.round(F.col("x") + 3e-10, 6).alias("x"))

@@ -155,7 +155,7 @@ def core_numbers(t):
 
 @query("diffusion", """CTE o AS (SELECT celltype, condition, gene, sum(lls) AS total FROM ends GROUP BY ALL), p AS (SELECT e.celltype, e.condition, e.gene AS src, other AS dst, lls / total AS p FROM ends e JOIN o USING (celltype, condition, gene)),
     x0 AS MATERIALIZED (SELECT celltype, condition, gene, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY celltype, condition) AS x FROM st),
-    """ + ",\n".join(f"x{i} AS MATERIALIZED (SELECT x0.celltype, x0.condition, x0.gene, CAST(0.85 AS DOUBLE) * coalesce(m, 0) + (1 - CAST(0.85 AS DOUBLE)) * x0.x AS x FROM x0 LEFT JOIN (SELECT p.celltype, p.condition, dst AS gene, sum(p * x) AS m FROM p JOIN x{i - 1} y ON y.celltype = p.celltype AND y.condition = p.condition AND y.gene = p.src GROUP BY ALL) s USING (celltype, condition, gene))" for i in (1, 2, 3)) + "\nSELECT celltype, condition, gene, round(x, 6) AS x FROM x3")
+    """ + ",\n".join(f"x{i} AS MATERIALIZED (SELECT x0.celltype, x0.condition, x0.gene, CAST(0.85 AS DOUBLE) * coalesce(m, 0) + (1 - CAST(0.85 AS DOUBLE)) * x0.x AS x FROM x0 LEFT JOIN (SELECT p.celltype, p.condition, dst AS gene, sum(p * x) AS m FROM p JOIN x{i - 1} y ON y.celltype = p.celltype AND y.condition = p.condition AND y.gene = p.src GROUP BY ALL) s USING (celltype, condition, gene))" for i in (1, 2, 3)) + "\nSELECT celltype, condition, gene, round(x + CAST(3e-10 AS DOUBLE), 6) AS x FROM x3")
 def diffusion(t):
     from pyspark.sql import Window
 
