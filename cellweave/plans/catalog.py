@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, expression, graph, hubs
+from ..operators import benchmark, expression, graph, hubs, statistics
 from ..operators import network as N
 from .fixtures import SQL, Tables
 
@@ -263,3 +263,47 @@ def contingency(t):
     k AS (SELECT celltype, quantile_cont(dev, 0.5) AS mad FROM d GROUP BY ALL) SELECT celltype, condition, gene, value, round(CASE WHEN mad > 0 THEN (value - median) / (1.4826 * mad) ELSE 0 END, 9) AS z FROM d JOIN k USING (celltype)""")
 def robust_z(t):
     return expression.robust_z(N.strength(t.aligned()), "value", "celltype")
+
+
+@query("correlation_network", """CTE n AS (SELECT count(*) AS n FROM customer), v AS (SELECT feature, sum(value) AS s, sum(value * value) AS q FROM fx_counts GROUP BY ALL),
+    b AS (SELECT x.feature AS gene1, y.feature AS gene2, sum(x.value * y.value) AS xy FROM fx_counts x JOIN fx_counts y ON x.cell_id = y.cell_id AND x.feature < y.feature GROUP BY ALL)
+    SELECT gene1, gene2, round(CAST(n * xy - u.s * w.s AS DOUBLE) / (sqrt(CAST(n * u.q - u.s * u.s AS DOUBLE)) * sqrt(CAST(n * w.q - w.s * w.s AS DOUBLE))), 9) AS pcc
+    FROM b JOIN v u ON u.feature = gene1 JOIN v w ON w.feature = gene2, n WHERE n * u.q > u.s * u.s AND n * w.q > w.s * w.s""")
+def correlation_network(t):
+    return statistics.correlation_network(t.counts(), t.customers().count()).withColumn("pcc", F.round("pcc", 9))
+
+
+@query("overlap_enrichment", """CTE b AS (SELECT p_brand AS term_name, p_partkey AS gene FROM part), c AS (SELECT count(*) AS n FROM part),
+    o AS (SELECT set_name, term_name, count(*) AS shared FROM fx_sets JOIN b USING (gene) GROUP BY ALL), x AS (SELECT set_name, count(*) AS m FROM fx_sets GROUP BY ALL), y AS (SELECT term_name, count(*) AS k FROM b GROUP BY ALL),
+    z AS (SELECT set_name, term_name, shared, m, shared / m AS q, k / n AS p FROM o JOIN x USING (set_name) JOIN y USING (term_name), c)
+    SELECT set_name, term_name, shared, round(CASE WHEN q >= p THEN m * (q * ln(q / p) + CASE WHEN q = 1 THEN 0 ELSE (1 - q) * ln((1 - q) / (1 - p)) END) ELSE 0 END, 9) AS log_p FROM z""")
+def overlap_enrichment(t):
+    terms = t.read("part").select(F.col("p_brand").alias("term_name"), F.col("p_partkey").alias("gene"))
+    return statistics.overlap_enrichment(t.sets(), terms, t.read("part").count()).withColumn("log_p", F.round("log_p", 9))
+
+
+@query("autocorrelation", """CTE m AS (SELECT celltype, condition, count(*) AS n, var_pop(value) * count(*) AS ss FROM st GROUP BY ALL),
+    d AS (SELECT e.celltype, e.condition, sum(2 * lls) AS w, sum(lls * (a.value - b.value) * (a.value - b.value)) AS d FROM fx_net e JOIN st a ON a.celltype = e.celltype AND a.condition = e.condition AND a.gene = gene1
+      JOIN st b ON b.celltype = e.celltype AND b.condition = e.condition AND b.gene = gene2 GROUP BY ALL)
+    SELECT celltype, condition, round(1 - (n - 1) * d / (2 * w * ss) / 2, 9) AS autocorrelation FROM d JOIN m USING (celltype, condition) WHERE ss > 0""")
+def autocorrelation(t):
+    net = t.aligned()
+    return statistics.autocorrelation(net, N.strength(net).withColumnRenamed("value", "x")).withColumn("autocorrelation", F.round("autocorrelation", 9))
+
+
+@query("marker_ratio", """CTE m AS (SELECT cell_id, sum(value) / 3 AS mean FROM fx_counts WHERE feature IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY ALL)
+    SELECT cell_id, feature, round(CAST(value / mean AS DOUBLE), 6) AS ratio FROM fx_counts JOIN m USING (cell_id) WHERE mean <> 0""")
+def marker_ratio(t):
+    counts = t.counts().withColumn("value", F.col("value").cast("double"))
+    return statistics.marker_ratio(counts, ["Brand#11", "Brand#12", "Brand#13"]).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("kaplan_meier", """CTE s AS (SELECT c_custkey, c_acctbal AS score, count(*) AS time, 2 * count(*) FILTER (o_orderstatus = 'F') > count(*) AS event FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+    c AS (SELECT quantile_cont(score, 0.3) AS lo, quantile_cont(score, 0.7) AS hi FROM s), g AS (SELECT *, CASE WHEN score >= hi THEN 'high' WHEN score <= lo THEN 'low' END AS grp FROM s, c),
+    a AS (SELECT grp, time, count(*) AS n, count(*) FILTER (event) AS events FROM g WHERE grp IS NOT NULL GROUP BY ALL), k AS (SELECT grp, time, events, CAST(sum(n) OVER (PARTITION BY grp ORDER BY time DESC) AS BIGINT) AS at_risk FROM a)
+    SELECT grp AS "group", time, at_risk, events, round(CASE WHEN bool_or(events = at_risk) OVER w THEN 0 ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER w) END, 9) AS survival
+    FROM k WINDOW w AS (PARTITION BY grp ORDER BY time)""")
+def kaplan_meier(t):
+    own = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", F.col("c_acctbal").alias("score"))
+    samples = own.agg(F.count(F.lit(1)).alias("time"), (2 * F.count_if(F.col("o_orderstatus") == "F") > F.count(F.lit(1))).alias("event"))
+    return statistics.kaplan_meier(statistics.survival_groups(samples)).withColumn("survival", F.round("survival", 9))
