@@ -51,26 +51,28 @@ class Pieces(dict):
     def reset(self) -> None:
         self.clear()
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.size = [], []
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         ids = self.model.encode(word.decode("utf-8", "replace"), num_threads=1)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self[word] = row = len(self.start)
-        self.start.append(self.used)
-        self.size.append(len(ids))
+        row = len(self)
+        if row == len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self[word] = row
+        self.start[row], self.size[row] = self.used, len(ids)
         self.used += len(ids)
         return row
 
-    def measure(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[int, float, float]:
+    def measure(self, rows: np.ndarray) -> tuple[int, float, float]:
         """Tokens, byte fallback share and normalised entropy of the words in ``rows``."""
-        k = size[rows]
+        k = self.size[rows]
         total = int(k.sum())
         if not total:
             return 0, 0.0, 0.0
-        tokens = self.flat[np.repeat(start[rows] - np.cumsum(k) + k, k) + np.arange(total)]
+        tokens = self.flat[np.repeat(self.start[rows] - np.cumsum(k) + k, k) + np.arange(total)]
         seen, n = np.unique(tokens, return_counts=True)
         p = n / total
         return total, float(n[self.is_byte[seen]].sum() / total), float(-(p * np.log2(p)).sum() / np.log2(total + 1))
@@ -131,7 +133,7 @@ def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
                     if len(pieces) > pieces.limit:
                         pieces.reset()
                     ids = np.array([pieces[w] for w in words], np.int64)
-                    total, fallback, entropy = pieces.measure(ids, np.array(pieces.start, np.int64), np.array(pieces.size, np.int64)) if words else (0, 0.0, 0.0)
+                    total, fallback, entropy = pieces.measure(ids) if words else (0, 0.0, 0.0)
                     chars = len(text) - sum(map(text.count, SPACES))
                     script = "latin" if text.isascii() else script_of(text)
                     rows.append((doc, mark, f"{script if lang is None else lang}:{total.bit_length()}", script, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(ids), total, chars / total if total else 0.0, fallback, entropy))

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cellweave.llm import hmm, jaccard_join, licenses, line_dedup, mixing, multi_index, packing, pii, warc
+from cellweave.llm import fertility, hmm, jaccard_join, licenses, line_dedup, mixing, multi_index, packing, pii, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, seconds int"
 
@@ -114,3 +114,14 @@ def test_empty_tables(docs):
     none = docs.where("doc_id = -1")
     assert pii.find_pii(none).count() == licenses.scan(none).count() == line_dedup.dedup_lines(none).count() == 0
     assert mixing.taken(mixing.mix(none)).count() == jaccard_join.components(none).count() == 0
+
+
+def test_fertility_table_grows_with_the_words():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    words = [f"w{i}x{i % 7}".encode() for i in range(20_000)]
+    pieces, model = fertility.Pieces(path, 10**6), sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = np.array([pieces[w] for w in words])
+    for part in (rows[:1], rows[16_380:16_390], rows[::777]):
+        assert pieces.measure(part)[0] == sum(len(model.encode(words[r].decode())) for r in part)
