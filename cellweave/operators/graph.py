@@ -25,8 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def components(net: DataFrame, most: int = 100) -> DataFrame:
     """celltype, condition, gene, component (its smallest gene), by label spreading with jumps."""
-    edges = both_ways(net)
-    labels = cut(endpoints(net).distinct().withColumn("component", F.col("gene")))
+    edges = cut(both_ways(net))
+    labels = cut(edges.select(*NET, F.col("src").alias("gene")).distinct().withColumn("component", F.col("gene")))
     for _ in range(most):
         near = edges.join(labels.withColumnRenamed("gene", "src"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.min("component").alias("near"))
         step = labels.join(near, [*NET, "gene"]).select(*NET, "gene", F.col("component").alias("old"), F.least("component", "near").alias("c"))
@@ -45,7 +45,7 @@ def component_sizes(net: DataFrame) -> DataFrame:
 
 def core_numbers(net: DataFrame, most: int = 200) -> DataFrame:
     """k-core numbers: each node takes the h-index of its neighbours' values until none changes."""
-    edges = both_ways(net)
+    edges = cut(both_ways(net))
     value = cut(edges.groupBy(*NET, F.col("src").alias("gene")).agg(F.count(F.lit(1)).alias("core")))
     for _ in range(most):
         seen = edges.join(value.withColumnRenamed("gene", "dst"), [*NET, "dst"]).groupBy(*NET, F.col("src").alias("gene")).agg(F.sort_array(F.collect_list("core"), asc=False).alias("c"))

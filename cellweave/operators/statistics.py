@@ -93,3 +93,81 @@ def kaplan_meier(samples: DataFrame) -> DataFrame:
     zero = F.max(F.col("events") == F.col("at_risk")).over(upto)
     sum_of_logs = F.sum(F.when(left > 0, F.log(left)).otherwise(F.lit(0.0))).over(upto)
     return at.select("group", "time", "at_risk", "events", F.when(zero, F.lit(0.0)).otherwise(F.exp(sum_of_logs)).alias("survival"))
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series for the gamma function nine places up."""
+    z = n.cast("double") + 9
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    steps = F.lit(1.0)
+    for j in range(1, 9):
+        steps = steps * (n.cast("double") + j)
+    return series - F.log(steps)
+
+
+def log_hypergeometric(n: Column, success: Column, drawn: Column, k: Column) -> Column:
+    """ln P(k of ``drawn`` are among the ``success`` of n)."""
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    return choose(success, k) + choose(n - success, drawn - k) - choose(n, drawn)
+
+
+def hypergeometric_log10(n: Column, success: Column, drawn: Column, k: Column) -> Column:
+    """-log10 P(at least k), summed from the mode outwards so that no term overflows."""
+    low, high = F.greatest(k, success + drawn - n, F.lit(0)), F.least(success, drawn)
+    mode = F.greatest(low, F.least(high, F.floor((success + 1) * (drawn + 1) / (n + 2)))).cast("long")
+    start = lambda: F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    up = lambda i: (success - i) * (drawn - i) / ((i + 1) * (n - success - drawn + i + 1))
+
+    def walk(steps: Column, ratio) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            term = s["term"] * ratio(i)
+            return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+        return F.aggregate(steps, start(), add, lambda s: s["sum"])
+
+    none = F.array().cast("array<bigint>")
+    over = walk(F.when(mode < high, F.sequence(mode, (high - 1).cast("long"))).otherwise(none), up)
+    under = walk(F.when(mode > low, F.sequence((mode - 1).cast("long"), low.cast("long"), F.lit(-1).cast("long"))).otherwise(none), lambda i: 1 / up(i))
+    tail = F.least(F.lit(0.0), log_hypergeometric(n, success, drawn, mode) + F.log(1 + over + under)) / F.log(F.lit(10.0))
+    return F.when(k > high, F.lit(float("inf"))).when(k <= F.greatest(success + drawn - n, F.lit(0)), F.lit(0.0)).otherwise(-tail)
+
+
+def fisher_exact(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """Adds odds_ratio (of the sample) and p_value (two-sided) to rows with 2 x 2 counts."""
+    x, y, z, w = (F.col(i).cast("long") for i in (a, b, c, d))
+    n, rows, cols = x + y + z + w, x + y, x + z
+    support = F.sequence(F.greatest(F.lit(0).cast("long"), rows + cols - n), F.least(rows, cols))
+    own = log_hypergeometric(n, rows, cols, x)
+    logs = F.transform(support, lambda k: log_hypergeometric(n, rows, cols, k))
+    p = F.aggregate(F.filter(logs, lambda v: v <= own + 1e-7), F.lit(0.0), lambda s, v: s + F.exp(v))
+    return tables.withColumn("odds_ratio", F.try_divide((x * w).cast("double"), (y * z).cast("double"))).withColumn("p_value", F.least(F.lit(1.0), p))
+
+
+def score_enrichment(scores: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
+    """by, set_name, log_p, threshold: the largest Bernstein bound over all cuts of a ranking.
+
+    ``scores``: by, gene, x.  A cut after each member of the set compares the members' sum with the
+    set's share p of the prefix sum: L^2 / (2 (p x prefix of squares + top x L / 3)) for L > 0.
+    ``threshold`` is the rank (from 0) of the best cut.  Sets with one gene or none are left out.
+    Windows hold one score per gene.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc("x"), "gene").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*by)
+    x = F.col("x")
+    ranked = scores.select(*by, "gene", x, (F.row_number().over(order) - 1).alias("rank"), F.sum(x).over(order).alias("sum"), F.sum(x * x).over(order).alias("squares"), F.max(x).over(every).alias("top"), F.count(F.lit(1)).over(every).alias("n"))
+    hits = ranked.join(sets.select("set_name", "gene").distinct(), "gene")
+    own = Window.partitionBy(*by, "set_name")
+    hits = hits.withColumn("k", F.count(F.lit(1)).over(own)).withColumn("o", F.sum("x").over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))).where("k > 1")
+    p = F.col("k") / F.col("n")
+    over = F.col("o") - F.col("sum") * p
+    bound = F.when(over > 0, F.coalesce(F.try_divide(over * over, 2 * (F.col("squares") * p + F.col("top") * over / 3)), F.lit(0.0))).otherwise(F.lit(0.0))
+    best = hits.groupBy(*by, "set_name").agg(F.max(F.struct(F.round(bound, 9).alias("log_p"), (-F.col("rank")).alias("at"))).alias("best"))
+    return best.select(*by, "set_name", F.col("best.log_p").alias("log_p"), (-F.col("best.at")).cast("long").alias("threshold"))
+
+
+def log_fold_change(bulk: DataFrame, group: str, control: str, case: str) -> DataFrame:
+    """feature, log2 (mean + 1) of the case minus that of the control, from ``pseudobulk`` means;
+    a feature that one group lacks has mean 0 there."""
+    mean = lambda g: F.coalesce(F.max(F.when(F.col(group) == g, F.col("mean").cast("double"))), F.lit(0.0))
+    both = bulk.where(F.col(group).isin(control, case)).groupBy("feature").agg(mean(control).alias("a"), mean(case).alias("b"))
+    return both.select("feature", (F.log2(F.col("b") + 1) - F.log2(F.col("a") + 1)).alias("log_fc"))

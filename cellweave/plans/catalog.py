@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, expression, graph, hubs, statistics
+from ..operators import benchmark, expression, graph, hubs, labels, paths, statistics
 from ..operators import network as N
 from .fixtures import SQL, Tables
 
@@ -307,3 +307,89 @@ def kaplan_meier(t):
     own = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", F.col("c_acctbal").alias("score"))
     samples = own.agg(F.count(F.lit(1)).alias("time"), (2 * F.count_if(F.col("o_orderstatus") == "F") > F.count(F.lit(1))).alias("event"))
     return statistics.kaplan_meier(statistics.survival_groups(samples)).withColumn("survival", F.round("survival", 9))
+
+
+BFS = """CTE bfs(celltype, condition, source, gene, d, paths) USING KEY (celltype, condition, source, gene) AS (
+    SELECT DISTINCT celltype, condition, gene, gene, 0, CAST(1 AS DOUBLE) FROM ends
+    UNION SELECT f.celltype, f.condition, f.source, e.other, f.d + 1, sum(f.paths) FROM bfs f JOIN ends e ON e.celltype = f.celltype AND e.condition = f.condition AND e.gene = f.gene
+    LEFT JOIN recurring.bfs k ON k.celltype = f.celltype AND k.condition = f.condition AND k.source = f.source AND k.gene = e.other WHERE k.gene IS NULL GROUP BY ALL),
+    dist AS MATERIALIZED (SELECT * FROM bfs)"""
+
+
+@query("closeness", BFS + "SELECT celltype, condition, source AS gene, 1 / sum(d) AS value FROM dist GROUP BY ALL HAVING sum(d) > 0")
+def closeness(t):
+    return paths.closeness(t.aligned())
+
+
+@query("betweenness", BFS + """, mid AS (SELECT a.celltype, a.condition, a.gene, sum(a.paths * b.paths / c.paths) / 2 AS value FROM dist a JOIN dist b ON b.celltype = a.celltype AND b.condition = a.condition AND b.source = a.gene
+    JOIN dist c ON c.celltype = a.celltype AND c.condition = a.condition AND c.source = a.source AND c.gene = b.gene AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY ALL)
+    SELECT celltype, condition, gene, round(coalesce(value, 0), 6) AS value FROM st LEFT JOIN (SELECT celltype, condition, gene, value FROM mid) m USING (celltype, condition, gene)""".replace("SELECT celltype, condition, gene, round(coalesce(value", "SELECT celltype, condition, gene, round(coalesce(m.value"))
+def betweenness(t):
+    return paths.betweenness(t.aligned()).withColumn("value", F.round("value", 6))
+
+
+@query("eigenvector", """CTE g AS (SELECT celltype, condition, gene AS src, other AS dst, lls AS w FROM ends UNION ALL SELECT celltype, condition, gene, gene, 1 FROM st), v0 AS (SELECT celltype, condition, gene, CAST(1 AS DOUBLE) AS x FROM st),
+    """ + ",\n".join(f"v{i} AS MATERIALIZED (SELECT celltype, condition, gene, m / max(m) OVER (PARTITION BY celltype, condition) AS x FROM (SELECT g.celltype, g.condition, dst AS gene, sum(w * x) AS m FROM g JOIN v{i - 1} v ON v.celltype = g.celltype AND v.condition = g.condition AND v.gene = g.src GROUP BY ALL))" for i in range(1, 21)) + "\nSELECT celltype, condition, gene, round(x, 6) AS value FROM v20")
+def eigenvector(t):
+    return paths.eigenvector(t.aligned(), rounds=20).withColumn("value", F.round("value", 6))
+
+
+#: Every third part has its size class as a label, the others are unknown.
+LABELS = "lab0 AS (SELECT celltype, condition, gene, CASE WHEN gene % 3 = 0 THEN p_size // 10 ELSE -1 END AS label FROM st JOIN part ON p_partkey = gene)"
+ENRICHED = """b{i} AS MATERIALIZED (SELECT celltype, condition, gene, label, (n * own / w - p * n) * (n * own / w - p * n) / (2 * (p * n * n * w2 / (w * w) + (n * own / w - p * n) * (n * top / w) / 3)) AS log_p
+    FROM (SELECT e.celltype, e.condition, e.gene, l.label, sum(lls) AS own FROM ends e JOIN lab{i} l ON l.celltype = e.celltype AND l.condition = e.condition AND l.gene = e.other WHERE l.label >= 0 GROUP BY ALL) JOIN nodes USING (celltype, condition, gene)
+    JOIN (SELECT celltype, condition, label, any_value(n) AS n, count(*) / any_value(n) AS p FROM (SELECT *, count(*) OVER (PARTITION BY celltype, condition) AS n FROM lab{i}) WHERE label >= 0 GROUP BY ALL) USING (celltype, condition, label) WHERE n * own / w > p * n)"""
+NODES = "nodes AS MATERIALIZED (SELECT celltype, condition, gene, sum(lls) AS w, sum(lls * lls) AS w2, max(lls) AS top FROM ends GROUP BY ALL)"
+
+
+def part_labels(t):
+    part = t.read("part").select(F.col("p_partkey").alias("gene"), F.when(F.col("p_partkey") % 3 == 0, F.floor(F.col("p_size") / 10)).otherwise(-1).cast("long").alias("label"))
+    return N.endpoints(t.aligned()).distinct().join(part, "gene").select(*N.NET, "gene", "label")
+
+
+@query("label_enrichment", f"CTE {LABELS}, {NODES}, {ENRICHED.format(i=0)} SELECT celltype, condition, gene, CAST(label AS BIGINT) AS label, round(log_p, 6) AS log_p FROM b0")
+def label_enrichment(t):
+    return labels.neighbour_enrichment(t.aligned(), part_labels(t)).withColumn("log_p", F.round("log_p", 6))
+
+
+@query("propagate_labels", f"CTE {LABELS}, {NODES}, " + ", ".join(ENRICHED.format(i=i) + f""", lab{i + 1} AS MATERIALIZED (SELECT o.celltype, o.condition, o.gene, CASE WHEN log_p > 3 THEN new ELSE label END AS label FROM lab{i} o
+    LEFT JOIN (SELECT celltype, condition, gene, max(round(log_p, 9)) AS log_p, arg_min(label, (-round(log_p, 9), label)) AS new FROM b{i} GROUP BY ALL) USING (celltype, condition, gene))""" for i in range(3)) + " SELECT celltype, condition, gene, CAST(label AS BIGINT) AS label FROM lab3")
+def propagate_labels(t):
+    return labels.propagate_labels(t.aligned(), part_labels(t), rounds=3)
+
+
+ASSOC = """CTE s AS (SELECT celltype, condition, count(*) AS shared FROM fx_cells WHERE cell_id % 7 = batch % 7 GROUP BY ALL), z AS (SELECT *, CAST(sum(shared) OVER () AS BIGINT) AS n, CAST(sum(shared) OVER (PARTITION BY celltype) AS BIGINT) AS a, CAST(sum(shared) OVER (PARTITION BY condition) AS BIGINT) AS b FROM s),
+    k AS (SELECT *, unnest(range(shared, least(a, b) + 1)) AS i FROM z),
+    t AS (SELECT *, lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(n - a + 1) - lgamma(b - i + 1) - lgamma(n - a - b + i + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1) AS l FROM k WHERE n - a - b + i >= 0)
+    SELECT celltype, condition, any_value(shared) AS shared, round(least(300, greatest(0, -log10(sum(exp(l))))), 6) AS log10_p FROM t GROUP BY celltype, condition"""
+
+
+@query("label_association", ASSOC)
+def label_association(t):
+    return labels.label_association(t.cells().where("cell_id % 7 = batch % 7"), "celltype", "condition").withColumn("log10_p", F.round("log10_p", 6))
+
+
+@query("fisher_exact", """CTE q AS (SELECT celltype, count(*) FILTER (condition = 'F' AND batch < 12) AS a, count(*) FILTER (condition = 'F' AND batch >= 12) AS b, count(*) FILTER (condition = 'O' AND batch < 12) AS c, count(*) FILTER (condition = 'O' AND batch >= 12) AS d FROM fx_cells GROUP BY ALL),
+    m AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM q), i AS (SELECT *, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x FROM m),
+    l AS (SELECT *, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) AS lp FROM i),
+    o AS (SELECT celltype, lp AS own FROM l WHERE x = a) SELECT celltype, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, any_value(a * d / (b * c)) AS odds_ratio, round(least(1, sum(exp(lp)) FILTER (lp <= own + 1e-7)), 6) AS p_value FROM l JOIN o USING (celltype) GROUP BY celltype""")
+def fisher_exact(t):
+    n = lambda c, near: F.count_if((F.col("condition") == c) & ((F.col("batch") < 12) if near else (F.col("batch") >= 12)))
+    tables = t.cells().groupBy("celltype").agg(n("F", True).alias("a"), n("F", False).alias("b"), n("O", True).alias("c"), n("O", False).alias("d"))
+    return statistics.fisher_exact(tables, "a", "b", "c", "d").withColumn("p_value", F.round("p_value", 6))
+
+
+@query("score_enrichment", """CTE r AS (SELECT celltype, condition, gene, value AS x, row_number() OVER w - 1 AS rank, sum(value) OVER w AS s, sum(value * value) OVER w AS q, max(value) OVER (PARTITION BY celltype, condition) AS top, count(*) OVER (PARTITION BY celltype, condition) AS n
+      FROM st WINDOW w AS (PARTITION BY celltype, condition ORDER BY value DESC, gene ROWS UNBOUNDED PRECEDING)),
+    h AS (SELECT *, count(*) OVER (PARTITION BY celltype, condition, set_name) AS k, sum(x) OVER (PARTITION BY celltype, condition, set_name ORDER BY rank ROWS UNBOUNDED PRECEDING) AS o FROM r JOIN fx_sets USING (gene)),
+    v AS (SELECT *, o - s * k / n AS l, CASE WHEN o > s * k / n THEN round((o - s * k / n) * (o - s * k / n) / (2 * (q * k / n + top * (o - s * k / n) / 3)), 9) ELSE 0 END AS lp FROM h WHERE k > 1)
+    SELECT celltype, condition, set_name, round(max(lp), 6) AS log_p FROM v GROUP BY ALL""")
+def score_enrichment(t):
+    found = statistics.score_enrichment(N.strength(t.aligned()).withColumnRenamed("value", "x"), t.sets(), N.NET)
+    return found.drop("threshold").withColumn("log_p", F.round("log_p", 6))
+
+
+@query("log_fold_change", """CTE n AS (SELECT celltype, count(*) AS n FROM fx_cust GROUP BY ALL), m AS (SELECT celltype, feature, CAST(sum(value) / any_value(n) AS DOUBLE) AS mean FROM fx_counts JOIN fx_cust USING (cell_id) JOIN n USING (celltype) GROUP BY ALL)
+    SELECT feature, round(log2(coalesce(max(mean) FILTER (celltype = 'MACHINERY'), 0) + 1) - log2(coalesce(max(mean) FILTER (celltype = 'BUILDING'), 0) + 1), 6) AS log_fc FROM m WHERE celltype IN ('BUILDING', 'MACHINERY') GROUP BY feature""")
+def log_fold_change(t):
+    return statistics.log_fold_change(expression.pseudobulk(t.counts(), t.customers(), ["celltype"]), "celltype", "BUILDING", "MACHINERY").withColumn("log_fc", F.round("log_fc", 6))
