@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, expression, graph, hubs, labels, paths, statistics
+from ..operators import aggregates, benchmark, expression, graph, hubs, labels, paths, statistics
 from ..operators import network as N
 from .fixtures import SQL, Tables
 
@@ -393,3 +393,52 @@ def score_enrichment(t):
     SELECT feature, round(log2(coalesce(max(mean) FILTER (celltype = 'MACHINERY'), 0) + 1) - log2(coalesce(max(mean) FILTER (celltype = 'BUILDING'), 0) + 1), 6) AS log_fc FROM m WHERE celltype IN ('BUILDING', 'MACHINERY') GROUP BY feature""")
 def log_fold_change(t):
     return statistics.log_fold_change(expression.pseudobulk(t.counts(), t.customers(), ["celltype"]), "celltype", "BUILDING", "MACHINERY").withColumn("log_fc", F.round("log_fc", 6))
+
+
+WELCH = """CTE g AS (SELECT feature, celltype, count(*) AS n, CAST(sum(value) AS DOUBLE) AS s, CAST(sum(value * value) AS DOUBLE) AS q FROM fx_counts JOIN fx_cust USING (cell_id) GROUP BY ALL),
+    o AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) - n AS m, sum(s) OVER w - s AS t, sum(q) OVER w - q AS u FROM g WINDOW w AS (PARTITION BY feature)),
+    wt AS (SELECT feature, celltype, CASE WHEN n >= 3 AND m >= 3 THEN round((s / n - t / m) / sqrt((q - s * s / n) / (n - 1) / n + (u - t * t / m) / (m - 1) / m), 6) ELSE 0 END AS t FROM o) """
+
+
+def welch(t):
+    values = t.counts().join(t.customers(), "cell_id").select("feature", "celltype", "value")
+    return aggregates.welch_t(values, "feature", "celltype").withColumn("t", F.round("t", 6))
+
+
+@query("welch_t", WELCH + "SELECT * FROM wt")
+def welch_t(t):
+    return welch(t)
+
+
+@query("best_label", WELCH + "SELECT feature, celltype, t AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY t DESC, celltype) AS r FROM wt) WHERE r = 1")
+def best_label(t):
+    return aggregates.best_label(welch(t), "feature", "celltype", "t")
+
+
+@query("trimmed_mean", """CTE r AS (SELECT *, row_number() OVER (PARTITION BY celltype, condition ORDER BY value) AS r, count(*) OVER (PARTITION BY celltype, condition) AS n FROM st)
+    SELECT celltype, condition, round(avg(value), 6) AS value FROM r WHERE r > floor(n * 0.25) AND r <= n - floor(n * 0.25) GROUP BY ALL""")
+def trimmed_mean(t):
+    return aggregates.trimmed_mean(N.strength(t.aligned()), N.NET, "value").withColumn("value", F.round("value", 6))
+
+
+@query("combine_log_p", """CTE r AS (SELECT celltype, condition, pr * ln(10) AS x, row_number() OVER (PARTITION BY celltype, condition ORDER BY pr DESC) AS r FROM pr)
+    SELECT celltype, condition, round(ln(sum(exp(x))) - ln(50), 6) AS pr FROM r WHERE r <= 50 GROUP BY ALL""")
+def combine_log_p(t):
+    return aggregates.combine_log_p(ranked(t), N.NET, "pr", top=50).withColumn("pr", F.round("pr", 6))
+
+
+@query("entropy", "CTE x AS (SELECT cell_id, CAST(value AS DOUBLE) / sum(CAST(value AS DOUBLE)) OVER (PARTITION BY cell_id) AS p FROM fx_counts WHERE value > 0) SELECT cell_id, round(sum(-p * ln(p)) + 3e-10, 6) AS entropy FROM x GROUP BY cell_id")
+def entropy(t):
+    return aggregates.entropy(t.counts(), ["cell_id"], "value").withColumn("entropy", F.round(F.col("entropy") + 3e-10, 6))
+
+
+@query("z_scores", "CTE m AS (SELECT celltype, condition, avg(value) AS m, stddev_samp(value) AS s FROM st GROUP BY ALL) SELECT celltype, condition, gene, value, round((value - m) / s, 6) AS z FROM st JOIN m USING (celltype, condition)")
+def z_scores(t):
+    return aggregates.z_scores(N.strength(t.aligned()), N.NET, "value").withColumn("z", F.round("z", 6))
+
+
+@query("rank_matching", """CTE a AS (SELECT celltype, gene, row_number() OVER (PARTITION BY celltype ORDER BY pr DESC, gene) AS rank FROM pr WHERE condition = 'F' AND pr > 0.5), b AS (SELECT celltype, gene, row_number() OVER (PARTITION BY celltype ORDER BY pr DESC, gene) AS rank FROM pr WHERE condition = 'O' AND pr > 0.6)
+    SELECT celltype, CAST(rank AS INTEGER) AS rank, a.gene AS left_id, b.gene AS right_id FROM a JOIN b USING (celltype, rank)""")
+def rank_matching(t):
+    r = ranked(t)
+    return aggregates.rank_matching(r.where("condition = 'F'"), r.where("condition = 'O'"), ["celltype"], "gene", "pr", 0.5, 0.6)
