@@ -4,8 +4,10 @@ A public subword vocabulary measures, for each document, characters per token, t
 fallback tokens and the entropy of its tokens (divided by its possible maximum).  Bands per
 language and size (powers of two of the number of tokens, as small texts scatter more), from
 quartiles over all their documents, reject outliers: a document stays only if its values lie within
-``width`` interquartile ranges of the quartiles.  Languages and sizes with fewer than ``min_docs``
-documents, or beyond the ``max_bands`` most frequent, share one band of their script.
+``width`` interquartile ranges of the quartiles (by default 2, where the three one-sided fences
+together reject about one of a thousand normal values).  Quartiles of a language and size are
+averaged with those of its script, which weigh as much as ``prior_docs`` documents, so small bands
+lean on the script without a switch; those beyond the ``max_bands`` most frequent use the script's.
 
 Base figures (words, symbols, repeated lines and windows) come along; documents under
 ``min_words`` words or with mostly repeated windows fail in any case.
@@ -144,23 +146,33 @@ def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
     return source.mapInArrow(measure, STATS)
 
 
-def bands(stats: DataFrame, key: str, width: float, min_words: int) -> DataFrame:
-    """Quartile bands of each measure by ``key``, over documents with enough words."""
-    q = {m: F.percentile_approx(m, [0.25, 0.75], 2000) for m in METRICS}
-    made = stats.where(F.col("n_words") >= min_words).groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[v.alias(m) for m, v in q.items()])
+def quartiles(stats: DataFrame, *keys: str, min_words: int) -> DataFrame:
+    """n and the quartiles of each measure by ``keys``, over documents with enough words."""
+    q = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in METRICS]
+    return stats.where(F.col("n_words") >= min_words).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *q)
+
+
+def fences(own: dict, width: float) -> list:
+    """Bounds of each measure from its pair of quartiles."""
     floor = {"chars_per_token": 0.05, "byte_share": 0.02, "token_entropy": 0.02}
-    low = [(F.col(m)[0] - width * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(floor[m]))).alias(f"{m}_low") for m in METRICS]
-    high = [(F.col(m)[1] + width * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(floor[m]))).alias(f"{m}_high") for m in METRICS]
-    return made.select(key, "n", *low, *high)
+    out = []
+    for m, (q1, q3) in own.items():
+        reach = width * F.greatest(q3 - q1, F.lit(floor[m]))
+        out += [(q1 - reach).alias(f"{m}_low"), (q3 + reach).alias(f"{m}_high")]
+    return out
 
 
-def judge(docs: DataFrame, model_path: str, width: float = 4.0, min_words: int = 50, min_docs: int = 100, max_bands: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, model_path: str, width: float = 2.0, min_words: int = 50, prior_docs: int = 100, max_bands: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``fertility`` with base_failed and kept."""
     stats = materialize(fertility(docs, model_path, id_col, text_col, lang_col), "fertility")
-    own = bands(stats, "band", width, min_words).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "band").limit(max_bands)
+    own = quartiles(stats, "band", "script", min_words=min_words).orderBy(F.desc("n"), "band", "script").limit(max_bands)
+    shared = quartiles(stats, "script", min_words=min_words).select("script", *[F.col(m).alias(f"script_{m}") for m in METRICS])
+    mean = {m: [(F.col("n") * F.col(m)[i] + prior_docs * F.col(f"script_{m}")[i]) / (F.col("n") + prior_docs) for i in (0, 1)] for m in METRICS}
+    own = own.join(F.broadcast(shared), "script").select("band", "script", *fences(mean, width))
     names = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
-    shared = bands(stats, "script", width, min_words).select("script", *[F.col(c).alias(f"script_{c}") for c in names])
-    joined = stats.join(F.broadcast(own.drop("n")), "band", "left").join(F.broadcast(shared), "script", "left")
+    shared = shared.select("script", *fences({m: [F.col(f"script_{m}")[i] for i in (0, 1)] for m in METRICS}, width))
+    shared = shared.select("script", *[F.col(c).alias(f"script_{c}") for c in names])
+    joined = stats.join(F.broadcast(own), ["band", "script"], "left").join(F.broadcast(shared), "script", "left")
     inside = F.lit(True)
     for m in METRICS:
         low, high = (F.coalesce(F.col(f"{m}_{side}"), F.col(f"script_{m}_{side}")) for side in ("low", "high"))

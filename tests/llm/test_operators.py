@@ -116,6 +116,14 @@ def test_empty_tables(docs):
     assert mixing.taken(mixing.mix(none)).count() == jaccard_join.components(none).count() == 0
 
 
+def test_fertility_fence_and_small_bands(spark, monkeypatch):
+    row = lambda i, band, value: (i, i, band, "latin", 100, 500, 0, 0, 0, 120, value, 0.0, 0.8)
+    rows = [row(i, "en:7", 4 + i % 101 / 100) for i in range(202)] + [row(900, "en:7", 6.3)] + [row(1000 + i, "de:7", 6.0) for i in range(60)]
+    monkeypatch.setattr(fertility, "fertility", lambda *a: spark.createDataFrame(rows, fertility.STATS))
+    kept = {r["doc_id"] for r in fertility.judge(None, "").where("kept").collect()}
+    assert 900 not in kept and kept == {*range(202), *range(1000, 1060)}
+
+
 def test_fertility_table_grows_with_the_words():
     import sentencepiece
 
