@@ -7,8 +7,9 @@ document that repeat the same local part or the same digits (in whatever punctua
 potential.  Loopy sum-product passing over chain and skip edges gives marginals, and a candidate
 outside all base spans becomes a span if its best entity label reaches ``sure``.  So a number that
 is unmistakable once (+1 ..., a valid card) is also found where it is written another way.
-Repeats are linked from one to the next, never all with all, so a document's edges are linear in
-its candidates.
+Repeats are linked to the first base span of each kind among them, or to the first of them where
+there is none, never all with all, so a document's edges are linear in its candidates and no repeat
+is more than one link from the evidence.  Numbers of 9 to 15 digits repeat by their last nine.
 
 Potentials are trained here, from base spans over all documents: counts of (shape, label) and of
 label pairs on edges are aggregated over all partitions; candidates without a label that repeat a
@@ -114,7 +115,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         plus, bracket, dash, gap = "+" in token, "(" in token, "-" in token, " " in token
         size = "s" if n < 9 else "p" if n < 12 else "c" if n < 20 else "l"
         valid = size == "c" and luhn(digits)
-        key = token if dots == 3 else digits[-9:] if 9 <= n <= 11 else digits
+        key = token if dots == 3 else digits[-9:] if 9 <= n <= 15 else digits
         out.append((m.start(), m.start() + len(token), f"{size}{int(plus)}{int(bracket)}{int(dash)}{int(gap)}{min(dots, 4)}{int(valid)}", key))
     out.sort()
     return out
@@ -134,15 +135,17 @@ def labelled(found: list[tuple[int, int, str, str]], spans: list[tuple[int, int,
     return labels
 
 
-def links(found: list[tuple[int, int, str, str]], near: int = 40) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between close neighbours and skip edges from each repeat to the next."""
+def links(found: list[tuple[int, int, str, str]], labels: list[int], near: int = 40) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges between close neighbours and skip edges from hubs to their repeats: the first
+    labelled mention of each kind, or the first mention where none is labelled."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= near]
-    last: dict[str, int] = {}
+    hubs: dict[str, dict[int, int]] = {}
+    for i, (f, label) in enumerate(zip(found, labels, strict=True)):
+        hubs.setdefault(f[3], {}).setdefault(label, i)
     skip = []
     for i, f in enumerate(found):
-        if f[3] in last:
-            skip.append((last[f[3]], i))
-        last[f[3]] = i
+        of = hubs[f[3]]
+        skip += [(h, i) for label, h in of.items() if h != i and (label or len(of) == 1)]
     return chain, skip
 
 
@@ -158,7 +161,7 @@ def count_labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not found:
                     continue
                 labels = labelled(found, base_spans(text))
-                chain, skip = links(found)
+                chain, skip = links(found, labels)
                 known = {f[3] for f, label in zip(found, labels, strict=True) if label}
                 sure = [bool(label) or f[3] not in known for f, label in zip(found, labels, strict=True)]
                 n.update(("node", f[2], LABELS[label]) for f, label, s in zip(found, labels, sure, strict=True) if s)
@@ -190,8 +193,9 @@ def potentials(counts: list) -> dict:
     return out
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-    """Loopy sum-product over edges (a, b) with log potentials pair[edge]."""
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, damp: float = 0.3, settled: float = 1e-4) -> np.ndarray:
+    """Loopy sum-product over edges (a, b) with log potentials pair[edge], until messages settle;
+    damping grows once a message could have crossed every edge, so loops that swing come to rest."""
     if not len(edges):
         m = np.exp(unary - unary.max(1, keepdims=True))
         return m / m.sum(1, keepdims=True)
@@ -200,13 +204,18 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: in
     psi = np.concatenate([pair, pair.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
     message = np.zeros((len(src), unary.shape[1]))
-    for _ in range(rounds):
+    change, i = np.inf, 0
+    while change > settled:
+        i += 1
+        keep = 1 - (1 - damp) * min(1.0, (100 + len(src)) / i) ** 2
         belief = unary.copy()
         np.add.at(belief, dst, message)
         out = (belief[src] - message[back])[:, :, None] + psi
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        message = damp * message + (1 - damp) * (new - new.max(1, keepdims=True))
+        step = (1 - keep) * (new - new.max(1, keepdims=True) - message)
+        message = message + step
+        change = np.abs(step).max()
     belief = unary.copy()
     np.add.at(belief, dst, message)
     m = np.exp(belief - belief.max(1, keepdims=True))
@@ -224,13 +233,13 @@ def find_pii(docs: DataFrame, sure: float = 0.8, id_col: str = "doc_id", text_co
     def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         found = candidates(text)
         labels = labelled(found, base)
-        if not any(labels) or all(labels):
+        if all(labels):
             return []
-        chain, skip = links(found)
+        chain, skip = links(found, labels)
         unary = np.stack([model["node"].get(f[2], model["prior"]) for f in found])
         for i, label in enumerate(labels):
             if label:  # base spans stay
-                unary[i] = np.where(np.arange(5) == label, 0.0, -12.0)
+                unary[i] = np.where(np.arange(5) == label, 0.0, -1e6)
         edges = np.array(chain + skip, np.int64).reshape(-1, 2)
         pair = np.concatenate([np.broadcast_to(model["chain"], (len(chain), 5, 5)), np.broadcast_to(model["skip"], (len(skip), 5, 5))])
         p = marginals(unary, edges, pair)
@@ -245,7 +254,7 @@ def find_pii(docs: DataFrame, sure: float = 0.8, id_col: str = "doc_id", text_co
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     text = text.as_py() or ""
                     base = base_spans(text)
-                    more = added(text, base) if base else []
+                    more = added(text, base) if EDGE.search(text) else []
                     n = Counter(k for _, k, _ in base)
                     rows.append((doc, n[0], n[1], n[2], n[3], written(base), written(sorted(base + more)), len(more)))
                 if rows:

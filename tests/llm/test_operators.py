@@ -42,6 +42,12 @@ def test_pii_base_and_skip_links(spark, docs):
     assert more["n_phone"] == 1 and f"phone:{text.rindex('(')}:{text.rindex(' again')}" in more["spans"]
 
 
+def test_pii_one_sure_mention_reaches_every_repeat(spark):
+    text = "call +44 20 7946 0958 please. " + "then, some words further on, and again the number (020) 7946 0958 as above. " * 40
+    got = pii.find_pii(spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")).first()
+    assert got["n_phone"] == 1 and got["n_added"] == 40
+
+
 def test_emails_equal_the_pattern():
     p = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for text in ("a@b.cd@e.f", "a@b.c_x@d.e", "x@@y.z a@b", "q@r.s.t,u@v.w", "@a.b", ""):
