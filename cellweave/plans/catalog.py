@@ -369,6 +369,11 @@ def label_association(t):
     return labels.label_association(t.cells().where("cell_id % 7 = batch % 7"), "celltype", "condition").withColumn("log10_p", F.round("log10_p", 6))
 
 
+@query("label_association_all", None)
+def label_association_all(t):
+    return labels.label_association(t.cells(), "celltype", "condition").withColumn("log10_p", F.round("log10_p", 6))
+
+
 @query("fisher_exact", """CTE q AS (SELECT celltype, count(*) FILTER (condition = 'F' AND batch < 12) AS a, count(*) FILTER (condition = 'F' AND batch >= 12) AS b, count(*) FILTER (condition = 'O' AND batch < 12) AS c, count(*) FILTER (condition = 'O' AND batch >= 12) AS d FROM fx_cells GROUP BY ALL),
     m AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM q), i AS (SELECT *, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x FROM m),
     l AS (SELECT *, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) AS lp FROM i),
