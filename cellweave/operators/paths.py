@@ -16,20 +16,19 @@ from .network import NET, endpoints
 STATE = [*NET, "source", "gene"]
 
 
-def levels(net: DataFrame, sources: DataFrame | None = None, most: int = 1000) -> list[DataFrame]:
+def levels(net: DataFrame, sources: DataFrame | None = None) -> list[DataFrame]:
     """For each distance from 0, the (NET, source, gene) at it with paths, their shortest paths."""
     edges = cut(both_ways(net).distinct())
     start = sources if sources is not None else edges.select(*NET, F.col("src").alias("gene")).distinct()
     found = [cut(start.select(*NET, F.col("gene").alias("source"), "gene", F.lit(1.0).alias("paths")))]
-    while len(found) <= most:
+    while True:
         reached = found[-1].join(edges.withColumnRenamed("src", "gene"), [*NET, "gene"]).groupBy(*NET, "source", F.col("dst").alias("gene")).agg(F.sum("paths").alias("paths"))
         for seen in found[-2:]:
             reached = reached.join(seen.select(*STATE), STATE, "left_anti")
         reached = cut(reached)
         if reached.isEmpty():
-            break
+            return found
         found.append(reached)
-    return found
 
 
 def closeness(net: DataFrame, component_scaling: bool = False, sources: DataFrame | None = None) -> DataFrame:
@@ -63,15 +62,23 @@ def betweenness(net: DataFrame) -> DataFrame:
     return total.groupBy(*NET, "gene").agg((F.sum("share") / 2).alias("value"))
 
 
-def eigenvector(net: DataFrame, rounds: int = 50, every: int = 5) -> DataFrame:
+def eigenvector(net: DataFrame, rounds: int | None = None, every: int = 5, tolerance: float = 1e-9) -> DataFrame:
     """Weighted eigenvector centrality, largest value 1, by power iteration on A + I (the shift
-    keeps bipartite networks from swinging and leaves the eigenvectors as they are)."""
+    keeps bipartite networks from swinging and leaves the eigenvectors as they are), until no value moves by more than ``tolerance`` in ``every``
+    rounds, or for a fixed number of ``rounds``."""
     edges = both_ways(net, "lls")
     edges = cut(edges.unionByName(edges.select(*NET, F.lit(1.0).alias("lls"), "src", F.col("src").alias("dst")).distinct()))
     x = edges.where("src = dst").select(*NET, F.col("src").alias("gene"), F.lit(1.0).alias("x"))
-    for i in range(rounds):
+    old, i = x, 0
+    while rounds is None or i < rounds:
         x = edges.join(x.withColumnRenamed("gene", "src"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.sum(F.col("lls") * F.col("x")).alias("x"))
-        if (i + 1) % every == 0 or i + 1 == rounds:
+        i += 1
+        if i % every == 0 or i == rounds:
             x = cut(x)
             x = x.join(x.groupBy(*NET).agg(F.max("x").alias("top")), NET).select(*NET, "gene", (F.col("x") / F.col("top")).alias("x"))
+            if rounds is None:
+                x = cut(x)
+                if x.join(old.withColumnRenamed("x", "old"), [*NET, "gene"]).where(F.abs(F.col("x") - F.col("old")) > tolerance).isEmpty():
+                    break
+                old = x
     return x.withColumnRenamed("x", "value")

@@ -166,12 +166,12 @@ def diffusion(t):
 
 @query("find_all_hub", None)
 def find_all_hub(t):
-    return hubs.find_all_hub(t.aligned(), reps=20, seed=1)
+    return hubs.find_all_hub(t.aligned(), reps=None, seed=1)
 
 
 @query("find_diff_hub", None)
 def find_diff_hub(t):
-    return hubs.find_diff_hub(t.aligned(), t.cells(), "F", "O", reps=20, seed=1)
+    return hubs.find_diff_hub(t.aligned(), t.cells(), "F", "O", reps=None, seed=1)
 
 
 METHODS = ["bonferroni", "bh", "holm", "hochberg"]
@@ -334,6 +334,11 @@ def eigenvector(t):
     return paths.eigenvector(t.aligned(), rounds=20).withColumn("value", F.round("value", 6))
 
 
+@query("eigenvector_converged", None)
+def eigenvector_converged(t):
+    return paths.eigenvector(t.aligned()).withColumn("value", F.round("value", 6))
+
+
 #: Every third part has its size class as a label, the others are unknown.
 LABELS = "lab0 AS (SELECT celltype, condition, gene, CASE WHEN gene % 3 = 0 THEN p_size // 10 ELSE -1 END AS label FROM st JOIN part ON p_partkey = gene)"
 ENRICHED = """b{i} AS MATERIALIZED (SELECT celltype, condition, gene, label, (n * own / w - p * n) * (n * own / w - p * n) / (2 * (p * n * n * w2 / (w * w) + (n * own / w - p * n) * (n * top / w) / 3)) AS log_p

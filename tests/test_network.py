@@ -2,7 +2,7 @@
 
 import pytest
 
-from cellweave.operators import graph, hubs
+from cellweave.operators import expression, graph, hubs, paths
 from cellweave.operators import network as N
 from cellweave.sources import networks as S
 
@@ -42,6 +42,25 @@ def test_null_is_reproducible_and_p_in_range(net):
     assert all(0 < r["p"] <= 1 and r["q"] >= r["p"] - 1e-12 for r in a)
 
 
+def test_null_size_is_derived_from_the_nodes(net):
+    nodes = {tuple(r[:2]): r["n"] for r in N.endpoints(net).distinct().groupBy(*N.NET).count().toDF(*N.NET, "n").collect()}
+    got = {tuple(r[:2]): r["reps"] for r in hubs.rewired(net, None, 0.5, 1, values=1000).groupBy(*N.NET).agg({"rep": "max"}).toDF(*N.NET, "reps").collect()}
+    assert got == {k: -(-1000 // n) for k, n in nodes.items()}
+
+
 def test_round_trip(spark, net, tmp_path):
     S.write_bundle({"net": net}, str(tmp_path / "b"))
     assert S.read_bundle(spark, str(tmp_path / "b"), ["net"])["net"].count() == 5
+
+
+def test_eigenvector_converges_where_rounds_are_few(spark):
+    import numpy as np
+
+    n = 12
+    a = np.zeros((n, n))
+    for i in range(n - 1):
+        a[i, i + 1] = a[i + 1, i] = 1
+    net = spark.createDataFrame([("c", "x", i, i + 1, 1.0) for i in range(n - 1)], "celltype string, condition string, gene1 long, gene2 long, lls double").coalesce(1)
+    v = np.abs(np.linalg.eigh(a)[1][:, -1])
+    got = {r["gene"]: r["value"] for r in paths.eigenvector(net, tolerance=1e-4).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx((v / v.max()).tolist(), abs=5e-3)
