@@ -1,8 +1,9 @@
 """Operator 4: licence scan with a positional rare-token index.
 
 The index lists, for each word of a set of licence templates, the templates and positions where it
-stands.  A file's licence words are found with their positions; its ``rare`` words of highest
-inverse document frequency (over all files) are looked up, and postings that agree on the relative
+stands, for the ``rare`` words of highest inverse document frequency (over all files) of each
+template.  A file's licence words are found with their positions; all that the index lists are
+looked up, however many templates the file holds, and postings that agree on the relative
 position of file and template are counted together.  A template is a match if at least ``agree``
 of its words stand at one relative position and all its key phrases are in the file.
 
@@ -87,7 +88,7 @@ def places(phrase: str) -> Column:
 def aligned(index: dict[str, list[tuple[int, int]]], n_templates: int) -> Column:
     """For each template, the most looked-up words at one relative position."""
     post = F.create_map(*[x for w, at in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).cast("long").alias("p")) for t, p in at]))])
-    looked = F.filter("hits", lambda x: F.array_contains(F.col("looked_up"), x["w"]))
+    looked = F.filter("hits", lambda x: F.map_contains_key(post, x["w"]))
     pairs = F.array_sort(F.flatten(F.transform(looked, lambda x: F.transform(F.element_at(post, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["p"] - q["p"]).alias("d"))))))
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("n"), F.array_repeat(F.lit(0), n_templates).alias("best"))
 
@@ -109,14 +110,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, rare: int = 8, agree: int = 2, id
     counts = files.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["w"]))).alias("w")).groupBy("w").count()
     df = {r["w"]: r["count"] for r in counts.collect()}  # one row per template word at most
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in index}
-    rank = F.create_map(*[x for i, w in enumerate(sorted(index, key=lambda w: (-idf[w], w))) for x in (F.lit(w), F.lit(i))])
-    own = F.filter(F.array_distinct(F.transform("hits", lambda x: x["w"])), lambda w: F.map_contains_key(rank, w))
-    best = F.slice(F.array_sort(F.transform(own, lambda w: F.struct(F.element_at(rank, w).alias("r"), w.alias("w")))), 1, rare)
+    keys_of = [sorted({w for w in wording.split() if w in index}, key=lambda w: (-idf[w], w))[:rare] for _, wording, _ in templates]
+    listed = {w: kept for w, at in index.items() if (kept := [(t, p) for t, p in at if w in keys_of[t]])}
 
     base = {label: places(phrase) for phrase, label in PHRASES}
     keys = sorted({k for _, _, ks in templates for k in ks})
-    rows = files.withColumn("looked_up", F.transform(best, lambda x: x["w"]))
-    rows = rows.select("doc_id", "n_words", F.struct(*[v.alias(k) for k, v in base.items()]).alias("base"), F.struct(*[(F.size(places(k)) > 0).alias(f"k{i}") for i, k in enumerate(keys)]).alias("keys"), F.when(F.size("looked_up") > 0, aligned(index, len(templates))).alias("best"))
+    rows = files.select("doc_id", "n_words", F.struct(*[v.alias(k) for k, v in base.items()]).alias("base"), F.struct(*[(F.size(places(k)) > 0).alias(f"k{i}") for i, k in enumerate(keys)]).alias("keys"), F.when(F.size("hits") > 0, aligned(listed, len(templates))).alias("best"))
     every = F.concat(*[F.col("base")[label] for label in base])
     matches = []
     for t, (label, wording, wanted) in enumerate(templates):

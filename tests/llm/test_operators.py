@@ -73,6 +73,12 @@ def test_licences(docs):
     assert got[2]["n_words"] == 0 and got[1]["labels"] == ""
 
 
+def test_licences_finds_every_template_of_a_notices_file(spark):
+    text = "\n".join(f"item{i} {wording}" for i, (_, wording, _) in enumerate(licenses.TEMPLATES))
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, "mit license")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert {m["template"] for m in got["matches"]} == set(range(len(licenses.TEMPLATES)))
+
+
 def test_hmm_base_score_and_probability(docs):
     got = hmm.HiddenMarkov(docs, states=2, single=8, buckets=4, hot=6, start_docs=4, start_rounds=2, rounds=1).score().collect()
     train = [d for d in docs.collect() if d["doc_id"] is None or zlib.crc32(str(d["doc_id"]).encode()) % 5 != 1]
