@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def cell_qc(counts: DataFrame) -> DataFrame:
     return counts.groupBy("cell_id").agg(F.sum("value").alias("umis"), F.count_if(F.col("value") > 0).alias("features"))
@@ -17,18 +19,18 @@ def feature_qc(counts: DataFrame, n_cells: int) -> DataFrame:
     return s.select("feature", "cells", mean.alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / n_cells) / (n_cells - 1)).alias("variance"))
 
 
-def qc_filter(counts: DataFrame, min_cells: int, min_features: int, min_umis: float, rounds: int = 20) -> DataFrame:
+def qc_filter(counts: DataFrame, min_cells: int, min_features: int, min_umis: float) -> DataFrame:
     """Drop cells and features below the bounds, both at once, until nothing changes."""
     size = counts.count()
-    for _ in range(rounds):
+    while True:
         cells = cell_qc(counts).where((F.col("features") >= min_features) & (F.col("umis") >= min_umis)).select("cell_id")
         features = counts.groupBy("feature").agg(F.count_if(F.col("value") > 0).alias("n")).where(F.col("n") >= min_cells).select("feature")
         counts = counts.join(cells, "cell_id", "left_semi").join(features, "feature", "left_semi").select("cell_id", "feature", "value")
+        counts = cut(counts)
         left = counts.count()
         if left == size:
-            break
+            return counts
         size = left
-    return counts
 
 
 def normalize_log(counts: DataFrame) -> DataFrame:

@@ -23,19 +23,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(net: DataFrame, most: int = 100) -> DataFrame:
+def components(net: DataFrame) -> DataFrame:
     """celltype, condition, gene, component (its smallest gene), by label spreading with jumps."""
     edges = cut(both_ways(net))
     labels = cut(edges.select(*NET, F.col("src").alias("gene")).distinct().withColumn("component", F.col("gene")))
-    for _ in range(most):
+    while True:
         near = edges.join(labels.withColumnRenamed("gene", "src"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.min("component").alias("near"))
         step = labels.join(near, [*NET, "gene"]).select(*NET, "gene", F.col("component").alias("old"), F.least("component", "near").alias("c"))
         jump = labels.select(*NET, F.col("gene").alias("c"), F.col("component").alias("far"))
         new = cut(step.join(jump, [*NET, "c"]).select(*NET, "gene", "old", F.least("c", "far").alias("component")))
         labels = new.drop("old")
         if new.where("old <> component").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def component_sizes(net: DataFrame) -> DataFrame:
@@ -43,18 +42,17 @@ def component_sizes(net: DataFrame) -> DataFrame:
     return sizes.groupBy(*NET).agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
 
 
-def core_numbers(net: DataFrame, most: int = 200) -> DataFrame:
+def core_numbers(net: DataFrame) -> DataFrame:
     """k-core numbers: each node takes the h-index of its neighbours' values until none changes."""
     edges = cut(both_ways(net))
     value = cut(edges.groupBy(*NET, F.col("src").alias("gene")).agg(F.count(F.lit(1)).alias("core")))
-    for _ in range(most):
+    while True:
         seen = edges.join(value.withColumnRenamed("gene", "dst"), [*NET, "dst"]).groupBy(*NET, F.col("src").alias("gene")).agg(F.sort_array(F.collect_list("core"), asc=False).alias("c"))
         h = F.size(F.filter("c", lambda x, i: x >= i + 1)).cast("long")
         new = cut(seen.select(*NET, "gene", h.alias("new")).join(value, [*NET, "gene"]).select(*NET, "gene", F.least("new", "core").alias("core"), F.col("core").alias("old")))
         value = new.drop("old")
         if new.where("core <> old").isEmpty():
-            break
-    return value
+            return value
 
 
 def diffuse(net: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 3) -> DataFrame:

@@ -53,6 +53,12 @@ def test_round_trip(spark, net, tmp_path):
     assert S.read_bundle(spark, str(tmp_path / "b"), ["net"])["net"].count() == 5
 
 
+def test_filter_cascade_runs_to_its_end(spark):
+    # each cell falls only after the one before it: 24 rounds, and nothing stays
+    counts = spark.createDataFrame([(c, f, 1.0) for c in range(24) for f in (c, c + 1)], "cell_id long, feature long, value double").coalesce(1)
+    assert expression.qc_filter(counts, 2, 2, 0.0).count() == 0
+
+
 def test_eigenvector_converges_where_rounds_are_few(spark):
     import numpy as np
 
