@@ -2,13 +2,14 @@
 
 A line goes if an equal line, or a line within one edit (insertion, deletion or substitution of a
 character), stands earlier in the corpus, by doc_id (null last), then text, then line number.
-Blank lines stay.  Near matches concern lines of ``min_chars`` to ``max_chars`` characters; longer
-ones are paragraphs and, like shorter ones, go for equal lines only.
+Blank lines stay.  Near matches concern lines of ``min_chars`` characters and more, however long;
+shorter ones go for equal lines only.
 
 Equal lines are first brought together by a 128-bit hash, so copies cost one row.  Two different
 lines within one edit agree in the front or the back half (measured on the shorter one), so only
-lines that share a half with another line are looked at further: they are cut into ``parts`` parts,
-and of lines that share all but one part, that part emits variants: each variant, the part as it is
+lines that share a half with another line are looked at further: they are cut into ``parts`` parts
+(more where lines are long: the cube root of their length, so the shares of all parts and the
+variants of one part both stay within length ** (4 / 3) characters), and of lines that share all but one part, that part emits variants: each variant, the part as it is
 or with one character deleted, is a hashed key together with the hash of what is shared.  Equal keys
 meet: variants that lack the same position are substitutions of each other, a whole one and a
 reduced one are an insertion apart.  A group of equal variants holds different lines only, at most
@@ -48,18 +49,24 @@ def all_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"x1": x1, "x2": x2})
 
 
-def bounds(shorter: Column, part: Column | int, parts: int) -> tuple[Column, Column]:
+def parts_of(shorter: Column, parts: int) -> Column:
+    """Number of parts for a pair whose shorter line has that length."""
+    return F.greatest(F.lit(parts), F.ceil(F.cbrt(shorter)).cast("int"))
+
+
+def bounds(shorter: Column, part: Column | int, parts: Column | int) -> tuple[Column, Column]:
     """Where a part of the shorter line begins and ends."""
-    return F.floor(shorter * part / parts).cast("int"), F.floor(shorter * (F.lit(part) + 1) / parts).cast("int")
+    n = shorter.cast("long")
+    return F.floor(n * part / parts).cast("int"), F.floor(n * (F.lit(part) + 1) / parts).cast("int")
 
 
-def share(line: Column, shorter: Column, part: Column | int, parts: int) -> Column:
+def share(line: Column, shorter: Column, part: Column | int, parts: Column | int) -> Column:
     """Hash of what lines of a pair have in common if they differ in that part only."""
     a, b = bounds(shorter, part, parts)
     return F.xxhash64(F.lit(part), shorter, F.substring(line, F.lit(1), a), F.right(line, shorter - b))
 
 
-def inside(line: Column, chars: Column, shorter: Column, part: Column, parts: int) -> Column:
+def inside(line: Column, chars: Column, shorter: Column, part: Column, parts: Column | int) -> Column:
     """What the line has in that part."""
     a, b = bounds(shorter, part, parts)
     return F.substring(line, a + 1, chars - (shorter - b) - a)
@@ -78,11 +85,11 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(many, "share", "left_semi")
 
 
-def find_duplicates(docs: DataFrame, min_chars: int = 16, max_chars: int = 4096, parts: int = 16, bits: int = 1 << 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_duplicates(docs: DataFrame, min_chars: int = 16, parts: int = 16, bits: int = 1 << 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, k1, k2, line_no, near: the lines to drop."""
     lines = all_lines(docs, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "line_no")
-    able = F.col("chars").between(min_chars, max_chars)
+    able = F.col("chars") >= min_chars
     lines = lines.withColumn("chars", F.length("line"))
     # each line as the shorter and as the longer one of a pair, with the difference in either half
     halves = {f"h{less}{part}": F.when(able, share(F.col("line"), F.col("chars") - less, part, 2)) for less in (0, 1) for part in (0, 1)}
@@ -101,8 +108,12 @@ def find_duplicates(docs: DataFrame, min_chars: int = 16, max_chars: int = 4096,
     texts = materialize(texts.join(emit, NAMES).join(whole.select("x1", "x2", "first"), NAMES), "line_texts")
 
     # of those, lines that share all but a small part; variants of that part
-    cases = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.array(*[F.struct((F.col("chars") - less).alias("shorter"), j.alias("part")) for less in (0, 1)])))
-    fine = texts.select("x1", "x2", "first", "line", "chars", F.explode(cases).alias("c")).select("x1", "x2", "first", "chars", share(F.col("line"), F.col("c.shorter"), F.col("c.part"), parts).alias("share"), inside(F.col("line"), F.col("chars"), F.col("c.shorter"), F.col("c.part"), parts).alias("rest"))
+    def cuts(shorter: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), parts_of(shorter, parts) - 1), lambda j: F.struct(shorter.alias("shorter"), j.alias("part")))
+
+    cases = F.concat(cuts(F.col("chars")), cuts(F.col("chars") - 1))
+    cut = parts_of(F.col("c.shorter"), parts)
+    fine = texts.select("x1", "x2", "first", "line", "chars", F.explode(cases).alias("c")).select("x1", "x2", "first", "chars", share(F.col("line"), F.col("c.shorter"), F.col("c.part"), cut).alias("share"), inside(F.col("line"), F.col("chars"), F.col("c.shorter"), F.col("c.part"), cut).alias("rest"))
     n = F.length("rest")
     less = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("gone"), F.xxhash64(F.concat(F.substring("rest", F.lit(1), i), F.substring(F.col("rest"), i + 2, n))).alias("variant")))
     variants = F.concat(F.array(F.struct(F.lit(-1).alias("gone"), F.xxhash64("rest").alias("variant"))), F.when(n > 0, less).otherwise(F.array().cast("array<struct<gone:int,variant:bigint>>")))

@@ -115,6 +115,15 @@ def test_line_dedup_keeps_the_earliest(docs):
     assert got[2]["text"] is None and got[5]["n_near"] == 0 and got[4]["seconds"] == 7
 
 
+def test_line_dedup_finds_near_copies_of_long_lines(spark):
+    long = " ".join(f"word{i * 7919 % 10007}" for i in range(1200))
+    assert len(long) > 9000
+    half = len(long) // 2
+    lines = [long, long[:half] + "#" + long[half + 1 :], long[:4999] + long[5000:], "#" + long + "#", long[:4096], long[:4095]]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")).collect()}
+    assert [got[i]["n_near"] for i in range(6)] == [0, 1, 1, 0, 0, 1]
+
+
 def test_jaccard_components(docs):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs, width=3, percent=90).collect()), key=str)
     assert [g for g in got if g[0] == 4] == [(4, got[[g[0] for g in got].index(4)][1], 4)] * 2
