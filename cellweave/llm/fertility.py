@@ -7,15 +7,16 @@ quartiles over all their documents, reject outliers: a document stays only if it
 ``width`` interquartile ranges of the quartiles (by default 2, where the three one-sided fences
 together reject about one of a thousand normal values).  Quartiles of a language and size are
 averaged with those of its script, which weigh as much as ``prior_docs`` documents, so small bands
-lean on the script without a switch; those beyond the ``max_bands`` most frequent use the script's.
+lean on the script without a switch.  Quartiles are exact for values rounded to a thousandth.
 
 Base figures (words, symbols, repeated lines and windows) come along; documents under
 ``min_words`` words or with mostly repeated windows fail in any case.
 
-Plan: one map over the texts writes a narrow table; bands are one partial aggregation over it;
-the bands (at most ``max_bands`` + 8 rows) are broadcast.  Defined cases: a null text has no words
-and fails; a null language counts as its script; ties and repeated rows are judged row by row; an
-empty table gives no rows.
+Plan: one map over the texts writes a narrow table; bands are one partial aggregation of rounded
+values over it, joined back.  Defined cases: a null or empty text has no words and fails; a null
+language counts as its script; very long texts are measured whole; ties and repeated rows are judged
+row by row; further columns of the input, whatever their names, aren't read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_rows, materialize
+from .common import bound_batches, input_rows, materialize
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -120,7 +121,7 @@ def mark_of(docs: DataFrame, text_col: str, lang_col: str):
     return F.xxhash64(docs[text_col].cast("string"), docs[lang_col].cast("string"))
 
 
-def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cache_words: int = 200_000) -> DataFrame:
+def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cache_words: int = 100_000) -> DataFrame:
     """One row per document: base figures and subword measures."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +143,19 @@ def fertility(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3], strict=True)], names=[x.split()[0] for x in STATS.split(", ")])
 
+    bound_batches(docs.sparkSession)
     source = input_rows(docs, id_col, lang_col, text_col).select(F.col(id_col).cast("long"), mark_of(docs, text_col, lang_col), F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     return source.mapInArrow(measure, STATS)
 
 
 def quartiles(stats: DataFrame, *keys: str, min_words: int) -> DataFrame:
     """n and the quartiles of each measure by ``keys``, over documents with enough words."""
-    q = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in METRICS]
-    return stats.where(F.col("n_words") >= min_words).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *q)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 3).alias("v")) for m in METRICS])).alias("x")
+    counts = stats.where(F.col("n_words") >= min_words).select(*keys, each).groupBy(*keys, "x.metric", "x.v").agg(F.count(F.lit(1)).alias("c"))
+    own = Window.partitionBy(*keys, "metric")
+    ranked = counts.withColumn("upto", F.sum("c").over(own.orderBy("v"))).withColumn("n", F.sum("c").over(own))
+    at = lambda m, q: F.min(F.when((F.col("metric") == m) & (F.col("upto") >= q * F.col("n")), F.col("v")))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.array(at(m, 0.25), at(m, 0.75)).alias(m) for m in METRICS])
 
 
 def fences(own: dict, width: float) -> list:
@@ -162,17 +168,17 @@ def fences(own: dict, width: float) -> list:
     return out
 
 
-def judge(docs: DataFrame, model_path: str, width: float = 2.0, min_words: int = 50, prior_docs: int = 100, max_bands: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, model_path: str, width: float = 2.0, min_words: int = 50, prior_docs: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``fertility`` with base_failed and kept."""
     stats = materialize(fertility(docs, model_path, id_col, text_col, lang_col), "fertility")
-    own = quartiles(stats, "band", "script", min_words=min_words).orderBy(F.desc("n"), "band", "script").limit(max_bands)
+    own = quartiles(stats, "band", "script", min_words=min_words)
     shared = quartiles(stats, "script", min_words=min_words).select("script", *[F.col(m).alias(f"script_{m}") for m in METRICS])
     mean = {m: [(F.col("n") * F.col(m)[i] + prior_docs * F.col(f"script_{m}")[i]) / (F.col("n") + prior_docs) for i in (0, 1)] for m in METRICS}
-    own = own.join(F.broadcast(shared), "script").select("band", "script", *fences(mean, width))
+    own = own.join(shared, "script").select("band", "script", *fences(mean, width))
     names = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
     shared = shared.select("script", *fences({m: [F.col(f"script_{m}")[i] for i in (0, 1)] for m in METRICS}, width))
     shared = shared.select("script", *[F.col(c).alias(f"script_{c}") for c in names])
-    joined = stats.join(F.broadcast(own), ["band", "script"], "left").join(F.broadcast(shared), "script", "left")
+    joined = stats.join(own, ["band", "script"], "left").join(shared, "script", "left")
     inside = F.lit(True)
     for m in METRICS:
         low, high = (F.coalesce(F.col(f"{m}_{side}"), F.col(f"script_{m}_{side}")) for side in ("low", "high"))

@@ -2,8 +2,8 @@
 
 A line goes if an equal line, or a line within one edit (insertion, deletion or substitution of a
 character), stands earlier in the corpus, by doc_id (null last), then text, then line number.
-Blank lines stay.  Near matches concern lines of ``min_chars`` characters and more, however long;
-shorter ones go for equal lines only.
+Blank lines stay.  A near copy is alike in at least seven eighths: lines of under ``min_chars`` (8)
+characters are copies only if equal, as one edit makes another word of them; there is no upper bound.
 
 Equal lines are first brought together by a 128-bit hash, so copies cost one row.  Two different
 lines within one edit agree in the front or the back half (measured on the shorter one), so only
@@ -21,8 +21,9 @@ the lines that emit variants are picked on the second reading by a bitmap of fix
 let further lines pass but misses none.
 
 Defined cases: a null text stays null and an empty one empty; rows that repeat id and text are one
-document and are treated alike; null ids are last; an empty table gives no rows; ties cannot occur
-as positions differ.
+document and are treated alike; null ids are last; very long texts and lines are treated like
+others; an empty table gives no rows; ties cannot occur as positions differ; columns of the input
+named like those that ``dedup_lines`` adds are replaced by them.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(many, "share", "left_semi")
 
 
-def find_duplicates(docs: DataFrame, min_chars: int = 16, parts: int = 16, bits: int = 1 << 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_duplicates(docs: DataFrame, min_chars: int = 8, parts: int = 16, bits: int = 1 << 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, k1, k2, line_no, near: the lines to drop."""
     lines = all_lines(docs, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "line_no")
@@ -102,9 +103,9 @@ def find_duplicates(docs: DataFrame, min_chars: int = 16, parts: int = 16, bits:
 
     # their texts, one each
     marks = materialize(bitmap(emit, "x1", bits), "bitmap")
-    marks.createOrReplaceTempView("cellweave_line_marks")
-    marked = f"getbit(get((SELECT bits FROM cellweave_line_marks), CAST(shiftright(pmod(x1, {bits}), 6) AS INT)), CAST(pmod(x1, 64) AS INT)) = 1"
-    texts = lines.where(able).where(F.expr(marked)).select("x1", "x2", "line", "chars").distinct()
+    at = F.pmod("x1", F.lit(bits))
+    marked = F.getbit(F.get(marks.scalar(), F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+    texts = lines.where(able).where(marked).select("x1", "x2", "line", "chars").distinct()
     texts = materialize(texts.join(emit, NAMES).join(whole.select("x1", "x2", "first"), NAMES), "line_texts")
 
     # of those, lines that share all but a small part; variants of that part
@@ -135,10 +136,10 @@ def find_duplicates(docs: DataFrame, min_chars: int = 16, parts: int = 16, bits:
     return lines.drop("line", "chars").join(bad, NAMES).where(F.col("near") | (place != F.col("first"))).select("doc_id", "k1", "k2", "line_no", "near")
 
 
-def dedup_lines(docs: DataFrame, drop_emptied: bool = False, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, drop_emptied: bool = False, counts: bool = True, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text of the remaining lines, and n_lines, n_equal, n_near (lines not blank,
-    and those gone).  n_chars, where it is a column, follows.  ``drop_emptied`` drops documents
-    that lose all their lines."""
+    and those gone) unless ``counts`` is False.  n_chars, where it is a column, follows.
+    ``drop_emptied`` drops documents that lose all their lines."""
     gone = find_duplicates(docs, id_col=id_col, text_col=text_col, **options).distinct()
     gone = gone.groupBy("doc_id", "k1", "k2").agg(F.collect_set("line_no").alias("gone"), F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_equal"))
     k1, k2 = two(docs[text_col].cast("string"))
@@ -150,9 +151,9 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False, id_col: str = "doc_
     rows = rows.select("doc", "gone", "n_near", "n_equal", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n")).alias("new_text"), F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines"))
     if drop_emptied:
         rows = rows.where(F.col("gone").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("new_text").alias(c) if c == text_col else F.length("new_text").cast("long").alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns]
-    zero = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0))).cast("long")
-    return rows.select(*columns, zero("n_lines").alias("n_lines"), zero("n_equal").alias("n_equal"), zero("n_near").alias("n_near"))
+    added = ["n_lines", "n_equal", "n_near"] if counts else []
+    columns = [F.col("new_text").alias(c) if c == text_col else F.length("new_text").cast("long").alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns if c not in added]
+    return rows.select(*columns, *[F.greatest(F.lit(0), F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in added])
 
 
 __all__ = ["dedup_lines", "find_duplicates"]

@@ -3,17 +3,20 @@
 Each document's token ids (its text's ids, then an end id) are cut into pieces whose lengths are
 powers of two: as many pieces of ``max_tokens`` as fit, then the binary decomposition of the rest,
 longest first.  A piece is a sequence of its own, so none crosses documents and none is padded;
-pieces of one length form a bucket, from which fixed-size batches are drawn.
+pieces of one length form a bucket.  Within a bucket, sequences are dealt into batches of
+``batch_tokens`` tokens, so a batch holds sequences of one length.
 
 The work is one map over the rows: no shuffle, and memory bounded by one document plus one
-output batch.  Defined cases: a null text counts as empty; an empty text gives the single end id,
-one piece of length 1; repeated rows and repeated or null ids are packed row by row; an empty
-table gives no rows.
+output batch.  Each task numbers its sequences in each bucket; at most one batch of a bucket and task
+is short.  Defined cases: a null text counts as empty; an empty text gives the single end id, one piece
+of length 1; very long texts are encoded whole; repeated rows and repeated or null ids are packed row
+by row; further columns of the input, whatever their names, aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_rows
+from .common import bound_batches, input_rows
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, token_ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, token_ids binary, place long"
 
 
 @lru_cache(maxsize=2)
@@ -62,25 +65,27 @@ def binary_lengths(n: int, max_tokens: int) -> Iterator[int]:
         n -= k
 
 
-def pack_power_of_two(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = 1 << 16, batch_bytes: int = 8 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, token_ids (little-endian unsigned
-    32-bit ids), bucket (binary logarithm of the length), sequence_id and offset (always 0)."""
+    32-bit ids), place (number of the sequence in its bucket, by task), bucket (binary logarithm of the
+    length), sequence_id, offset (always 0) and batch_id."""
     if max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "doc_tokens", "token_ids"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "start", "length", "doc_tokens", "token_ids", "place"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         rows: list[list] = [[] for _ in names]
-        held = 0
+        held, places = 0, Counter()
         for batch in batches:
             ids = batch.column(0)
             for i in range(batch.num_rows):
                 tokens = np.array([*encode(tokenizer_path, batch.column(1)[i].as_py() or ""), end_id], dtype="<u4")
                 start, doc = 0, ids[i].as_py()
                 for k in binary_lengths(len(tokens), max_tokens):
-                    for column, value in zip(rows, (doc, start, k, len(tokens), tokens[start : start + k].tobytes()), strict=True):
+                    for column, value in zip(rows, (doc, start, k, len(tokens), tokens[start : start + k].tobytes(), places[k]), strict=True):
                         column.append(value)
+                    places[k] += 1
                     start += k
                     held += 4 * k
                     if held >= batch_bytes:
@@ -89,23 +94,13 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, max_tokens: int = 20
         if rows[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
+    bound_batches(docs.sparkSession)
     source = input_rows(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return source.mapInArrow(pieces, PIECES).select("*", F.round(F.log2("length")).cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    bucket, task = F.round(F.log2("length")).cast("int"), F.spark_partition_id()
+    batch = F.concat_ws("-", bucket, task, F.floor(F.col("place") * F.col("length") / batch_tokens))
+    return source.mapInArrow(pieces, PIECES).select("*", bucket.alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), batch.alias("batch_id"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
     """One folder per piece length, the layout from which a trainer draws equal-length batches."""
     packed.write.partitionBy("bucket").parquet(path)
-
-
-def batch_of(packed: DataFrame, tokens_per_batch: int) -> DataFrame:
-    """Adds batch_id: sequences of one bucket and one input partition, ``tokens_per_batch`` each.
-
-    Numbers come from sequence_id, so no shuffle is needed; at most one batch per bucket and
-    partition is short.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket", F.shiftright("sequence_id", 33)).orderBy("sequence_id")
-    n = F.floor((F.row_number().over(w) - 1) * F.col("length") / tokens_per_batch)
-    return packed.select("*", F.concat_ws("-", "bucket", F.shiftright("sequence_id", 33), n).alias("batch_id"))

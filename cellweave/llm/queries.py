@@ -22,7 +22,7 @@ def tokenizer(name: str) -> str:
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_power_of_two(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "batch_id")
 
 
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
