@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; those left without a line go."""
-    return line_dedup.dedup_lines(docs, drop_emptied=True).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, drop_emptied=True, counts=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mix_sources), ("packing", pack)]
 
-#: Tokenisers and hashed draws have no SQL form; tests hold the stages against brute force.
+#: Tokenisers and hashed draws have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
