@@ -9,14 +9,15 @@ the next model.  A start model comes from ``start_docs`` training documents (sma
 clustered by their words; ``rounds`` rounds over all training documents follow.  Scores are exact:
 the scaled forward recursion over the whole text.
 
-Word counts cover all training documents and stay distributed.  Only the ``hot`` most frequent
-words (with counts), one row per bucket and the model itself come to the driver and go to the
+Word counts cover all training documents and stay distributed.  Only the most frequent words (with
+counts; those above the lowest power of two that leaves at most ``hot``), one row per bucket and the model itself come to the driver and go to the
 tasks; the remaining words of a text meet their counts in a join, where no word is frequent.
 Texts become class numbers once, in a written table that all rounds reread.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as training; without
-training documents every count is 0 and classes are uniform; repeated rows are documents of their
-own; an empty table gives no rows.
+training documents every count is 0 and classes are uniform; very long texts are one sequence, in training
+(their forward variables are kept in parts) as in scoring; repeated rows are documents of their own;
+further columns of the input, whatever their names, aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, digest, input_rows, materialize
+from .common import SPACE, ascii_lower, bound_batches, digest, input_rows, materialize
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary, words array<string>, times array<long>"
 
@@ -90,16 +91,65 @@ class Batch:
         return {"start": gamma[: self.active[0]].sum(0), "move": move * (alphas[before].T @ ahead[later]), "emit": emitted}
 
 
-def batches_of(sequences: Iterator, tokens: int, cut: int | None = None) -> Iterator[list]:
-    """Lists of sequences of about ``tokens`` tokens; longer ones in parts of ``cut``, if given."""
+def expect_long(tokens: np.ndarray, model: dict, part: int) -> dict:
+    """``Batch.expect`` of one sequence, whose forward variables are kept for a part at a time and
+    computed again from where the part begins."""
+    move, emit = model["move"], np.ascontiguousarray(model["emit"].T)
+    parts = np.array_split(tokens, -(-len(tokens) // part))
+
+    def forward(some: np.ndarray, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        alphas, scale = np.empty((len(some), len(move))), np.empty(len(some))
+        for t, k in enumerate(some):
+            alpha = (model["start"] if alpha is None else alpha @ move) * emit[k]
+            scale[t] = alpha.sum()
+            alphas[t] = alpha = alpha / scale[t]
+        return alphas, scale
+
+    heads: list = [None]
+    for some in parts[:-1]:
+        heads.append(forward(some, heads[-1])[0][-1])
+    counts = {"start": np.zeros(len(move)), "move": np.zeros_like(move), "emit": np.zeros_like(model["emit"])}
+    later = None  # the next part's first token as seen from before it
+    for i in range(len(parts) - 1, -1, -1):
+        some = parts[i]
+        alphas, scale = forward(some, heads[i])
+        beta, ahead = np.ones_like(alphas), np.empty_like(alphas)
+        if later is not None:
+            beta[-1] = move @ later
+            counts["move"] += move * np.outer(alphas[-1], later)
+        for t in range(len(some) - 1, -1, -1):
+            ahead[t] = emit[some[t]] * beta[t] / scale[t]
+            if t:
+                beta[t - 1] = move @ ahead[t]
+        counts["move"] += move * (alphas[:-1].T @ ahead[1:])
+        gamma, later = alphas * beta, ahead[0]
+        counts["emit"] += np.stack([np.bincount(some, weights=g, minlength=emit.shape[0]) for g in gamma.T])
+        if i == 0:
+            counts["start"] += gamma[0]
+    return counts
+
+
+def expected(sequences: list[np.ndarray], model: dict, part: int = 100_000) -> dict:
+    """Expected counts of sequences, whole, whatever their length."""
+    total = None
+    short = [s for s in sequences if len(s) <= part]
+    if short:
+        total = Batch(short).expect(model)
+    for s in sequences:
+        if len(s) > part:
+            total = add(total, expect_long(s, model, part))
+    return total
+
+
+def batches_of(sequences: Iterator, tokens: int) -> Iterator[list]:
+    """Lists of sequences of about ``tokens`` tokens."""
     held, n = [], 0
     for s in sequences:
-        for part in [s] if cut is None or len(s) <= cut else np.array_split(s, -(-len(s) // cut)):
-            held.append(part)
-            n += len(part)
-            if n >= tokens:
-                yield held
-                held, n = [], 0
+        held.append(s)
+        n += len(s)
+        if n >= tokens:
+            yield held
+            held, n = [], 0
     if held:
         yield held
 
@@ -130,8 +180,8 @@ def first_model(sequences: list[np.ndarray], common: np.ndarray, states: int, ro
     model = estimate({"start": np.bincount(own, minlength=states).astype(float), "move": 100 * move, "emit": emit}, common)
     for _ in range(rounds):
         total = None
-        for part in batches_of(iter(sequences), 200_000, 100_000):
-            total = add(total, Batch(part).expect(model))
+        for part in batches_of(iter(sequences), 200_000):
+            total = add(total, expected(part, model))
         model = estimate(total, common)
     return model
 
@@ -144,6 +194,7 @@ class HiddenMarkov:
     def __init__(self, docs: DataFrame, states: int = 8, single: int = 4096, buckets: int = 512, hot: int = 200_000, start_docs: int = 500, start_rounds: int = 10, rounds: int = 2, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"):
         self.shape = (states, 1 + single + buckets)
         self.single, self.buckets = single, buckets
+        bound_batches(docs.sparkSession)
         self.docs = input_rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.docs = self.docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)).alias("held_out"))
         self.count_words(hot)
@@ -157,13 +208,10 @@ class HiddenMarkov:
         self.n_train = train.count()
         total = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.n, self.v = total[0] + self.n_train, total[1] + (self.n_train > 0)
-        # the lowest count above which there are at most ``hot`` words, from the number of words by count
-        least, held = 1 << 62, 0
-        for r in sorted(self.counts.groupBy("c").count().collect(), key=lambda r: -r["c"]):
-            held += r["count"]
-            if held > hot:
-                break
-            least = r["c"]
+        # the lowest power of two such that at most ``hot`` words occur so often: one row of counts
+        steps = [1 << i for i in range(62)]
+        above = self.counts.agg(*[F.count_if(F.col("c") >= x).alias(f"n{i}") for i, x in enumerate(steps)]).first()
+        least = next((x for x, n in zip(steps, above, strict=True) if n <= hot), 1 << 62)
         top = sorted(self.counts.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"].encode()))
         self.hot = [(r["word"].encode(), r["c"]) for r in top]
         # what the buckets hold: all words after the single ones in that order
@@ -225,8 +273,8 @@ class HiddenMarkov:
             def expect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
                 total = None
                 read = (np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for b in batches for x in b.column(0))
-                for part in batches_of(read, 200_000, 100_000):
-                    total = add(total, Batch(part).expect(model))
+                for part in batches_of(read, 200_000):
+                    total = add(total, expected(part, model))
                 if total:
                     flat = np.concatenate([total[k].ravel() for k in ("start", "move", "emit")])
                     for at in range(0, len(flat), 8192):

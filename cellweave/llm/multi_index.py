@@ -1,7 +1,9 @@
 """Operator 7: nearest neighbours by an inverted multi-index.
 
 Vectors are normalised and cut into halves; each half is quantised by a codebook of ``centroids``
-k-means centroids, fitted on a sample of ``fit_rows`` rows (the smallest hashes of the ids).  An
+k-means centroids, fitted on a sample of ``fit_rows`` rows (the smallest hashes of the ids).  Their
+number, unless given, grows with the square root of the entries, so cells stay alike in size, up to a
+sixteenth of the sample.  An
 entry lies in the cell of its two centroids.  A query visits cells in order of the summed distance
 of its halves, by a heap over the two sorted lists, until the cells visited hold ``reach`` entries;
 all entries of those cells are reranked by exact cosine in double precision.
@@ -11,14 +13,17 @@ found by brute force, and reach is the ``recall`` quantile of how many entries t
 passes until it gets to their cells.
 
 Plan: one map assigns cells; queries and entries meet per block, (first centroid, part of its
-entries, part of the queries), so a centroid with a third of all entries is many blocks; each block
-returns the best k per query and a last aggregation merges them.  To the driver come the fit and
-probe samples and the number of entries per cell, all bounded by parameters.
+entries, part of the queries that visit it), so a centroid with a third of all entries is many blocks,
+and entries are copied as often as 4,096 queries come to their centroid, never to those that pass
+it by; each block returns the best k per query and a last aggregation merges them.  To the driver come
+the fit and probe samples, the number of entries per cell and of visits per centroid, all bounded by
+parameters.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; rows with the query's own vec_id are not its candidates; rows
-that repeat a vec_id are candidates of their own; ties go to the smaller vec_id; with no more than
-``reach`` entries the search is exact; an empty table gives no rows.
+that repeat a vec_id are candidates of their own, and of their vectors the least is the query; ties
+go to the smaller vec_id; with no more than ``reach`` entries the search is exact; further columns of
+the input, whatever their names, aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,7 +111,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class MultiIndex:
-    def __init__(self, embeddings: DataFrame, centroids: int = 64, fit_rows: int = 20_000, probe_rows: int = 200, recall: float = 0.97, k: int = 5, block: int = 4096, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding"):
+    def __init__(self, embeddings: DataFrame, centroids: int | None = None, fit_rows: int = 20_000, probe_rows: int = 200, recall: float = 0.97, k: int = 5, block: int = 4096, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding"):
         self.k, self.block = k, block
         rows = usable(embeddings, id_col, vec_col)
         sample = rows.orderBy(digest("vec_id", F.lit(seed)), "vec_id").limit(fit_rows).select("embedding").toPandas()
@@ -116,6 +121,7 @@ class MultiIndex:
             return
         x = unit(np.stack(sample["embedding"].to_numpy()))
         h = (x.shape[1] + 1) // 2
+        centroids = centroids or max(2, min(fit_rows // 16, round(rows.count() ** 0.5 / 4)))
         self.half, self.books = h, tuple(codebook(y, centroids, 12, seed) for y in (x[:, :h], x[:, h:]))
         self.entries = materialize(self.assign(rows), "multi_index")
         self.counts = np.zeros(tuple(map(len, self.books)), np.int64)
@@ -166,7 +172,7 @@ class MultiIndex:
                 left = [c for c in left if c != (c1, c2)]
                 if not left:
                     break
-        return min(n, max(1024, int(np.quantile(needs, recall)) + 1)) if needs else n
+        return min(n, int(np.quantile(needs, recall)) + 1) if needs else n
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score.  ``queries``: rows of ``entries``."""
@@ -174,7 +180,6 @@ class MultiIndex:
             return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         h, books, counts, reach, k, block = self.half, self.books, self.counts, self.reach, self.k, self.block
         parts = np.maximum(1, -(-counts.sum(1) // block))  # of the entries of a first centroid
-        groups = max(1, -(-queries.count() // block))  # of the queries
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -192,14 +197,26 @@ class MultiIndex:
                         if passed >= reach:
                             break
                     for c1, seconds in cells.items():
-                        out += [(query, c1, part, query % groups, seconds, i) for part in range(parts[c1])]
+                        out.append((query, c1, seconds, i))
+                    if len(out) >= 5000:
+                        yield written(out, b)
+                        out = []
                 if out:
-                    vectors = b.column(1).take(pa.array([o[5] for o in out]))
-                    yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())))] + [vectors], names=["query_id", "c1", "part", "grp", "seconds", "vector"])
-
-        probes = queries.select("vec_id", "embedding").mapInArrow(visit, "query_id long, c1 int, part int, grp int, seconds array<int>, vector array<double>")
-        size = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("c1") + 1)
-        dealt = self.entries.withColumn("part", F.pmod(digest("vec_id", F.lit(3)), size).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+                    yield written(out, b)
+
+        def written(out: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int32())))]
+            return pa.RecordBatch.from_arrays([*columns, b.column(1).take(pa.array([o[3] for o in out]))], names=["query_id", "c1", "seconds", "vector"])
+
+        visits = queries.select("vec_id", "embedding").mapInArrow(visit, "query_id long, c1 int, seconds array<int>, vector array<double>")
+        visits = materialize(visits, "visits")
+        groups = np.zeros(len(parts), np.int64)  # of the queries that visit a first centroid
+        for r in visits.groupBy("c1").count().collect():
+            groups[r["c1"]] = -(-r["count"] // block)
+        of = lambda n: F.element_at(F.array(*[F.lit(int(x)) for x in n]), F.col("c1") + 1)
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        probes = visits.withColumn("grp", F.pmod(digest("query_id", F.lit(4)), of(groups)).cast("int")).withColumn("part", numbers(of(parts).cast("int")))
+        dealt = self.entries.where(of(groups) > 0).withColumn("part", F.pmod(digest("vec_id", F.lit(3)), of(parts)).cast("int")).withColumn("grp", numbers(of(groups).cast("int")))
 
         def meet(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
             found: list[tuple[int, int, float]] = []
@@ -227,4 +244,4 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
 def search_every(embeddings: DataFrame, step: int = 50, **options) -> DataFrame:
     """Rows whose vec_id is divisible by ``step`` as queries against all rows."""
     index = MultiIndex(embeddings, **options)
-    return index.search(index.entries.where(F.col("vec_id") % step == 0).dropDuplicates(["vec_id"]))
+    return index.search(index.entries.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))

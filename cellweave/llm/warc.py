@@ -6,17 +6,21 @@ payloads are always responses.  Records are grouped into frames of about ``frame
 independent Zstandard frame; a bundle (one file per task, cut at ``bundle_bytes``) ends with a
 footer seek table, the public seekable format: a skippable frame that lists the sizes of all
 frames.  An index maps each record id to its bundle, frame and offset within the frame, so that
-``read_records`` fetches single records and ``read_bundles`` all of them.
+``read_records`` fetches records by id: it seeks their frames and parses nothing else in them;
+``read_bundles`` scans whole bundles by their seek tables.
 
 Plan: digests are computed in the JVM; (digest, largest id) of repeated payloads is one partial
-aggregation, joined back on the digest, where Spark splits a hot digest; only responses send
-their html to Python.  Bundles are written to the shared folder under a name of the attempt and
-renamed when complete, so a repeated task replaces nothing half-written, and the index is written
-in the same job.  Reading deals bundles out to tasks.
+aggregation, joined back on the digest, where Spark splits a hot digest; short payloads, which refer
+to nothing, are spread by row instead; only responses send their html to Python.  Bundles are written
+to the shared folder under a name of the attempt and renamed when complete, so a repeated task
+replaces nothing half-written, and the index is written in the same job.  Reading deals frames (or
+bundles) out to as many tasks as their bytes ask for.
 
 Defined cases: null html is an empty payload; a null page id is kept as null and counts as the
 smallest; of rows that tie in payload and id one is the response; null urls become an empty
-target; an empty table gives no bundles and no rows.
+target; very long payloads are frames of their own; further columns of the input, whatever their
+names, aren't read; an empty table gives no bundles and no rows.  Rows are told apart by their place in the
+input, so an input that isn't a stored table must be written first (``stored=False`` does).
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_rows, new_folder
+from .common import bound_batches, input_rows, materialize, new_folder
 
 #: Fixed values of the public seekable format: magic numbers and the empty descriptor.
 SKIPPABLE, SEEKABLE, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0
@@ -129,19 +133,22 @@ def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def plan_records(pages: DataFrame, min_revisit: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def plan_records(pages: DataFrame, min_revisit: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", stored: bool = True) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes, record_type, refers_to, row."""
+    pages = pages if stored else materialize(input_rows(pages, id_col, url_col, html_col), "pages")
     rows = input_rows(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("row"))
     # the largest (id, row) of each payload that occurs more than once
     first = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.max(F.struct("page_id", "row")).alias("chief"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", F.col("chief.page_id").alias("chief_page"), F.col("chief.row").alias("chief_row"))
-    joined = rows.join(first, "payload_digest", "left")
+    key = F.when(F.col("payload_bytes") >= min_revisit, F.col("payload_digest")).otherwise(F.col("row").cast("string"))
+    joined = rows.withColumn("key", key).join(first.withColumnRenamed("payload_digest", "key"), "key", "left")
     again = F.col("chief_row").isNotNull() & (F.col("row") != F.col("chief_row")) & (F.col("payload_bytes") >= min_revisit)
     return joined.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("chief_page")).alias("refers_to"), "row")
 
 
-def write_archive(pages: DataFrame, folder: str, min_revisit: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 64 << 20, **columns: str) -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, min_revisit: int = 1000, frame_bytes: int = 1 << 18, bundle_bytes: int = 64 << 20, **options) -> DataFrame:
     """Write bundles and index below ``folder``; returns the index."""
+    bound_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
@@ -157,7 +164,7 @@ def write_archive(pages: DataFrame, folder: str, min_revisit: int = 1000, frame_
         if bundle:
             yield to_batch(bundle.close(), INDEX)
 
-    plan_records(pages, min_revisit, **columns).mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    plan_records(pages, min_revisit, **options).mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
     return read_index(pages.sparkSession, folder)
 
 
@@ -171,15 +178,13 @@ def row_of(headers: dict[str, str], payload: bytes) -> tuple:
     return headers["WARC-Record-ID"].strip("<>"), number("X-Page-ID"), headers["WARC-Target-URI"], headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:"), number("X-Payload-Length"), number("X-Refers-To-Page"), payload
 
 
-def frames(folder: str, wanted: Iterator[tuple[str, int | None]], batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Records of whole bundles (frame None) or single frames, found by the seek tables."""
+def scanned(folder: str, bundles: Iterator[str], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """All records of bundles, frame by frame."""
     files, base = fs.FileSystem.from_uri(f"{folder}/bundles")
     rows, held, unpack = [], 0, zstandard.ZstdDecompressor()
-    for name, only in wanted:
+    for name in bundles:
         with files.open_input_file(f"{base}/{name}") as f:
-            for n, (at, packed, full) in enumerate(read_seek_table(f)):
-                if only is not None and n != only:
-                    continue
+            for at, packed, full in read_seek_table(f):
                 f.seek(at)
                 for _, headers, payload in parse_records(unpack.decompress(f.read(packed), max_output_size=full)):
                     rows.append(row_of(headers, payload))
@@ -191,31 +196,64 @@ def frames(folder: str, wanted: Iterator[tuple[str, int | None]], batch_bytes: i
         yield to_batch(rows, RECORDS)
 
 
-def read_bundles(spark: SparkSession, folder: str, batch_bytes: int = 8 << 20) -> DataFrame:
+def sought(folder: str, places: Iterator[tuple[str, int, int, int, int]], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records at (bundle, frame, frame's offset, offset in it, length); a frame is read once where its
+    records follow one another."""
+    files, base = fs.FileSystem.from_uri(f"{folder}/bundles")
+    rows, held, unpack, file, open_name, open_frame, data = [], 0, zstandard.ZstdDecompressor(), None, None, None, b""
+    for name, frame, frame_at, at, size in places:
+        if name != open_name:
+            if file:
+                file.close()
+            file, open_name, open_frame = files.open_input_file(f"{base}/{name}"), name, None
+            table = read_seek_table(file)
+        if frame != open_frame:
+            file.seek(frame_at)
+            data, open_frame = unpack.decompress(file.read(table[frame][1]), max_output_size=table[frame][2]), frame
+        _, headers, payload = next(parse_records(data[at : at + size]))
+        rows.append(row_of(headers, payload))
+        held += len(payload)
+        if held >= batch_bytes:
+            yield to_batch(rows, RECORDS)
+            rows, held = [], 0
+    if file:
+        file.close()
+    if rows:
+        yield to_batch(rows, RECORDS)
+
+
+def tasks_for(index: DataFrame, task_bytes: int) -> int:
+    return max(1, -(-(index.agg(F.sum("record_bytes")).first()[0] or 0) // task_bytes))
+
+
+def read_bundles(spark: SparkSession, folder: str, task_bytes: int = 32 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
     """All records of an archive; payload is empty for revisits."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from frames(folder, ((name, None) for b in batches for name in b.column(0).to_pylist()), batch_bytes)
+        yield from scanned(folder, (name for b in batches for name in b.column(0).to_pylist()), batch_bytes)
 
-    return read_index(spark, folder).select("bundle").distinct().mapInArrow(read, RECORDS)
+    index = read_index(spark, folder)
+    return index.select("bundle").distinct().repartition(tasks_for(index, task_bytes), "bundle").mapInArrow(read, RECORDS)
 
 
-def read_records(spark: SparkSession, folder: str, record_ids: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
-    """Single records by id: each frame that holds one is sought out and read once."""
+def read_records(spark: SparkSession, folder: str, record_ids: DataFrame | None = None, task_bytes: int = 16 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+    """Records by id (all, if none are named), through the offsets of the index."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from frames(folder, (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), batch_bytes)
+        yield from sought(folder, (place for b in batches for place in zip(*(c.to_pylist() for c in b.columns), strict=True)), batch_bytes)
 
-    ids = record_ids.select("record_id").distinct()
-    where = read_index(spark, folder).join(ids, "record_id", "left_semi").select("bundle", "frame").distinct()
-    return where.mapInArrow(read, RECORDS).join(ids, "record_id", "left_semi")
+    index = read_index(spark, folder)
+    if record_ids is not None:
+        index = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
+    where = index.select("bundle", "frame", "frame_offset", "offset_in_frame", "record_bytes")
+    return where.repartition(tasks_for(index, task_bytes), "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset_in_frame").mapInArrow(read, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` to a new archive in the shared folder, then read it back."""
+    """Write ``pages`` to a new archive in the shared folder, then fetch every record by its offsets."""
     folder = new_folder(pages.sparkSession, "warc")
     write_archive(pages, folder, **options)
-    return read_bundles(pages.sparkSession, folder)
+    return read_records(pages.sparkSession, folder)
 
 
 __all__ = ["archive_round_trip", "plan_records", "read_bundles", "read_index", "read_records", "write_archive"]
