@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import hashed, uniform
 from . import network as N
 
 
+def numbered(net: DataFrame) -> DataFrame:
+    """Genes of each network with their number i in order."""
+    return N.endpoints(net).distinct().withColumn("i", F.row_number().over(Window.partitionBy(*N.NET).orderBy("gene")) - 1)
+
+
 def rewired(net: DataFrame, reps: int | None, p: float, seed: int, shuffle_each: bool = True, values: int = 10_000) -> DataFrame:
     """``reps`` null networks: each endpoint moves to a random node with probability ``p``, without
     loops, and weights are shuffled over edges (each time, or once per network).  Without ``reps`` there are as many for each network as give
     ``values`` null values, one a node."""
-    nodes = N.endpoints(net).distinct()
-    by_net = Window.partitionBy(*N.NET)
-    nodes = nodes.withColumn("i", F.row_number().over(by_net.orderBy("gene")) - 1)
+    nodes, by_net = numbered(net), Window.partitionBy(*N.NET)
     edges = net.withColumn("edge", F.row_number().over(by_net.orderBy("gene1", "gene2"))).withColumn("m", F.count(F.lit(1)).over(by_net))
     edges = edges.join(nodes.groupBy(*N.NET).agg(F.count(F.lit(1)).alias("n")), N.NET)
     for c in ("1", "2"):
@@ -49,24 +52,25 @@ def exceed(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> D
     return observed.join(above, [*by, value]).withColumn("p", (1 + F.col("_above")) / (F.col("_all") + 1)).drop("_above", "_all")
 
 
-def find_all_hub(net: DataFrame, reps: int | None, seed: int, method: str = "bh", values: int = 10_000) -> DataFrame:
+def find_all_hub(net: DataFrame, reps: int | None, seed: int, method: str = "bh", values: int = 10_000, symbol: Column | None = None) -> DataFrame:
     """Strength of each gene against networks rewired with probability 0.5."""
-    observed = N.drop_ribosomal(N.percent_rank(N.strength(net)))
+    observed = N.percent_rank(N.drop_ribosomal(N.strength(net), symbol))
     null = null_strengths(rewired(net, reps, 0.5, seed, values=values)).select(*N.NET, "value")
     tested = exceed(observed, null, N.NET, "value")
     return N.p_adjust(tested, "p", N.NET, ["gene"], [method]).withColumnRenamed(f"p_{method}", "q")
 
 
-def find_diff_hub(net: DataFrame, cells: DataFrame, control: str, disease: str, reps: int | None, seed: int, min_cells: int = 500, method: str = "bh", values: int = 1_000_000) -> DataFrame:
+def find_diff_hub(net: DataFrame, cells: DataFrame, control: str, disease: str, reps: int | None, seed: int, min_cells: int = 500, method: str = "bh", values: int = 1_000_000, symbol: Column | None = None) -> DataFrame:
     """Rank differences of genes against those between two rewirings (0.9) of the control."""
     n = cells.where(F.col("condition").isin(control, disease)).groupBy("celltype", "condition").agg(F.count(F.lit(1)).alias("n"))
     able = n.groupBy("celltype").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where((F.col("k") == 2) & (F.col("least") >= min_cells)).select("celltype")
-    ranked = N.drop_ribosomal(N.percent_rank(N.strength(net)))
+    ranked = N.percent_rank(N.drop_ribosomal(N.strength(net), symbol))
     diff = N.diff_pr(ranked, control, disease).join(able, "celltype").withColumn("size", F.abs("diff"))
     base = net.where(F.col("condition") == control).join(able, "celltype").select(*net.columns)
+    kept = N.drop_ribosomal(numbered(base), symbol).select("celltype", "i")
     sides = []
     for side in (0, 1):
-        s = null_strengths(rewired(base, reps, 0.9, seed + side, shuffle_each=False, values=values))
+        s = null_strengths(rewired(base, reps, 0.9, seed + side, shuffle_each=False, values=values)).join(kept, ["celltype", "i"])
         sides.append(s.select("celltype", "rep", "i", F.percent_rank().over(Window.partitionBy("celltype", "rep").orderBy("value")).alias(f"pr{side}")))
     null = sides[0].join(sides[1], ["celltype", "rep", "i"], "full_outer").fillna(0.0, ["pr0", "pr1"])
     null = null.where("NOT (pr0 = 0 AND pr1 = 0)").select("celltype", F.abs(F.col("pr1") - F.col("pr0")).alias("size"))

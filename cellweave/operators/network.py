@@ -36,9 +36,11 @@ def degree(net: DataFrame) -> DataFrame:
     return endpoints(net).groupBy(*NET, "gene").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def drop_ribosomal(centrality: DataFrame) -> DataFrame:
-    """Applied to nodes after centrality, never to edges, so that neighbours keep their weight."""
-    return centrality.where(~F.col("gene").cast("string").rlike(RIBOSOMAL))
+def drop_ribosomal(centrality: DataFrame, symbol: Column | None = None) -> DataFrame:
+    """Applied to nodes after centrality and before ranks, never to edges, so that neighbours keep
+    their weight.  ``symbol`` is a gene's name where "gene" is not."""
+    name = F.col("gene").cast("string") if symbol is None else symbol
+    return centrality.where(~name.rlike(RIBOSOMAL))
 
 
 def percent_rank(centrality: DataFrame) -> DataFrame:
@@ -124,6 +126,40 @@ def set_connectivity(net: DataFrame, sets: DataFrame) -> DataFrame:
     return net.join(a, "gene1").join(b, ["gene2", "set_name"]).groupBy(*NET, "set_name").agg(F.count(F.lit(1)).alias("connectivity"))
 
 
+def reference_connectivity(reference: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges of the reference network within each set, with the set's size and the genes in it that
+    the network has; 0 where there are none."""
+    a = sets.select("set_name", F.col("gene").alias("gene1"))
+    b = sets.select("set_name", F.col("gene").alias("gene2"))
+    edges = reference.join(a, "gene1").join(b, ["gene2", "set_name"]).groupBy("set_name").agg(F.count(F.lit(1)).alias("connectivity"))
+    known = reference.select(F.explode(F.array("gene1", "gene2")).alias("gene")).distinct()
+    found = sets.join(known, "gene", "left_semi").groupBy("set_name").agg(F.count(F.lit(1)).alias("detected"))
+    size = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(found, "set_name", "left").join(edges, "set_name", "left").fillna(0, ["detected", "connectivity"])
+
+
+def connectivity(net: DataFrame, sets: DataFrame) -> DataFrame:
+    """Mean degree, edges and density of the subgraph that each set induces; 0 under two genes."""
+    seen = endpoints(net).distinct().join(sets, "gene").groupBy(*NET, "set_name").agg(F.count(F.lit(1)).alias("present"))
+    rows = seen.join(set_connectivity(net, sets), [*NET, "set_name"], "left").fillna(0, ["connectivity"])
+    n, e, able = F.col("present"), F.col("connectivity"), F.col("present") >= 2
+    value = lambda x: F.when(able, x).otherwise(F.lit(0.0))
+    return rows.select(*NET, "set_name", "present", F.when(able, e).otherwise(0).alias("edges"), value(2 * e / n).alias("mean_degree"), value(2 * e / (n * (n - 1))).alias("density"))
+
+
+def set_counts(sets: DataFrame) -> DataFrame:
+    """In how many sets each gene is, and how many genes are in so many sets."""
+    per = sets.distinct().groupBy("gene").agg(F.count(F.lit(1)).alias("sets"))
+    return per.groupBy("sets").agg(F.count(F.lit(1)).alias("genes"))
+
+
+def gene_differences(net: DataFrame, control: str, disease: str) -> DataFrame:
+    """Genes of a cell type only in the control, in both, or only in the disease network."""
+    genes = endpoints(net).where(F.col("condition").isin(control, disease)).groupBy("celltype", "gene").agg(F.count_if(F.col("condition") == control).alias("a"), F.count_if(F.col("condition") == disease).alias("b"))
+    side = F.when(F.col("b") == 0, "control").when(F.col("a") == 0, "disease").otherwise("both")
+    return genes.select("celltype", "gene", side.alias("side"))
+
+
 def deconvolute(net: DataFrame, sets: DataFrame) -> DataFrame:
     """Connectivity per detected gene, with set sizes; sets without any edge are dropped."""
     seen = endpoints(net).distinct().join(sets, "gene").groupBy(*NET, "set_name").agg(F.count(F.lit(1)).alias("detected"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, benchmark, expression, graph, hubs, labels, paths, statistics
 from ..operators import network as N
-from .fixtures import SQL, Tables
+from .fixtures import SQL, Tables, symbol
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None):
 
 
 def ranked(t: Tables) -> DataFrame:
-    return N.drop_ribosomal(N.percent_rank(N.strength(t.aligned())))
+    return N.percent_rank(N.drop_ribosomal(N.strength(t.aligned()), symbol()))
 
 
 @query("align_lls", "SELECT * FROM fx_net")
@@ -143,6 +143,36 @@ def deconvolute(t):
     return N.deconvolute(t.aligned(), t.sets())
 
 
+@query("geneset_reference", """CTE c AS (SELECT a.set_name, count(*) AS connectivity FROM fx_ref n JOIN fx_sets a ON a.gene = n.gene1 JOIN fx_sets b ON b.gene = n.gene2 AND a.set_name = b.set_name GROUP BY ALL),
+    d AS (SELECT set_name, count(*) AS detected FROM fx_sets WHERE gene IN (SELECT gene1 FROM fx_ref UNION SELECT gene2 FROM fx_ref) GROUP BY ALL)
+    SELECT set_name, size, coalesce(detected, 0) AS detected, coalesce(connectivity, 0) AS connectivity FROM (SELECT set_name, count(*) AS size FROM fx_sets GROUP BY ALL) LEFT JOIN d USING (set_name) LEFT JOIN c USING (set_name)""")
+def geneset_reference(t):
+    return N.reference_connectivity(t.reference(), t.sets())
+
+
+@query("connectivity_measures", f"""CTE c AS ({CONN.format('fx_net')}),
+    e AS (SELECT celltype, condition, set_name, count(*) AS present FROM (SELECT DISTINCT celltype, condition, gene FROM ends) JOIN fx_sets USING (gene) GROUP BY ALL),
+    j AS (SELECT e.*, coalesce(connectivity, 0) AS n FROM e LEFT JOIN c USING (celltype, condition, set_name))
+    SELECT celltype, condition, set_name, present, CASE WHEN present >= 2 THEN n ELSE 0 END AS edges, CASE WHEN present >= 2 THEN 2 * n / present ELSE 0 END AS mean_degree,
+    CASE WHEN present >= 2 THEN 2 * n / (present * (present - 1)) ELSE 0 END AS density FROM j""")
+def connectivity_measures(t):
+    return N.connectivity(t.aligned(), t.sets())
+
+
+@query("set_membership_counts", """CTE m AS (SELECT p_partkey AS gene, p_type AS s FROM part UNION SELECT p_partkey, p_brand FROM part UNION SELECT p_partkey, substr(p_name, 1, 8) FROM part WHERE p_size > 25)
+    SELECT sets, count(*) AS genes FROM (SELECT gene, count(*) AS sets FROM m GROUP BY ALL) GROUP BY ALL""")
+def set_membership_counts(t):
+    part = t.read("part")
+    of = lambda c, rows: rows.select(F.col(c).alias("set_name"), F.col("p_partkey").alias("gene"))
+    return N.set_counts(of("p_type", part).union(of("p_brand", part)).union(of("p_name", part.where("p_size > 25").withColumn("p_name", F.substring("p_name", 1, 8)))))
+
+
+@query("gene_differences", """CTE g AS (SELECT celltype, gene, bool_or(condition = 'F') AS a, bool_or(condition = 'O') AS b FROM ends WHERE condition IN ('F', 'O') GROUP BY ALL)
+    SELECT celltype, gene, CASE WHEN NOT b THEN 'control' WHEN NOT a THEN 'disease' ELSE 'both' END AS side FROM g""")
+def gene_differences(t):
+    return N.gene_differences(t.aligned(), "F", "O")
+
+
 @query("membership_table", "SELECT celltype, gene1, gene2, max(CAST(condition = 'F' AS INTEGER)) AS in_f, max(CAST(condition = 'O' AS INTEGER)) AS in_o, max(CAST(condition = 'P' AS INTEGER)) AS in_p FROM fx_net GROUP BY ALL")
 def membership_table(t):
     return N.membership(t.aligned(), ["F", "O", "P"])
@@ -166,21 +196,22 @@ def diffusion(t):
 
 @query("find_all_hub", None)
 def find_all_hub(t):
-    return hubs.find_all_hub(t.aligned(), reps=None, seed=1)
+    return hubs.find_all_hub(t.aligned(), reps=None, seed=1, symbol=symbol())
 
 
 @query("find_diff_hub", None)
 def find_diff_hub(t):
-    return hubs.find_diff_hub(t.aligned(), t.cells(), "F", "O", reps=None, seed=1)
+    return hubs.find_diff_hub(t.aligned(), t.cells(), "F", "O", reps=None, seed=1, symbol=symbol())
 
 
-METHODS = ["bonferroni", "bh", "holm", "hochberg"]
+METHODS = ["bonferroni", "bh", "by", "holm", "hochberg"]
 
 
 @query("p_adjust", """CTE q AS (SELECT celltype, condition, gene, 1 - pr AS p FROM pr),
     n AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY celltype, condition ORDER BY p, gene) AS r FROM q WINDOW w AS (PARTITION BY celltype, condition))
     SELECT celltype, condition, gene, p, least(1, p * n) AS p_bonferroni,
     least(1, min(p * n / r) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_bh,
+    least(1, min(p * n / r * list_sum(list_transform(range(1, n + 1), lambda i: 1 / i))) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_by,
     least(1, max((n - r + 1) * p) OVER (PARTITION BY celltype, condition ORDER BY r)) AS p_holm,
     least(1, min((n - r + 1) * p) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_hochberg FROM n""")
 def p_adjust(t):

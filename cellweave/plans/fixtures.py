@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def symbol() -> Column:
+    """A gene's name: every 37th is one of a ribosomal protein."""
+    return F.when(F.col("gene") % 37 == 0, F.concat(F.lit("RPS"), F.col("gene").cast("string"))).otherwise(F.concat(F.lit("G"), F.col("gene").cast("string")))
+
+
 class Tables:
     """gene = part, cell = order, cell type = market segment, condition = order status."""
 
@@ -71,5 +76,6 @@ fx_scored AS (SELECT gene1, gene2, sum(scinet_weight) AS score FROM fx_rawnet GR
 fx_gold AS (SELECT p.p_partkey AS gene1, q.p_partkey AS gene2 FROM part p JOIN part q ON p.p_brand = q.p_brand AND p.p_type = q.p_type AND p.p_partkey < q.p_partkey),
 ends AS (SELECT celltype, condition, gene1 AS gene, gene2 AS other, lls FROM fx_net UNION ALL SELECT celltype, condition, gene2, gene1, lls FROM fx_net),
 st AS MATERIALIZED (SELECT celltype, condition, gene, sum(lls) AS value FROM ends GROUP BY ALL),
-pr AS MATERIALIZED (SELECT *, percent_rank() OVER (PARTITION BY celltype, condition ORDER BY value) AS pr FROM st)
+pr AS MATERIALIZED (SELECT *, percent_rank() OVER (PARTITION BY celltype, condition ORDER BY value) AS pr FROM st
+  WHERE NOT regexp_matches(CASE WHEN gene % 37 = 0 THEN 'RPS' || gene ELSE 'G' || gene END, '^(M?RP[SL]|NDUF)'))
 """

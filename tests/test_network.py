@@ -28,6 +28,11 @@ def test_ribosomal_prefixes(spark):
     assert [r[0] for r in N.drop_ribosomal(c).collect()] == ["GRPS"]
 
 
+def test_ribosomal_genes_go_before_the_ranks(spark):
+    c = spark.createDataFrame([("c", "x", "RPS1", 9.0), ("c", "x", "A", 1.0), ("c", "x", "B", 2.0)], "celltype string, condition string, gene string, value double")
+    assert {r["gene"]: r["pr"] for r in N.percent_rank(N.drop_ribosomal(c)).collect()} == {"A": 0.0, "B": 1.0}
+
+
 def test_components_and_cores(net):
     got = {r["gene"]: r["component"] for r in graph.components(net).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
