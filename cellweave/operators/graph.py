@@ -17,9 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Truncate lineage in the shared checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
+
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="cellweave-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

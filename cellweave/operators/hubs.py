@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hashed, uniform
 from . import network as N
+from .graph import cut
 
 
 def numbered(net: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def exceed(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> D
 
 def find_all_hub(net: DataFrame, reps: int | None, seed: int, method: str = "bh", values: int = 10_000, symbol: Column | None = None) -> DataFrame:
     """Strength of each gene against networks rewired with probability 0.5."""
+    net = cut(net)  # read several times below
     observed = N.percent_rank(N.drop_ribosomal(N.strength(net), symbol))
     null = null_strengths(rewired(net, reps, 0.5, seed, values=values)).select(*N.NET, "value")
     tested = exceed(observed, null, N.NET, "value")
@@ -62,6 +64,7 @@ def find_all_hub(net: DataFrame, reps: int | None, seed: int, method: str = "bh"
 
 def find_diff_hub(net: DataFrame, cells: DataFrame, control: str, disease: str, reps: int | None, seed: int, min_cells: int = 500, method: str = "bh", values: int = 1_000_000, symbol: Column | None = None) -> DataFrame:
     """Rank differences of genes against those between two rewirings (0.9) of the control."""
+    net = cut(net)  # read several times below
     n = cells.where(F.col("condition").isin(control, disease)).groupBy("celltype", "condition").agg(F.count(F.lit(1)).alias("n"))
     able = n.groupBy("celltype").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where((F.col("k") == 2) & (F.col("least") >= min_cells)).select("celltype")
     ranked = N.percent_rank(N.drop_ribosomal(N.strength(net), symbol))
