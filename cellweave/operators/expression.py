@@ -87,3 +87,21 @@ def robust_z(rows: DataFrame, value: str, by: str) -> DataFrame:
     mad = dev.groupBy(by).agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
     z = F.when(F.col("mad") > 0, (F.col(value) - F.col("median")) / (1.4826 * F.col("mad"))).otherwise(F.lit(0.0))
     return dev.join(mad, by).withColumn("z", F.round(z, 9)).drop("dev", "median", "mad")
+
+
+def renormalize(counts: DataFrame, cells: DataFrame, by: str) -> DataFrame:
+    """Cells scaled by least squares to the mean profile of their group, itself so scaled to the
+    mean of the groups' profiles."""
+    n = cells.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    bulk = counts.join(cells, "cell_id").groupBy(by, "feature").agg(F.sum("value").alias("s")).join(n, by).select(by, "feature", (F.col("s") / F.col("n")).alias("y"))
+    mean = bulk.groupBy("feature").agg((F.sum("y") / n.count()).alias("m"))
+    fit = bulk.join(mean, "feature").groupBy(by).agg((F.sum(F.col("m") * F.col("y")) / F.sum(F.col("y") * F.col("y"))).alias("f"))
+    bulk = bulk.join(fit, by).select(by, "feature", (F.col("y") * F.col("f")).alias("y"))
+    of = counts.join(cells.select("cell_id", by), "cell_id").join(bulk, [by, "feature"])
+    scale = of.groupBy("cell_id").agg(F.try_divide(F.sum(F.col("y") * F.col("value")), F.sum(F.col("value") * F.col("value"))).alias("scale"))
+    return counts.join(scale, "cell_id").select("cell_id", "feature", (F.col("value") * F.col("scale")).alias("value"))
+
+
+def specificity_of_presence(counts: DataFrame, cells: DataFrame, cluster: str) -> DataFrame:
+    """``cluster_specificity`` of being there at all."""
+    return cluster_specificity(counts.where("value > 0").withColumn("value", F.lit(1.0)), cells, cluster)

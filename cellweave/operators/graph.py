@@ -72,3 +72,13 @@ def diffuse(net: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int =
         x = x.drop("x").join(moved, [*NET, "gene"], "left").select(*NET, "gene", "x0", (alpha * F.coalesce("m", F.lit(0.0)) + (1 - alpha) * F.col("x0")).alias("x"))
     # off the ties, where sums in another order would round apart
     return x.select(*NET, "gene", F.round(F.col("x") + 3e-10, 6).alias("x"))
+
+
+def core_centrality(net: DataFrame, groups: DataFrame) -> DataFrame:
+    """NET, gene, label, core, z: core numbers within the edges of a group (NET, gene, label), over
+    their standard deviation in the group (1 where that is 0)."""
+    side = lambda k: groups.select(*NET, F.col("gene").alias(f"gene{k}"), F.col("label").alias(f"l{k}"))
+    inside = net.join(side(1), [*NET, "gene1"]).join(side(2), [*NET, "gene2"]).where("l1 = l2").select(*net.columns)
+    rows = groups.join(core_numbers(inside), [*NET, "gene"], "left").select(*NET, "gene", "label", F.coalesce("core", F.lit(0)).alias("core"))
+    sd = rows.groupBy(*NET, "label").agg(F.stddev_samp("core").alias("sd"))
+    return rows.join(sd, [*NET, "label"]).select(*NET, "gene", "label", "core", (F.col("core") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))).alias("z"))

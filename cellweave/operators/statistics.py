@@ -171,3 +171,13 @@ def log_fold_change(bulk: DataFrame, group: str, control: str, case: str) -> Dat
     mean = lambda g: F.coalesce(F.max(F.when(F.col(group) == g, F.col("mean").cast("double"))), F.lit(0.0))
     both = bulk.where(F.col(group).isin(control, case)).groupBy("feature").agg(mean(control).alias("a"), mean(case).alias("b"))
     return both.select("feature", (F.log2(F.col("b") + 1) - F.log2(F.col("a") + 1)).alias("log_fc"))
+
+
+def annotate_clusters(rows: DataFrame, cluster: str, label: str) -> DataFrame:
+    """The label most enriched in each cluster by the tail bound; ties go to the smaller label."""
+    shared = rows.groupBy(cluster, label).agg(F.count(F.lit(1)).alias("shared"))
+    size = lambda c, name: shared.groupBy(c).agg(F.sum("shared").alias(name))
+    sized = shared.join(size(cluster, "n_cluster"), cluster).join(size(label, "n_label"), label).join(F.broadcast(shared.agg(F.sum("shared").alias("n"))), F.lit(True))  # one row
+    log_p = F.round(hypergeometric_tail(F.col("n"), F.col("n_label"), F.col("n_cluster"), F.col("shared")), 9)
+    w = Window.partitionBy(cluster).orderBy(F.desc("log_p"), label)
+    return sized.withColumn("log_p", log_p).withColumn("_r", F.row_number().over(w)).where("_r = 1").select(cluster, label, "shared", "log_p")
