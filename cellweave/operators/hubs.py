@@ -24,17 +24,26 @@ def rewired(net: DataFrame, reps: int | None, p: float, seed: int, shuffle_each:
     edges = edges.join(nodes.groupBy(*N.NET).agg(F.count(F.lit(1)).alias("n")), N.NET)
     for c in ("1", "2"):
         edges = edges.join(nodes.select(*N.NET, F.col("gene").alias(f"gene{c}"), F.col("i").alias(f"i{c}")), [*N.NET, f"gene{c}"])
+    n_tasks = int(net.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not shuffle_each:  # one order of the weights, found before edges are repeated
+        order = hashed(F.lit(seed), F.col("celltype"), F.col("condition"), F.col("edge"), F.lit("weight"))
+        slots = edges.withColumn("slot", F.row_number().over(by_net.orderBy(order, "edge")))
+        edges = slots.drop("lls").join(edges.select(*N.NET, F.col("edge").alias("slot"), "lls"), [*N.NET, "slot"])
     reps_of = edges.select(*N.NET, "edge", "lls", "n", "i1", "i2", F.explode(F.sequence(F.lit(1), F.ceil(F.lit(values) / F.col("n")).cast("int") if reps is None else F.lit(reps))).alias("rep"))
-    key = [F.lit(seed), "celltype", "condition", "rep", "edge"]
-    cols = [k if not isinstance(k, str) else F.col(k) for k in key]
+    # a few small networks grow to many null networks here, so the partitions are dealt anew
+    reps_of = reps_of.repartition(n_tasks, *N.NET, "rep")
+    cols = [F.lit(seed), *map(F.col, ("celltype", "condition", "rep", "edge"))]
 
     def end(c: str):
         return F.when(uniform(*cols, F.lit(f"move{c}")) < p, F.floor(uniform(*cols, F.lit(f"to{c}")) * F.col("n"))).otherwise(F.col(f"i{c}"))
 
-    moved = reps_of.withColumn("a", end("1")).withColumn("b", end("2"))
-    moved = moved.withColumn("b", F.when(F.col("a") == F.col("b"), (F.col("b") + 1) % F.col("n")).otherwise(F.col("b")))
-    order = hashed(*cols, F.lit("weight")) if shuffle_each else hashed(F.lit(seed), F.col("celltype"), F.col("condition"), F.col("edge"), F.lit("weight"))
-    drawn = moved.withColumn("slot", F.row_number().over(Window.partitionBy(*N.NET, "rep").orderBy(order, "edge")))
+    def ends(rows: DataFrame) -> DataFrame:
+        moved = rows.withColumn("a", end("1")).withColumn("b", end("2"))
+        return moved.withColumn("b", F.when(F.col("a") == F.col("b"), (F.col("b") + 1) % F.col("n")).otherwise(F.col("b")))
+
+    if not shuffle_each:
+        return ends(reps_of).select(*N.NET, "rep", "a", "b", "lls")
+    drawn = ends(reps_of).withColumn("slot", F.row_number().over(Window.partitionBy(*N.NET, "rep").orderBy(hashed(*cols, F.lit("weight")), "edge")))
     weights = reps_of.select(*N.NET, "rep", F.col("edge").alias("slot"), "lls")
     return drawn.drop("lls").join(weights, [*N.NET, "rep", "slot"]).select(*N.NET, "rep", "a", "b", "lls")
 
