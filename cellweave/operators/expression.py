@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +107,15 @@ def renormalize(counts: DataFrame, cells: DataFrame, by: str) -> DataFrame:
 def specificity_of_presence(counts: DataFrame, cells: DataFrame, cluster: str) -> DataFrame:
     """``cluster_specificity`` of being there at all."""
     return cluster_specificity(counts.where("value > 0").withColumn("value", F.lit(1.0)), cells, cluster)
+
+
+def impute_by_archetypes(profiles: DataFrame, weights: DataFrame) -> DataFrame:
+    """Values of features (feature, archetype, value) in cells (cell_id, archetype, weight): the
+    product of both tables, so ``profiles`` holds only the features that are wanted."""
+    return weights.join(profiles, "archetype").groupBy("cell_id", "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+
+
+def bind_cells(tables: dict[str, DataFrame]) -> DataFrame:
+    """Counts of several tables side by side, with the table's name in front of cell ids."""
+    parts = [t.select(F.concat_ws("_", F.lit(name), F.col("cell_id").cast("string")).alias("cell_id"), "feature", "value") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -252,3 +252,19 @@ def binary_specificity(t):
     SELECT batch, celltype, shared, log_p FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY log_p DESC, celltype) AS r FROM l) WHERE r = 1""")
 def annotate_clusters(t):
     return statistics.annotate_clusters(t.customers(), "batch", "celltype")
+
+
+@query("impute_by_archetypes", """CTE n AS (SELECT celltype, count(*) AS n FROM fx_cust GROUP BY ALL), b AS (SELECT celltype, feature, CAST(sum(value) AS DOUBLE) / any_value(n) AS y FROM fx_counts JOIN fx_cust USING (cell_id) JOIN n USING (celltype) GROUP BY ALL),
+    w AS (SELECT cell_id, celltype, 0.75 AS h FROM fx_cust UNION ALL SELECT cell_id, 'BUILDING', 0.25 FROM fx_cust)
+    SELECT cell_id, feature, round(sum(h * y), 6) AS value FROM w JOIN b USING (celltype) GROUP BY ALL""")
+def impute_by_archetypes(t):
+    cells = t.customers()
+    profiles = expression.pseudobulk(t.counts(), cells, ["celltype"]).select("feature", F.col("celltype").alias("archetype"), F.col("mean").cast("double").alias("value"))
+    own = cells.select("cell_id", F.col("celltype").alias("archetype"), F.lit(0.75).alias("weight"))
+    weights = own.unionByName(cells.select("cell_id", F.lit("BUILDING").alias("archetype"), F.lit(0.25).alias("weight")))
+    return expression.impute_by_archetypes(profiles, weights).withColumn("value", F.round("value", 6))
+
+
+@query("bind_cells", "SELECT 'a_' || cell_id AS cell_id, feature, value FROM fx_counts WHERE value > 20 UNION ALL SELECT 'b_' || cell_id, feature, value FROM fx_counts")
+def bind_cells(t):
+    return expression.bind_cells({"a": t.counts().where("value > 20"), "b": t.counts()})
