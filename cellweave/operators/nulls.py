@@ -74,15 +74,19 @@ def weight_hubs(net: DataFrame, reps: int = 100, seed: int = 1, method: str = "b
     return N.p_adjust(exceed(N.strength(net), null, NET, "value"), "p", NET, ["gene"], [method]).withColumnRenamed(f"p_{method}", "q")
 
 
+def shuffled(x: DataFrame, reps: int, seed: int) -> DataFrame:
+    """NET, rep, gene, x: values (NET, gene, x) dealt anew over the nodes ``reps`` times, and as they are (rep 0)."""
+    slots = x.withColumn("slot", F.row_number().over(Window.partitionBy(*NET).orderBy("gene")))
+    key = hashed(F.lit(seed), F.col("celltype"), F.col("condition"), F.col("rep"), F.col("gene"))
+    drawn = x.select(*NET, "gene", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("slot", F.row_number().over(Window.partitionBy(*NET, "rep").orderBy(key, "gene")))
+    return drawn.join(slots.select(*NET, "slot", "x"), [*NET, "slot"]).select(*NET, "rep", "gene", "x").unionByName(x.withColumn("rep", F.lit(0)))
+
+
 def autocorrelation_z(net: DataFrame, scores: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
     """NET, autocorrelation, z: 1 - C / 2 with Geary's C of the scores (NET, gene, x), against
     ``reps`` shuffles of the scores over the nodes."""
     x = cut(scores.select(*NET, "gene", F.col("x").cast("double").alias("x")))
-    slots = x.withColumn("slot", F.row_number().over(Window.partitionBy(*NET).orderBy("gene")))
-    key = hashed(F.lit(seed), F.col("celltype"), F.col("condition"), F.col("rep"), F.col("gene"))
-    drawn = x.select(*NET, "gene", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("slot", F.row_number().over(Window.partitionBy(*NET, "rep").orderBy(key, "gene")))
-    sides = drawn.join(slots.select(*NET, "slot", "x"), [*NET, "slot"]).select(*NET, "rep", "gene", "x").unionByName(x.withColumn("rep", F.lit(0)))
-    sides = cut(sides)
+    sides = cut(shuffled(x, reps, seed))
     ends = net.join(sides.select(*NET, "rep", F.col("gene").alias("gene1"), F.col("x").alias("a")), [*NET, "gene1"]).join(sides.select(*NET, "rep", F.col("gene").alias("gene2"), F.col("x").alias("b")), [*NET, "rep", "gene2"])
     d = ends.groupBy(*NET, "rep").agg(F.sum(2 * F.col("lls")).alias("w"), F.sum(F.col("lls") * (F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("d"))
     mean = x.groupBy(*NET).agg(F.count("x").alias("n"), (F.var_pop("x") * F.count("x")).alias("ss"))

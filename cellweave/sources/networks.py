@@ -20,6 +20,23 @@ def save_networks(networks: DataFrame, folder: str, fmt: str = "parquet") -> Non
     networks.write.partitionBy("net_id").option("header", True).format(fmt).save(folder)
 
 
+def save_graphml(networks: DataFrame, folder: str) -> None:
+    """One folder per network with one GraphML file: header, nodes, edges with LLS and
+    scinet_weight, end.  Lines are sorted by Spark within the file's task, so none is held whole."""
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    weights = [c for c in ("LLS", "scinet_weight") if c in networks.columns]
+    keys = "".join(f'<key id="{c}" for="edge" attr.name="{c}" attr.type="double"/>' for c in weights)
+    net = networks.select("net_id").distinct()
+    head = net.select("net_id", F.lit(0).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">').alias("value"))
+    foot = net.select("net_id", F.lit(3).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("</graph></graphml>").alias("value"))
+    name = networks.select("net_id", F.explode(F.array(F.col("gene1").cast("string"), F.col("gene2").cast("string"))).alias("a")).distinct()
+    nodes = name.select("net_id", F.lit(1).alias("part"), "a", F.lit("").alias("b"), F.concat(F.lit('<node id="'), text(F.col("a")), F.lit('"/>')).alias("value"))
+    data = [F.coalesce(F.concat(F.lit(f'<data key="{c}">'), F.col(c).cast("string"), F.lit("</data>")), F.lit("")) for c in weights]
+    edges = networks.select("net_id", F.lit(2).alias("part"), F.col("gene1").cast("string").alias("a"), F.col("gene2").cast("string").alias("b"), F.concat(F.lit('<edge source="'), text(F.col("gene1")), F.lit('" target="'), text(F.col("gene2")), F.lit('">'), *data, F.lit("</edge>")).alias("value"))
+    lines = head.unionByName(nodes).unionByName(edges).unionByName(foot)
+    lines.repartition("net_id").sortWithinPartitions("net_id", "part", "a", "b").select("net_id", "value").write.partitionBy("net_id").text(folder)
+
+
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
     """gene1, gene2, lls with endpoints in order; fails where a column is missing."""
     df = spark.read.parquet(path) if path.endswith("parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
