@@ -103,4 +103,21 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND r <> chief THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND r <> chief THEN chief_page END AS refers_to
         FROM m""",
+    # lines within one edit share the front or the back half, measured on the shorter one; of such
+    # pairs the first difference is found and what follows it compared
+    "op9_line_dedup": r"""
+        WITH l AS MATERIALIZED (SELECT doc_id, i - 1 AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
+        f AS MATERIALIZED (SELECT line, length(line) AS n, min((doc_id, line_no)) AS first FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+        h AS MATERIALIZED (SELECT line, n, first, s, s // 2 AS half FROM (SELECT *, unnest([n, n - 1]) AS s FROM f WHERE n >= 8)),
+        k AS MATERIALIZED (SELECT line, n, first, s, 'front' AS side, left(line, half) AS share FROM h UNION ALL SELECT line, n, first, s, 'back', right(line, s - half) FROM h),
+        c AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n, b.n AS m FROM k a JOIN k b USING (s, side, share) WHERE a.first < b.first AND least(a.n, b.n) = s AND a.line <> b.line),
+        v AS (SELECT *, regexp_extract_all(a, '(?s).') AS x, regexp_extract_all(b, '(?s).') AS y FROM c),
+        p AS (SELECT *, coalesce(list_position(list_transform(range(1, least(n, m) + 1), lambda i: x[i] <> y[i]), true), least(n, m) + 1) AS pos FROM v),
+        near AS MATERIALIZED (SELECT DISTINCT b AS line FROM p WHERE substr(a, pos + CASE WHEN n >= m THEN 1 ELSE 0 END) = substr(b, pos + CASE WHEN m >= n THEN 1 ELSE 0 END)),
+        g AS (SELECT l.*, f.line IS NOT NULL AS full_, near.line IS NOT NULL AS is_near, f.line IS NOT NULL AND near.line IS NULL AND (doc_id, line_no) <> f.first AS is_equal
+            FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
+        d AS (SELECT doc_id, count(*) FILTER (full_) AS n_lines, count(*) FILTER (is_equal) AS n_equal, count(*) FILTER (is_near) AS n_near,
+            array_to_string(list(line ORDER BY line_no) FILTER (NOT is_near AND NOT is_equal), chr(10)) AS text FROM g GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, sha256(coalesce(d.text, '')) AS text_sha256
+        FROM documents LEFT JOIN d USING (doc_id)""",
 }

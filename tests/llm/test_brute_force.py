@@ -5,10 +5,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas
 import pytest
 
-from cellweave.llm import fertility, hmm, jaccard_join, licenses, line_dedup, mixing, multi_index, packing, pii, warc
+from cellweave.llm import fertility, hmm, jaccard_join, licenses, line_dedup, mixing, multi_index, packing, pii, queries, warc
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -99,6 +101,10 @@ def test_line_dedup_equals_all_pairs(spark):
     assert got.columns == ["doc_id", "text", "near", "n_lines", "n_equal", "n_near"]
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
     assert line_dedup.dedup_lines(table, counts=False).columns == table.columns
+    con = duckdb.connect()
+    con.register("documents", pandas.DataFrame(docs, columns=["doc_id", "text"]))
+    sql = {r[0]: r[1:] for r in con.sql(queries.ORACLE_SQL["op9_line_dedup"]).fetchall()}
+    assert sql == {r["doc_id"]: (r["n_lines"], r["n_equal"], r["n_near"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in got.collect()}
 
 
 def test_lines_of_any_length(spark):
