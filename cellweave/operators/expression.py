@@ -21,11 +21,15 @@ def feature_qc(counts: DataFrame, n_cells: int) -> DataFrame:
     return s.select("feature", "cells", mean.alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / n_cells) / (n_cells - 1)).alias("variance"))
 
 
-def qc_filter(counts: DataFrame, min_cells: int, min_features: int, min_umis: float) -> DataFrame:
-    """Drop cells and features below the bounds, both at once, until nothing changes."""
+def qc_filter(counts: DataFrame, min_cells: float, min_features: int, min_umis: float, max_umis: float | None = None) -> DataFrame:
+    """Drop cells and features outside the bounds, both at once, until nothing changes.  A
+    ``min_cells`` between 0 and 1 is a share of the cells that ``counts`` has at first."""
     size = counts.count()
+    if 0 < min_cells < 1:
+        min_cells *= counts.select("cell_id").distinct().count()
     while True:
-        cells = cell_qc(counts).where((F.col("features") >= min_features) & (F.col("umis") >= min_umis)).select("cell_id")
+        inside = F.lit(True) if max_umis is None else F.col("umis") <= max_umis
+        cells = cell_qc(counts).where((F.col("features") >= min_features) & (F.col("umis") >= min_umis) & inside).select("cell_id")
         features = counts.groupBy("feature").agg(F.count_if(F.col("value") > 0).alias("n")).where(F.col("n") >= min_cells).select("feature")
         counts = counts.join(cells, "cell_id", "left_semi").join(features, "feature", "left_semi").select("cell_id", "feature", "value")
         counts = cut(counts)
@@ -73,6 +77,25 @@ def cluster_specificity(counts: DataFrame, cells: DataFrame, cluster: str) -> Da
     return grid.select(cluster, "feature", "obs", F.round(up, 9).alias("upper"), F.round(low, 9).alias("lower"))
 
 
+def archetype_specificity(counts: DataFrame, weights: DataFrame, n_cells: int) -> DataFrame:
+    """``cluster_specificity`` for cells that belong to archetypes by ``weights`` (cell_id, archetype,
+    weight), each archetype's scaled to sum 1; ``n_cells`` counts those without any value too."""
+    g = counts.groupBy("feature").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("nnz"), F.max("value").alias("row_max")).where("nnz > 0")
+    g = g.select("feature", (F.col("nnz") / n_cells).alias("row_p"), (F.col("s") / F.col("nnz")).alias("row_factor"), "row_max")
+    cover = counts.groupBy("cell_id").agg(F.count_if(F.col("value") > 0).alias("k"))
+    rho = cover.agg((F.sum("k") / n_cells).alias("rho"))  # one row
+    total = weights.groupBy("archetype").agg(F.sum("weight").alias("total"))
+    share = weights.join(total, "archetype").where("total > 0 AND weight > 0").select("cell_id", "archetype", (F.col("weight") / F.col("total")).alias("h"))
+    share = share.join(cover, "cell_id").join(F.broadcast(rho), F.lit(True)).select("cell_id", "archetype", "h", (F.col("h") * F.col("k") / F.col("rho")).alias("b"))
+    gamma = share.groupBy("archetype").agg(F.sum("b").alias("b1"), F.sum(F.col("b") * F.col("b")).alias("b2"), F.max("b").alias("bmax"))
+    obs = counts.join(share, "cell_id").groupBy("archetype", "feature").agg(F.sum(F.col("h") * F.col("value")).alias("obs"))
+    d = F.col("obs") - F.col("row_p") * F.col("row_factor") * F.col("b1")
+    nu = F.col("row_p") * F.col("row_factor") * F.col("row_factor") * F.col("b2")
+    up = F.when(d > 0, d * d / (2 * (nu + d * F.col("row_max") * F.col("bmax") / 3)) / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
+    low = F.when(d < 0, d * d / (2 * nu) / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
+    return obs.join(gamma, "archetype").join(g, "feature").select("archetype", "feature", F.round("obs", 9).alias("obs"), F.round(up, 9).alias("upper"), F.round(low, 9).alias("lower"))
+
+
 def top_markers(specificity: DataFrame, cluster: str, k: int) -> DataFrame:
     w = Window.partitionBy(cluster).orderBy(F.desc("upper"), "feature")
     return specificity.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

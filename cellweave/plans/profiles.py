@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import network as N
-from ..operators import profiles
+from ..operators import expression, profiles
 from .catalog import query
 from .screens import hashed, rewired_sql, uniform
 
@@ -196,3 +196,20 @@ def regulator_activity(t):
     of = lambda where, library: part.where(where).select(F.lit(library).alias("library"), F.col("p_brand").alias("regulator"), F.col("p_partkey").alias("gene"))
     sets = of("p_size > 10", "type").unionByName(of("p_size < 40", "size"))
     return profiles.regulator_activity(N.strength(t.aligned()).withColumnRenamed("value", "x"), sets, N.NET).withColumn("log_p", F.round("log_p", 6))
+
+
+@query("archetype_specificity", f"""CTE {WEIGHTS}, n AS (SELECT count(*) AS n FROM fx_cust), g AS (SELECT feature, count(*) FILTER (value > 0) / any_value(n) AS row_p, sum(value) / count(*) FILTER (value > 0) AS row_factor, max(value) AS row_max FROM fx_counts, n GROUP BY feature),
+    k AS (SELECT cell_id, count(*) FILTER (value > 0) AS k FROM fx_counts GROUP BY ALL), rho AS (SELECT sum(k) / any_value(n) AS rho FROM k, n),
+    h AS (SELECT cell_id, archetype, weight / sum(weight) OVER (PARTITION BY archetype) AS h FROM wg), b AS (SELECT archetype, h * k / rho AS b FROM h JOIN k USING (cell_id), rho),
+    ga AS (SELECT archetype, sum(b) AS b1, sum(b * b) AS b2, max(b) AS bmax FROM b GROUP BY ALL), o AS (SELECT archetype, feature, sum(h * value) AS obs FROM fx_counts JOIN h USING (cell_id) GROUP BY ALL),
+    v AS (SELECT archetype, feature, obs, obs - row_p * row_factor * b1 AS d, row_p * row_factor * row_factor * b2 AS nu, row_max * bmax AS a FROM o JOIN ga USING (archetype) JOIN g USING (feature))
+    SELECT archetype, feature, {r6('obs')} AS obs, {r6('CASE WHEN d > 0 THEN d * d / (2 * (nu + d * a / 3)) / ln(10) ELSE 0 END')} AS upper, {r6('CASE WHEN d < 0 THEN d * d / (2 * nu) / ln(10) ELSE 0 END')} AS lower FROM v""")
+def archetype_specificity(t):
+    counts = t.counts().withColumn("value", F.col("value").cast("double"))
+    return rounded(expression.archetype_specificity(counts, cell_weights(t), t.customers().count()), "obs", "upper", "lower")
+
+
+@query("qc_filter_share", "CTE " + ", ".join(f"""c{i + 1} AS MATERIALIZED (SELECT * FROM {f'c{i}' if i else 'fx_counts'} WHERE cell_id IN (SELECT cell_id FROM {f'c{i}' if i else 'fx_counts'} GROUP BY cell_id HAVING count(*) FILTER (value > 0) >= 12 AND sum(value) BETWEEN 200 AND 1400)
+    AND feature IN (SELECT feature FROM {f'c{i}' if i else 'fx_counts'} GROUP BY feature HAVING count(*) FILTER (value > 0) >= 0.45 * (SELECT count(DISTINCT cell_id) FROM fx_counts)))""" for i in range(8)) + " SELECT * FROM c8")
+def qc_filter_share(t):
+    return expression.qc_filter(t.counts(), min_cells=0.45, min_features=12, min_umis=200, max_umis=1400)

@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 import numpy as np
 import pytest
 
-from cellweave.operators import profiles
+from cellweave.operators import expression, profiles
 from cellweave.sources.networks import save_graphml
 
 EDGE = "celltype string, condition string, gene1 long, gene2 long, lls double"
@@ -100,3 +100,18 @@ def test_graphml_round_trip(spark, tmp_path):
     root = ET.fromstring(files["net_id=n1"].read_text())
     assert [n.get("id") for n in root.iter(f"{space}node")] == ["A&B", "C", "D"]
     assert [(e.get("source"), e.get("target"), [d.text for d in e]) for e in root.iter(f"{space}edge")] == [("A&B", "C", ["2.0"]), ("C", "D", [])]
+
+
+def test_archetypes_of_one_cell_group_each_are_clusters(spark):
+    counts = spark.createDataFrame([(c, f, float(c + f)) for c in range(1, 7) for f in range(3) if (c * f) % 4 != 1], "cell_id long, feature long, value double")
+    cells = spark.createDataFrame([(c, "xy"[c % 2]) for c in range(1, 8)], "cell_id long, k string")
+    one = {(r.k, r.feature): (r.upper, r.lower) for r in expression.cluster_specificity(counts, cells, "k").collect()}
+    weights = cells.selectExpr("cell_id", "k AS archetype", "2.0D AS weight")
+    two = {(r.archetype, r.feature): (r.upper, r.lower) for r in expression.archetype_specificity(counts, weights, 7).collect()}
+    assert one.keys() == two.keys() and all(two[k] == pytest.approx(v) for k, v in one.items())
+
+
+def test_qc_by_share_and_upper_bound(spark):
+    counts = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "a", 90.0), (3, "b", 1.0)], "cell_id long, feature string, value double")
+    got = expression.qc_filter(counts, min_cells=0.5, min_features=1, min_umis=0, max_umis=50).collect()
+    assert sorted((r.cell_id, r.feature) for r in got) == [(1, "a"), (2, "a")]
