@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.network import canonical
+
 EDGES = "gene1 string, gene2 string, LLS double, scinet_weight double"
 
 
@@ -38,15 +40,15 @@ def save_graphml(networks: DataFrame, folder: str) -> None:
 
 
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
-    """gene1, gene2, lls with endpoints in order; fails where a column is missing."""
+    """gene1, gene2, lls with endpoints in order, no loops, the heaviest of repeated edges; fails
+    where a column is missing."""
     df = spark.read.parquet(path) if path.endswith("parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
     names = {c.lower(): c for c in df.columns}
     missing = {"gene1", "gene2"} - set(names)
     weight = names.get("lls") or names.get("weight")
     if missing or not weight:
         raise ValueError(f"reference network lacks {missing or 'a weight'}")
-    a, b = df[names["gene1"]], df[names["gene2"]]
-    return df.select(F.least(a, b).alias("gene1"), F.greatest(a, b).alias("gene2"), df[weight].cast("double").alias("lls"))
+    return canonical(df.select(df[names["gene1"]].alias("gene1"), df[names["gene2"]].alias("gene2"), df[weight].cast("double").alias("lls")))
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cellweave.operators import expression, profiles
-from cellweave.sources.networks import save_graphml
+from cellweave.sources.networks import read_reference, save_graphml
 
 EDGE = "celltype string, condition string, gene1 long, gene2 long, lls double"
 
@@ -115,3 +115,12 @@ def test_qc_by_share_and_upper_bound(spark):
     counts = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "a", 90.0), (3, "b", 1.0)], "cell_id long, feature string, value double")
     got = expression.qc_filter(counts, min_cells=0.5, min_features=1, min_umis=0, max_umis=50).collect()
     assert sorted((r.cell_id, r.feature) for r in got) == [(1, "a"), (2, "a")]
+
+
+def test_reference_has_each_edge_once(spark, tmp_path):
+    path = tmp_path / "ref.csv"
+    path.write_text("Gene1,gene2,LLS\nB,A,1.5\nA,B,2.5\nC,C,9\nA,C,1\n")
+    assert sorted(map(tuple, read_reference(spark, str(path)).collect())) == [("A", "B", 2.5), ("A", "C", 1.0)]
+    path.write_text("gene1,LLS\nA,1\n")
+    with pytest.raises(ValueError):
+        read_reference(spark, str(path))
