@@ -1,7 +1,7 @@
 """Operator 13: language identification by compression.
 
-Each language has a raw-content zstandard dictionary of pieces of its training texts.  A text is
-compressed once with each dictionary, in blocks of ``block`` bytes that each start from the
+Each language has a raw-content zstandard dictionary of pieces of its training texts.  A text, in
+lower case, is compressed once with each dictionary, in blocks of ``block`` bytes that each start from the
 dictionary afresh (a long text would else be coded by its own beginning), and the language of the
 smallest sum wins.  ``margin`` is what the winner saves, as a share of the runner-up (of the size
 without a dictionary, where there is but one language); a prediction with a margin under ``least``
@@ -13,7 +13,7 @@ Hash thresholds come from the counts of all training rows, so at most about four
 pieces come to the driver.  A dictionary holds at most ``dict_bytes``, all of them ``total_bytes``.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as all are when no
-language was learned; ties go to the first language in code point order; very long texts are
+language was learned; ties go to the language with most training rows (then in code point order); very long texts are
 compressed whole, block by block; repeated rows are judged one by one; rows without a text or a
 language teach nothing; further columns of the input, whatever their names, aren't read; an empty
 table gives no rows.
@@ -45,15 +45,15 @@ def sample(train: DataFrame, pieces: int, piece: int) -> dict[str, list[str]]:
     found: dict[str, list] = {}
     for r in cut.groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect():
         found.setdefault(r["lang"], []).append((r["h"], r["piece"]))
-    return {lang: [p for _, p in sorted(some)[:pieces]] for lang, some in sorted(found.items())}
+    return {lang: [p for _, p in sorted(found[lang])[:pieces]] for lang in sorted(found, key=lambda x: (-counts[x], x))}
 
 
-def fit(train: DataFrame, pieces: int = 400, piece: int = 400, dict_bytes: int = 96 << 10, total_bytes: int = 64 << 20, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary's content for each language of ``train``."""
+def fit(train: DataFrame, pieces: int = 400, piece: int = 100, dict_bytes: int = 32 << 10, total_bytes: int = 64 << 20, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary's content for each language of ``train``, the most frequent language first."""
     rows = input_rows(train, text_col, lang_col).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     found = sample(rows, pieces, piece)
     room = min(dict_bytes, total_bytes // max(1, len(found)))
-    return {lang: "\n".join(some).encode("utf-8", "replace")[:room] for lang, some in found.items()}
+    return {lang: "\n".join(some).lower().encode("utf-8", "replace")[:room] for lang, some in found.items()}
 
 
 class Judge:
@@ -62,16 +62,17 @@ class Judge:
     def __init__(self, dictionaries: dict[str, bytes], level: int, block: int):
         import zstandard
 
+        set_up = zstandard.ZstdCompressionParameters.from_level(level, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
         def compressor(content: bytes):
-            plain = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
             if len(content) < 8:  # zstandard takes no shorter dictionary
-                return zstandard.ZstdCompressor(**plain).compress
+                return zstandard.ZstdCompressor(compression_params=set_up).compress
             own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(dict_data=own, **plain).compress
+            own.precompute_compress(compression_params=set_up)
+            return zstandard.ZstdCompressor(dict_data=own, compression_params=set_up).compress
 
         self.block = block
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.coders = [compressor(dictionaries[x]) for x in self.langs]
         self.plain = compressor(b"")
 
@@ -82,14 +83,14 @@ class Judge:
         """Language and margin."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         sizes = [self.size(c, data) for c in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = sizes[:best] + sizes[best + 1 :] or [self.size(self.plain, data)]
         return self.langs[best], max(0.0, 1 - sizes[best] / min(others))
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], least: float = 0.02, level: int = 3, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], least: float = 0.02, level: int = 6, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, certain (the margin reaches ``least``), score (the margin)."""
     bound_batches(docs.sparkSession)
 
