@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, hubs, paths
+from .operators import graph, hubs
 from .operators import network as N
 from .sources import networks as S
 
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--format", default="csv", choices=["csv", "parquet"])
         c.add_argument("--reference", help="reference network; without one the networks' own lls count")
         if name == "find-hubs":
-            c.add_argument("--method", default="degree", choices=["degree", "betweenness", "closeness", "eigenvector"], help="centrality written beside the test of strengths")
+            c.add_argument("--method", default="degree", choices=["degree", "betweenness", "closeness", "eigenvector"], help="centrality that is ranked and tested")
             c.add_argument("--threshold", type=float, default=0.05)
         if name == "diff-analysis":
             for option in ("--metadata", "--celltype-col", "--condition-col", "--control", "--disease"):
@@ -43,17 +43,10 @@ def read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return N.align(nets.drop("lls"), S.read_reference(spark, args.reference)) if args.reference else nets
 
 
-def centrality(net: DataFrame, method: str) -> DataFrame:
-    if method == "degree":
-        return N.degree(net)
-    return {"betweenness": paths.betweenness, "closeness": paths.closeness, "eigenvector": paths.eigenvector}[method](net)
-
-
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     net = read(spark, args)
     if args.command == "find-hubs":
-        found = hubs.find_all_hub(net, reps=None, seed=1).where(F.col("q") <= args.threshold)
-        return found.join(centrality(net, args.method), [*N.NET, "gene"])
+        return hubs.find_all_hub(net, reps=None, seed=1, centrality=args.method).where(F.col("q") <= args.threshold)
     if args.command == "diff-analysis":
         cells = spark.read.option("header", True).csv(args.metadata).select(F.col(args.celltype_col).alias("celltype"), F.col(args.condition_col).alias("condition"))
         return hubs.find_diff_hub(net, cells, args.control, args.disease, reps=None, seed=1, min_cells=args.min_cells)

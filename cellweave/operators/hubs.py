@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hashed, uniform
 from . import network as N
+from . import paths
 from .graph import cut
 
+CENTRALITIES = {"degree": N.strength, "betweenness": paths.betweenness, "closeness": paths.closeness, "eigenvector": paths.eigenvector}
+
 
 def numbered(net: DataFrame) -> DataFrame:
     """Genes of each network with their number i in order."""
@@ -49,12 +52,39 @@ def rewired(net: DataFrame, reps: int | None, p: float, seed: int, shuffle_each:
 
 
 def null_strengths(null: DataFrame) -> DataFrame:
+    """NET, rep, i, value of the nodes that have edges."""
     return null.select(*N.NET, "rep", "lls", F.explode(F.array("a", "b")).alias("i")).groupBy(*N.NET, "rep", "i").agg(F.sum("lls").alias("value"))
 
 
+def null_centralities(null: DataFrame, method: str) -> DataFrame:
+    """``null_strengths`` for any centrality: each null network is a condition of its own."""
+    if method == "degree":
+        return null_strengths(null)
+    mark = F.concat_ws("#", "condition", "rep")
+    nets = null.select("celltype", mark.alias("condition"), F.least("a", "b").alias("gene1"), F.greatest("a", "b").alias("gene2"), "lls")
+    # edges that a rewiring laid on each other are one
+    nets = nets.groupBy(*N.NET, "gene1", "gene2").agg(F.sum("lls").alias("lls"))
+    found = CENTRALITIES[method](nets)
+    rep = F.substring_index("condition", "#", -1).cast("int")
+    own = F.expr("substring(condition, 1, length(condition) - length(substring_index(condition, '#', -1)) - 1)")
+    return found.select("celltype", own.alias("own"), rep.alias("rep"), F.col("gene").alias("i"), "value").withColumnRenamed("own", "condition")
+
+
+def with_zeros(null: DataFrame, net: DataFrame, reps: int | None, values: int) -> DataFrame:
+    """NET, value, times: how often each null value came, 0 for each node that a rewiring left without edges."""
+    seen = null.groupBy(*N.NET, "value").agg(F.count(F.lit(1)).alias("times"))
+    n = N.endpoints(net).groupBy(*N.NET).agg(F.countDistinct("gene").alias("n"))
+    every = F.col("n") * (F.ceil(F.lit(values) / F.col("n")) if reps is None else F.lit(reps))
+    found = seen.groupBy(*N.NET).agg(F.sum("times").alias("found"))
+    none = n.join(found, N.NET, "left").select(*N.NET, F.lit(0.0).alias("value"), (every - F.coalesce("found", F.lit(0))).cast("long").alias("times"))
+    return seen.unionByName(none)
+
+
 def exceed(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p = (1 + number of null values above) / (null values + 1): one rank over both."""
-    rows = observed.withColumn("_null", F.lit(0)).unionByName(null.withColumn("_null", F.lit(1)), allowMissingColumns=True)
+    """p = (1 + number of null values above) / (null values + 1): one rank over both.  ``null`` may count
+    equal values in a column times."""
+    times = F.col("times") if "times" in null.columns else F.lit(1)
+    rows = observed.withColumn("_null", F.lit(0)).unionByName(null.select(*by, value, times.alias("_null")), allowMissingColumns=True)
     # the null is first summed by value, so hot networks shrink to their distinct values
     above = rows.groupBy(*by, value).agg(F.sum("_null").alias("_k"))
     w = Window.partitionBy(*by)
@@ -62,29 +92,31 @@ def exceed(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> D
     return observed.join(above, [*by, value]).withColumn("p", (1 + F.col("_above")) / (F.col("_all") + 1)).drop("_above", "_all")
 
 
-def find_all_hub(net: DataFrame, reps: int | None, seed: int, method: str = "bh", values: int = 10_000, symbol: Column | None = None) -> DataFrame:
-    """Strength of each gene against networks rewired with probability 0.5."""
+def find_all_hub(net: DataFrame, reps: int | None, seed: int, method: str = "bh", values: int = 10_000, symbol: Column | None = None, centrality: str = "degree") -> DataFrame:
+    """Centrality of each gene (by default its strength) against networks rewired with probability 0.5,
+    in which nodes without edges count as 0."""
     net = cut(net)  # read several times below
-    observed = N.percent_rank(N.drop_ribosomal(N.strength(net), symbol))
-    null = null_strengths(rewired(net, reps, 0.5, seed, values=values)).select(*N.NET, "value")
-    tested = exceed(observed, null, N.NET, "value")
+    observed = N.percent_rank(N.drop_ribosomal(CENTRALITIES[centrality](net), symbol))
+    null = null_centralities(rewired(net, reps, 0.5, seed, values=values), centrality)
+    tested = exceed(observed, with_zeros(null, net, reps, values), N.NET, "value")
     return N.p_adjust(tested, "p", N.NET, ["gene"], [method]).withColumnRenamed(f"p_{method}", "q")
 
 
-def find_diff_hub(net: DataFrame, cells: DataFrame, control: str, disease: str, reps: int | None, seed: int, min_cells: int = 500, method: str = "bh", values: int = 1_000_000, symbol: Column | None = None) -> DataFrame:
-    """Rank differences of genes against those between two rewirings (0.9) of the control."""
+def find_diff_hub(net: DataFrame, cells: DataFrame, control: str, disease: str, reps: int | None, seed: int, min_cells: int = 500, method: str = "bh", values: int = 1_000_000, symbol: Column | None = None, centrality: str = "degree") -> DataFrame:
+    """Rank differences of genes against those between two rewirings (0.9) of the control, among genes
+    that have edges in either; both ranks may be 0 there."""
     net = cut(net)  # read several times below
     n = cells.where(F.col("condition").isin(control, disease)).groupBy("celltype", "condition").agg(F.count(F.lit(1)).alias("n"))
     able = n.groupBy("celltype").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where((F.col("k") == 2) & (F.col("least") >= min_cells)).select("celltype")
-    ranked = N.percent_rank(N.drop_ribosomal(N.strength(net), symbol))
+    ranked = N.percent_rank(N.drop_ribosomal(CENTRALITIES[centrality](net), symbol))
     diff = N.diff_pr(ranked, control, disease).join(able, "celltype").withColumn("size", F.abs("diff"))
     base = net.where(F.col("condition") == control).join(able, "celltype").select(*net.columns)
     kept = N.drop_ribosomal(numbered(base), symbol).select("celltype", "i")
     sides = []
     for side in (0, 1):
-        s = null_strengths(rewired(base, reps, 0.9, seed + side, shuffle_each=False, values=values)).join(kept, ["celltype", "i"])
+        s = null_centralities(rewired(base, reps, 0.9, seed + side, shuffle_each=False, values=values), centrality).join(kept, ["celltype", "i"])
         sides.append(s.select("celltype", "rep", "i", F.percent_rank().over(Window.partitionBy("celltype", "rep").orderBy("value")).alias(f"pr{side}")))
     null = sides[0].join(sides[1], ["celltype", "rep", "i"], "full_outer").fillna(0.0, ["pr0", "pr1"])
-    null = null.where("NOT (pr0 = 0 AND pr1 = 0)").select("celltype", F.abs(F.col("pr1") - F.col("pr0")).alias("size"))
+    null = null.select("celltype", F.abs(F.col("pr1") - F.col("pr0")).alias("size"))
     tested = exceed(diff, null, ["celltype"], "size")
     return N.p_adjust(tested, "p", ["celltype"], ["gene"], [method]).withColumnRenamed(f"p_{method}", "q")

@@ -7,6 +7,10 @@ and betweenness need every pair of a component, in any engine; ``sources`` bound
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from .graph import both_ways, cut
 from .network import NET, endpoints
 
 STATE = [*NET, "source", "gene"]
+#: So many rows of at most a few hundred numbers are broadcast, more are joined by shuffles.
+MANY_NETWORKS = 5000
 
 
 def levels(net: DataFrame, sources: DataFrame | None = None) -> list[DataFrame]:
@@ -62,23 +68,93 @@ def betweenness(net: DataFrame) -> DataFrame:
     return total.groupBy(*NET, "gene").agg((F.sum("share") / 2).alias("value"))
 
 
-def eigenvector(net: DataFrame, rounds: int | None = None, every: int = 5, tolerance: float = 1e-9) -> DataFrame:
-    """Weighted eigenvector centrality, largest value 1, by power iteration on A + I (the shift
-    keeps bipartite networks from swinging and leaves the eigenvectors as they are), until no value moves by more than ``tolerance`` in ``every``
-    rounds, or for a fixed number of ``rounds``."""
-    edges = both_ways(net, "lls")
-    edges = cut(edges.unionByName(edges.select(*NET, F.lit(1.0).alias("lls"), "src", F.col("src").alias("dst")).distinct()))
-    x = edges.where("src = dst").select(*NET, F.col("src").alias("gene"), F.lit(1.0).alias("x"))
-    old, i = x, 0
-    while rounds is None or i < rounds:
-        x = edges.join(x.withColumnRenamed("gene", "src"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.sum(F.col("lls") * F.col("x")).alias("x"))
-        i += 1
-        if i % every == 0 or i == rounds:
-            x = cut(x)
-            x = x.join(x.groupBy(*NET).agg(F.max("x").alias("top")), NET).select(*NET, "gene", (F.col("x") / F.col("top")).alias("x"))
-            if rounds is None:
-                x = cut(x)
-                if x.join(old.withColumnRenamed("x", "old"), [*NET, "gene"]).where(F.abs(F.col("x") - F.col("old")) > tolerance).isEmpty():
-                    break
-                old = x
-    return x.withColumnRenamed("x", "value")
+def eigenvector(net: DataFrame, steps: int = 24, kept: int = 8, restarts: int = 24, tolerance: float = 1e-8) -> DataFrame:
+    """Weighted eigenvector centrality, largest value 1.
+
+    Rayleigh-Ritz on a Krylov basis of each network, all networks at once.  A node keeps its entries
+    of the basis V and of W = A V as arrays; a step is one product of the adjacency table with the
+    newest vector (a join and a sum) and one row of dot products a network.  After ``steps`` products
+    the small problem of each network (Gram matrices of V and W, one row) is solved in a task, and its
+    ``kept`` leading Ritz vectors and the residual of the first start the next basis.  A network is
+    done when |A x - t x| <= ``tolerance`` t |x|; the others go on, and ``restarts`` bases without an end raise.
+    """
+    edges = cut(both_ways(net, "lls").groupBy(*NET, "src", "dst").agg(F.sum("lls").alias("lls")))
+    nodes = edges.select(*NET, F.col("src").alias("gene")).distinct()
+    no_vectors = F.array().cast("array<double>")
+    # the leading eigenvector has one sign, so it is not orthogonal to ones
+    rows = nodes.select(*NET, "gene", no_vectors.alias("v"), no_vectors.alias("w"), F.lit(1.0).alias("x"))
+    # figures of networks, one row each, go to all tasks where their number allows it
+    few = nodes.select(*NET).distinct().count() <= MANY_NETWORKS
+    spread = F.broadcast if few else lambda df: df
+    size, done = 0, None
+    for _ in range(restarts):
+        while size < steps:
+            rows, size = krylov_step(rows, edges, spread), size + 1
+        ritz = spread(ritz_vectors(rows, kept))
+        mix = lambda name, i: F.expr(f"aggregate(zip_with({name}, s[{i}], (a, b) -> a * b), 0D, (a, b) -> a + b)")
+        turned = rows.join(ritz, NET).select(*NET, "gene", "theta", F.array(*[mix("v", i) for i in range(kept)]).alias("v"), F.array(*[mix("w", i) for i in range(kept)]).alias("w"))
+        rows = cut(turned.withColumn("x", F.expr("w[0] - theta * v[0]")))
+        size = kept
+        left = rows.groupBy(*NET).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("r"), (F.first("theta") * F.sqrt(F.sum(F.expr("v[0] * v[0]")))).alias("t"))
+        open_nets = cut(left.where(~(F.col("r") <= tolerance * F.col("t"))).select(*NET))
+        ready = rows.join(spread(open_nets), NET, "left_anti").select(*NET, "gene", F.expr("v[0]").alias("x"))
+        done = ready if done is None else done.unionByName(ready)
+        if open_nets.isEmpty():
+            top = done.groupBy(*NET).agg(F.max(F.abs("x")).alias("top"), F.sum("x").alias("side"))
+            return done.join(spread(top), NET).select(*NET, "gene", (F.col("x") * F.signum("side") / F.col("top")).alias("value"))
+        rows = rows.join(spread(open_nets), NET, "left_semi").drop("theta")
+        edges = cut(edges.join(spread(open_nets), NET, "left_semi"))
+    raise ArithmeticError(f"no eigenvector within {tolerance} after {restarts} bases of {steps} products")
+
+
+def krylov_step(rows: DataFrame, edges: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Make x (NET, gene, v, w, x) orthogonal to the vectors in v, append it to v and its product to w;
+    the product is the next x."""
+    # one row a network and vector of the basis, x itself last, so that every step has the same plan
+    dots = rows.select(*NET, "x", F.posexplode(F.array_append("v", F.col("x"))).alias("i", "y")).groupBy(*NET, "i").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("y") * F.col("y")).alias("g"))
+    dots = dots.groupBy(*NET).agg(F.array_sort(F.collect_list(F.struct("i", "d", "g"))).alias("p"))
+    dots = dots.select(*NET, F.expr("transform(slice(p, 1, size(p) - 1), q -> if(q.g > 0, q.d / q.g, 0D))").alias("c"), F.expr("element_at(p, -1).d").alias("own"), "p")
+    # what is left of its length, by which it is scaled; the small problem takes lengths as they are
+    dots = dots.select(*NET, "c", "own", F.expr("own - aggregate(zip_with(c, slice(p, 1, size(p) - 1), (a, q) -> a * q.d), 0D, (a, b) -> a + b)").alias("new"))
+    less = F.expr("x - aggregate(zip_with(v, c, (a, b) -> a * b), 0D, (a, b) -> a + b)")
+    # where the basis spans all that the network has, zeros follow
+    unit = F.when(F.col("new") > 1e-14 * F.col("own"), less / F.sqrt("new")).otherwise(F.lit(0.0))
+    made = rows.join(spread(dots), NET).select(*NET, "gene", F.array_append("v", unit).alias("v"), "w")
+    product = edges.join(made.select(*NET, F.col("gene").alias("src"), F.element_at("v", -1).alias("x")), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.sum(F.col("lls") * F.col("x")).alias("x"))
+    return cut(made.join(product, [*NET, "gene"]).select(*NET, "gene", "v", F.array_append("w", F.col("x")).alias("w"), "x"))
+
+
+def ritz_vectors(rows: DataFrame, kept: int) -> DataFrame:
+    """NET, theta, s: for each network the leading Ritz value and the ``kept`` leading vectors of
+    coefficients, from the Gram matrices V'V and V'W of its basis, added up task by task."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            v, w = (np.array(batch.column(i).to_pylist(), float) for i in (2, 3))
+            for key in dict.fromkeys(keys):
+                own = np.array([k == key for k in keys])
+                found[key] = np.concatenate([(v[own].T @ v[own]).ravel(), (v[own].T @ w[own]).ravel()]).tolist()
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(found.values()), pa.list_(pa.float64()))], names=[*NET, "m"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            theta, s = [], []
+            for m in batch.column(2).to_pylist():
+                m = np.array([x["m"] for x in m])
+                size = int(np.sqrt(len(m) / 2))
+                g, h = m.reshape(2, size, size)
+                length, axes = np.linalg.eigh((g + g.T) / 2)
+                axes = axes[:, length > 1e-10 * length[-1]] / np.sqrt(length[length > 1e-10 * length[-1]])
+                values, vectors = np.linalg.eigh(axes.T @ (h + h.T) @ axes / 2)
+                vectors = (axes @ vectors)[:, ::-1][:, :kept]
+                theta.append(float(values[-1]))
+                s.append(np.pad(vectors, ((0, 0), (0, kept - vectors.shape[1]))).T.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(theta, pa.float64()), pa.array(s, pa.list_(pa.list_(pa.float64())))], names=[*NET, "theta", "s"])
+
+    parts = rows.select(*NET, "v", "w").mapInArrow(grams, "celltype string, condition string, m array<double>")
+    sums = parts.select(*NET, F.posexplode("m").alias("i", "m")).groupBy(*NET, "i").agg(F.sum("m").alias("m"))
+    small = sums.groupBy(*NET).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m"))
+    return small.mapInArrow(solve, "celltype string, condition string, theta double, s array<array<double>>")

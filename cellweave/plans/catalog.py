@@ -359,15 +359,14 @@ def betweenness(t):
     return paths.betweenness(t.aligned()).withColumn("value", F.round("value", 6))
 
 
-@query("eigenvector", """CTE g AS (SELECT celltype, condition, gene AS src, other AS dst, lls AS w FROM ends UNION ALL SELECT celltype, condition, gene, gene, 1 FROM st), v0 AS (SELECT celltype, condition, gene, CAST(1 AS DOUBLE) AS x FROM st),
-    """ + ",\n".join(f"v{i} AS MATERIALIZED (SELECT celltype, condition, gene, m / max(m) OVER (PARTITION BY celltype, condition) AS x FROM (SELECT g.celltype, g.condition, dst AS gene, sum(w * x) AS m FROM g JOIN v{i - 1} v ON v.celltype = g.celltype AND v.condition = g.condition AND v.gene = g.src GROUP BY ALL))" for i in range(1, 21)) + "\nSELECT celltype, condition, gene, round(x, 6) AS value FROM v20")
-def eigenvector(t):
-    return paths.eigenvector(t.aligned(), rounds=20).withColumn("value", F.round("value", 6))
+#: The matrix A + I of each network squared 26 times, scaled each time: its columns are the leading eigenvector then.
+SQUARED = ",\n".join(f"m{i} AS MATERIALIZED (SELECT celltype, condition, a, b, x / max(x) OVER (PARTITION BY celltype, condition) AS x FROM (SELECT p.celltype, p.condition, p.a, q.b, sum(p.x * q.x) AS x FROM m{i - 1} p JOIN m{i - 1} q ON p.celltype = q.celltype AND p.condition = q.condition AND p.b = q.a GROUP BY ALL) WHERE x > 1e-200)" for i in range(1, 27))
 
 
-@query("eigenvector_converged", None)
-def eigenvector_converged(t):
-    return paths.eigenvector(t.aligned()).withColumn("value", F.round("value", 6))
+@query("eigenvector", f"""CTE m0 AS MATERIALIZED (SELECT celltype, condition, gene AS a, other AS b, lls AS x FROM ends UNION ALL SELECT celltype, condition, gene, gene, 1 FROM st), {SQUARED}, v AS (SELECT celltype, condition, a AS gene, sum(x) AS x FROM m26 GROUP BY ALL)
+    SELECT celltype, condition, gene, abs(round(coalesce(x, 0) / max(x) OVER (PARTITION BY celltype, condition), 6)) AS value FROM st LEFT JOIN v USING (celltype, condition, gene)""")
+def eigenvector(t):
+    return paths.eigenvector(t.aligned(), tolerance=1e-9).withColumn("value", F.abs(F.round("value", 6)))
 
 
 #: Every third part has its size class as a label, the others are unknown.
@@ -394,19 +393,16 @@ def propagate_labels(t):
     return labels.propagate_labels(t.aligned(), part_labels(t), rounds=3)
 
 
-ASSOC = """CTE s AS (SELECT celltype, condition, count(*) AS shared FROM fx_cells WHERE cell_id % 7 = batch % 7 GROUP BY ALL), z AS (SELECT *, CAST(sum(shared) OVER () AS BIGINT) AS n, CAST(sum(shared) OVER (PARTITION BY celltype) AS BIGINT) AS a, CAST(sum(shared) OVER (PARTITION BY condition) AS BIGINT) AS b FROM s),
-    k AS (SELECT *, unnest(range(shared, least(a, b) + 1)) AS i FROM z),
-    t AS (SELECT *, lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(n - a + 1) - lgamma(b - i + 1) - lgamma(n - a - b + i + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1) AS l FROM k WHERE n - a - b + i >= 0)
-    SELECT celltype, condition, any_value(shared) AS shared, round(least(300, greatest(0, -log10(sum(exp(l))))), 6) AS log10_p FROM t GROUP BY celltype, condition"""
+#: The upper tail, summed over its largest term.
+ASSOC = """CTE s AS (SELECT celltype, condition, count(*) AS shared FROM fx_cells GROUP BY ALL), z AS (SELECT *, CAST(sum(shared) OVER () AS BIGINT) AS n, CAST(sum(shared) OVER (PARTITION BY celltype) AS BIGINT) AS a, CAST(sum(shared) OVER (PARTITION BY condition) AS BIGINT) AS b FROM s),
+    k AS (SELECT *, unnest(range(greatest(0, a + b - n), least(a, b) + 1)) AS i FROM z),
+    t AS (SELECT *, lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(n - a + 1) - lgamma(b - i + 1) - lgamma(n - a - b + i + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1) AS l FROM k),
+    m AS (SELECT celltype, condition, any_value(shared) AS shared, max(l) FILTER (i >= shared) AS top FROM t GROUP BY ALL)
+    SELECT t.celltype, t.condition, t.shared, round(least(300, greatest(0, -(m.top + ln(sum(exp(l - m.top)))) / ln(10))), 6) AS log10_p FROM t JOIN m ON m.celltype = t.celltype AND m.condition = t.condition WHERE i >= t.shared GROUP BY t.celltype, t.condition, t.shared, m.top"""
 
 
 @query("label_association", ASSOC)
 def label_association(t):
-    return labels.label_association(t.cells().where("cell_id % 7 = batch % 7"), "celltype", "condition").withColumn("log10_p", F.round("log10_p", 6))
-
-
-@query("label_association_all", None)
-def label_association_all(t):
     return labels.label_association(t.cells(), "celltype", "condition").withColumn("log10_p", F.round("log10_p", 6))
 
 

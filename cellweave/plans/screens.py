@@ -74,14 +74,16 @@ def tested_sql(by: str, value: str, observed: str, null: str) -> str:
     bq AS (SELECT * EXCLUDE (n_, r_), least(1, min(p * n_ / r_) OVER (PARTITION BY {by} ORDER BY r_ DESC)) AS q FROM rk)"""
 
 
-ORACLE_SQL["find_all_hub"] = f"{SQL}, {rewired_sql('nl', 'true', 'ceil(10000 / n)', 0.5, 1)}, {tested_sql('celltype, condition', 'value', 'pr', 'nl')} SELECT * FROM bq"
+ORACLE_SQL["find_all_hub"] = f"""{SQL}, {rewired_sql('nl', 'true', 'ceil(10000 / n)', 0.5, 1)},
+    nz AS (SELECT v.celltype, v.condition, coalesce(value, 0) AS value FROM (SELECT celltype, condition, i, unnest(range(1, CAST(ceil(10000 / n) AS BIGINT) + 1)) AS rep FROM nl_nodes) v LEFT JOIN nl ON nl.celltype = v.celltype AND nl.condition = v.condition AND nl.rep = v.rep AND nl.i = v.i),
+    {tested_sql('celltype, condition', 'value', 'pr', 'nz')} SELECT * FROM bq"""
 
 RANKED_NULL = """s{0} AS MATERIALIZED (SELECT celltype, rep, i, percent_rank() OVER (PARTITION BY celltype, rep ORDER BY value) AS pr{0} FROM nl{0} JOIN kept USING (celltype, i))"""
 ORACLE_SQL["find_diff_hub"] = f"""{SQL}, able AS (SELECT celltype FROM (SELECT celltype, condition, count(*) AS n FROM fx_cells WHERE condition IN ('F', 'O') GROUP BY ALL) GROUP BY celltype HAVING count(*) = 2 AND min(n) >= 500),
     {rewired_sql('nl0', "condition = 'F' AND celltype IN (SELECT celltype FROM able)", 'ceil(1000000 / n)', 0.9, 1, False)},
     {rewired_sql('nl1', "condition = 'F' AND celltype IN (SELECT celltype FROM able)", 'ceil(1000000 / n)', 0.9, 2, False)},
     kept AS (SELECT celltype, i FROM nl0_nodes SEMI JOIN pr USING (celltype, condition, gene)), {RANKED_NULL.format(0)}, {RANKED_NULL.format(1)},
-    nd AS (SELECT celltype, coalesce(pr0, 0) AS a, coalesce(pr1, 0) AS b FROM s0 FULL JOIN s1 USING (celltype, rep, i)), ns AS (SELECT celltype, abs(b - a) AS size FROM nd WHERE NOT (a = 0 AND b = 0)),
+    nd AS (SELECT celltype, coalesce(pr0, 0) AS a, coalesce(pr1, 0) AS b FROM s0 FULL JOIN s1 USING (celltype, rep, i)), ns AS (SELECT celltype, abs(b - a) AS size FROM nd),
     ob AS (SELECT *, abs(diff) AS size FROM (SELECT *, row_number() OVER (PARTITION BY celltype ORDER BY abs(diff) DESC, gene) AS rank FROM d) WHERE celltype IN (SELECT celltype FROM able)),
     {tested_sql('celltype', 'size', 'ob', 'ns')} SELECT * FROM bq""".replace(", able AS", ", " + DIFF.strip().removeprefix("CTE").strip() + ", able AS", 1)
 

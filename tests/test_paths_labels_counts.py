@@ -35,13 +35,13 @@ def test_betweenness_of_a_path_and_a_square(spark, net):
 
 def test_eigenvector_of_a_star(spark):
     star = spark.createDataFrame([("t", "c", "m", x, 2.0) for x in "abcd"], "celltype string, condition string, gene1 string, gene2 string, lls double")
-    got = values(paths.eigenvector(star, rounds=60))
+    got = values(paths.eigenvector(star))
     assert got["m"] == 1 and got["a"] == pytest.approx(0.5, abs=1e-6)
 
 
 def test_empty_network(net):
     none = net.where("gene1 = 'q'")
-    assert paths.closeness(none).count() == paths.betweenness(none).count() == paths.eigenvector(none, rounds=2).count() == 0
+    assert paths.closeness(none).count() == paths.betweenness(none).count() == paths.eigenvector(none).count() == 0
 
 
 def test_labels_spread_to_unknown_nodes_only(spark):
