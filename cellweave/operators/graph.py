@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .network import NET, endpoints
@@ -13,9 +15,8 @@ def both_ways(net: DataFrame, *values: str) -> DataFrame:
     return net.select(*NET, *values, F.explode(pair).alias("e")).select(*NET, *values, "e.src", "e.dst")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Truncate lineage in the shared checkpoint folder."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder, set up where the session has none yet."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -25,9 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="cellweave-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Truncate lineage in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared checkpoint folder and read it back.  Unlike a checkpoint it brings
+    nothing of its plan along: loops with many joins would infer ever more constraints from that."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(net: DataFrame) -> DataFrame:
     """celltype, condition, gene, component (its smallest gene), by label spreading with jumps."""
     edges = cut(both_ways(net))

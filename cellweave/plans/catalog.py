@@ -394,14 +394,14 @@ def propagate_labels(t):
 
 
 #: The upper tail, summed over its largest term.
-ASSOC = """CTE s AS (SELECT celltype, condition, count(*) AS shared FROM fx_cells GROUP BY ALL), z AS (SELECT *, CAST(sum(shared) OVER () AS BIGINT) AS n, CAST(sum(shared) OVER (PARTITION BY celltype) AS BIGINT) AS a, CAST(sum(shared) OVER (PARTITION BY condition) AS BIGINT) AS b FROM s),
+ASSOC = """s AS (SELECT celltype, condition, count(*) AS shared FROM fx_cells GROUP BY ALL), z AS (SELECT *, CAST(sum(shared) OVER () AS BIGINT) AS n, CAST(sum(shared) OVER (PARTITION BY celltype) AS BIGINT) AS a, CAST(sum(shared) OVER (PARTITION BY condition) AS BIGINT) AS b FROM s),
     k AS (SELECT *, unnest(range(greatest(0, a + b - n), least(a, b) + 1)) AS i FROM z),
     t AS (SELECT *, lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(n - a + 1) - lgamma(b - i + 1) - lgamma(n - a - b + i + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1) AS l FROM k),
-    m AS (SELECT celltype, condition, any_value(shared) AS shared, max(l) FILTER (i >= shared) AS top FROM t GROUP BY ALL)
-    SELECT t.celltype, t.condition, t.shared, round(least(300, greatest(0, -(m.top + ln(sum(exp(l - m.top)))) / ln(10))), 6) AS log10_p FROM t JOIN m ON m.celltype = t.celltype AND m.condition = t.condition WHERE i >= t.shared GROUP BY t.celltype, t.condition, t.shared, m.top"""
+    m AS (SELECT celltype, condition, any_value(shared) AS shared, max(l) FILTER (i >= shared) AS top FROM t GROUP BY ALL),
+    p AS MATERIALIZED (SELECT t.celltype, t.condition, t.shared, round(least(300, greatest(0, -(m.top + ln(sum(exp(l - m.top)))) / ln(10))), 6) AS log10_p FROM t JOIN m ON m.celltype = t.celltype AND m.condition = t.condition WHERE i >= t.shared GROUP BY t.celltype, t.condition, t.shared, m.top)"""
 
 
-@query("label_association", ASSOC)
+@query("label_association", f"CTE {ASSOC} SELECT * FROM p")
 def label_association(t):
     return labels.label_association(t.cells(), "celltype", "condition").withColumn("log10_p", F.round("log10_p", 6))
 
