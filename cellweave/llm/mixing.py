@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, digest, input_rows, materialize
 
-#: Primes beyond any block number, for the steps of the permutations.
+#: Primes for the steps of the permutations; no block number is divisible by all.
 PRIMES = (2147483647, 2147483629, 2147483587)
 CYCLE = (1, 2, 3)
 CAP = 3
@@ -58,13 +58,16 @@ def block_of(k: Column, blocks: Column, source: Column, seed: int) -> Column:
     """Block number of a source's k-th slot: (step x (k mod blocks) + shift) mod blocks.
 
     The step is the residue of a prime that doesn't divide ``blocks``, hence without a common
-    divisor; the shift is hashed from source and pass.
+    divisor; the shift is hashed from source and pass.  The product is taken in halves of the step, so
+    that it fits 64 bits up to 2^46 blocks.
     """
     step = F.lit(PRIMES[-1])
     for p in PRIMES[-2::-1]:
         step = F.when(blocks % p != 0, F.lit(p)).otherwise(step)
     shift = F.pmod(digest(source, F.floor(k / blocks), F.lit(seed)), blocks)
-    return F.pmod(F.pmod(k, blocks) * (step.cast("long") % blocks) + shift, blocks)
+    at, step = F.pmod(k, blocks), step.cast("long") % blocks
+    high = at * F.floor(step / 65536) % blocks * 65536 % blocks
+    return F.pmod(high + at * (step % 65536) % blocks + shift, blocks)
 
 
 def in_ranges(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
