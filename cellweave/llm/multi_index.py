@@ -91,7 +91,9 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray) -> Iterator[tup
 
 
 def cosines(query: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Exact measure, summed row by row so that equal vectors score equally."""
+    """Exact measure, summed row by row so that equal vectors score equally; powers of two keep squares of very
+    large and very small parts in range and change no other bit."""
+    query, entries = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True, initial=0.0))[1]) for x in (query, entries))
     return (entries * query).sum(axis=1) / (np.sqrt((entries * entries).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
