@@ -47,6 +47,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+ADDRESS = re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")
 CANDIDATE = re.compile(r"[+(]{0,2}[0-9][0-9().+-]*+(?: \(?[0-9][0-9().+-]*+)*+")
 EDGE = re.compile(r"[0-9@]")
 EDGES = ("chain", "skip", "like")
@@ -121,7 +122,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         plus, bracket, dash, gap = "+" in token, "(" in token, "-" in token, " " in token
         size = "s" if n < 9 else "p" if n < 12 else "c" if n < 20 else "l"
         valid = size == "c" and luhn(digits)
-        key = token if dots == 3 else digits[-9:] if 9 <= n <= 15 else digits
+        key = token if ADDRESS.fullmatch(token) else digits[-9:] if 9 <= n <= 15 else digits
         out.append((m.start(), m.start() + len(token), f"{size}{int(plus)}{int(bracket)}{int(dash)}{int(gap)}{min(dots, 4)}{int(valid)}", key))
     out.sort()
     return out

@@ -154,3 +154,33 @@ def test_fertility_table_grows_with_the_words():
     rows = np.array([pieces[w] for w in words])
     for part in (rows[:1], rows[16_380:16_390], rows[::777]):
         assert pieces.measure(part)[0] == sum(len(model.encode(words[r].decode())) for r in part)
+
+
+def test_block_permutations_beyond_64_bit_products(spark):
+    """Slots of a source of 5e9 blocks, and all of one of a few."""
+    blocks = 5_000_000_000
+    slots = [0, 1, 2, 4_999_999_999, 4_294_967_296, 3_333_333_333]
+    rows = spark.createDataFrame([(k, blocks, "s") for k in slots] + [(k, 77, "t") for k in range(77)], "k long, b long, source string")
+    got = rows.select("k", "b", mixing.block_of(rows.k, rows.b, rows.source, 3).alias("at")).collect()
+    at = {r["k"]: r["at"] for r in got if r["b"] == blocks}
+    step = next(p for p in mixing.PRIMES if blocks % p)
+    assert all((at[k] - at[0]) % blocks == k * step % blocks for k in slots)
+    assert sorted(r["at"] for r in got if r["b"] == 77) == list(range(77))
+
+
+def test_cosine_of_very_large_and_very_small_vectors():
+    entries = np.array([[1.0, 1.0], [1e200, 1e200], [1e-200, 2e-200], [-3e-310, 0.0]])
+    got = multi_index.cosines(np.array([1e200, 1e200]), entries)
+    assert got == pytest.approx([1, 1, 3 / 10**0.5, -(0.5**0.5)])
+    plain = np.random.default_rng(1).normal(size=(50, 9))
+    want = (plain * plain[0]).sum(axis=1) / (np.sqrt((plain * plain).sum(axis=1)) * np.sqrt((plain[0] * plain[0]).sum()))
+    assert (multi_index.cosines(plain[0], plain) == want).all()
+
+
+def test_pii_links_a_card_written_with_dots(spark):
+    plain, dotted = "4111 1111 1111 1111", "4111.1111.1111.1111"
+    keys = {key for _, _, _, key in pii.candidates(f"card {plain} and {dotted}, at 10.20.30.40")}
+    assert keys == {"4111111111111111", "10.20.30.40"}
+    text = f"my card {plain} please. " + f"then, some words further on, and again the card {dotted} as above. " * 20
+    got = pii.find_pii(spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")).first()
+    assert got["n_card"] == 1 and got["n_added"] == 20
