@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, digest, input_rows, materialize
 
-#: A term, in texts of which A-Z were lower-cased.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The same for bytes of UTF-8: A-Z lower-cased, what is in no term made a space.
+#: Bytes of UTF-8 as terms have them: A-Z in lower case, and spaces for what is in none (control
+#: characters and punctuation of ASCII).
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 SHARD = "docs array<long>, terms binary, ends binary, places binary, impacts binary"
 
@@ -102,8 +101,15 @@ class LexicalIndex:
     def __init__(self, docs: DataFrame, shard_terms: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"):
         bound_batches(docs.sparkSession)
         own = input_rows(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-        n = F.regexp_count("text", F.lit(TERM))
-        total = own.agg(F.count_if(n > 0), F.coalesce(F.sum(n), F.lit(0))).first()
+        own = own.select("doc", F.col("text").cast("binary"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = [len(terms_of(text.as_py() or b"")) for text in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))]), pa.array([sum(n)])], names=["docs", "terms"])
+
+        counts = own.select("text").mapInArrow(count, "docs long, terms long")
+        total = counts.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
         self.n_docs, self.n_terms = n_docs, n_terms = total[0], total[1]
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +125,7 @@ class LexicalIndex:
             if shard.docs:
                 yield shard.row(n_docs, n_terms)
 
-        self.shards = materialize(own.select("doc", F.col("text").cast("binary")).mapInArrow(gather, SHARD), "postings")
+        self.shards = materialize(own.mapInArrow(gather, SHARD), "postings")
 
     def frequencies(self, terms: list[bytes]) -> dict[bytes, int]:
         """In how many documents of the collection each of ``terms`` is."""
