@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import assignment, communities, neighbours
+from ..operators import assignment, communities, decomposition, graph, neighbours
+from ..operators import network as N
 from .catalog import ASSOC, query
 
 
@@ -44,3 +46,60 @@ def nn_descent(t):
 @query("neighbour_network", None)
 def neighbour_network(t):
     return neighbours.neighbour_network(brand_vectors(t), k=30).withColumn("weight", F.round("weight", 6))
+
+
+def purchases(t):
+    """The sparse table of brands by customers."""
+    return t.counts().select(F.col("feature").alias("row"), F.col("cell_id").alias("col"), F.col("value").cast("double").alias("x"))
+
+
+def powers(i: int) -> str:
+    return f"g{i} AS MATERIALIZED (SELECT p.a, q.b, sum(p.x * q.x) AS x FROM g{i - 1} p JOIN g0 q ON p.b = q.a GROUP BY ALL)"
+
+
+#: The sum of all singular values to the power 2 i is the trace of the i-th power of the Gram matrix.
+@query("singular_moments", f"""CTE g0 AS MATERIALIZED (SELECT p.feature AS a, q.feature AS b, CAST(sum(p.value * q.value) AS DOUBLE) AS x FROM fx_counts p JOIN fx_counts q USING (cell_id) GROUP BY ALL), {', '.join(map(powers, range(1, 6)))}
+    SELECT i, round(log10(x), 6) AS moment FROM ({' UNION ALL '.join(f'SELECT {i + 1} AS i, sum(x) AS x FROM g{i} WHERE a = b' for i in range(6))})""")
+def singular_moments(t):
+    rows = purchases(t)
+    _, s, _ = decomposition.truncated_svd(rows, dim=rows.select("row").distinct().count())
+    return rows.sparkSession.createDataFrame([(i, float(np.round(np.log10((s ** (2 * i)).sum()), 6))) for i in range(1, 7)], "i int, moment double")
+
+
+@query("reduced_kernel", None)
+def reduced_kernel(t):
+    return decomposition.reduced_kernel(purchases(t), dim=5, oversample=20)[2].select("id", F.posexplode("v").alias("k", "v"))
+
+
+@query("simplex_regression", None)
+def simplex_regression(t):
+    """Customers as mixtures of the four that lie farthest apart."""
+    points = brand_vectors(t)
+    corners = [i for i, _ in decomposition.successive_projection(points, 4)]
+    at = {r["id"]: r["x"] for r in points.where(F.col("id").isin(corners)).collect()}
+    return decomposition.simplex_regression(points, np.array([at[i] for i in corners]).T).select("id", F.posexplode("h").alias("corner", "h"))
+
+
+VECTORS = """x0 AS MATERIALIZED (SELECT id, list(coalesce(v, 0) ORDER BY b) AS x FROM (SELECT DISTINCT cell_id AS id FROM fx_counts), (SELECT DISTINCT p_brand AS b FROM part) LEFT JOIN (SELECT cell_id, feature, CAST(value AS DOUBLE) AS v FROM fx_counts) c ON c.cell_id = id AND c.feature = b GROUP BY id)"""
+PICKS = ", ".join(f"""p{i} AS MATERIALIZED (SELECT id, x, list_inner_product(x, x) AS size FROM x{i} ORDER BY size DESC, id LIMIT 1),
+    x{i + 1} AS MATERIALIZED (SELECT x.id, list_transform(list_zip(x.x, p.x), lambda z: z[1] - list_inner_product(x.x, p.x) / p.size * z[2]) AS x FROM x{i} x, p{i} p)""" for i in range(6))
+
+
+@query("successive_projection", f"CTE {VECTORS}, {PICKS} " + " UNION ALL ".join(f"SELECT {i} AS step, id, round(size, 4) AS residual FROM p{i}" for i in range(6)))
+def successive_projection(t):
+    rows = [(k, i, round(float(size), 4)) for k, (i, size) in enumerate(decomposition.successive_projection(brand_vectors(t), 6))]
+    return t.counts().sparkSession.createDataFrame(rows, "step int, id long, residual double")
+
+
+#: Rounds of the diffusion until nothing is left to move (0.85 to the 150th is 3e-11).
+LIMIT = """CTE wt AS (SELECT celltype, condition, gene, sum(lls) AS w FROM ends GROUP BY ALL), mv AS MATERIALIZED (SELECT e.celltype, e.condition, e.gene, other, lls / w AS p FROM ends e JOIN wt ON wt.celltype = e.celltype AND wt.condition = e.condition AND wt.gene = e.gene),
+    d0 AS MATERIALIZED (SELECT celltype, condition, gene, CASE WHEN gene % 10 = 0 THEN 1.0 / greatest(1, count(*) FILTER (gene % 10 = 0) OVER (PARTITION BY celltype, condition)) ELSE 0 END::DOUBLE AS x FROM st), """ + ", ".join(f"d{i} AS MATERIALIZED (SELECT s.celltype, s.condition, s.gene, 0.85::DOUBLE * coalesce(m, 0) + 0.15::DOUBLE * s.x AS x FROM d0 s LEFT JOIN (SELECT mv.celltype, mv.condition, other AS gene, sum(p * x) AS m FROM mv JOIN d{i - 1} d ON d.celltype = mv.celltype AND d.condition = mv.condition AND d.gene = mv.gene GROUP BY ALL) n ON n.celltype = s.celltype AND n.condition = s.condition AND n.gene = s.gene)" for i in range(1, 151))
+
+
+@query("diffusion_limit", LIMIT + " SELECT celltype, condition, gene, round(x + 3e-10, 6) AS x FROM d150")
+def diffusion_limit(t):
+    net = t.aligned()
+    seeds = N.endpoints(net).distinct().where("gene % 10 = 0")
+    n = seeds.groupBy(*N.NET).agg(F.count(F.lit(1)).alias("n"))
+    seeds = seeds.join(n, N.NET).select(*N.NET, "gene", (1 / F.col("n")).alias("x0"))
+    return graph.diffusion_limit(net, seeds).withColumn("x", F.round(F.col("x") + 3e-10, 6))
