@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .network import NET, endpoints
@@ -124,6 +124,26 @@ def diffusion_limit(net: DataFrame, seeds: DataFrame, alpha: float = 0.85, toler
     raise ArithmeticError(f"no residual within {tolerance} after {rounds} steps")
 
 
+def enhanced(net: DataFrame, root: bool = False, most: int | None = None) -> DataFrame:
+    """NET, gene1, gene2, weight: W W' without its diagonal, for steps P = A / row sums and W = P / the roots of P's
+    column sums (``root``: times them); negative weights count as 0.
+
+    Genes that share a neighbour meet at it, which is as many pairs as its degree squared, summed in part
+    by each task.  ``most`` keeps only the heaviest steps into each neighbour (the rest of a hub's are small), which
+    bounds that.
+    """
+    edges = both_ways(net.where("gene1 <> gene2"), "lls").where("lls > 0").groupBy(*NET, "src", "dst").agg(F.sum("lls").alias("lls"))
+    out = edges.groupBy(*NET, "src").agg(F.sum("lls").alias("total"))
+    p = edges.join(out, [*NET, "src"]).select(*NET, "src", "dst", (F.col("lls") / F.col("total")).alias("p"))
+    into = p.groupBy(*NET, "dst").agg(F.sqrt(F.sum("p") + 1e-16).alias("d"))
+    w = p.join(into, [*NET, "dst"]).select(*NET, "src", "dst", (F.col("p") * F.col("d") if root else F.col("p") / F.col("d")).alias("w"))
+    if most is not None:
+        w = w.withColumn("r", F.row_number().over(Window.partitionBy(*NET, "dst").orderBy(F.desc("w"), "src"))).where(F.col("r") <= most).drop("r")
+    w = stored(w)
+    side = lambda i: w.select(*NET, "dst", F.col("src").alias(f"gene{i}"), F.col("w").alias(f"w{i}"))
+    return side(1).join(side(2), [*NET, "dst"]).where("gene1 < gene2").groupBy(*NET, "gene1", "gene2").agg(F.sum(F.col("w1") * F.col("w2")).alias("weight"))
+
+
 def core_centrality(net: DataFrame, groups: DataFrame) -> DataFrame:
     """NET, gene, label, core, z: core numbers within the edges of a group (NET, gene, label), over
     their standard deviation in the group (1 where that is 0)."""

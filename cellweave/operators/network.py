@@ -198,7 +198,8 @@ def p_adjust(rows: DataFrame, p: str, by: list[str], order: list[str], methods:
     w = Window.partitionBy(*by)
     r = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(p, *order)))
     r = r.withColumn("_p_n_r", F.col(p) * F.col("_n") / F.col("_r")).withColumn("_p_left", (F.col("_n") - F.col("_r") + 1) * F.col(p))
-    r = r.withColumn("_h", F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda s, i: s + 1 / i))
+    if "by" in methods:
+        r = r.withColumn("_h", F.sum(1 / F.col("_r")).over(w.orderBy(p, *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     for m in methods:
         r = r.withColumn(f"p_{m}", adjusted(F.col(p), by, order, m))
     return r.drop("_n", "_r", "_p_n_r", "_p_left", "_h")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import assignment, communities, decomposition, graph, neighbours
+from ..operators import assignment, bins, communities, decomposition, graph, neighbours
 from ..operators import network as N
 from .catalog import ASSOC, query
 
@@ -103,3 +103,20 @@ def diffusion_limit(t):
     n = seeds.groupBy(*N.NET).agg(F.count(F.lit(1)).alias("n"))
     seeds = seeds.join(n, N.NET).select(*N.NET, "gene", (1 / F.col("n")).alias("x0"))
     return graph.diffusion_limit(net, seeds).withColumn("x", F.round(F.col("x") + 3e-10, 6))
+
+
+@query("ensemble_bins", """CTE z AS (SELECT celltype, count(*) AS n FROM fx_cust GROUP BY ALL), dn AS (SELECT c.celltype, b.feature, coalesce(CAST(value AS DOUBLE), 0) AS x FROM fx_cust c CROSS JOIN (SELECT DISTINCT feature FROM fx_counts) b LEFT JOIN fx_counts k ON k.cell_id = c.cell_id AND k.feature = b.feature),
+    r AS (SELECT *, row_number() OVER (PARTITION BY celltype, feature ORDER BY x) AS r FROM dn), bn AS (SELECT celltype, n, bin, greatest(1, round_even(1 + (bin - 1) * (CAST(0.9 AS DOUBLE) * n - 1) / 9, 0)) AS cut FROM z, range(1, 11) y(bin))
+    SELECT r.celltype, feature, CAST(bin AS INTEGER) AS bin, round(coalesce(sum(x) FILTER (r > cut), 0), 4) AS above, round(avg(x) FILTER (r >= cut), 6) AS mean, round(coalesce(var_samp(x) FILTER (r >= cut), 0) + 3e-7, 4) AS variance FROM r JOIN bn ON bn.celltype = r.celltype GROUP BY ALL""")
+def ensemble_bins(t):
+    cells = t.customers()
+    rows = t.counts().join(cells, "cell_id").select("celltype", "feature", F.col("value").cast("double").alias("value"))
+    found = bins.ensemble_bins(rows, ["celltype", "feature"], cells.groupBy("celltype").agg(F.count(F.lit(1)).alias("size")), 10)
+    return found.withColumns({"above": F.round("above", 4), "mean": F.round("mean", 6), "variance": F.round(F.col("variance") + 3e-7, 4)})
+
+
+@query("network_enhancement", """CTE p AS (SELECT e.celltype, e.condition, e.gene, other, lls / w AS p FROM ends e JOIN (SELECT celltype, condition, gene, sum(lls) AS w FROM ends GROUP BY ALL) s ON s.celltype = e.celltype AND s.condition = e.condition AND s.gene = e.gene),
+    w AS (SELECT p.celltype, p.condition, p.gene, p.other, p / sqrt(c + 1e-16) AS w FROM p JOIN (SELECT celltype, condition, other, sum(p) AS c FROM p GROUP BY ALL) s ON s.celltype = p.celltype AND s.condition = p.condition AND s.other = p.other)
+    SELECT a.celltype, a.condition, a.gene AS gene1, b.gene AS gene2, round(sum(a.w * b.w) + 3e-10, 6) AS weight FROM w a JOIN w b ON a.celltype = b.celltype AND a.condition = b.condition AND a.other = b.other AND a.gene < b.gene GROUP BY ALL""")
+def network_enhancement(t):
+    return graph.enhanced(t.aligned()).withColumn("weight", F.round(F.col("weight") + 3e-10, 6))
