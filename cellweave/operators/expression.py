@@ -56,9 +56,15 @@ def pseudobulk(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
     return s.join(n, by).select(*by, "feature", "n_cells", "sum", (F.col("sum") / k).alias("mean"), var.alias("var"))
 
 
+def every_pair(features: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``features`` once for each group, also where they never met: the names of the groups are one row."""
+    names = groups.agg(F.collect_list(key).alias("_names"))
+    return features.crossJoin(F.broadcast(names)).withColumn(key, F.explode("_names")).drop("_names")
+
+
 def cluster_specificity(counts: DataFrame, cells: DataFrame, cluster: str) -> DataFrame:
     """Bernstein bounds (log10) for each feature and cluster against the null of independent
-    non-zeros, from cell coverage and feature frequency."""
+    non-zeros, from cell coverage and feature frequency.  A feature that a cluster lacks has 0 and its lower bound."""
     n = cells.count()
     g = counts.groupBy("feature").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("nnz"), F.max("value").alias("top"))
     g = g.select("feature", (F.col("nnz") / n).alias("row_p"), (F.col("s") / F.col("nnz")).alias("row_factor"), F.col("top").alias("row_max"))
@@ -67,7 +73,7 @@ def cluster_specificity(counts: DataFrame, cells: DataFrame, cluster: str) -> Da
     rho = cover.agg(F.avg("col_p").alias("rho"))
     gamma = cover.join(F.broadcast(rho), F.lit(True)).withColumn("b", F.col("col_p") / F.col("rho")).groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), F.sum("b").alias("b1"), F.sum(F.col("b") * F.col("b")).alias("b2"), F.max("b").alias("bmax"))
     obs = counts.join(cells, "cell_id").groupBy(cluster, "feature").agg(F.sum("value").alias("obs"))
-    grid = obs.join(gamma, cluster).join(g, "feature")
+    grid = every_pair(g, gamma, cluster).join(obs, [cluster, "feature"], "left").join(gamma, cluster).withColumn("obs", F.coalesce("obs", F.lit(0)))
     e = F.col("row_p") * F.col("row_factor") * F.col("b1") / F.col("size")
     nu = F.col("row_p") * F.col("row_factor") * F.col("row_factor") * F.col("b2") / (F.col("size") * F.col("size"))
     a = F.col("row_max") * F.col("bmax") / F.col("size")
@@ -93,7 +99,8 @@ def archetype_specificity(counts: DataFrame, weights: DataFrame, n_cells: int) -
     nu = F.col("row_p") * F.col("row_factor") * F.col("row_factor") * F.col("b2")
     up = F.when(d > 0, d * d / (2 * (nu + d * F.col("row_max") * F.col("bmax") / 3)) / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
     low = F.when(d < 0, d * d / (2 * nu) / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
-    return obs.join(gamma, "archetype").join(g, "feature").select("archetype", "feature", F.round("obs", 9).alias("obs"), F.round(up, 9).alias("upper"), F.round(low, 9).alias("lower"))
+    grid = every_pair(g, gamma, "archetype").join(obs, ["archetype", "feature"], "left").join(gamma, "archetype").withColumn("obs", F.coalesce("obs", F.lit(0.0)))
+    return grid.select("archetype", "feature", F.round("obs", 9).alias("obs"), F.round(up, 9).alias("upper"), F.round(low, 9).alias("lower"))
 
 
 def top_markers(specificity: DataFrame, cluster: str, k: int) -> DataFrame:

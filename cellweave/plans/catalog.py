@@ -271,7 +271,7 @@ SPEC = """CTE n AS (SELECT count(*) AS n FROM fx_cust), g AS (SELECT feature, co
     f AS (SELECT count(*) AS f FROM g), cov AS (SELECT cell_id, celltype, coalesce(k / f, 0) AS col_p FROM fx_cust LEFT JOIN (SELECT cell_id, count(*) FILTER (value > 0) AS k FROM fx_counts GROUP BY ALL) USING (cell_id), f),
     rho AS (SELECT avg(col_p) AS rho FROM cov), ga AS (SELECT celltype, count(*) AS size, sum(col_p / rho) AS b1, sum((col_p / rho) * (col_p / rho)) AS b2, max(col_p / rho) AS bmax FROM cov, rho GROUP BY ALL),
     o AS (SELECT celltype, feature, sum(value) AS obs FROM fx_counts JOIN fx_cust USING (cell_id) GROUP BY ALL),
-    v AS (SELECT celltype, feature, obs, obs / size - row_p * row_factor * b1 / size AS d, row_p * row_factor * row_factor * b2 / (size * size) AS nu, row_max * bmax / size AS a FROM o JOIN ga USING (celltype) JOIN g USING (feature)),
+    v AS (SELECT celltype, feature, obs, obs / size - row_p * row_factor * b1 / size AS d, row_p * row_factor * row_factor * b2 / (size * size) AS nu, row_max * bmax / size AS a FROM (SELECT ga.*, g.*, coalesce(o.obs, 0) AS obs FROM ga CROSS JOIN g LEFT JOIN o ON o.celltype = ga.celltype AND o.feature = g.feature)),
     sp AS (SELECT celltype, feature, obs, round(CASE WHEN d > 0 THEN d * d / (2 * (nu + d * a / 3)) / ln(10) ELSE 0 END, 9) AS upper, round(CASE WHEN d < 0 THEN d * d / (2 * nu) / ln(10) ELSE 0 END, 9) AS lower FROM v) """
 
 

@@ -202,7 +202,7 @@ def regulator_activity(t):
     k AS (SELECT cell_id, count(*) FILTER (value > 0) AS k FROM fx_counts GROUP BY ALL), rho AS (SELECT sum(k) / any_value(n) AS rho FROM k, n),
     h AS (SELECT cell_id, archetype, weight / sum(weight) OVER (PARTITION BY archetype) AS h FROM wg), b AS (SELECT archetype, h * k / rho AS b FROM h JOIN k USING (cell_id), rho),
     ga AS (SELECT archetype, sum(b) AS b1, sum(b * b) AS b2, max(b) AS bmax FROM b GROUP BY ALL), o AS (SELECT archetype, feature, sum(h * value) AS obs FROM fx_counts JOIN h USING (cell_id) GROUP BY ALL),
-    v AS (SELECT archetype, feature, obs, obs - row_p * row_factor * b1 AS d, row_p * row_factor * row_factor * b2 AS nu, row_max * bmax AS a FROM o JOIN ga USING (archetype) JOIN g USING (feature))
+    v AS (SELECT archetype, feature, obs, obs - row_p * row_factor * b1 AS d, row_p * row_factor * row_factor * b2 AS nu, row_max * bmax AS a FROM (SELECT ga.*, g.*, coalesce(o.obs, 0) AS obs FROM ga CROSS JOIN g LEFT JOIN o ON o.archetype = ga.archetype AND o.feature = g.feature))
     SELECT archetype, feature, {r6('obs')} AS obs, {r6('CASE WHEN d > 0 THEN d * d / (2 * (nu + d * a / 3)) / ln(10) ELSE 0 END')} AS upper, {r6('CASE WHEN d < 0 THEN d * d / (2 * nu) / ln(10) ELSE 0 END')} AS lower FROM v""")
 def archetype_specificity(t):
     counts = t.counts().withColumn("value", F.col("value").cast("double"))

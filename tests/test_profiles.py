@@ -111,6 +111,14 @@ def test_archetypes_of_one_cell_group_each_are_clusters(spark):
     assert one.keys() == two.keys() and all(two[k] == pytest.approx(v) for k, v in one.items())
 
 
+def test_features_that_a_cluster_lacks_have_their_lower_bound(spark):
+    counts = spark.createDataFrame([(1, "a", 4.0), (2, "a", 2.0), (3, "b", 1.0), (4, "b", 1.0)], "cell_id long, feature string, value double")
+    cells = spark.createDataFrame([(c, "xy"[c > 2]) for c in range(1, 5)], "cell_id long, k string")
+    got = {(r.k, r.feature): (r.obs, r.upper, r.lower) for r in expression.cluster_specificity(counts, cells, "k").collect()}
+    # two cells of coverage 1 (b1 = b2 = 2), half of all cells with a mean of 3: expected 1.5, spread 9 / 4
+    assert len(got) == 4 and got["y", "a"] == (0, 0, pytest.approx(1.5**2 / (2 * 2.25) / math.log(10)))
+
+
 def test_qc_by_share_and_upper_bound(spark):
     counts = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "a", 90.0), (3, "b", 1.0)], "cell_id long, feature string, value double")
     got = expression.qc_filter(counts, min_cells=0.5, min_features=1, min_umis=0, max_umis=50).collect()
