@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 
 def lls_benchmark(scored: DataFrame, gold: DataFrame, max_pairs: int = 1_000_000, bin_size: int = 1000) -> DataFrame:
     """Cumulative and per-bin scores over the best ``max_pairs`` pairs.
 
-    Pairs are numbered by a range sort; everything after that works on bins, at most
-    ``max_pairs`` / ``bin_size`` rows.
+    Pairs are dealt to tasks by ranges of their order and numbered there, from what the ranges before hold;
+    ranges that begin past ``max_pairs`` are not numbered.  Everything after that works on bins, at most
+    ``max_pairs`` / ``bin_size`` rows.  genes: how many different genes the pairs have up to the bin's end.
     """
     n_gold = gold.select(F.explode(F.array("gene1", "gene2")).alias("g")).distinct().agg(F.count(F.lit(1)).alias("n"))
     pos = gold.agg(F.count(F.lit(1)).alias("pos"))
     known = gold.select("gene1", "gene2", F.lit(1).alias("hit"))
-    ranked = scored.orderBy(F.desc("score"), "gene1", "gene2").limit(max_pairs).withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "gene1", "gene2")))
-    bins = ranked.join(known, ["gene1", "gene2"], "left").groupBy(F.floor((F.col("r") - 1) / bin_size).alias("bin")).agg(F.count("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fp"), F.avg("score").alias("mean_score"))
+    order = [F.desc("score"), F.col("gene1"), F.col("gene2")]
+    dealt = stored(scored.select("gene1", "gene2", "score").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a task
+    ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inner = dealt.join(F.broadcast(ahead.where(F.col("ahead") < max_pairs)), "part")
+    ranked = inner.withColumn("r", F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("r") <= max_pairs)
+    at = F.floor((F.col("r") - 1) / bin_size)
+    fresh = ranked.select(F.explode(F.array("gene1", "gene2")).alias("g"), at.alias("bin")).groupBy("g").agg(F.min("bin").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("fresh"))
+    bins = ranked.join(known, ["gene1", "gene2"], "left").groupBy(F.floor((F.col("r") - 1) / bin_size).alias("bin")).agg(F.count("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fp"), F.avg("score").alias("mean_score")).join(fresh, "bin", "left")
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     odds = bins.join(F.broadcast(pos.join(n_gold, F.lit(True))), F.lit(True)).withColumn("odds", F.col("pos") / (F.col("n") * (F.col("n") - 1) / 2 - F.col("pos")))
     odds = odds.withColumn("ctp", F.sum("tp").over(upto)).withColumn("cfp", F.sum("fp").over(upto))
     score = lambda t, f: F.when(F.col(f) == 0, F.lit(20.0)).when(F.col(t) == 0, F.lit(-5.0)).otherwise(F.log2((F.col(t) / F.col(f)) / F.col("odds")))
-    return odds.select("bin", "tp", "fp", F.round("mean_score", 9).alias("mean_score"), F.round(score("ctp", "cfp"), 9).alias("cum_lls"), F.round(score("tp", "fp"), 9).alias("bin_lls"))
+    return odds.select("bin", "tp", "fp", F.sum(F.coalesce("fresh", F.lit(0))).over(upto).alias("genes"), F.round("mean_score", 9).alias("mean_score"), F.round(score("ctp", "cfp"), 9).alias("cum_lls"), F.round(score("tp", "fp"), 9).alias("bin_lls"))

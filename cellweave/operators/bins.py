@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 PARTS = 64
 
 
-def prefix_sums(values: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
-    """``wanted`` (by, at) with s and q, the sums of the ``at`` smallest values of the group and of their squares.
+def prefix_sums(values: DataFrame, by: list[str], wanted: DataFrame, few: bool = False) -> DataFrame:
+    """``wanted`` (by, at) with x, the ``at``-th smallest value of the group, and s and q, the sums of the ``at`` smallest and
+    of their squares.
 
-    ``values``: by, x, times.  ``at`` runs from 0 to the group's number of values.
+    ``values``: by, x, times.  ``at`` runs from 0 (where x is null) to the group's number of values.  ``few`` says that
+    the groups and ranks asked for are few enough to go to every task.
     """
+    spread = F.broadcast if few else lambda df: df
     counted = values.groupBy(*by, "x").agg(F.sum("times").alias("c")).where("c > 0")
     marks = counted.groupBy(*by).agg(F.percentile_approx("x", [i / PARTS for i in range(1, PARTS)], 1000).alias("marks"))
-    placed = counted.join(marks, by).select(*by, "x", "c", F.expr("size(filter(marks, m -> m < x))").alias("part"))
+    placed = counted.join(spread(marks), by).select(*by, "x", "c", F.expr("size(filter(marks, m -> m < x))").alias("part"))
     x, c = F.col("x"), F.col("c")
     parts = placed.groupBy(*by, "part").agg(F.sum("c").alias("n"), F.sum(c * x).alias("s"), F.sum(c * x * x).alias("q"))
     ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,11 +33,19 @@ def prefix_sums(values: DataFrame, by: list[str], wanted: DataFrame) -> DataFram
     inner = placed.select(*by, "part", "x", "c", *sums)
     asked = wanted.distinct().join(parts, by).where("at > n0 AND at <= n0 + n").select(*by, "at", "part", (F.col("at") - F.col("n0")).alias("left"), "s0", "q0")
     rest = F.col("left") - F.col("n1")
-    found = asked.join(inner, [*by, "part"]).where((rest > 0) & (rest <= c))
-    found = found.select(*by, "at", (F.col("s0") + F.col("s1") + rest * x).alias("s"), (F.col("q0") + F.col("q1") + rest * x * x).alias("q"))
+    found = inner.join(spread(asked), [*by, "part"]).where((rest > 0) & (rest <= c))
+    found = found.select(*by, "at", x.alias("x"), (F.col("s0") + F.col("s1") + rest * x).alias("s"), (F.col("q0") + F.col("q1") + rest * x * x).alias("q"))
     return wanted.join(found, [*by, "at"], "left").fillna(0.0, ["s", "q"])
 
 
+def median(rows: DataFrame, value: str) -> DataFrame:
+    """One row, ``median``: that of all values (nulls left out), the mean of the middle two where they are even in number."""
+    values = rows.where(F.col(value).isNotNull()).select(F.lit(0).alias("g"), F.col(value).cast("double").alias("x"), F.lit(1).alias("times"))
+    n = values.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    wanted = n.select("g", F.explode(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)).alias("at"))
+    return prefix_sums(values, ["g"], wanted.distinct(), few=True).agg(F.avg("x").alias("median"))
+
+
 def ensemble_bins(rows: DataFrame, by: list[str], sizes: DataFrame, bins: int, pseudocount: float = 0.0, value: str = "value") -> DataFrame:
     """by, bin, above, mean, variance over the cells of each group, those without a row being 0.
 

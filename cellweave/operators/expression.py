@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bins import median
 from .graph import cut
 
 
 def cell_qc(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("cell_id").agg(F.sum("value").alias("umis"), F.count_if(F.col("value") > 0).alias("features"))
+    """Counts, features seen and largest count of each cell; the largest is 0 at least, as absent features are."""
+    return counts.groupBy("cell_id").agg(F.sum("value").alias("umis"), F.count_if(F.col("value") > 0).alias("features"), F.greatest(F.max("value"), F.lit(0)).alias("largest"))
 
 
 def feature_qc(counts: DataFrame, n_cells: int) -> DataFrame:
@@ -47,15 +49,24 @@ def normalize_log(counts: DataFrame) -> DataFrame:
     return counts.join(scale, "cell_id").select("cell_id", "feature", F.log1p(F.col("value") * F.col("scale")).alias("value"))
 
 
-def pseudobulk(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
-    """Sum, mean and variance by group and feature, implicit zeros included."""
-    n = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"))
+def pseudobulk(counts: DataFrame, cells: DataFrame, by: list[str], min_cells: int = 1) -> DataFrame:
+    """Sum, mean and variance by group and feature, implicit zeros included; groups of fewer than ``min_cells`` are dropped."""
+    n = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells")).where(F.col("n_cells") >= min_cells)
     s = counts.join(cells, "cell_id").groupBy(*by, "feature").agg(F.sum("value").alias("sum"), F.sum(F.col("value") * F.col("value")).alias("q"))
     k = F.col("n_cells")
     var = F.when(k > 1, (F.col("q") - F.col("sum") * F.col("sum") / k) / (k - 1)).otherwise(F.lit(0.0))
     return s.join(n, by).select(*by, "feature", "n_cells", "sum", (F.col("sum") / k).alias("mean"), var.alias("var"))
 
 
+def pseudobulk_samples(counts: DataFrame, cells: DataFrame, by: list[str], min_cells: int = 3) -> DataFrame:
+    """by, n_cells, features_per_cell: cells of each group of ``min_cells`` or more and how many features they have on
+    average, cells without any included."""
+    per_cell = counts.where("value > 0").groupBy("cell_id").agg(F.count(F.lit(1)).alias("nnz"))
+    seen = cells.select("cell_id", *by).join(per_cell, "cell_id", "left")
+    out = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), F.avg(F.coalesce("nnz", F.lit(0))).alias("features_per_cell"))
+    return out.where(F.col("n_cells") >= min_cells)
+
+
 def every_pair(features: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """``features`` once for each group, also where they never met: the names of the groups are one row."""
     names = groups.agg(F.collect_list(key).alias("_names"))
@@ -112,8 +123,14 @@ def contingency(cells: DataFrame, a: str, b: str) -> DataFrame:
     return cells.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def robust_z(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """(x - median) / (1.4826 MAD) within groups."""
+def robust_z(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """(x - median) / (1.4826 MAD) within groups, or over all rows by medians that no task sees whole."""
+    if by is None:
+        middle = median(rows, value).first()["median"]
+        dev = F.abs(F.col(value) - F.lit(middle))
+        mad = median(rows.select(dev.alias("dev")), "dev").first()["median"]
+        z = (F.col(value) - F.lit(middle)) / (1.4826 * mad) if mad else F.when(F.col(value).isNotNull(), 0.0)
+        return rows.withColumn("z", F.round(z, 9))
     med = rows.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
     dev = rows.join(med, by).withColumn("dev", F.abs(F.col(value) - F.col("median")))
     mad = dev.groupBy(by).agg(F.percentile("dev", F.lit(0.5)).alias("mad"))

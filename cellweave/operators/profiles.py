@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import network as N
 from .aggregates import combine_log_p, entropy
 from .expression import robust_z
-from .graph import both_ways, cut
+from .graph import both_ways, cut, stored
 from .hubs import null_strengths, numbered, rewired
 from .nulls import drawn_positions, shuffled
 from .statistics import score_enrichment
@@ -120,9 +120,10 @@ def pseudobulk_by_archetypes(counts: DataFrame, weights: DataFrame) -> DataFrame
 def doublet_score(scores: DataFrame, centrality: DataFrame, how: str = "mean", least: float = 1.0) -> DataFrame:
     """cell_id, by_scores, by_centrality, combined, doublet: how far below the median, in robust
     deviations, a cell's entropy over labels (cell_id, label, x) and its centrality (cell_id, c) lie."""
-    h = centrality.join(entropy(scores, ["cell_id"], "x"), "cell_id", "left").select("cell_id", "c", F.coalesce("entropy", F.lit(0.0)).alias("h"), F.lit(0).alias("all"))
-    z = robust_z(h, "h", "all").withColumnRenamed("z", "zh")
-    z = robust_z(z, "c", "all").select("cell_id", (-F.col("zh")).alias("by_scores"), (-F.col("z")).alias("by_centrality"))
+    h = centrality.join(entropy(scores, ["cell_id"], "x"), "cell_id", "left").select("cell_id", "c", F.coalesce("entropy", F.lit(0.0)).alias("h"))
+    h = stored(h)
+    z = robust_z(h, "h").withColumnRenamed("z", "zh")
+    z = robust_z(z, "c").select("cell_id", (-F.col("zh")).alias("by_scores"), (-F.col("z")).alias("by_centrality"))
     a, b = F.col("by_scores"), F.col("by_centrality")
     combined = {"min": F.least(a, b), "max": F.greatest(a, b), "mean": (a + b) / 2}[how]
     return z.withColumn("combined", combined).withColumn("doublet", F.col("combined") > least)
@@ -175,15 +176,18 @@ def topological_specificity(net: DataFrame, reps: int = 100, seed: int = 1) -> D
 
 def footprint_similarity(rows: DataFrame, most: int = 256) -> DataFrame:
     """a, b, similarity: 1 - root of the Jensen-Shannon divergence (base 2) of archetypes' footprints
-    (archetype, item, x).  Archetypes are few; a table with over ``most`` of them is refused."""
-    if rows.select("archetype").distinct().count() > most:
-        raise ValueError(f"more than {most} archetypes")
+    (archetype, item, x).  Archetypes are dealt into blocks of about ``most``, and an item's archetypes meet in one group a
+    pair of blocks, so that no group has more than about the square of ``most`` pairs, however many share the item."""
+    blocks = -(-rows.select("archetype").distinct().count() // most) or 1
     total = rows.groupBy("archetype").agg(F.sum("x").alias("s"))
     p = cut(rows.where("x > 0").join(total, "archetype").select("archetype", "item", (F.col("x") / F.col("s")).alias("p")))
-    a, b = p.select("item", F.col("archetype").alias("a"), F.col("p").alias("p")), p.select("item", F.col("archetype").alias("b"), F.col("p").alias("q"))
+    own = F.pmod(F.xxhash64("archetype"), F.lit(blocks)).cast("int")
+    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = p.select("item", F.col("archetype").alias("a"), F.col("p").alias("p"), own.alias("at"), all_blocks.alias("bt"))
+    b = p.select("item", F.col("archetype").alias("b"), F.col("p").alias("q"), own.alias("bt"), all_blocks.alias("at"))
     xlog = lambda v: v * F.log2(v)
     common = (xlog(F.col("p") + F.col("q")) - xlog(F.col("p")) - xlog(F.col("q"))) / 2
-    return a.join(b, "item").where("a < b").groupBy("a", "b").agg(F.sum(common).alias("c")).select("a", "b", (1 - F.sqrt(F.greatest(1 - F.col("c"), F.lit(0.0)))).alias("similarity"))
+    return a.join(b, ["item", "at", "bt"]).where("a < b").groupBy("a", "b").agg(F.sum(common).alias("c")).select("a", "b", (1 - F.sqrt(F.greatest(1 - F.col("c"), F.lit(0.0)))).alias("similarity"))
 
 
 def regulator_activity(scores: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:

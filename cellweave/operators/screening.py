@@ -75,6 +75,24 @@ def translate(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return rows.join(first, column, "left").withColumn(column, F.coalesce("_name", F.lit(""))).drop("_name")
 
 
+def categorise(rows: DataFrame, below: int = 50) -> tuple[DataFrame, dict[str, list]]:
+    """``rows`` with every column of fewer than ``below`` distinct values (null is none of the levels, but counts) as codes
+    from 1, in order of the values, and those levels by column.  One pass counts, approximately where many; a second
+    reads the levels of the columns that may have few, of which no more than ``below`` a column reach the driver."""
+    names = [c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]
+    if not names:
+        return rows, {}
+    seen = rows.agg(*[F.approx_count_distinct(c, 0.05).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    maybe = [c for i, c in enumerate(names) if seen[f"c{i}"] < 2 * below]
+    levels = {}
+    for c in maybe:
+        values = [r[0] for r in rows.select(c).distinct().limit(below).collect()]
+        if len(values) < below:
+            levels[c] = sorted(v for v in values if v is not None)
+    codes = {c: F.array_position(F.array(*[F.lit(v) for v in vs]), F.col(f"`{c}`")).cast("int") if vs else F.lit(None).cast("int") for c, vs in levels.items()}
+    return rows.withColumns(codes) if codes else rows, levels
+
+
 def drop_constant(rows: DataFrame) -> DataFrame:
     """Without the columns that hold a single value, null being a value, by one pass of bounds."""
     of = [F.struct(F.count(c).alias("n"), (F.min(c) == F.max(c)).alias("same")).alias(f"c{i}") for i, c in enumerate(rows.columns)]

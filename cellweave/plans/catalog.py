@@ -173,6 +173,30 @@ def gene_differences(t):
     return N.gene_differences(t.aligned(), "F", "O")
 
 
+METHOD_SETS = "m AS (SELECT p_partkey AS gene, 'size' AS s FROM part WHERE p_size > 25 UNION SELECT p_partkey, 'price' FROM part WHERE p_retailprice > 1000 UNION SELECT p_partkey, 'promo' FROM part WHERE p_type LIKE 'PROMO%' UNION SELECT p_partkey, 'even' FROM part WHERE p_partkey % 2 = 0)"
+
+
+@query("set_patterns", f"""CTE {METHOD_SETS}, p AS (SELECT gene, string_agg(s, '&' ORDER BY s) AS pattern, CAST(count(*) AS INTEGER) AS sets FROM m GROUP BY gene)
+    SELECT pattern, sets, count(*) AS genes FROM p GROUP BY ALL""")
+def set_patterns(t):
+    part = t.read("part")
+    of = lambda name, rule: part.where(rule).select(F.lit(name).alias("set_name"), F.col("p_partkey").alias("gene"))
+    return N.set_patterns(of("size", "p_size > 25").union(of("price", "p_retailprice > 1000")).union(of("promo", "p_type LIKE 'PROMO%'")).union(of("even", "p_partkey % 2 = 0")))
+
+
+@query("difference_shares", """CTE g AS (SELECT celltype, gene, bool_or(condition = 'F') AS a, bool_or(condition = 'O') AS b FROM ends WHERE condition IN ('F', 'O') GROUP BY ALL),
+    s AS (SELECT celltype, gene, CASE WHEN NOT b THEN 'control' WHEN NOT a THEN 'disease' ELSE 'both' END AS side FROM g)
+    SELECT celltype, side, count(*) AS genes, count(p_partkey) AS inside, count(p_partkey) / count(*) AS share FROM s LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 25) ON p_partkey = gene GROUP BY ALL""")
+def difference_shares(t):
+    return N.difference_shares(t.aligned(), "F", "O", t.read("part").where("p_size > 25").select(F.col("p_partkey").alias("gene")))
+
+
+@query("geneset_connectivity_filled", f"""CTE c AS ({CONN.format('fx_net')}) SELECT celltype, condition, set_name, coalesce(connectivity, 0) AS connectivity
+    FROM (SELECT DISTINCT celltype, condition FROM fx_net) CROSS JOIN (SELECT DISTINCT set_name FROM fx_sets) LEFT JOIN c USING (celltype, condition, set_name)""")
+def geneset_connectivity_filled(t):
+    return N.set_connectivity_filled(t.aligned(), t.sets())
+
+
 @query("membership_table", "SELECT celltype, gene1, gene2, max(CAST(condition = 'F' AS INTEGER)) AS in_f, max(CAST(condition = 'O' AS INTEGER)) AS in_o, max(CAST(condition = 'P' AS INTEGER)) AS in_p FROM fx_net GROUP BY ALL")
 def membership_table(t):
     return N.membership(t.aligned(), ["F", "O", "P"])
@@ -204,16 +228,18 @@ def find_diff_hub(t):
     return hubs.find_diff_hub(t.aligned(), t.cells(), "F", "O", reps=None, seed=1, symbol=symbol())
 
 
-METHODS = ["bonferroni", "bh", "by", "holm", "hochberg"]
+METHODS = ["bonferroni", "bh", "by", "holm", "hochberg", "hommel"]
 
 
 @query("p_adjust", """CTE q AS (SELECT celltype, condition, gene, 1 - pr AS p FROM pr),
-    n AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY celltype, condition ORDER BY p, gene) AS r FROM q WINDOW w AS (PARTITION BY celltype, condition))
-    SELECT celltype, condition, gene, p, least(1, p * n) AS p_bonferroni,
+    n AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY celltype, condition ORDER BY p, gene) AS r FROM q WINDOW w AS (PARTITION BY celltype, condition)),
+    sm AS MATERIALIZED (SELECT celltype, condition, m, min(m * p / (r - n + m)) AS c FROM n JOIN range(1, 1000000) x(m) ON m <= n AND r > n - m GROUP BY ALL),
+    hm AS MATERIALIZED (SELECT celltype, condition, r, max(least(m * p, c)) AS hommel FROM n JOIN sm USING (celltype, condition) GROUP BY ALL)
+    SELECT celltype, condition, gene, p, least(1, hommel) AS p_hommel, least(1, p * n) AS p_bonferroni,
     least(1, min(p * n / r) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_bh,
     least(1, min(p * n / r * list_sum(list_transform(range(1, n + 1), lambda i: 1 / i))) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_by,
     least(1, max((n - r + 1) * p) OVER (PARTITION BY celltype, condition ORDER BY r)) AS p_holm,
-    least(1, min((n - r + 1) * p) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_hochberg FROM n""")
+    least(1, min((n - r + 1) * p) OVER (PARTITION BY celltype, condition ORDER BY r DESC)) AS p_hochberg FROM n JOIN hm USING (celltype, condition, r)""")
 def p_adjust(t):
     p = ranked(t).select(*N.NET, "gene", (1 - F.col("pr")).alias("p"))
     return N.p_adjust(p, "p", N.NET, ["gene"], METHODS)
@@ -222,14 +248,15 @@ def p_adjust(t):
 @query("lls_benchmark", """CTE k AS (SELECT s.*, row_number() OVER (ORDER BY score DESC, s.gene1, s.gene2) AS r, g.gene1 IS NOT NULL AS hit FROM fx_scored s LEFT JOIN fx_gold g ON g.gene1 = s.gene1 AND g.gene2 = s.gene2),
     c AS (SELECT (SELECT count(*) FROM fx_gold) AS pos, (SELECT count(DISTINCT g) FROM (SELECT gene1 AS g FROM fx_gold UNION ALL SELECT gene2 FROM fx_gold)) AS n),
     b AS (SELECT CAST((r - 1) // 1000 AS BIGINT) AS bin, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp, round(avg(score), 9) AS mean_score FROM k WHERE r <= 1000000 GROUP BY ALL),
-    u AS (SELECT *, CAST(sum(tp) OVER (ORDER BY bin) AS DOUBLE) AS ctp, CAST(sum(fp) OVER (ORDER BY bin) AS DOUBLE) AS cfp, pos / (n * (n - 1) / 2 - pos) AS odds FROM b, c)
-    SELECT bin, tp, fp, mean_score, round(CASE WHEN cfp = 0 THEN 20.0 WHEN ctp = 0 THEN -5.0 ELSE log2((ctp / cfp) / odds) END, 9) AS cum_lls,
-    round(CASE WHEN fp = 0 THEN 20.0 WHEN tp = 0 THEN -5.0 ELSE log2((tp / fp) / odds) END, 9) AS bin_lls FROM u""")
+    u AS (SELECT *, CAST(sum(tp) OVER (ORDER BY bin) AS DOUBLE) AS ctp, CAST(sum(fp) OVER (ORDER BY bin) AS DOUBLE) AS cfp, pos / (n * (n - 1) / 2 - pos) AS odds FROM b, c),
+    f AS (SELECT bin, count(*) AS fresh FROM (SELECT g, min(CAST((r - 1) // 1000 AS BIGINT)) AS bin FROM (SELECT gene1 AS g, r FROM k UNION ALL SELECT gene2, r FROM k) WHERE r <= 1000000 GROUP BY g) GROUP BY bin)
+    SELECT bin, tp, fp, CAST(sum(coalesce(fresh, 0)) OVER (ORDER BY bin) AS BIGINT) AS genes, mean_score, round(CASE WHEN cfp = 0 THEN 20.0 WHEN ctp = 0 THEN -5.0 ELSE log2((ctp / cfp) / odds) END, 9) AS cum_lls,
+    round(CASE WHEN fp = 0 THEN 20.0 WHEN tp = 0 THEN -5.0 ELSE log2((tp / fp) / odds) END, 9) AS bin_lls FROM u LEFT JOIN f USING (bin)""")
 def lls_benchmark(t):
     return benchmark.lls_benchmark(t.scored(), t.gold())
 
 
-@query("cell_qc", "SELECT cell_id, sum(value) AS umis, count(*) FILTER (value > 0) AS features FROM fx_counts GROUP BY ALL")
+@query("cell_qc", "SELECT cell_id, sum(value) AS umis, count(*) FILTER (value > 0) AS features, greatest(max(value), 0) AS largest FROM fx_counts GROUP BY ALL")
 def cell_qc(t):
     return expression.cell_qc(t.counts())
 
@@ -262,6 +289,17 @@ def pseudobulk(t):
     return expression.pseudobulk(t.counts(), t.customers(), ["celltype"])
 
 
+@query("pseudobulk_samples", """CTE z AS (SELECT celltype, batch, cell_id, count(*) FILTER (value > 0) AS nnz FROM fx_cust LEFT JOIN fx_counts USING (cell_id) GROUP BY ALL)
+    SELECT celltype, batch, count(*) AS n_cells, avg(nnz) AS features_per_cell FROM z GROUP BY ALL HAVING count(*) >= 10""")
+def pseudobulk_samples(t):
+    return expression.pseudobulk_samples(t.counts(), t.customers(), ["celltype", "batch"], 10)
+
+
+@query("pseudobulk_large", bulk_sql("celltype, batch") + " WHERE n_cells >= 10")
+def pseudobulk_large(t):
+    return expression.pseudobulk(t.counts(), t.customers(), ["celltype", "batch"], 10)
+
+
 @query("pseudobulk_ind", bulk_sql("celltype, batch"))
 def pseudobulk_ind(t):
     return expression.pseudobulk(t.counts(), t.customers(), ["celltype", "batch"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import assignment, bins, communities, decomposition, graph, neighbours
+from ..operators import archetypes, assignment, bins, communities, decomposition, graph, neighbours, triangles
 from ..operators import network as N
 from .catalog import ASSOC, query
 
@@ -120,3 +120,42 @@ def ensemble_bins(t):
     SELECT a.celltype, a.condition, a.gene AS gene1, b.gene AS gene2, round(sum(a.w * b.w) + 3e-10, 6) AS weight FROM w a JOIN w b ON a.celltype = b.celltype AND a.condition = b.condition AND a.other = b.other AND a.gene < b.gene GROUP BY ALL""")
 def network_enhancement(t):
     return graph.enhanced(t.aligned()).withColumn("weight", F.round(F.col("weight") + 3e-10, 6))
+
+
+@query("transitivity", """CTE tr AS (SELECT a.celltype, a.condition, a.gene, sum(a.lls + b.lls) AS s, count(*) AS n FROM ends a JOIN ends b ON a.celltype = b.celltype AND a.condition = b.condition AND a.gene = b.gene AND a.other < b.other
+      JOIN fx_net c ON c.celltype = a.celltype AND c.condition = a.condition AND c.gene1 = a.other AND c.gene2 = b.other GROUP BY ALL),
+    o AS (SELECT celltype, condition, gene, sum(lls) AS total, count(*) AS d FROM ends GROUP BY ALL)
+    SELECT celltype, condition, gene, coalesce(n, 0) AS triangles, CASE WHEN d > 1 THEN round(coalesce(s, 0) / (total * (d - 1)), 9) END AS transitivity FROM o LEFT JOIN tr USING (celltype, condition, gene)""")
+def transitivity(t):
+    return triangles.transitivity(t.aligned()).withColumn("transitivity", F.round("transitivity", 9))
+
+
+@query("density_clusters", """CTE sg AS MATERIALIZED (SELECT * FROM ends WHERE lls > 40), co AS MATERIALIZED (SELECT celltype, condition, gene FROM sg GROUP BY ALL HAVING count(*) >= 3),
+    ce AS MATERIALIZED (SELECT s.* FROM sg s JOIN co a ON a.celltype = s.celltype AND a.condition = s.condition AND a.gene = s.gene JOIN co b ON b.celltype = s.celltype AND b.condition = s.condition AND b.gene = s.other),
+    r AS (SELECT celltype, condition, gene, gene AS seen FROM co UNION SELECT r.celltype, r.condition, r.gene, e.other FROM r JOIN ce e ON e.celltype = r.celltype AND e.condition = r.condition AND e.gene = r.seen),
+    cl AS (SELECT celltype, condition, gene, min(seen) AS own FROM r GROUP BY ALL),
+    bo AS (SELECT s.celltype, s.condition, s.gene, first(own ORDER BY lls DESC, s.other) AS border FROM sg s JOIN cl ON cl.celltype = s.celltype AND cl.condition = s.condition AND cl.gene = s.other GROUP BY ALL)
+    SELECT celltype, condition, gene, own IS NOT NULL AS core, coalesce(own, border) AS cluster FROM st LEFT JOIN cl USING (celltype, condition, gene) LEFT JOIN bo USING (celltype, condition, gene)""")
+def density_clusters(t):
+    return triangles.density_clusters(t.aligned(), 3, 40)
+
+
+@query("spanner", None)
+def spanner(t):
+    return triangles.spanner(t.aligned().withColumn("d", 52 - F.col("lls")), 2, "d")
+
+
+@query("minimum_forest", None)
+def minimum_forest(t):
+    return triangles.minimum_forest(t.aligned().withColumn("d", 52 - F.col("lls")), "d")
+
+
+@query("archetypal_analysis", None)
+def archetypal_analysis(t):
+    """Customers that the archetypes rest on."""
+    return archetypes.archetypal_analysis(brand_vectors(t), 4, tolerance=1e-4)[0]
+
+
+@query("archetype_pruning", None)
+def archetype_pruning(t):
+    return archetypes.prune_archetypes(*archetypes.archetype_levels(brand_vectors(t), [2, 3, 4], tolerance=1e-4))

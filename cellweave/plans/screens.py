@@ -188,6 +188,11 @@ def translate(t):
     return screening.translate(N.strength(t.aligned()), "gene", names("p_type", 10, 2).union(names("p_brand", 40, 1))).select(*N.NET, "gene", "value")
 
 
+@query("categorise", "SELECT cell_id, CAST(dense_rank() OVER (ORDER BY celltype) AS INTEGER) AS celltype, CAST(dense_rank() OVER (ORDER BY batch) AS INTEGER) AS batch FROM fx_cust")
+def categorise(t):
+    return screening.categorise(t.customers())[0]
+
+
 @query("drop_constant", "SELECT cell_id, celltype, batch FROM fx_cust")
 def drop_constant(t):
     return screening.drop_constant(t.customers().withColumns({"species": F.lit("human"), "lost": F.lit(None).cast("string")}))
