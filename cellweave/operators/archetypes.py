@@ -64,22 +64,23 @@ def steepest(points: DataFrame, slopes: np.ndarray) -> dict[int, tuple]:
     return {r["i"]: (r["p"]["id"], np.array(r["p"]["x"]), r["p"]["score"]) for r in found.collect()}
 
 
-def rest(supports: list[Support], w: np.ndarray, hh: np.ndarray, xh: np.ndarray) -> np.ndarray:
-    """Best weights of the supports' points, archetype by archetype until none moves; changes ``supports``."""
+def rest(supports: list[Support], w: np.ndarray, hh: np.ndarray, xh: np.ndarray, sweeps: int = 5, tolerance: float = 1e-6) -> np.ndarray:
+    """Better weights of the supports' points, archetype by archetype, in ``sweeps`` or until none moves by more than
+    ``tolerance`` of the largest part of any; changes ``supports``."""
     scale = max(np.abs(w).max(), 1e-300)
-    for _ in range(1000):
+    for _ in range(sweeps):
         moved = 0.0
         for i, own in enumerate(supports):
             if hh[i, i] < 1e-8:
                 continue
             goal = w[:, i] + (xh[:, i] - w @ hh[:, i]) / hh[i, i]
             atoms = np.array([x for x, _ in own.values()]).T
-            c = simplex_weights(atoms, goal[None], 1e-13)[0]
+            c = simplex_weights(atoms, goal[None], 1e-9 if sweeps < 100 else 1e-12)[0]
             new = atoms @ c
             moved = max(moved, np.abs(new - w[:, i]).max())
             w[:, i] = new
             supports[i] = {p: (x, float(v)) for (p, (x, _)), v in zip(own.items(), c, strict=True)}
-        if moved <= 1e-9 * scale:
+        if moved <= tolerance * scale:
             break
     return w
 
@@ -126,6 +127,7 @@ def archetypal_analysis(points: DataFrame, k: int, tolerance: float = 1e-6, gap:
             enough = max(enough, 0.1 * left)  # a tenth of the round's first gap will do, as H changes next
             fresh = [i for i in best if i not in idle and best[i][0] not in supports[i]]
             if not fresh:
+                w = rest(supports, w, hh, xh, 1000, 1e-9)
                 break
             for i in fresh:
                 supports[i][best[i][0]] = (best[i][1], 0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import archetypes, assignment, bins, communities, decomposition, graph, neighbours, triangles
+from ..operators import assignment, bins, communities, decomposition, graph, neighbours, triangles
 from ..operators import network as N
 from .catalog import ASSOC, query
 
@@ -148,14 +148,3 @@ def spanner(t):
 @query("minimum_forest", None)
 def minimum_forest(t):
     return triangles.minimum_forest(t.aligned().withColumn("d", 52 - F.col("lls")), "d")
-
-
-@query("archetypal_analysis", None)
-def archetypal_analysis(t):
-    """Customers that the archetypes rest on."""
-    return archetypes.archetypal_analysis(brand_vectors(t), 4, tolerance=1e-4)[0]
-
-
-@query("archetype_pruning", None)
-def archetype_pruning(t):
-    return archetypes.prune_archetypes(*archetypes.archetype_levels(brand_vectors(t), [2, 3, 4], tolerance=1e-4))
