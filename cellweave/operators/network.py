@@ -25,6 +25,12 @@ def align(edges: DataFrame, reference: DataFrame) -> DataFrame:
     return edges.join(reference, ["gene1", "gene2"]).select(*NET, "gene1", "gene2", "lls", "scinet_weight")
 
 
+def block_pairs(nodes: DataFrame, blocks: list[str], values: list[str]) -> DataFrame:
+    """Pairs of nodes (``blocks``, gene and other ``values``, named with 1 and 2) of the same blocks, gene1 before gene2."""
+    side = lambda k: nodes.select(*blocks, *[F.col(v).alias(f"{v}{k}") for v in values])
+    return side(1).join(side(2), blocks).where("gene1 < gene2")
+
+
 def endpoints(edges: DataFrame, *values: str) -> DataFrame:
     """One row per edge and endpoint, in one pass over the edges."""
     return edges.select(*NET, *values, F.explode(F.array("gene1", "gene2")).alias("gene"))
