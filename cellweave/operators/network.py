@@ -154,6 +154,25 @@ def reference_connectivity(reference: DataFrame, sets: DataFrame) -> DataFrame:
     return size.join(found, "set_name", "left").join(edges, "set_name", "left").fillna(0, ["detected", "connectivity"])
 
 
+def block_connectivity(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``reference_connectivity`` for a reference that joins all genes of a block (gene, block) pairwise: pairs are counted
+    from the sizes of blocks and never made."""
+    nodes = nodes.where("gene IS NOT NULL AND block IS NOT NULL").groupBy("gene", "block").agg(F.count(F.lit(1)).alias("times"))
+    inside = nodes.join(sets, "gene").groupBy("set_name", "block", "gene").agg(F.sum("times").alias("k"))
+    # a gene has no edge with itself, however often it is listed
+    pairs = inside.groupBy("set_name", "block").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).cast("long").alias("pairs"))
+    edges = pairs.groupBy("set_name").agg(F.sum("pairs").alias("connectivity"))
+    found = sets.join(joined_in_blocks(nodes), "gene", "left_semi").groupBy("set_name").agg(F.count(F.lit(1)).alias("detected"))
+    size = sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(found, "set_name", "left").join(edges, "set_name", "left").fillna(0, ["detected", "connectivity"])
+
+
+def joined_in_blocks(nodes: DataFrame) -> DataFrame:
+    """gene: those of ``nodes`` (gene, block; each once) that share a block with another."""
+    large = nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return nodes.join(large, "block", "left_semi").select("gene").distinct()
+
+
 def connectivity(net: DataFrame, sets: DataFrame) -> DataFrame:
     """Mean degree, edges and density of the subgraph that each set induces; 0 under two genes."""
     seen = endpoints(net).distinct().join(sets, "gene").groupBy(*NET, "set_name").agg(F.count(F.lit(1)).alias("present"))
