@@ -12,6 +12,9 @@ from .graph import cut
 
 CENTRALITIES = {"degree": N.strength, "betweenness": paths.betweenness, "closeness": paths.closeness, "eigenvector": paths.eigenvector}
 
+#: Into so many blocks a given number of null networks is dealt, by network.
+BLOCKS = 10
+
 
 def numbered(net: DataFrame) -> DataFrame:
     """Genes of each network with their number i in order."""
@@ -32,12 +35,17 @@ def rewired(net: DataFrame, reps: int | None, p: float, seed: int, shuffle_each:
         order = hashed(F.lit(seed), F.col("celltype"), F.col("condition"), F.col("edge"), F.lit("weight"))
         slots = edges.withColumn("slot", F.row_number().over(by_net.orderBy(order, "edge")))
         edges = slots.drop("lls").join(edges.select(*N.NET, F.col("edge").alias("slot"), "lls"), [*N.NET, "slot"])
-    reps_of = edges.select(*N.NET, "edge", "lls", "n", "i1", "i2", F.explode(F.sequence(F.lit(1), F.ceil(F.lit(values) / F.col("n")).cast("int") if reps is None else F.lit(reps))).alias("rep"))
-    # a few small networks grow to many null networks here, so the partitions are dealt anew
-    reps_of = reps_of.repartition(n_tasks, *N.NET, "rep")
+    # a task gets a network's edges once for a block of null networks and repeats them there; a few small networks
+    # grow to many null networks, so the partitions are dealt anew
+    every, per = (F.ceil(F.lit(values) / F.col("n")).cast("int"), 1) if reps is None else (F.lit(reps), -(-reps // BLOCKS))
+    dealt = edges.select(*N.NET, "edge", "lls", "n", "i1", "i2", F.explode(F.sequence(F.lit(0), F.floor((every - 1) / per).cast("int"))).alias("block"), every.alias("every"))
+    dealt = dealt.repartition(n_tasks, *N.NET, "block")
+    reps_of = dealt.select(*N.NET, "block", "edge", "lls", "n", "i1", "i2", F.explode(F.sequence(F.col("block") * per + 1, F.least(F.col("every"), F.col("block") * per + per))).alias("rep"))
     cols = [F.lit(seed), *map(F.col, ("celltype", "condition", "rep", "edge"))]
 
     def end(c: str):
+        if p == 0:
+            return F.col(f"i{c}")
         return F.when(uniform(*cols, F.lit(f"move{c}")) < p, F.floor(uniform(*cols, F.lit(f"to{c}")) * F.col("n"))).otherwise(F.col(f"i{c}"))
 
     def ends(rows: DataFrame) -> DataFrame:
@@ -45,15 +53,20 @@ def rewired(net: DataFrame, reps: int | None, p: float, seed: int, shuffle_each:
         return moved.withColumn("b", F.when(F.col("a") == F.col("b"), (F.col("b") + 1) % F.col("n")).otherwise(F.col("b")))
 
     if not shuffle_each:
-        return ends(reps_of).select(*N.NET, "rep", "a", "b", "lls")
-    drawn = ends(reps_of).withColumn("slot", F.row_number().over(Window.partitionBy(*N.NET, "rep").orderBy(hashed(*cols, F.lit("weight")), "edge")))
-    weights = reps_of.select(*N.NET, "rep", F.col("edge").alias("slot"), "lls")
-    return drawn.drop("lls").join(weights, [*N.NET, "rep", "slot"]).select(*N.NET, "rep", "a", "b", "lls")
+        return ends(reps_of).select(*N.NET, "block", "rep", "a", "b", "lls")
+    null = [*N.NET, "block", "rep"]
+    drawn = ends(reps_of).withColumn("slot", F.row_number().over(Window.partitionBy(*null).orderBy(hashed(*cols, F.lit("weight")), "edge")))
+    # an edge's ends and the weight that it gets meet by number, where all rows of the null network are
+    no_end = F.lit(None).cast("long")
+    two = F.array(F.struct(F.col("slot").alias("at"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(None).cast(net.schema["lls"].dataType).alias("lls")), F.struct(F.col("edge").alias("at"), no_end.alias("a"), no_end.alias("b"), F.col("lls")))
+    both = drawn.select(*null, F.explode(two).alias("t")).groupBy(*null, "t.at").agg(*[F.max(f"t.{c}").alias(c) for c in ("a", "b", "lls")])
+    return both.select(*null, "a", "b", "lls")
 
 
 def null_strengths(null: DataFrame) -> DataFrame:
-    """NET, rep, i, value of the nodes that have edges."""
-    return null.select(*N.NET, "rep", "lls", F.explode(F.array("a", "b")).alias("i")).groupBy(*N.NET, "rep", "i").agg(F.sum("lls").alias("value"))
+    """NET, rep, i, value of the nodes that have edges; blocks of null networks stay where they are."""
+    own = [c for c in (*N.NET, "block", "rep") if c in null.columns]
+    return null.select(*own, "lls", F.explode(F.array("a", "b")).alias("i")).groupBy(*own, "i").agg(F.sum("lls").alias("value")).drop("block")
 
 
 def null_centralities(null: DataFrame, method: str) -> DataFrame:
