@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hashed, uniform
 from . import network as N
-from .graph import cut
-from .hubs import exceed, null_strengths, rewired
+from .graph import cut, stored
+from .hubs import BLOCKS, exceed, null_strengths, rewired
 
 NET = N.NET
 
@@ -75,20 +75,41 @@ def weight_hubs(net: DataFrame, reps: int = 100, seed: int = 1, method: str = "b
 
 
 def shuffled(x: DataFrame, reps: int, seed: int) -> DataFrame:
-    """NET, rep, gene, x: values (NET, gene, x) dealt anew over the nodes ``reps`` times, and as they are (rep 0)."""
+    """NET, gene, xs: values (NET, gene, x) dealt anew over the nodes ``reps`` times, as an array whose first is x as it is.
+
+    A task gets a network's nodes once for a block of shuffles and repeats them there; node and value meet by
+    number where all rows of a shuffle are, and the blocks' arrays are put together by node.
+    """
+    n_tasks, per = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-reps // BLOCKS)
     slots = x.withColumn("slot", F.row_number().over(Window.partitionBy(*NET).orderBy("gene")))
+    blocks = F.sequence(F.lit(0), F.lit((reps - 1) // per))
+    dealt = slots.select(*NET, "gene", "x", "slot", F.explode(blocks).alias("block")).repartition(n_tasks, *NET, "block")
+    rows = dealt.select(*NET, "block", "gene", "x", "slot", F.explode(F.sequence(F.col("block") * per + 1, F.least(F.lit(reps), F.col("block") * per + per))).alias("rep"))
     key = hashed(F.lit(seed), F.col("celltype"), F.col("condition"), F.col("rep"), F.col("gene"))
-    drawn = x.select(*NET, "gene", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("slot", F.row_number().over(Window.partitionBy(*NET, "rep").orderBy(key, "gene")))
-    return drawn.join(slots.select(*NET, "slot", "x"), [*NET, "slot"]).select(*NET, "rep", "gene", "x").unionByName(x.withColumn("rep", F.lit(0)))
+    own = [*NET, "block", "rep"]
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*own).orderBy(key, "gene")))
+    kind = dict(x.dtypes)
+    two = F.array(F.struct("at", "gene", F.lit(None).cast(kind["x"]).alias("x")), F.struct(F.col("slot").alias("at"), F.lit(None).cast(kind["gene"]).alias("gene"), "x"))
+    met = rows.select(*own, F.explode(two).alias("t")).groupBy(*own, "t.at").agg(F.max("t.gene").alias("gene"), F.max("t.x").alias("x"))
+    parts = met.groupBy(*NET, "block", "gene").agg(F.array_sort(F.collect_list(F.struct("rep", "x"))).alias("xs")).select(*NET, "gene", "block", F.col("xs.x").alias("xs"))
+    parts = parts.unionByName(x.select(*NET, "gene", F.lit(-1).alias("block"), F.array("x").alias("xs")))
+    return parts.groupBy(*NET, "gene").agg(F.array_sort(F.collect_list(F.struct("block", "xs"))).alias("b")).select(*NET, "gene", F.flatten("b.xs").alias("xs"))
+
+
+def over_edges(net: DataFrame, sides: DataFrame, term, *values: str) -> DataFrame:
+    """NET, rep and the sum over edges of ``term`` (of the values a and b of both ends, by shuffle)."""
+    side = lambda i: sides.select(*NET, F.col("gene").alias(f"gene{i}"), F.col("xs").alias(f"xs{i}"))
+    ends = net.select(*NET, "gene1", "gene2", *values).join(side(1), [*NET, "gene1"]).join(side(2), [*NET, "gene2"])
+    each = ends.select(*NET, *values, F.posexplode(F.arrays_zip(F.col("xs1").alias("a"), F.col("xs2").alias("b"))).alias("rep", "e"))
+    return each.groupBy(*NET, "rep").agg(*[t.alias(name) for name, t in term(F.col("e.a"), F.col("e.b")).items()])
 
 
 def autocorrelation_z(net: DataFrame, scores: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
     """NET, autocorrelation, z: 1 - C / 2 with Geary's C of the scores (NET, gene, x), against
     ``reps`` shuffles of the scores over the nodes."""
-    x = cut(scores.select(*NET, "gene", F.col("x").cast("double").alias("x")))
-    sides = cut(shuffled(x, reps, seed))
-    ends = net.join(sides.select(*NET, "rep", F.col("gene").alias("gene1"), F.col("x").alias("a")), [*NET, "gene1"]).join(sides.select(*NET, "rep", F.col("gene").alias("gene2"), F.col("x").alias("b")), [*NET, "rep", "gene2"])
-    d = ends.groupBy(*NET, "rep").agg(F.sum(2 * F.col("lls")).alias("w"), F.sum(F.col("lls") * (F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("d"))
+    net, x = stored(net), stored(scores.select(*NET, "gene", F.col("x").cast("double").alias("x")))
+    sides = stored(shuffled(x, reps, seed))
+    d = over_edges(net, sides, lambda a, b: {"w": F.sum(2 * F.col("lls")), "d": F.sum(F.col("lls") * (a - b) * (a - b))}, "lls")
     mean = x.groupBy(*NET).agg(F.count("x").alias("n"), (F.var_pop("x") * F.count("x")).alias("ss"))
     c = d.join(mean, NET).where("ss > 0").select(*NET, "rep", (1 - (F.col("n") - 1) * F.col("d") / (2 * F.col("w") * F.col("ss")) / 2).alias("c"))
     rand = F.when(F.col("rep") > 0, F.col("c"))

@@ -12,7 +12,7 @@ from .aggregates import combine_log_p, entropy
 from .expression import robust_z
 from .graph import both_ways, cut, stored
 from .hubs import null_strengths, numbered, rewired
-from .nulls import drawn_positions, shuffled
+from .nulls import drawn_positions, over_edges, shuffled
 from .statistics import score_enrichment
 
 NET = N.NET
@@ -152,14 +152,14 @@ def annotate_by_markers(scores: DataFrame, markers: DataFrame, by: list[str], re
 def label_autocorrelation(net: DataFrame, labels: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
     """NET, phi, z: sum over edges, both ways, of the weight over both labels' shares, positive where
     labels (NET, gene, label) agree and negative else, against ``reps`` shuffles of the labels."""
-    net = cut(net)
-    x = cut(labels.select(*NET, "gene", F.col("label").alias("x")))
-    sides = shuffled(x, reps, seed)
-    share = x.groupBy(*NET, "x").agg(F.count(F.lit(1)).alias("k")).join(x.groupBy(*NET).agg(F.count(F.lit(1)).alias("n")), NET).select(*NET, "x", (F.col("k") / F.col("n")).alias("p"))
-    sides = cut(sides.join(share, [*NET, "x"]))
-    end = lambda i: sides.select(*NET, "rep", F.col("gene").alias(f"gene{i}"), F.col("x").alias(f"x{i}"), F.col("p").alias(f"p{i}"))
-    sign = F.when(F.col("x1") == F.col("x2"), 2.0).otherwise(-2.0)
-    phi = net.join(end(1), [*NET, "gene1"]).join(end(2), [*NET, "rep", "gene2"]).groupBy(*NET, "rep").agg(F.sum(sign * F.col("lls") / (F.col("p1") * F.col("p2"))).alias("phi"))
+    labels = stored(labels.select(*NET, "gene", "label"))
+    # a label is a number, its order times 2^32, and the count of its nodes
+    of = labels.where("label IS NOT NULL").groupBy(*NET, "label").agg(F.count(F.lit(1)).alias("k"))
+    of = of.select(*NET, "label", (F.row_number().over(Window.partitionBy(*NET).orderBy("label")).cast("long") * 2**32 + F.col("k")).alias("x"))
+    x = stored(labels.join(of, [*NET, "label"], "left").select(*NET, "gene", "x"))
+    sides = stored(shuffled(x, reps, seed))
+    p = lambda v: (v % 2**32) / F.col("n")
+    phi = over_edges(net.join(labels.groupBy(*NET).agg(F.count(F.lit(1)).alias("n")), NET), sides, lambda a, b: {"phi": F.sum(F.when(a == b, 2.0).when(a != b, -2.0) * F.col("lls") / (p(a) * p(b)))}, "lls", "n")
     own, rand = F.max(F.when(F.col("rep") == 0, F.col("phi"))), F.when(F.col("rep") > 0, F.col("phi"))
     return phi.groupBy(*NET).agg(own.alias("phi"), F.try_divide(own - F.avg(rand), F.stddev_samp(rand)).alias("z"))
 
