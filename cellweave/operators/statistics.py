@@ -136,11 +136,17 @@ def fisher_exact(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame
     """Adds odds_ratio (of the sample) and p_value (two-sided) to rows with 2 x 2 counts."""
     x, y, z, w = (F.col(i).cast("long") for i in (a, b, c, d))
     n, rows, cols = x + y + z + w, x + y, x + z
-    support = F.sequence(F.greatest(F.lit(0).cast("long"), rows + cols - n), F.least(rows, cols))
-    own = log_hypergeometric(n, rows, cols, x)
+    # farther than this from the mean a term is below exp(-750) by Hoeffding's bound, which a double holds as 0
+    mean, far = F.coalesce(F.try_divide(rows.cast("double") * cols, n), F.lit(0.0)), F.sqrt(375.0 * F.least(rows, cols)) + 2
+    low = F.greatest(F.lit(0).cast("long"), rows + cols - n, F.floor(mean - far).cast("long"))
+    support = F.sequence(low, F.least(rows, cols, F.ceil(mean + far).cast("long")))
     logs = F.transform(support, lambda k: log_hypergeometric(n, rows, cols, k))
-    p = F.aggregate(F.filter(logs, lambda v: v <= own + 1e-7), F.lit(0.0), lambda s, v: s + F.exp(v))
-    return tables.withColumn("odds_ratio", F.try_divide((x * w).cast("double"), (y * z).cast("double"))).withColumn("p_value", F.least(F.lit(1.0), p))
+    # the own term is a column, so that it is not found again for each other
+    found = tables.withColumns({"_own": log_hypergeometric(n, rows, cols, x), "_logs": logs})
+    p = F.aggregate(F.col("_logs"), F.lit(0.0), lambda s, v: s + F.when(v <= F.col("_own") + 1e-7, F.exp(v)).otherwise(F.lit(0.0)))
+    tables = found.withColumn("p_value", F.least(F.lit(1.0), p)).drop("_own", "_logs")
+    columns = [c for c in tables.columns if c not in ("odds_ratio", "p_value")]
+    return tables.withColumn("odds_ratio", F.try_divide((x * w).cast("double"), (y * z).cast("double"))).select(*columns, "odds_ratio", "p_value")
 
 
 def score_enrichment(scores: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
