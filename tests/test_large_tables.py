@@ -1,11 +1,14 @@
 """Tables on which work that grows with the square of a group does not end in time."""
 
+import math
 import random
 import threading
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cellweave.operators import benchmark
+from cellweave.operators import benchmark, hubs, nulls, statistics
 from cellweave.operators import network as N
 from cellweave.plans.catalog import QUERIES
 
@@ -70,3 +73,54 @@ def test_gold_standard_by_blocks_is_that_of_its_pairs(spark):
     want = benchmark.lls_benchmark(scored, spark.createDataFrame(pairs, "gene1 long, gene2 long"), bin_size=50)
     got = benchmark.lls_benchmark(scored, blocks=spark.createDataFrame(nodes, "gene long, block long"), bin_size=50)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_hommel_of_many_genes(spark):
+    """60,000 genes of one group; steps by their square take minutes."""
+    rows = spark.range(60_000).select(F.lit("a").alias("net"), "id", ((F.col("id") + 1) / 60_000).alias("p"))
+    with within(spark, 40):
+        got = N.p_adjust(rows, "p", ["net"], ["id"], ["hommel"]).agg(F.min("p_hommel"), F.max("p_hommel")).first()
+    assert tuple(got) == pytest.approx((1.0, 1.0))  # evenly spread p are what chance gives
+
+
+def test_simes_values():
+    r = np.random.default_rng(4)
+    for t in range(120):
+        n = int(r.integers(1, 90))
+        x = np.sort([r.random(n), r.integers(0, 6, n) / 5, 1 - np.arange(n) / max(1, n - 1), r.random(n) ** 5][t % 4])
+        want = [(m * x[n - m :] / np.arange(1, m + 1)).min() for m in range(1, n + 1)]
+        assert N.simes_values(x).tolist() == pytest.approx(want, rel=1e-15)
+
+
+def test_fisher_of_large_counts(spark):
+    """Tables of 4e7; a term for each of 2e7 possible counts takes minutes."""
+    rows = spark.createDataFrame([(10_000_000, 10_000_000, 10_000_000, 10_000_000), (10_003_000, 9_997_000, 9_997_000, 10_003_000)], "a long, b long, c long, d long")
+    with within(spark, 60):
+        got = [r["p_value"] for r in statistics.fisher_exact(rows, "a", "b", "c", "d").collect()]
+    assert got == pytest.approx([1.0, math.erfc(2999.5 / 2_500_000**0.5 / 2**0.5)], rel=1e-3)
+
+
+def test_null_networks_do_not_travel_by_edge(spark):
+    """100 null networks are made where their edges are: a shuffle of every edge of each would be 100 times the edges."""
+    rows = spark.range(300).select(F.lit("c").alias("celltype"), F.lit("x").alias("condition"), F.col("id").alias("gene1"), (F.col("id") * 7 % 300 + 300).alias("gene2"), (1 + F.col("id") % 5).cast("double").alias("lls"))
+    net = spark.createDataFrame(rows.collect(), rows.schema)
+    assert shuffled_rows(spark, hubs.null_strengths(hubs.rewired(net, 100, 0.0, 1)).groupBy("i").agg(F.avg("value"))) < 50 * 300
+    scores = net.select(*N.NET, F.col("gene1").alias("gene"), F.col("lls").alias("x"))
+    assert shuffled_rows(spark, nulls.shuffled(scores, 100, 1)) < 50 * 300
+
+
+def shuffled_rows(spark, df):
+    """Rows written to shuffles by a query."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
