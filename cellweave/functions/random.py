@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,3 +17,68 @@ def hashed(*keys: Column) -> Column:
 
 def uniform(*keys: Column) -> Column:
     return hashed(*keys) / F.lit(4294967296.0)
+
+
+#: The constants and rotations of MD5 (RFC 1321).
+SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+
+
+def md5_starts(words: list[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The first four bytes of the MD5 of messages of one padded block, whose 16 words broadcast to ``shape``."""
+    a, b, c, d = (np.full(shape, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, m = c ^ d, i
+            f &= b
+            f ^= d
+        elif i < 32:
+            f, m = b ^ c, (5 * i + 1) % 16
+            f &= d
+            f ^= c
+        elif i < 48:
+            f, m = b ^ c, (3 * i + 5) % 16
+            f ^= d
+        else:
+            f, m = ~d, 7 * i % 16
+            f |= b
+            f ^= c
+        a += f
+        a += words[m] + SINES[i]
+        f = a >> (32 - TURNS[i])
+        a <<= TURNS[i]
+        a |= f
+        a += b
+        a, d, c, b = d, c, b, a
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def hashed_rows(prefixes: list[bytes], n: int) -> np.ndarray:
+    """``hashed`` in a task: a row a prefix (the keys before the last, joined by |), with 1 to ``n`` as the last key.
+
+    Messages of one length are hashed together, in pieces that a cache holds; those too long for one block, one by one.
+    """
+    out = np.empty((len(prefixes), n), np.uint32)
+    for size in sorted({len(p) for p in prefixes}):
+        rows = np.array([i for i, p in enumerate(prefixes) if len(p) == size])
+        for digits in range(1, len(str(n)) + 1):
+            i = np.arange(10 ** (digits - 1), min(n + 1, 10**digits))
+            at, length = size + 1, size + 1 + digits
+            if length > 55:
+                for row in rows:
+                    out[row, i - 1] = [int.from_bytes(hashlib.md5(b"%s|%d" % (prefixes[row], k), usedforsecurity=False).digest()[:4]) for k in i.tolist()]
+                continue
+            tail = b"|" + bytes(digits) + b"\x80" + bytes(55 - length) + (8 * length).to_bytes(8, "little")
+            fixed = np.frombuffer(b"".join(prefixes[row] + tail for row in rows), "<u4").reshape(len(rows), 16).astype(np.uint32)
+            ends = np.array([(i // 10**k % 10 + 48).astype(np.uint32) << 8 * ((length - 1 - k) % 4) for k in range(digits)], np.uint32)
+            wide = min(len(i), 8192)
+            high = max(1, 8192 // wide)
+            for top in range(0, len(rows), high):
+                for left in range(0, len(i), wide):
+                    words = [fixed[top : top + high, k : k + 1] for k in range(16)]
+                    for k in range(digits):
+                        word = (length - 1 - k) // 4
+                        words[word] = words[word] | ends[k, left : left + wide]
+                    shape = (len(words[0]), len(i[left : left + wide]))
+                    out[rows[top : top + high, None], i[left : left + wide] - 1] = md5_starts(words, shape)
+    return out

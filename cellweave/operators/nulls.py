@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.random import hashed, uniform
+from ..functions.random import hashed, hashed_rows
 from . import network as N
 from .graph import cut, stored
 from .hubs import BLOCKS, exceed, null_strengths, rewired
@@ -27,38 +32,126 @@ def degree_pools(net: DataFrame, spread: float = 0.2) -> DataFrame:
     return nodes.join(near, [*NET, "degree"]).select(*NET, "gene", "degree", "pos", "low", "pool")
 
 
-def drawn_positions(slots: Column, key: list[Column]) -> Column:
-    """A position for each slot from its pool, none twice; an exhausted pool ends the draw."""
-
-    def draw(taken: Column, s: Column) -> Column:
-        low, end = s["low"], s["low"] + s["pool"]
-        inside = F.array_sort(F.filter(taken, lambda x: (x >= low) & (x < end)))
-        free = s["pool"] - F.size(inside)
-        at = low + F.floor(uniform(*key, s["slot"]) * free).cast("long")
-        at = F.aggregate(inside, at, lambda p, x: F.when(x <= p, p + 1).otherwise(p))
-        return F.when(F.array_contains(taken, F.lit(-1).cast("long")), taken).otherwise(F.concat(taken, F.array(F.when(free > 0, at).otherwise(F.lit(-1).cast("long")))))
+def drawn_positions(low: np.ndarray, pool: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """draws x slots: for each draw (a row of ``hashes``) a position for each slot from the ``pool`` places that begin at
+    ``low``, none twice; an exhausted pool ends the draw, which is -1 from there.
 
-    return F.filter(F.aggregate(slots, F.array().cast("array<bigint>"), draw), lambda x: x >= 0)
+    A slot takes the free place whose number among its pool's free ones is its hash's share of them.  All draws take a
+    slot together.  A draw's taken places are bits of words, and counts over ``FAN`` words, ``FAN`` times as many and so
+    on lead down to the word, so that a slot does not look at all that were taken before it.
+    """
+    draws, slots = hashes.shape
+    base, n = int(low.min()), int((low + pool).max() - low.min())
+    own, one, upto = np.arange(draws), np.uint64(1), np.triu(np.ones((FAN, FAN)))
+    bits = np.zeros((draws, -(-n // 64)), np.uint64)
+    counts = []  # by word, by FAN words, ...
+    while not counts or counts[-1].shape[1] > FAN:
+        under = bits.shape[1] if not counts else counts[-1].shape[1] // FAN
+        counts.append(np.zeros((draws, -(-under // FAN) * FAN), np.int32))
+    edges, at = np.unique(np.concatenate([low, low + pool]), return_inverse=True)
+    taken = np.zeros((len(edges), draws), np.int32)  # places taken before each edge of a pool
+    alive, out = np.ones(draws, bool), np.full((slots, draws), -1, np.int64)
+    for s in range(slots):
+        first, last = taken[at[s]], taken[at[slots + s]]
+        free = pool[s] - (last - first)
+        alive &= free > 0
+        if not alive.any():
+            break
+        r = np.where(alive, np.floor(hashes[:, s] / 4294967296.0 * free).astype(np.int64) + (low[s] - base - first), 0)
+        node = np.zeros(draws, np.intp)
+        for i in range(len(counts) - 1, -1, -1):
+            size = 64 * FAN**i
+            under = counts[i].reshape(-1, FAN)
+            ends = np.subtract(size, under.take(own * (len(under) // draws) + node, 0), dtype=float) @ upto
+            child = (ends > r[:, None]).argmax(1)
+            r -= np.where(child > 0, ends[own, child - 1], 0).astype(np.int64)
+            node = node * FAN + child
+        word, bit = ~bits[own, node], np.zeros(draws, np.uint64)
+        for width in (32, 16, 8, 4, 2, 1):
+            under = np.bitwise_count((word >> bit) & np.uint64(2**width - 1))
+            up = under <= r
+            r -= under * up
+            bit += up * np.uint64(width)
+        pos = base + node * 64 + bit.astype(np.int64)
+        bits[own, node] |= alive * (one << bit)
+        for i in range(len(counts)):
+            counts[i][own, node // FAN**i] += alive
+        taken += alive & (pos < edges[:, None])
+        out[s] = np.where(alive, pos, -1)
+    return out.T
+
+
+#: Words, and counts of words, that a count covers.
+FAN = 16
+#: So many edges or values go to a task at a time, and so many sets are drawn together.
+PART, TOGETHER = 2**20, 500
+
+
+def in_parts(rows: DataFrame, keys: list[str], n: DataFrame, *values: Column) -> DataFrame:
+    """keys, items: structs of ``values``, dealt by a hash into arrays of about ``PART``; ``n`` has the number of rows by key."""
+    part = F.pmod(F.xxhash64(*values), F.ceil(F.col("_n") / PART))
+    dealt = rows.join(n.select(*keys, F.col("n").alias("_n")), keys).select(*keys, part.alias("_part"), F.struct(*values).alias("item"))
+    return dealt.groupBy(*keys, "_part").agg(F.collect_list("item").alias("items")).drop("_part")
+
+
+def null_connectivity(edges: DataFrame, slots: DataFrame, sims: int, seed: int) -> DataFrame:
+    """NET, sim, k: the edges (NET, p1, p2) between the positions of each drawn set.
+
+    A task has a network's slots and draws a block of sets; the network's edges then pass it in parts.
+    """
+    n_tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = in_parts(edges, NET, edges.groupBy(*NET).agg(F.count(F.lit(1)).alias("n")), F.col("p1").cast("int").alias("p1"), F.col("p2").cast("int").alias("p2"))
+    prefix = F.concat_ws("|", F.lit(seed).cast("string"), *NET)
+    both = slots.select(*NET, prefix.alias("prefix"), "slots", F.lit(None).cast("array<struct<p1:int,p2:int>>").alias("items"))
+    both = both.unionByName(parts.join(slots.select(*NET), NET, "left_semi").select(*NET, prefix.alias("prefix"), F.lit(None).cast(dict(slots.dtypes)["slots"]).alias("slots"), "items"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // TOGETHER)))
+    dealt = both.select("*", blocks.alias("block")).repartition(n_tasks, *NET, "block").sortWithinPartitions(*NET, "block", F.col("slots").isNull())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = drawn = k = None
+
+        def result():
+            celltype, condition, block = key
+            return pa.RecordBatch.from_arrays([pa.array([celltype] * len(k), pa.string()), pa.array([condition] * len(k), pa.string()), pa.array(np.arange(len(k)) + block * TOGETHER + 1), pa.array(k)], names=[*NET, "sim", "k"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                celltype, condition, prefix, block = (batch.column(c)[i].as_py() for c in (0, 1, 2, 5))
+                if batch.column(3)[i].is_valid:
+                    if key is not None:
+                        yield result()
+                    key, slots = (celltype, condition, block), batch.column(3)[i].values
+                    low, pool = (slots.field(f).to_numpy(zero_copy_only=False) for f in (1, 2))
+                    named = [f"{prefix}|{sim}".encode() for sim in range(block * TOGETHER + 1, min(sims, (block + 1) * TOGETHER) + 1)]
+                    drawn = drawn_positions(low, pool, hashed_rows(named, len(low))).astype(np.int32)
+                    k = np.zeros(len(named), np.int64)
+                    continue
+                p1, p2 = (batch.column(4)[i].values.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+                inside = np.zeros(max(drawn.max(), p1.max(), p2.max()) + 2, bool)
+                for sim, pos in enumerate(drawn):
+                    inside[pos] = True
+                    inside[-1] = False  # no position, of draws that ended
+                    k[sim] += np.count_nonzero(inside[p1] & inside[p2])
+                    inside[pos] = False
+        if key is not None:
+            yield result()
+
+    return dealt.select(*NET, "prefix", "slots", "items", "block").mapInArrow(counted, "celltype string, condition string, sim long, k long").where("k > 0")
 
 
 def connectivity_test(net: DataFrame, genes: DataFrame, sims: int = 10_000, seed: int = 1) -> DataFrame:
     """NET, detected, connectivity, p: edges within a gene set against sets of genes of like degree.
 
     Each of ``sims`` sets has, for every gene that the network has, one of a degree within a fifth;
-    p is (1 + number of sets with more edges) / sims.  The draw of a set is an expression over the
-    slots of its network, which are as many as the gene set; draws are spread by number.
+    p is (1 + number of sets with more edges) / sims.  Sets are drawn in blocks, each in one task.
     """
-    net, n_tasks = cut(net), int(net.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    net = cut(net)
     pools = cut(degree_pools(net))
     found = pools.join(genes.select("gene").distinct(), "gene", "left_semi")
-    slots = found.withColumn("slot", F.row_number().over(Window.partitionBy(*NET).orderBy("gene"))).groupBy(*NET).agg(F.array_sort(F.collect_list(F.struct("slot", "low", "pool"))).alias("slots"))
-    draws = slots.select(*NET, "slots", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).repartition(n_tasks, *NET, "sim")
-    picked = cut(draws.select(*NET, "sim", drawn_positions(F.col("slots"), [F.lit(seed), F.col("celltype"), F.col("condition"), F.col("sim")]).alias("at")))
-    each = picked.select(*NET, "sim", F.explode("at").alias("pos"))
+    slots = cut(found.withColumn("slot", F.row_number().over(Window.partitionBy(*NET).orderBy("gene"))).groupBy(*NET).agg(F.array_sort(F.collect_list(F.struct("slot", "low", "pool"))).alias("slots")))
     end = lambda k: pools.select(*NET, F.col("gene").alias(f"gene{k}"), F.col("pos").alias(f"p{k}"))
-    edges = net.join(end(1), [*NET, "gene1"]).join(end(2), [*NET, "gene2"]).select(*NET, "p1", "p2")
-    inside = edges.join(each.withColumnRenamed("pos", "p1"), [*NET, "p1"]).join(each.withColumnRenamed("pos", "p2"), [*NET, "sim", "p2"], "left_semi")
-    null = inside.groupBy(*NET, "sim").agg(F.count(F.lit(1)).alias("k")).groupBy(*NET, "k").agg(F.count(F.lit(1)).alias("n"))
+    edges = cut(net.join(end(1), [*NET, "gene1"]).join(end(2), [*NET, "gene2"]).select(*NET, "p1", "p2"))
+    null = null_connectivity(edges, slots, sims, seed).groupBy(*NET, "k").agg(F.count(F.lit(1)).alias("n"))
     own = genes.select("gene").distinct()
     seen = net.join(own.withColumnRenamed("gene", "gene1"), "gene1", "left_semi").join(own.withColumnRenamed("gene", "gene2"), "gene2", "left_semi")
     seen = seen.groupBy(*NET).agg(F.count(F.lit(1)).alias("connectivity"))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.random import hashed_rows
 from . import network as N
 from .aggregates import combine_log_p, entropy
 from .expression import robust_z
 from .graph import both_ways, cut, stored
 from .hubs import null_strengths, numbered, rewired
-from .nulls import drawn_positions, over_edges, shuffled
+from .nulls import TOGETHER, drawn_positions, in_parts, over_edges, shuffled
 from .statistics import score_enrichment
 
 NET = N.NET
@@ -134,21 +138,72 @@ def annotate_by_markers(scores: DataFrame, markers: DataFrame, by: list[str], re
     sign) with their signs, against as many genes drawn without repetition, ``reps`` times.
 
     Draws depend on label and number only, so panels of the same genes meet the same draws."""
-    n_tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = Window.partitionBy(*by)
     panel = cut(scores.select(*by, "gene", "x", (F.row_number().over(w.orderBy("gene")) - 1).cast("long").alias("pos"), F.count(F.lit(1)).over(w).alias("n")))
     own = panel.join(markers.select("label", "gene", "sign"), "gene")
     slots = own.withColumn("slot", F.row_number().over(Window.partitionBy(*by, "label").orderBy("gene")))
-    slots = slots.groupBy(*by, "label").agg(F.sum(F.col("sign") * F.col("x")).alias("score"), F.array_sort(F.collect_list(F.struct("slot", F.lit(0).cast("long").alias("low"), F.col("n").alias("pool"), "sign"))).alias("slots"))
+    slots = slots.groupBy(*by, "label").agg(F.sum(F.col("sign") * F.col("x")).alias("score"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("slot", F.col("sign").cast("double").alias("sign")))).alias("slots"))
     slots = cut(slots)
-    draws = slots.select(*by, "label", "slots", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).repartition(n_tasks, *by, "label", "rep")
-    at = drawn_positions(F.col("slots"), [F.lit(seed), F.col("label"), F.col("rep")])
-    drawn = draws.select(*by, "label", "rep", F.explode(F.arrays_zip(at.alias("pos"), F.col("slots.sign").alias("sign"))).alias("d")).select(*by, "label", "rep", "d.pos", "d.sign")
-    null = drawn.join(panel.select(*by, "pos", "x"), [*by, "pos"]).groupBy(*by, "label", "rep").agg(F.sum(F.col("sign") * F.col("x")).alias("s"))
-    null = null.groupBy(*by, "label").agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"))
+    null = null_scores(panel, slots, by, reps, seed).groupBy(*by, "label").agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"))
     return slots.join(null, [*by, "label"]).select(*by, "label", "score", F.coalesce(F.try_divide(F.col("score") - F.col("mean"), F.col("sd")), F.lit(0.0)).alias("z"))
 
 
+#: So many labels of a panel are drawn in a task at a time.
+LABELS = 2
+
+
+def null_scores(panel: DataFrame, slots: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
+    """by, label, s: the signed sum of each drawn set.  A task draws the sets of some labels of a panel, whose values then
+    pass it in parts."""
+    n_tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-slots.select("label").distinct().count() // LABELS) or 1
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks))
+    prefix = F.concat_ws("|", F.lit(seed).cast("string"), F.col("label").cast("string"))
+    asked = slots.select(F.struct(*by).alias("own"), block.alias("block"), F.struct("label", prefix.alias("prefix"), "n", F.col("slots.sign").alias("signs")).alias("asked"))
+    parts = in_parts(panel, by, panel.groupBy(*by).agg(F.first("n").alias("n")), F.col("pos").alias("pos"), F.col("x").cast("double").alias("x")).select(F.struct(*by).alias("own"), "items")
+    # a panel goes where some of its labels are
+    parts = parts.join(asked.select("own", "block").distinct(), "own")
+    rows = asked.unionByName(parts, allowMissingColumns=True).repartition(n_tasks, "own", "block").sortWithinPartitions("own", "block", F.col("asked").isNull())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = block = None
+        drawn: list[list] = []
+
+        def result():
+            labels = pa.array(np.repeat(np.arange(len(drawn)), reps))
+            named = pa.concat_arrays([d[0] for d in drawn]).take(labels)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([own]).take(pa.array(np.zeros(len(labels), int))), named, pa.array(np.concatenate([d[3] for d in drawn]))], names=["own", "label", "s"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, number = batch.column(0).slice(i, 1), batch.column(1)[i].as_py()
+                if batch.column(2)[i].is_valid:
+                    if own is None or here != own or number != block:
+                        if drawn:
+                            yield result()
+                        own, block, drawn = here, number, []
+                    label = batch.column(2).slice(i, 1)
+                    prefix, n, signs = (label.field(k)[0].as_py() for k in (1, 2, 3))
+                    low, pool = np.zeros(len(signs), np.int64), np.full(len(signs), n, np.int64)
+                    named = [f"{prefix}|{rep}".encode() for rep in range(1, reps + 1)]
+                    places = np.concatenate([drawn_positions(low, pool, hashed_rows(named[k : k + TOGETHER], len(signs))).astype(np.int32) for k in range(0, reps, TOGETHER)])
+                    drawn.append([label.field(0), places, np.array(signs, float), np.zeros(reps)])
+                    continue
+                items = batch.column(3)[i].values
+                pos, x = (items.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                values = np.zeros(max(int(pos.max()), max(int(d[1].max()) for d in drawn)) + 2)  # the last is of draws that ended
+                values[pos] = np.nan_to_num(x)
+                for d in drawn:
+                    for k in range(0, reps, 50):
+                        d[3][k : k + 50] += values[d[1][k : k + 50]] @ d[2]
+        if drawn:
+            yield result()
+
+    kind = dict(panel.select(F.struct(*by).alias("own")).dtypes)["own"]
+    found = rows.select("own", "block", "asked", "items").mapInArrow(summed, f"own {kind}, label {dict(slots.dtypes)['label']}, s double")
+    return found.select(*[F.col(f"own.{c}").alias(c) for c in by], "label", "s")
+
+
 def label_autocorrelation(net: DataFrame, labels: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
     """NET, phi, z: sum over edges, both ways, of the weight over both labels' shares, positive where
     labels (NET, gene, label) agree and negative else, against ``reps`` shuffles of the labels."""
