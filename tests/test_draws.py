@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellweave.functions.random import hashed, hashed_rows
+from cellweave.operators import profiles
 from cellweave.operators.nulls import drawn_positions
 
 
@@ -48,3 +49,19 @@ def test_large_sets_are_drawn_in_time():
     out = drawn_positions(np.zeros(n, np.int64), np.full(n, 10 * n), hashed_rows([b"1|%d" % i for i in range(500)], n))
     assert time.monotonic() - start < 90
     assert all(len(set(row)) == n for row in out.tolist()[:5]) and out.min() >= 0 and out.max() < 10 * n
+
+
+def test_markers_of_many_labels_and_panels(spark):
+    # more labels than a task draws at a time, and values that come to it apart from them
+    rng = np.random.default_rng(2)
+    x = {c: {int(g): float(v) for g, v in zip(rng.choice(200, 150, False), rng.integers(0, 9, 150), strict=True)} for c in "ab"}
+    marked = [(f"l{k}", g, 1 if g % 2 else -1) for k in range(7) for g in range(k, 200, 5 + k)]
+    scores = spark.createDataFrame([(c, g, v) for c in x for g, v in x[c].items()], "c string, gene long, x double")
+    got = profiles.annotate_by_markers(scores, spark.createDataFrame(marked, "label string, gene long, sign int"), ["c"], reps=30).collect()
+    assert len(got) == 14
+    for r in got:
+        genes, own = sorted(x[r.c]), sorted((g, s) for k, g, s in marked if k == r.label and g in x[r.c])
+        hashes = hashed_rows([f"1|{r.label}|{rep}".encode() for rep in range(1, 31)], len(own))
+        null = [sum(s * x[r.c][genes[at]] for (_, s), at in zip(own, one_by_one(np.zeros(len(own), int), np.full(len(own), len(genes)), row), strict=True)) for row in hashes]
+        score = sum(s * x[r.c][g] for g, s in own)
+        assert r.score == score and abs(r.z - (score - np.mean(null)) / np.std(null, ddof=1)) < 1e-9
