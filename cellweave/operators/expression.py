@@ -158,8 +158,17 @@ def specificity_of_presence(counts: DataFrame, cells: DataFrame, cluster: str) -
 
 def impute_by_archetypes(profiles: DataFrame, weights: DataFrame) -> DataFrame:
     """Values of features (feature, archetype, value) in cells (cell_id, archetype, weight): the
-    product of both tables, so ``profiles`` holds only the features that are wanted."""
-    return weights.join(profiles, "archetype").groupBy("cell_id", "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    product of both tables, so ``profiles`` holds only the features that are wanted.
+
+    A cell's weights meet the features' profiles, which go to all tasks, and each value is summed in its row, so that
+    no task holds sums of its cells."""
+    cells = weights.where("archetype IS NOT NULL").groupBy("cell_id").agg(F.collect_list(F.struct("archetype", "weight")).alias("w"))
+    features = profiles.where("archetype IS NOT NULL").groupBy("feature").agg(F.collect_list(F.struct("archetype", "value")).alias("p"))
+    features = features.select("feature", F.expr("map_from_entries(transform(array_distinct(p.archetype), a -> struct(a, transform(filter(p, q -> q.archetype = a), q -> q.value))))").alias("p"))
+    # nulls are left out of a sum, and a sum of nothing is null
+    terms = "filter(flatten(transform(w, c -> transform(coalesce(p[c.archetype], array()), v -> double(c.weight * v)))), t -> t IS NOT NULL)"
+    both = cells.join(F.broadcast(features), F.expr("exists(w, c -> map_contains_key(p, c.archetype))"))
+    return both.select("cell_id", "feature", F.expr(terms).alias("t")).select("cell_id", "feature", F.expr("if(size(t) > 0, aggregate(t, 0D, (a, b) -> a + b), NULL)").alias("value"))
 
 
 def bind_cells(tables: dict[str, DataFrame]) -> DataFrame:
