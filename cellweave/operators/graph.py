@@ -44,6 +44,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def laid(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as a table of the warehouse in buckets of ``keys``, so that a loop's joins by these keys shuffle only what
+    it makes anew."""
+    spark = df.sparkSession
+    name = f"cellweave_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def components(net: DataFrame) -> DataFrame:
     """celltype, condition, gene, component (its smallest gene), by label spreading with jumps."""
     edges = cut(both_ways(net))
@@ -65,12 +74,16 @@ def component_sizes(net: DataFrame) -> DataFrame:
 
 def core_numbers(net: DataFrame) -> DataFrame:
     """k-core numbers: each node takes the h-index of its neighbours' values until none changes."""
-    edges = cut(both_ways(net))
-    value = cut(edges.groupBy(*NET, F.col("src").alias("gene")).agg(F.count(F.lit(1)).alias("core")))
+    edges = laid(both_ways(net), *NET, "dst")
+    # an edge is there from both ends
+    value = laid(edges.groupBy(*NET, F.col("dst").alias("gene")).agg(F.count(F.lit(1)).alias("core")), *NET, "gene")
     while True:
-        seen = edges.join(value.withColumnRenamed("gene", "dst"), [*NET, "dst"]).groupBy(*NET, F.col("src").alias("gene")).agg(F.sort_array(F.collect_list("core"), asc=False).alias("c"))
-        h = F.size(F.filter("c", lambda x, i: x >= i + 1)).cast("long")
-        new = cut(seen.select(*NET, "gene", h.alias("new")).join(value, [*NET, "gene"]).select(*NET, "gene", F.least("new", "core").alias("core"), F.col("core").alias("old")))
+        sent = edges.join(value.withColumnRenamed("gene", "dst"), [*NET, "dst"])
+        seen = sent.groupBy(*NET, F.col("src").alias("gene"), "core").agg(F.count(F.lit(1)).alias("n"))
+        # neighbours by value: the largest h that as many neighbours reach
+        reach = F.sum("n").over(Window.partitionBy(*NET, "gene").orderBy(F.desc("core")))
+        h = seen.select(*NET, "gene", F.least("core", reach).alias("h")).groupBy(*NET, "gene").agg(F.max("h").alias("new"))
+        new = laid(value.join(h, [*NET, "gene"]).select(*NET, "gene", F.least("new", "core").alias("core"), F.col("core").alias("old")), *NET, "gene")
         value = new.drop("old")
         if new.where("core <> old").isEmpty():
             return value
@@ -98,29 +111,30 @@ def diffusion_limit(net: DataFrame, seeds: DataFrame, alpha: float = 0.85, toler
     its own scalars; it ends when every residual is at most ``tolerance`` of its right side, and raises
     after ``rounds`` steps.
     """
-    edges = both_ways(net, "lls").groupBy(*NET, "src", "dst").agg(F.sum("lls").alias("w"))
-    root = stored(edges.groupBy(*NET, F.col("src").alias("gene")).agg(F.sqrt(F.sum("w")).alias("d")))
+    edges = stored(both_ways(net, "lls").groupBy(*NET, "src", "dst").agg(F.sum("lls").alias("w")))
+    root = laid(edges.groupBy(*NET, F.col("src").alias("gene")).agg(F.sqrt(F.sum("w")).alias("d")), *NET, "gene")
     side = lambda end, name: root.select(*NET, F.col("gene").alias(end), F.col("d").alias(name))
-    edges = stored(edges.join(side("src", "a"), [*NET, "src"]).join(side("dst", "b"), [*NET, "dst"]).select(*NET, "src", "dst", (alpha * F.col("w") / (F.col("a") * F.col("b"))).alias("w")))
+    weighted = edges.join(side("dst", "b"), [*NET, "dst"]).join(side("src", "a"), [*NET, "src"])
+    edges = laid(weighted.select(*NET, "src", "dst", (alpha * F.col("w") / (F.col("a") * F.col("b"))).alias("w")), *NET, "src")
     b = (1 - alpha) * F.coalesce("x0", F.lit(0.0)) / F.col("d")
-    rows = root.join(seeds.select(*NET, "gene", "x0"), [*NET, "gene"], "left").select(*NET, "gene", "d", F.lit(0.0).alias("x"), b.alias("r"), b.alias("p"))
-    rows = stored(rows)
+    rows = root.join(seeds.select(*NET, "gene", "x0"), [*NET, "gene"], "left").select(*NET, "gene", F.lit(0.0).alias("x"), b.alias("r"), b.alias("p"))
+    rows = laid(rows, *NET, "gene")
     goal = stored(rows.groupBy(*NET).agg((tolerance * tolerance * F.sum(F.col("r") * F.col("r"))).alias("goal")))
     few = goal.count() <= 5000
     spread = F.broadcast if few else lambda df: df  # noqa: E731  # a row a network
     for _ in range(rounds):
+        # a round writes its rows once, with the product; what it makes of them is left to the next round's reading
         near = edges.join(rows.select(*NET, F.col("gene").alias("src"), "p"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.sum(F.col("w") * F.col("p")).alias("m"))
-        rows = stored(rows.join(near, [*NET, "gene"], "left").withColumn("q", F.col("p") - F.coalesce("m", F.lit(0.0))).drop("m"))
+        made = laid(rows.join(near, [*NET, "gene"], "left").select(*NET, "gene", "x", "r", "p", (F.col("p") - F.coalesce("m", F.lit(0.0))).alias("q")), *NET, "gene")
         dot = lambda u, v: F.sum(F.col(u) * F.col(v))
-        sums = rows.groupBy(*NET).agg(dot("r", "r").alias("rr"), dot("p", "q").alias("pq"), dot("r", "q").alias("rq"), dot("q", "q").alias("qq"))
+        sums = made.groupBy(*NET).agg(dot("r", "r").alias("rr"), dot("p", "q").alias("pq"), dot("r", "q").alias("rq"), dot("q", "q").alias("qq"))
         a = F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(F.lit(0.0))
         sums = sums.select(*NET, "rr", a.alias("a"), F.greatest(F.col("rr") - 2 * a * F.col("rq") + a * a * F.col("qq"), F.lit(0.0)).alias("after"))
-        sums = sums.select(*NET, "a", F.when(F.col("rr") > 0, F.col("after") / F.col("rr")).otherwise(F.lit(0.0)).alias("b"))
-        step = rows.join(spread(sums), NET).withColumns({"x": F.expr("x + a * p"), "r": F.expr("r - a * q")})
-        rows = stored(step.withColumn("p", F.expr("r + b * p")).select(*NET, "gene", "d", "x", "r", "p"))
-        left = rows.groupBy(*NET).agg(dot("r", "r").alias("rr")).join(spread(goal), NET)
-        if left.where("rr > goal").isEmpty():
-            return rows.select(*NET, "gene", (F.col("x") * F.col("d")).alias("x"))
+        sums = stored(sums.select(*NET, "rr", "a", F.when(F.col("rr") > 0, F.col("after") / F.col("rr")).otherwise(F.lit(0.0)).alias("b")))
+        if sums.join(spread(goal), NET).where("rr > goal").isEmpty():
+            return made.join(root, [*NET, "gene"]).select(*NET, "gene", (F.col("x") * F.col("d")).alias("x"))
+        step = made.join(spread(sums), NET).withColumns({"x": F.expr("x + a * p"), "r": F.expr("r - a * q")})
+        rows = step.select(*NET, "gene", "x", "r", F.expr("r + b * p").alias("p"))
     raise ArithmeticError(f"no residual within {tolerance} after {rounds} steps")
 
 
