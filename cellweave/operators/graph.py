@@ -54,17 +54,22 @@ def laid(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def components(net: DataFrame) -> DataFrame:
-    """celltype, condition, gene, component (its smallest gene), by label spreading with jumps."""
-    edges = cut(both_ways(net))
-    labels = cut(edges.select(*NET, F.col("src").alias("gene")).distinct().withColumn("component", F.col("gene")))
+    """celltype, condition, gene, component (its smallest gene), by label spreading with jumps.
+
+    Only labels that the last round lowered are sent again, as neighbours have seen the others.
+    """
+    edges = laid(both_ways(net), *NET, "src")
+    buckets = int(net.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = laid(edges.select(*NET, F.col("src").alias("gene")).distinct().withColumns({"component": F.col("gene"), "changed": F.lit(True)}), *NET, "gene")
     while True:
-        near = edges.join(labels.withColumnRenamed("gene", "src"), [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.min("component").alias("near"))
-        step = labels.join(near, [*NET, "gene"]).select(*NET, "gene", F.col("component").alias("old"), F.least("component", "near").alias("c"))
+        sent = labels.where("changed").select(*NET, F.col("gene").alias("src"), "component")
+        near = edges.join(sent, [*NET, "src"]).groupBy(*NET, F.col("dst").alias("gene")).agg(F.min("component").alias("near"))
+        step = labels.join(near, [*NET, "gene"], "left").select(*NET, "gene", F.col("component").alias("old"), F.least("component", "near").alias("c"))
         jump = labels.select(*NET, F.col("gene").alias("c"), F.col("component").alias("far"))
-        new = cut(step.join(jump, [*NET, "c"]).select(*NET, "gene", "old", F.least("c", "far").alias("component")))
-        labels = new.drop("old")
-        if new.where("old <> component").isEmpty():
-            return labels
+        new = step.join(jump, [*NET, "c"]).select(*NET, "gene", F.least("c", "far").alias("component"), (F.least("c", "far") < F.col("old")).alias("changed"))
+        labels = laid(new.repartition(buckets, *NET, "gene"), *NET, "gene")
+        if labels.where("changed").isEmpty():
+            return labels.drop("changed")
 
 
 def component_sizes(net: DataFrame) -> DataFrame:

@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import both_ways, cut
+from .graph import both_ways, components, cut, stored
 from .network import NET, endpoints
 
 STATE = [*NET, "source", "gene"]
 #: So many rows of at most a few hundred numbers are broadcast, more are joined by shuffles.
 MANY_NETWORKS = 5000
+#: Components of up to so many edges, counted from both ends, are solved in a task: about 100 MB.
+TOGETHER = 200_000
+#: Eigenvalues that differ by less than this share count as equal.
+TIE = 1e-12
 
 
 def levels(net: DataFrame, sources: DataFrame | None = None) -> list[DataFrame]:
@@ -68,17 +72,83 @@ def betweenness(net: DataFrame) -> DataFrame:
     return total.groupBy(*NET, "gene").agg((F.sum("share") / 2).alias("value"))
 
 
-def eigenvector(net: DataFrame, steps: int = 24, kept: int = 8, restarts: int = 24, tolerance: float = 1e-8) -> DataFrame:
+def eigenvector(net: DataFrame, steps: int = 24, kept: int = 8, restarts: int = 24, tolerance: float = 1e-8, together: int = TOGETHER) -> DataFrame:
     """Weighted eigenvector centrality, largest value 1.
 
-    Rayleigh-Ritz on a Krylov basis of each network, all networks at once.  A node keeps its entries
+    A network's leading eigenvector is that of its components with the greatest eigenvalue, 0 elsewhere.  With weights
+    of at least 0 a component's lies between the longest row of A and the root of the largest row sum of A A, so
+    most components are known to be short of another one.  Of the rest each is solved by itself: up to
+    ``together`` edges (counted from both ends) in a task, larger ones by products of tables.  Components that tie share the
+    vector as the ones that a power iteration begins with do.
+    """
+    edges = stored(both_ways(net, "lls").groupBy(*NET, "src", "dst").agg(F.sum("lls").cast("double").alias("lls")))
+    owner = components(edges.where("src <= dst").select(*NET, F.col("src").alias("gene1"), F.col("dst").alias("gene2")))
+    sums = edges.groupBy(*NET, F.col("src").alias("gene")).agg(F.sum(F.abs("lls")).alias("s"), F.sum(F.col("lls") * F.col("lls")).alias("squares"), F.min("lls").alias("least"), F.count(F.lit(1)).alias("n"))
+    sums = stored(sums.join(owner, [*NET, "gene"]))
+    wide = edges.join(sums.select(*NET, F.col("gene").alias("dst"), "s"), [*NET, "dst"]).groupBy(*NET, F.col("src").alias("gene")).agg(F.sum(F.abs("lls") * F.col("s")).alias("wide"))
+    bounds = sums.join(wide, [*NET, "gene"]).groupBy(*NET, "component").agg(F.max("wide").alias("most"), F.max("squares").alias("squares"), F.min("least").alias("least"), F.sum("n").alias("n"))
+    bounds = stored(bounds)
+    floor = bounds.groupBy(*NET).agg(F.when(F.min("least") >= 0, F.max("squares")).otherwise(F.lit(0.0)).alias("floor"))
+    left = bounds.join(floor, NET).where(F.col("most") >= F.col("floor") * (1 - TIE)).select(*NET, "component", "n")
+    live = stored(edges.join(owner.join(left, [*NET, "component"]).withColumnRenamed("gene", "src"), [*NET, "src"]).select(*NET, "component", "n", "src", "dst", "lls"))
+    gene = net.schema["gene1"].dataType.simpleString()
+    found = live.where(F.col("n") <= together).groupBy(*NET, "component").applyInArrow(lambda table: leading(table, steps, kept, restarts, tolerance), f"celltype string, condition string, gene {gene}, x double, theta double")
+    large = live.where(F.col("n") > together).select(*NET, "src", "dst", "lls")
+    if not large.isEmpty():
+        found = found.unionByName(leading_by_products(large, steps, kept, restarts, tolerance))
+    found = stored(found)
+    best = found.groupBy(*NET).agg(F.max("theta").alias("best"))
+    found = found.join(best, NET).where(F.col("theta") >= F.col("best") - TIE * F.abs("best"))
+    top = found.groupBy(*NET).agg(F.max(F.abs("x")).alias("top"))
+    value = found.join(top, NET).select(*NET, "gene", (F.col("x") / F.col("top")).alias("value"))
+    return sums.select(*NET, "gene").join(value, [*NET, "gene"], "left").select(*NET, "gene", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def leading(table: pa.Table, steps: int, kept: int, restarts: int, tolerance: float) -> pa.Table:
+    """NET, gene, x, theta: the leading eigenvalue of one component's edges and its vector, as long as ones project on it."""
+    src, dst, w = (table.column(c).to_numpy() for c in ("src", "dst", "lls"))
+    genes, src = np.unique(src, return_inverse=True)
+    dst = np.searchsorted(genes, dst)
+    order = np.lexsort((dst, src))  # so that equal components have equal figures
+    src, dst, w = src[order], dst[order], w[order]
+    v = images = np.empty((0, len(genes)))
+    x, last = np.ones(len(genes)), np.inf
+    for _ in range(restarts):
+        while len(v) < steps:
+            rest = x - (v @ x) @ v
+            rest -= (v @ rest) @ v
+            if not np.linalg.norm(rest) > 1e-14 * np.linalg.norm(x):
+                break  # the basis spans all that ones reach
+            v = np.vstack([v, rest / np.linalg.norm(rest)])
+            x = np.bincount(src, w * v[-1][dst], len(genes))
+            images = np.vstack([images, x])
+        h = v @ images.T
+        theta, turn = np.linalg.eigh((h + h.T) / 2)
+        theta, turn = theta[::-1][:kept], turn[:, ::-1][:, :kept]
+        v, images = turn.T @ v, turn.T @ images
+        x = images[0] - theta[0] * v[0]
+        off = np.linalg.norm(x) / max(abs(theta[0]), 1e-300)
+        # it goes on as far as doubles do, so that components that tie are told from those that nearly do
+        if off <= 1e-14 or (off <= tolerance and off > last / 2):
+            break
+        last = off
+    if off > tolerance and np.linalg.norm(x) > 0:
+        raise ArithmeticError(f"no eigenvector within {tolerance} after {restarts} bases of {steps} products")
+    first = table.slice(0, 1)
+    own = [pa.array([first.column(c)[0].as_py()] * len(genes), pa.string()) for c in NET]
+    return pa.Table.from_arrays([*own, pa.array(genes, table.schema.field("src").type), pa.array(v[0] * v[0].sum()), pa.array(np.full(len(genes), theta[0]))], names=[*NET, "gene", "x", "theta"])
+
+
+def leading_by_products(edges: DataFrame, steps: int, kept: int, restarts: int, tolerance: float) -> DataFrame:
+    """``leading`` of all networks (NET, src, dst, lls) at once, NET, gene, x, theta.
+
+    Rayleigh-Ritz on a Krylov basis of each network.  A node keeps its entries
     of the basis V and of W = A V as arrays; a step is one product of the adjacency table with the
     newest vector (a join and a sum) and one row of dot products a network.  After ``steps`` products
     the small problem of each network (Gram matrices of V and W, one row) is solved in a task, and its
     ``kept`` leading Ritz vectors and the residual of the first start the next basis.  A network is
     done when |A x - t x| <= ``tolerance`` t |x|; the others go on, and ``restarts`` bases without an end raise.
     """
-    edges = cut(both_ways(net, "lls").groupBy(*NET, "src", "dst").agg(F.sum("lls").alias("lls")))
     nodes = edges.select(*NET, F.col("src").alias("gene")).distinct()
     no_vectors = F.array().cast("array<double>")
     # the leading eigenvector has one sign, so it is not orthogonal to ones
@@ -97,11 +167,11 @@ def eigenvector(net: DataFrame, steps: int = 24, kept: int = 8, restarts: int =
         size = kept
         left = rows.groupBy(*NET).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("r"), (F.first("theta") * F.sqrt(F.sum(F.expr("v[0] * v[0]")))).alias("t"))
         open_nets = cut(left.where(~(F.col("r") <= tolerance * F.col("t"))).select(*NET))
-        ready = rows.join(spread(open_nets), NET, "left_anti").select(*NET, "gene", F.expr("v[0]").alias("x"))
+        ready = rows.join(spread(open_nets), NET, "left_anti").select(*NET, "gene", F.expr("v[0]").alias("x"), "theta")
         done = ready if done is None else done.unionByName(ready)
         if open_nets.isEmpty():
-            top = done.groupBy(*NET).agg(F.max(F.abs("x")).alias("top"), F.sum("x").alias("side"))
-            return done.join(spread(top), NET).select(*NET, "gene", (F.col("x") * F.signum("side") / F.col("top")).alias("value"))
+            scale = done.groupBy(*NET).agg((F.sum("x") / F.sum(F.col("x") * F.col("x"))).alias("scale"))
+            return done.join(spread(scale), NET).select(*NET, "gene", (F.col("x") * F.col("scale")).alias("x"), "theta")
         rows = rows.join(spread(open_nets), NET, "left_semi").drop("theta")
         edges = cut(edges.join(spread(open_nets), NET, "left_semi"))
     raise ArithmeticError(f"no eigenvector within {tolerance} after {restarts} bases of {steps} products")

@@ -3,6 +3,7 @@
 import gzip
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,19 @@ def test_delimited_and_sparse_export(spark, tmp_path):
     features, names, lines = read("features.txt"), [x.split("\t")[0] for x in read("metadata.tsv")], read("counts.mtx")
     assert lines[0].startswith("%%MatrixMarket") and lines[1] == "2 2 2"
     assert sorted((names[int(j) - 1], features[int(i) - 1], float(v)) for i, j, v in map(str.split, lines[2:])) == [("c1", "A", 1.0), ("c2", "B", 2.5)]
+
+
+def test_eigenvector_solves_small_components_by_themselves(spark, monkeypatch):
+    """Two equal components, a lighter one and a pair: no product of tables, and the same values by products."""
+    ring = [(a, b, 1.0 + (a % 3)) for a, b in [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (3, 4)]]
+    rows = [("t", "c", 10 * k + a, 10 * k + b, w * s) for k, s in enumerate((1.0, 0.9, 1.0)) for a, b, w in ring] + [("t", "c", 90, 91, 0.5)]
+    net = spark.createDataFrame(rows, "celltype string, condition string, gene1 long, gene2 long, lls double")
+    tables = values(paths.eigenvector(net, tolerance=1e-10, together=2))
+    monkeypatch.setattr(paths, "krylov_step", None)
+    alone = values(paths.eigenvector(net, tolerance=1e-10))
+    a = np.zeros((5, 5))
+    for i, j, w in ring:
+        a[i, j] = a[j, i] = w
+    v = np.abs(np.linalg.eigh(a)[1][:, -1])
+    want = {10 * k + i: (v / v.max())[i] if k != 1 else 0.0 for k in range(3) for i in range(5)} | {90: 0.0, 91: 0.0}
+    assert alone == pytest.approx(want, abs=1e-9) and tables == pytest.approx(want, abs=1e-7)
