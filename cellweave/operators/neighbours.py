@@ -43,6 +43,18 @@ def first_of(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+def between(x: np.ndarray, y: np.ndarray, measure: str, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, distance of the pairs of rows of x and y whose distance, as in ``distances``, may be below ``most``[i, j]."""
+    if measure == "cosine":
+        d = np.clip(1 - x @ y.T, 0, 2)
+        i, j = np.nonzero(d < most)
+        return i, j, d[i, j]
+    # the divergence in bits is at least the squared Hellinger distance, which is one product of matrices
+    i, j = np.nonzero(1 - np.sqrt(x) @ np.sqrt(y).T < most * most + 1e-12)
+    log = lambda v: np.where(v > 0, v * np.log2(np.where(v > 0, v, 1)), 0).sum(1)
+    return i, j, np.sqrt(np.clip((log(x)[i] + log(y)[j]) / 2 - log((x[i] + y[j]) / 2), 0, 1))
+
+
 def joined_locally(lists: DataFrame, measure: str) -> DataFrame:
     """id, other, distance of pairs in a list (members: id, fresh, bound, x) with a fresh one, under either's bound."""
 
@@ -53,20 +65,52 @@ def joined_locally(lists: DataFrame, measure: str) -> DataFrame:
             ids, fresh, bound = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             x = items.field(3)
             flat, at = x.values.to_numpy(), x.offsets.to_numpy()
+            rows = [], [], []
             for a, b in zip(ends[:-1], ends[1:], strict=True):
-                if b - a < 2:
+                new = np.nonzero(fresh[a:b])[0]
+                if b - a < 2 or not len(new):
                     continue
-                d = distances(flat[at[a] : at[b]].reshape(b - a, -1), measure)
-                wanted = fresh[a:b, None] | fresh[None, a:b]
-                np.fill_diagonal(wanted, False)
-                i, j = np.nonzero(wanted & (d < bound[a:b, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][i]), pa.array(ids[a:b][j]), pa.array(d[i, j])], names=["id", "other", "distance"])
+                own = flat[at[a] : at[b]].reshape(b - a, -1)
+                i, j, d = between(own[new], own, measure, np.maximum(bound[a:b][new, None], bound[None, a:b]))
+                i = new[i]
+                there = (d < bound[a:b][i]) & (i != j)
+                back = (d < bound[a:b][j]) & ~fresh[a:b][j]
+                rows[0].append(ids[a:b][np.concatenate([i[there], j[back]])])
+                rows[1].append(ids[a:b][np.concatenate([j[there], i[back]])])
+                rows[2].append(np.concatenate([d[there], d[back]]))
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=["id", "other", "distance"])
 
     return lists.mapInArrow(measured, GRAPH)
 
 
 def nn_descent(points: DataFrame, k: int = 20, measure: str = "jsd", sample: float = 0.8, least: float = 0.002, seed: int = 0, id_col: str = "id", vector_col: str = "x") -> DataFrame:
-    """id, other, distance: about the ``k`` nearest of each point (id, vector), by NN-descent.
+    """id, other, distance: about the ``k`` nearest of each point (id, vector), by NN-descent; ties to smaller ids among equal vectors.
+
+    Equal vectors are one point of the search.  Where more than ``k`` are equal their nearest are one another;
+    the others take their equals first and then the members of the nearest points found.
+    """
+    cells = stored(prepared(points, id_col, vector_col, measure))
+    points = stored(cells.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")))
+    if points.where("size > 1").isEmpty():
+        return searched(cells, k, measure, sample, least, seed)
+    named = stored(cells.join(points.withColumnRenamed("id", "point"), "x").select("id", "point", "size"))
+    firsts = stored(named.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("id"))).where(F.col("rank") <= k + 1).select("point", F.col("id").alias("other"), "rank"))
+    same = named.where("size > 1").join(firsts, "point").where((F.col("id") != F.col("other")) & ((F.col("rank") <= k) | (F.col("id") < F.col("other"))))
+    same = same.select("id", "other", F.lit(0.0).alias("distance"))
+    if points.where(F.col("size") <= k).isEmpty():
+        return same
+    near = searched(points.select("id", "x"), k, measure, sample, least, seed).withColumnsRenamed({"id": "point", "other": "next"})
+    sizes = points.select(F.col("id").alias("point"), "size")
+    near = near.join(sizes.where(F.col("size") <= k).withColumn("lacks", k + 1 - F.col("size")).drop("size"), "point").join(sizes.withColumnRenamed("point", "next"), "next")
+    before = F.sum("size").over(Window.partitionBy("point").orderBy("distance", "next").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    near = near.withColumn("before", before).where("before < lacks").select("point", "next", "distance", "lacks")
+    near = near.join(firsts.withColumnRenamed("point", "next"), "next").withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("distance", "other"))).where("rank <= lacks")
+    return same.unionByName(named.join(near.select("point", "other", "distance"), "point").select("id", "other", "distance"))
+
+
+def searched(cells: DataFrame, k: int, measure: str, sample: float, least: float, seed: int) -> DataFrame:
+    """``nn_descent`` of stored points (id, x).
 
     Neighbours begin at random.  In a round each point gathers a sample of its neighbours and of the
     points that have it as one (at most ``sample`` k of each kind, so a point that is everyone's neighbour
@@ -74,7 +118,6 @@ def nn_descent(points: DataFrame, k: int = 20, measure: str = "jsd", sample: flo
     the last round.  Ends when fewer than ``least`` of all k n places change.  No step sees all pairs:
     a round makes at most (4 sample k)^2 comparisons a point.
     """
-    cells = stored(prepared(points, id_col, vector_col, measure))
     n = cells.count()
     if n < 2:
         return cells.sparkSession.createDataFrame([], GRAPH)
@@ -95,7 +138,9 @@ def nn_descent(points: DataFrame, k: int = 20, measure: str = "jsd", sample: flo
         used = graph.where("taken OR NOT fresh").select("id", "other", F.col("taken").alias("fresh"))
         kind = F.concat(F.col("id").cast("string"), F.when(F.col("fresh"), "+").otherwise("-"))
         back = first_of(used.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh").withColumn("kind", kind), "kind", size, luck).drop("kind")
-        members = used.unionByName(back).groupBy("id", F.col("other").alias("member")).agg(F.max("fresh").alias("fresh"))
+        members = used.unionByName(back).repartition("id").groupBy("id", F.col("other").alias("member")).agg(F.max("fresh").alias("fresh"))
+        # lists without a fresh member have been compared
+        members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("id"))).where("any").drop("any")
         bounds = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
         known = cells.join(bounds, "id", "left").select(F.col("id").alias("member"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "x")
         lists = members.join(known, "member").groupBy("id").agg(F.collect_list(F.struct("member", "fresh", "bound", "x")).alias("members")).select("members")

@@ -174,3 +174,37 @@ def test_network_of_mutual_neighbours(spark):
     assert len(got.keys() & want.keys()) >= 0.97 * len(want) and len(got.keys() - want.keys()) <= 0.03 * len(want)
     assert all(got[e] == pytest.approx(want[e], abs=1e-6) for e in got.keys() & want.keys())
     assert neighbours.neighbour_network(table.limit(1)).count() == 0
+
+
+def test_the_divergence_is_bounded_by_the_squared_hellinger_distance():
+    r = np.random.default_rng(1)
+    x = np.vstack([r.dirichlet(np.full(25, c), 150) for c in (0.02, 0.2, 5.0)])
+    d = neighbours.distances(x, "jsd")
+    assert (1 - np.sqrt(x) @ np.sqrt(x).T <= d * d + 1e-12).all()
+    for most in (np.full(d.shape, np.inf), np.full(d.shape, 0.5), d.T * 1.01):
+        i, j, found = neighbours.between(x, x, "jsd", most)
+        got = set(zip(i[found < most[i, j]], j[found < most[i, j]], strict=True))
+        assert got == set(zip(*np.nonzero(d < most), strict=True)) and found == pytest.approx(d[i, j], abs=1e-7)
+
+
+def test_equal_vectors_are_one_point_of_the_search(spark, monkeypatch):
+    x = clustered(60, 9)
+    copies = [14 if i % 3 == 0 else 1 + i % 6 for i in range(60)]
+    of = [i for i, n in enumerate(copies) for _ in range(n)]
+    table = spark.createDataFrame([(i, x[p].tolist()) for i, p in enumerate(of)], "id long, x array<double>")
+    got = neighbours.nn_descent(table, 10, least=0.0).toPandas()
+    d = neighbours.distances(x / x.sum(1, keepdims=True), "jsd")[np.ix_(of, of)]
+    d[np.equal.outer(of, of)] = 0
+    right = 0
+    for i, own in got.groupby("id"):
+        order = [j for j in np.lexsort((np.arange(len(of)), d[i])) if j != i][:10]
+        assert len(own) == own.other.nunique() == 10 and i not in set(own.other)
+        equal = {j for j in order if of[j] == of[i]}
+        assert equal <= set(own.other) and (own.distance[own.other.isin(equal)] == 0).all()
+        assert own.distance.tolist() == pytest.approx(d[i, own.other].tolist(), abs=1e-7)
+        right += len(set(order) & set(own.other))
+    assert got.id.nunique() == len(of) and right >= 0.95 * 10 * len(of)
+    # where each vector has more than k copies nothing is searched
+    monkeypatch.setattr(neighbours, "searched", None)
+    many = neighbours.nn_descent(table.where(f"id in ({','.join(str(i) for i, p in enumerate(of) if copies[p] == 14)})"), 10).toPandas()
+    assert (many.distance == 0).all() and (many.groupby("id").size() == 10).all()
