@@ -13,6 +13,10 @@ r k_i k_j / M for each other candidate j that enters B or leaves A and has at le
 (trailing zero bits, so that half the candidates are at level 0, a quarter at 1 and so on).  Of two
 moves at least one pays for both, so the gains add up.  The sums by level are partial aggregations: no
 window and no list over a community, however large it is.
+
+With more than ``MANY`` nodes, after a round only the nodes that wished to move and the neighbours of those that did are looked at, until none of
+them gains; then all are, and the rounds end where none of all gains.  Edges lie in buckets by their source
+and nodes by their name, so that a round shuffles what it looks at.
 """
 
 from __future__ import annotations
@@ -20,18 +24,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import both_ways, stored
+from .graph import both_ways, laid, stored
 from .network import NET
 
 #: Gains from here on count as such, in units of edge weights.
 LEAST_GAIN = 1e-9
-
-
-def candidates(edges: DataFrame, nodes: DataFrame, resolution: float, only_single: bool) -> DataFrame:
-    """NET, node, k, m, own, to, gain of each node (NET, node, k, m, own) that would gain by a move."""
-    sums = nodes.groupBy(*NET, "own").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
-    near = edges.join(nodes.select(*NET, F.col("node").alias("dst"), F.col("own").alias("to")), [*NET, "dst"]).groupBy(*NET, F.col("src").alias("node"), "to").agg(F.sum("w").alias("w"))
-    mine = nodes.join(sums, [*NET, "own"])
+#: Up to so many nodes a round over all costs less than finding those that need it.
+MANY = 200_000
+
+
+def candidates(edges: DataFrame, nodes: DataFrame, resolution: float, only_single: bool, active: DataFrame | None = None) -> DataFrame:
+    """NET, node, k, m, own, to, gain of each node (NET, node, k, m, own) that would gain by a move; of those in ``active``, if given."""
+    mine, around = nodes, edges
+    if active is not None:
+        mine = nodes.join(active, [*NET, "node"], "left_semi")
+        around = edges.join(active.withColumnRenamed("node", "src"), [*NET, "src"], "left_semi")
+    near = around.join(nodes.select(*NET, F.col("node").alias("dst"), F.col("own").alias("to")), [*NET, "dst"]).groupBy(*NET, F.col("src").alias("node"), "to").agg(F.sum("w").alias("w"))
+    held = nodes
+    if active is not None:  # only the communities that these see
+        near = stored(near)
+        asked = stored(near.select(*NET, F.col("to").alias("own")).unionByName(mine.select(*NET, "own")).distinct())
+        held = nodes.join(asked, [*NET, "own"], "left_semi")
+    sums = held.groupBy(*NET, "own").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
+    mine = mine.join(sums, [*NET, "own"])
     if only_single:
         mine = mine.where("size = 1")
     rows = near.join(mine, [*NET, "node"])
@@ -65,15 +80,31 @@ def accepted(edges: DataFrame, wishes: DataFrame, resolution: float, turn: int)
     return priced.where(F.col("gain") - price > LEAST_GAIN / 2).select(*NET, "node", "to")
 
 
+def kept(rows: DataFrame, key: str, many: bool) -> DataFrame:
+    """Stored, in buckets by ``key`` where there are many."""
+    if not many:
+        return stored(rows)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return laid(rows.repartition(n, *NET, key), *NET, key)
+
+
 def local_moves(edges: DataFrame, nodes: DataFrame, resolution: float, seed: int, only_single: bool = False) -> tuple[DataFrame, bool]:
     """``nodes`` with their communities after rounds of moves, until no node gains; whether any moved."""
-    turn, moved = seed, False
+    turn, moved, active, many = seed, False, None, nodes.count() > MANY
     while True:
-        wishes = stored(candidates(edges, nodes, resolution, only_single))
+        wishes = stored(candidates(edges, nodes, resolution, only_single, active))
         if wishes.isEmpty():
-            return nodes, moved
+            if active is None:
+                return nodes, moved
+            active = None  # the sums that others see have changed too
+            continue
         moves = accepted(edges, wishes, resolution, turn)
-        nodes = stored(nodes.join(moves, [*NET, "node"], "left").select(*NET, "node", "k", "m", F.coalesce("to", "own").alias("own")))
+        moves = stored(moves) if many else moves
+        after = nodes.join(moves, [*NET, "node"], "left").select(*NET, "node", "k", "m", F.coalesce("to", "own").alias("own"))
+        nodes = laid(after, *NET, "node") if many else stored(after)
+        if many:
+            beside = edges.join(moves.select(*NET, F.col("node").alias("src")), [*NET, "src"]).select(*NET, F.col("dst").alias("node"))
+            active = stored(wishes.select(*NET, "node").unionByName(beside).distinct())
         turn, moved = turn + 1, True
 
 
@@ -89,18 +120,20 @@ def leiden(net: DataFrame, resolution: float = 1.0, quality: str = "modularity",
     """
     edges = both_ways(net.where("gene1 <> gene2"), weight).groupBy(*NET, "src", "dst").agg(F.sum(weight).cast("double").alias("w"))
     edges = stored(edges)
+    many = edges.select(*NET, "src").distinct().count() > MANY
+    edges = kept(edges, "src", True) if many else edges
     genes = edges.groupBy(*NET, F.col("src").alias("node")).agg(F.sum("w").alias("k") if quality == "modularity" else F.lit(1.0).alias("k"))
     scale = genes.groupBy(*NET).agg(F.sum("k").alias("m") if quality == "modularity" else F.lit(1.0).alias("m"))
     nodes = genes.join(scale, NET).withColumn("own", F.col("node"))
     if start is not None:
         first = start.groupBy(*NET, "community").agg(F.min("gene").alias("own")).join(start, [*NET, "community"]).select(*NET, F.col("gene").alias("node"), F.col("own").alias("given"))
         nodes = nodes.join(first, [*NET, "node"], "left").select(*NET, "node", "k", "m", F.coalesce("given", "own").alias("own"))
-    nodes = stored(nodes)
+    nodes = kept(nodes, "node", many)
     while True:
         members, moved = one_pass(edges, nodes, resolution, seed)
         if not moved:
             return smallest(members)
-        nodes = stored(nodes.drop("own").join(members.select(*NET, F.col("gene").alias("node"), "own"), [*NET, "node"]))
+        nodes = kept(nodes.drop("own").join(members.select(*NET, F.col("gene").alias("node"), "own"), [*NET, "node"]).select(*NET, "node", "k", "m", "own"), "node", many)
         seed += 1000
 
 
@@ -112,15 +145,15 @@ def one_pass(edges: DataFrame, nodes: DataFrame, resolution: float, seed: int) -
         label = lambda end, name: nodes.select(*NET, F.col("node").alias(end), F.col("own").alias(name))
         if not moved:
             return members.join(label("node", "own"), [*NET, "node"]).select(*NET, "gene", "own"), level > 0
-        level += 1
-        inside = stored(edges.join(label("src", "a"), [*NET, "src"]).join(label("dst", "b"), [*NET, "dst"]).where("a = b").select(*NET, "src", "dst", "w"))
+        level, many = level + 1, nodes.count() > MANY
+        inside = kept(edges.join(label("src", "a"), [*NET, "src"]).join(label("dst", "b"), [*NET, "dst"]).where("a = b").select(*NET, "src", "dst", "w"), "src", many)
         parts, split = local_moves(inside, nodes.withColumn("own", F.col("node")), resolution, seed, only_single=True)
         if not split:  # nothing hangs together by itself: the communities are the parts
             parts = nodes
         part = lambda end, name: parts.select(*NET, F.col("node").alias(end), F.col("own").alias(name))
         members = stored(members.join(part("node", "part"), [*NET, "node"]).select(*NET, "gene", F.col("part").alias("node")))
-        edges = stored(edges.join(part("src", "a"), [*NET, "src"]).join(part("dst", "b"), [*NET, "dst"]).where("a <> b").groupBy(*NET, F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-        nodes = stored(nodes.join(part("node", "part"), [*NET, "node"]).groupBy(*NET, F.col("part").alias("node"), "own").agg(F.sum("k").alias("k"), F.first("m").alias("m")).select(*NET, "node", "k", "m", "own"))
+        edges = kept(edges.join(part("src", "a"), [*NET, "src"]).join(part("dst", "b"), [*NET, "dst"]).where("a <> b").groupBy(*NET, F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "src", many)
+        nodes = kept(nodes.join(part("node", "part"), [*NET, "node"]).groupBy(*NET, F.col("part").alias("node"), "own").agg(F.sum("k").alias("k"), F.first("m").alias("m")).select(*NET, "node", "k", "m", "own"), "node", many)
 
 
 def smallest(members: DataFrame) -> DataFrame:

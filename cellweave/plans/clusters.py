@@ -17,7 +17,7 @@ def leiden(t):
 
 @query("leiden_modularity", None)
 def leiden_modularity(t):
-    net = t.aligned()
+    net = graph.stored(t.aligned())
     return communities.modularity(net, communities.leiden(net)).withColumn("modularity", F.round("modularity", 6))
 
 

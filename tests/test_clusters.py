@@ -208,3 +208,15 @@ def test_equal_vectors_are_one_point_of_the_search(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "searched", None)
     many = neighbours.nn_descent(table.where(f"id in ({','.join(str(i) for i, p in enumerate(of) if copies[p] == 14)})"), 10).toPandas()
     assert (many.distance == 0).all() and (many.groupby("id").size() == 10).all()
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_rounds_over_nodes_that_may_move_end_where_none_gains(spark, monkeypatch, many):
+    """Two cliques of four that one edge joins; whether all nodes are looked at in a round or those near the last moves."""
+    monkeypatch.setattr(communities, "MANY", many)
+    rows = [("p", "x", f"{g}{a}", f"{g}{b}", 1.0) for g in "ab" for a in range(4) for b in range(a + 1, 4)] + [("p", "x", "a0", "b0", 1.0)]
+    seen, original = [], communities.candidates
+    monkeypatch.setattr(communities, "candidates", lambda *args: seen.append(len(args) > 4 and args[4] is not None) or original(*args))
+    got = {r["gene"]: r["community"] for r in communities.leiden(spark.createDataFrame(rows, EDGE)).collect()}
+    assert got == {f"{g}{a}": f"{g}0" for g in "ab" for a in range(4)}
+    assert any(seen) == (many == 0) and not seen[-1]
