@@ -20,6 +20,15 @@ from .nulls import TOGETHER, drawn_positions, in_parts, over_edges, shuffled
 from .statistics import score_enrichment
 
 NET = N.NET
+#: Rows of a table by network and feature that are sent to all tasks.
+FEW = 100_000
+
+
+def met(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` joined with ``groups``, which has a few rows a network and feature.  They go to all tasks while they are
+    few: networks times features is a small number of keys, and a shuffle by them deals all rows of one to one task."""
+    groups = cut(groups)
+    return rows.join(F.broadcast(groups) if groups.count() <= FEW else groups, [*NET, "feature"])
 
 
 def spread(net: DataFrame, rows: DataFrame, alpha: float = 0.85, rounds: int = 5) -> DataFrame:
@@ -28,9 +37,9 @@ def spread(net: DataFrame, rows: DataFrame, alpha: float = 0.85, rounds: int = 5
     edges = both_ways(net, "lls")
     out = edges.groupBy(*NET, "src").agg(F.sum("lls").alias("w"))
     moves = cut(edges.join(out, [*NET, "src"]).select(*NET, "src", "dst", (alpha * F.col("lls") / F.col("w")).alias("p")))
-    own = rows.where("x > 0").join(out.withColumnRenamed("src", "gene"), [*NET, "gene"], "left_semi")
+    own = cut(rows.where("x > 0").join(out.withColumnRenamed("src", "gene"), [*NET, "gene"], "left_semi"))
     total = own.groupBy(*NET, "feature").agg(F.sum("x").alias("s"))
-    start = cut(own.join(total, [*NET, "feature"]).select(*NET, "gene", "feature", (F.col("x") / F.col("s")).alias("x")))
+    start = cut(met(own, total).select(*NET, "gene", "feature", (F.col("x") / F.col("s")).alias("x")))
     again = start.withColumn("x", (1 - alpha) * F.col("x"))
     for _ in range(rounds):
         moved = moves.join(start.withColumnRenamed("gene", "src"), [*NET, "src"]).select(*NET, F.col("dst").alias("gene"), "feature", (F.col("p") * F.col("x")).alias("x"))
@@ -44,7 +53,7 @@ def impute_by_diffusion(net: DataFrame, rows: DataFrame, alpha: float = 0.85, ro
     smooth = cut(spread(net, rows, alpha, rounds))
     top = lambda df, name: df.groupBy(*NET, "feature").agg(F.max("x").alias(name))
     scale = top(rows, "was").join(top(smooth, "is"), [*NET, "feature"]).select(*NET, "feature", (F.col("was") / F.col("is")).alias("scale"))
-    return smooth.join(scale, [*NET, "feature"]).select(*NET, "gene", "feature", (F.col("x") * F.col("scale")).alias("x"))
+    return met(smooth, scale).select(*NET, "gene", "feature", (F.col("x") * F.col("scale")).alias("x"))
 
 
 def annotate_by_diffusion(net: DataFrame, rows: DataFrame, markers: DataFrame, alpha: float = 0.85, rounds: int = 5) -> DataFrame:
@@ -59,7 +68,7 @@ def annotate_by_diffusion(net: DataFrame, rows: DataFrame, markers: DataFrame, a
     length = raw.groupBy(*NET, "label").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     weights = raw.join(length, [*NET, "label"]).where("length > 0").select(*NET, "label", "feature", (F.col("w") / F.col("length")).alias("w"))
     seen = spread(net, rows, alpha, rounds).join(even, [*NET, "gene"]).where("x > 0").select(*NET, "gene", "feature", (F.col("x") * F.log2(F.col("x") / F.col("b"))).alias("s"))
-    return seen.join(weights, [*NET, "feature"]).groupBy(*NET, "gene", "label").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
+    return met(seen, weights).groupBy(*NET, "gene", "label").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
 
 
 def sparse_pagerank(net: DataFrame, seeds: DataFrame, alpha: float = 0.85, rho: float = 1e-4, epsilon: float = 1e-3, rounds: int = 20) -> DataFrame:

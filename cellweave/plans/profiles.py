@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import network as N
 from ..operators import expression, profiles
+from ..operators.graph import cut
 from .catalog import query
 from .screens import hashed, rewired_sql, uniform
 
@@ -27,7 +28,7 @@ def spread_sql(name: str, rows: str, rounds: int = 5) -> str:
 
 def sizes(t):
     part = t.read("part").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("feature"), F.col("p_size").cast("double").alias("x"))
-    net = t.aligned()
+    net = cut(t.aligned())  # made once for both
     return net, N.endpoints(net).distinct().join(part, "gene").select(*N.NET, "gene", "feature", "x")
 
 

@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.operators import expression, profiles
 from cellweave.sources.networks import read_reference, save_graphml
@@ -38,6 +39,35 @@ def test_spread_equals_the_matrix_product(spark, square):
     assert max(smooth.values()) == pytest.approx(3.0)
 
 
+def test_rows_of_one_feature_are_not_dealt_to_one_task(spark):
+    """2,000 genes in a row, one feature: a join by network and feature would put all rows into one partition."""
+    net = spark.range(1, 2000).selectExpr("'t' AS celltype", "'F' AS condition", "id AS gene1", "id + 1 AS gene2", "1.0D AS lls")
+    rows = spark.range(1, 2001).selectExpr("'t' AS celltype", "'F' AS condition", "id AS gene", "'f' AS feature", "CAST(id % 7 + 1 AS DOUBLE) AS x")
+    conf, was = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(conf, "false")
+    try:
+        parts = [r["count"] for r in profiles.impute_by_diffusion(net, rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(conf, was)
+    assert sum(parts) == 2000 and max(parts) < 1000
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_imputation_by_either_join(spark, square, monkeypatch, few):
+    """Features that meet their scale by a shuffle or in every task; a gene outside the network counts for the maximum only."""
+    monkeypatch.setattr(profiles, "FEW", few)
+    given = [(1, "f", 3.0), (2, "f", 1.0), (5, "g", 2.0), (4, "h", 0.0), (99, "f", 5.0), (99, "k", 1.0)]
+    rows = spark.createDataFrame([("t", "F", g, f, x) for g, f, x in given], "celltype string, condition string, gene long, feature string, x double")
+    got = {(r.feature, r.gene): r.x for r in profiles.impute_by_diffusion(square, rows).collect()}
+    a, want = matrix(square), {}
+    for f, x0, top in (("f", np.array([0.75, 0.25, 0, 0, 0]), 5.0), ("g", np.eye(5)[4], 2.0)):
+        x = x0
+        for _ in range(5):
+            x = 0.85 * (a / a.sum(0)) @ x + 0.15 * x0
+        want |= {(f, i + 1): v * top / x.max() for i, v in enumerate(x) if v > 0}
+    assert got == pytest.approx(want)
+
+
 def test_sparse_pagerank_solves_its_optimum(spark, square):
     """At the optimum every positive value satisfies the stationarity condition of the penalised form."""
     seeds = spark.createDataFrame([("t", "F", 1, 1.0)], "celltype string, condition string, gene long, x0 double")
