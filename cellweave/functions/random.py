@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +83,32 @@ def hashed_rows(prefixes: list[bytes], n: int) -> np.ndarray:
                     shape = (len(words[0]), len(i[left : left + wide]))
                     out[rows[top : top + high, None], i[left : left + wide] - 1] = md5_starts(words, shape)
     return out
+
+
+def hashed_items(prefix: bytes, items: list[tuple[np.ndarray, np.ndarray]], suffix: bytes, n: int) -> np.ndarray:
+    """``hashed`` in a task of keys whose text is ``prefix``, an item and ``suffix``, for the ``n`` items that ``by_length`` has dealt."""
+    out = np.empty(n, np.uint32)
+    for rows, text in items:
+        at, size = len(prefix), text.shape[1]
+        length = at + size + len(suffix)
+        if length > 55:
+            out[rows] = [int.from_bytes(hashlib.md5(prefix + t.tobytes() + suffix, usedforsecurity=False).digest()[:4]) for t in text]
+            continue
+        fixed = np.frombuffer(prefix + bytes(size) + suffix + b"\x80" + bytes(55 - length) + (8 * length).to_bytes(8, "little"), "<u4").astype(np.uint32)
+        first, last = at // 4, (at + size - 1) // 4 + 1 if size else at // 4
+        for left in range(0, len(rows), 8192):  # in pieces that a cache holds
+            piece = text[left : left + 8192]
+            wide = np.zeros((len(piece), 4 * (last - first)), np.uint8)
+            wide[:, at - 4 * first : at - 4 * first + size] = piece
+            own = np.ascontiguousarray(wide.view("<u4").T)
+            words = [own[k - first] | fixed[k] if first <= k < last else fixed[k : k + 1] for k in range(16)]
+            out[rows[left : left + 8192]] = md5_starts(words, (len(piece),))
+    return out
+
+
+def by_length(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Texts dealt by their number of bytes: where they stand, and their bytes, a row a text."""
+    texts = texts.cast(pa.large_binary())
+    ends, data = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends)
+    return [(rows, data[ends[rows][:, None] + np.arange(size)]) for size in np.unique(sizes) for rows in [np.nonzero(sizes == size)[0]]]

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.random import hashed, hashed_rows
+from ..functions.random import by_length, hashed, hashed_items, hashed_rows
 from . import network as N
 from .graph import cut, stored
-from .hubs import BLOCKS, exceed, null_strengths, rewired
+from .hubs import BLOCKS, exceed, null_strengths, numbered, rewired
 
 NET = N.NET
 
@@ -160,10 +160,99 @@ def connectivity_test(net: DataFrame, genes: DataFrame, sims: int = 10_000, seed
     return rows.join(null, NET, "left").groupBy(*NET, "detected", "connectivity").agg(((1 + above) / F.lit(sims)).alias("p"))
 
 
+#: A network of up to so many edges, or nodes, is shuffled in a task with arrays; where one has more all go by tables.
+WHOLE = 2**24
+
+
+def blocks_for(net: DataFrame, reps: int) -> int | None:
+    """Into how many blocks ``reps`` shuffles are dealt by network, so that there is enough for all cores; none if tables are to be used:
+    a network is too large for arrays, or a weight null or no double."""
+    each = net.groupBy(*NET).agg(F.count(F.lit(1)).alias("n"), F.count("lls").alias("known"))
+    most, nets, nulls = each.agg(F.max("n"), F.count(F.lit(1)), F.sum(F.col("n") - F.col("known"))).first()
+    if most is None or most > WHOLE or nulls or dict(net.dtypes)["lls"] != "double":
+        return None
+    return min(reps, BLOCKS, -(-3 * net.sparkSession.sparkContext.defaultParallelism // nets))
+
+
+def in_blocks(tables: list[DataFrame], seed: int, reps: int, blocks: int, of, schema: str) -> DataFrame:
+    """NET and what ``of`` makes in a task of a network's tables (NET, values), for each block of shuffles.
+
+    ``of`` gets the columns of all tables, the prefix of the network's hashes and the block's shuffles, and gives columns.
+    """
+    n_tasks = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, names, rows = "celltype IS NOT NULL AND condition IS NOT NULL", [], None
+    for i, table in enumerate(tables):
+        values = [c for c in table.columns if c not in NET]
+        parts = in_parts(table.where(own), NET, table.groupBy(*NET).agg(F.count(F.lit(1)).alias("n")), *[F.col(c) for c in values])
+        parts = parts.select(*NET, F.lit(i).alias("table"), *[F.col(f"items.{c}").alias(c) for c in values])
+        rows, names = (parts if rows is None else rows.unionByName(parts, allowMissingColumns=True)), names + values
+    rows = rows.select(*NET, F.concat_ws("|", F.lit(seed).cast("string"), *NET).alias("prefix"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), *names)
+    per = -(-reps // blocks)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def result():
+            celltype, condition, prefix, block = key
+            columns = [pa.concat_arrays([r[c].values for r in held if r[c].is_valid] or [pa.array([], held[0][c].type.value_type)]) for c in range(len(names))]
+            for out in of(*columns, prefix, range(block * per + 1, min(reps, block * per + per) + 1)):
+                own = [pa.repeat(pa.scalar(v, pa.string()), len(out[0])) for v in (celltype, condition)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, out)], names=[*NET, *map(str, range(len(out)))])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here = tuple(batch.column(c)[i].as_py() for c in range(4))
+                if held and here != key:
+                    yield from result()
+                    held = []
+                key = here
+                held.append([batch.column(4 + c)[i] for c in range(len(names))])
+        if held:
+            yield from result()
+
+    dealt = rows.repartition(n_tasks, *NET, "block").sortWithinPartitions(*NET, "block")
+    return dealt.mapInArrow(made, f"celltype string, condition string, {schema}")
+
+
+def dealt_order(key: bytes, items: list, suffix: bytes, n: int) -> np.ndarray:
+    """The numbers 0 to n - 1 in the order of their items' hashes."""
+    keys = hashed_items(key, items, suffix, n).astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    keys.sort()
+    return (keys & np.uint64(2**32 - 1)).astype(np.int64)
+
+
+def shuffled_strengths(net: DataFrame, reps: int, seed: int, blocks: int, of, schema: str) -> DataFrame:
+    """NET and what ``of`` makes of strengths (shuffles x nodes) in networks whose weights are shuffled, a block of shuffles of a
+    network at a time; they are those of ``null_strengths`` of ``rewired`` with probability 0."""
+    nodes, by_net = numbered(net), Window.partitionBy(*NET)
+    edges = net.withColumn("edge", F.row_number().over(by_net.orderBy("gene1", "gene2")))
+    for c in ("1", "2"):
+        edges = edges.join(nodes.select(*NET, F.col("gene").alias(f"gene{c}"), F.col("i").cast("int").alias(f"i{c}")), [*NET, f"gene{c}"])
+    edges = edges.select(*NET, "edge", "i1", "i2", F.col("lls").cast("double").alias("lls"))
+
+    def strengths(edge, i1, i2, lls, prefix, own):
+        order = np.argsort(edge.to_numpy())
+        a, b, w = (c.to_numpy()[order] for c in (i1, i2, lls))
+        n, m = int(max(a.max(), b.max())) + 1, len(a)
+        b = np.where(a == b, (b + 1) % n, b)
+        items, value = by_length(pa.array(np.arange(1, m + 1)).cast(pa.string())), np.empty((len(own), n))
+        for r, rep in enumerate(own):
+            got = np.empty(m)
+            got[dealt_order(f"{prefix}|{rep}|".encode(), items, b"|weight", m)] = w
+            value[r] = np.bincount(a, got, n) + np.bincount(b, got, n)
+        yield of(value)
+
+    return in_blocks([edges], seed, reps, blocks, strengths, schema)
+
+
 def weight_hubs(net: DataFrame, reps: int = 100, seed: int = 1, method: str = "bh") -> DataFrame:
     """Strength of each gene against the same edges with weights shuffled ``reps`` times."""
     net = cut(net)
-    null = null_strengths(rewired(net, reps, 0.0, seed)).select(*NET, "value")
+    blocks = blocks_for(net, reps)
+    if blocks is None:
+        null = null_strengths(rewired(net, reps, 0.0, seed)).select(*NET, "value")
+    else:
+        null = shuffled_strengths(net, reps, seed, blocks, lambda value: np.unique(value, return_counts=True), "value double, times long")
     return N.p_adjust(exceed(N.strength(net), null, NET, "value"), "p", NET, ["gene"], [method]).withColumnRenamed(f"p_{method}", "q")
 
 
@@ -197,12 +286,45 @@ def over_edges(net: DataFrame, sides: DataFrame, term, *values: str) -> DataFram
     return each.groupBy(*NET, "rep").agg(*[t.alias(name) for name, t in term(F.col("e.a"), F.col("e.b")).items()])
 
 
+def over_shuffles(net: DataFrame, x: DataFrame, reps: int, seed: int, blocks: int, term, schema: str) -> DataFrame:
+    """NET, rep and the columns that ``term`` gives of a network's weights and of the values x (NET, gene, x) at both ends of its edges,
+    whose last says whether there are any; for x as it is (0) and for its shuffles, which are those of ``shuffled``."""
+    slots = x.withColumn("slot", F.row_number().over(Window.partitionBy(*NET).orderBy("gene")))
+    side = lambda i: slots.select(*NET, F.col("gene").alias(f"gene{i}"), F.col("slot").alias(f"s{i}"))
+    edges = net.join(side(1), [*NET, "gene1"]).join(side(2), [*NET, "gene2"]).select(*NET, "s1", "s2", "lls")
+    nodes = slots.select(*NET, "slot", F.col("gene").cast("string").alias("name"), "x")
+
+    def sums(s1, s2, lls, slot, name, values, prefix, own):
+        if not len(s1):
+            return
+        order = np.argsort(slot.to_numpy())
+        known = values.is_valid().to_numpy(zero_copy_only=False)[order]
+        values, items = values.fill_null(0).to_numpy()[order], by_length(name.take(pa.array(order)))
+        a, b, w = s1.to_numpy() - 1, s2.to_numpy() - 1, lls.to_numpy()
+        rows = []
+        for rep in [0, *own] if own[0] == 1 else own:
+            at = np.arange(len(values))
+            if rep:
+                at[dealt_order(f"{prefix}|{rep}|".encode(), items, b"", len(at))] = np.arange(len(at))
+            i, j = at[a], at[b]
+            there = known[i] & known[j]
+            rows.append((rep, *term(w, values, i[there], j[there], w[there])))
+        yield [np.array(c) for c in zip(*rows, strict=True)]
+
+    return in_blocks([edges, nodes], seed, reps, blocks, sums, f"rep long, {schema}")
+
+
 def autocorrelation_z(net: DataFrame, scores: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
     """NET, autocorrelation, z: 1 - C / 2 with Geary's C of the scores (NET, gene, x), against
     ``reps`` shuffles of the scores over the nodes."""
     net, x = stored(net), stored(scores.select(*NET, "gene", F.col("x").cast("double").alias("x")))
-    sides = stored(shuffled(x, reps, seed))
-    d = over_edges(net, sides, lambda a, b: {"w": F.sum(2 * F.col("lls")), "d": F.sum(F.col("lls") * (a - b) * (a - b))}, "lls")
+    blocks = blocks_for(net, reps)
+    if blocks is None:
+        sides = stored(shuffled(x, reps, seed))
+        d = over_edges(net, sides, lambda a, b: {"w": F.sum(2 * F.col("lls")), "d": F.sum(F.col("lls") * (a - b) * (a - b))}, "lls")
+    else:
+        d = over_shuffles(net, x, reps, seed, blocks, lambda w, x, i, j, own: (2 * w.sum(), (own * (x[i] - x[j]) ** 2).sum(), len(own)), "w double, d double, n long")
+        d = d.select(*NET, "rep", "w", F.when(F.col("n") > 0, F.col("d")).alias("d"))
     mean = x.groupBy(*NET).agg(F.count("x").alias("n"), (F.var_pop("x") * F.count("x")).alias("ss"))
     c = d.join(mean, NET).where("ss > 0").select(*NET, "rep", (1 - (F.col("n") - 1) * F.col("d") / (2 * F.col("w") * F.col("ss")) / 2).alias("c"))
     rand = F.when(F.col("rep") > 0, F.col("c"))
