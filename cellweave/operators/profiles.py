@@ -16,7 +16,7 @@ from .aggregates import combine_log_p, entropy
 from .expression import robust_z
 from .graph import both_ways, cut, stored
 from .hubs import null_strengths, numbered, rewired
-from .nulls import TOGETHER, drawn_positions, in_parts, over_edges, shuffled
+from .nulls import TOGETHER, blocks_for, drawn_positions, in_parts, over_edges, over_shuffles, shuffled, shuffled_strengths
 from .statistics import score_enrichment
 
 NET = N.NET
@@ -228,11 +228,30 @@ def label_autocorrelation(net: DataFrame, labels: DataFrame, reps: int = 100, se
     return phi.groupBy(*NET).agg(own.alias("phi"), F.try_divide(own - F.avg(rand), F.stddev_samp(rand)).alias("z"))
 
 
+def moments(value: np.ndarray) -> list[np.ndarray]:
+    """By column its number, the number of rows, their mean and their squares around it (0 where all are equal)."""
+    off = value - value[0]
+    mean = off.mean(0)
+    return [np.arange(value.shape[1], dtype=np.int32), np.full(value.shape[1], len(value)), value[0] + mean, ((off - mean) ** 2).sum(0)]
+
+
+def merged_moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mean, sd of ``moments`` of blocks."""
+    gap = "x.mean - a.mean"
+    step = f"(a, x) -> struct(a.n + x.n AS n, a.mean + ({gap}) * x.n / (a.n + x.n) AS mean, a.m2 + x.m2 + ({gap}) * ({gap}) * a.n * x.n / (a.n + x.n) AS m2)"
+    found = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "mean", "m2"))).alias("b")).select(*keys, F.expr(f"aggregate(slice(b, 2, size(b)), b[0], {step})").alias("s"))
+    return found.select(*keys, F.col("s.mean").alias("mean"), F.when(F.col("s.n") > 1, F.sqrt(F.col("s.m2") / (F.col("s.n") - 1))).alias("sd"))
+
+
 def topological_specificity(net: DataFrame, reps: int = 100, seed: int = 1) -> DataFrame:
     """NET, gene, z, specificity: strength against the same edges with weights shuffled ``reps``
     times, and its logistic function."""
     net = cut(net)
-    null = null_strengths(rewired(net, reps, 0.0, seed)).groupBy(*NET, "i").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    blocks = blocks_for(net, reps)
+    if blocks is None:
+        null = null_strengths(rewired(net, reps, 0.0, seed)).groupBy(*NET, "i").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    else:
+        null = merged_moments(shuffled_strengths(net, reps, seed, blocks, moments, "i int, n long, mean double, m2 double"), [*NET, "i"])
     own = N.strength(net).join(numbered(net), [*NET, "gene"]).join(null, [*NET, "i"])
     z = F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(F.lit(0.0))
     return own.select(*NET, "gene", z.alias("z")).withColumn("specificity", 1 / (1 + F.exp(-F.col("z"))))
