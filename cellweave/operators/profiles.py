@@ -221,9 +221,19 @@ def label_autocorrelation(net: DataFrame, labels: DataFrame, reps: int = 100, se
     of = labels.where("label IS NOT NULL").groupBy(*NET, "label").agg(F.count(F.lit(1)).alias("k"))
     of = of.select(*NET, "label", (F.row_number().over(Window.partitionBy(*NET).orderBy("label")).cast("long") * 2**32 + F.col("k")).alias("x"))
     x = stored(labels.join(of, [*NET, "label"], "left").select(*NET, "gene", "x"))
-    sides = stored(shuffled(x, reps, seed))
-    p = lambda v: (v % 2**32) / F.col("n")
-    phi = over_edges(net.join(labels.groupBy(*NET).agg(F.count(F.lit(1)).alias("n")), NET), sides, lambda a, b: {"phi": F.sum(F.when(a == b, 2.0).when(a != b, -2.0) * F.col("lls") / (p(a) * p(b)))}, "lls", "n")
+    net = stored(net)
+    blocks = blocks_for(net, reps)
+    if blocks is None:
+        sides = stored(shuffled(x, reps, seed))
+        p = lambda v: (v % 2**32) / F.col("n")
+        phi = over_edges(net.join(labels.groupBy(*NET).agg(F.count(F.lit(1)).alias("n")), NET), sides, lambda a, b: {"phi": F.sum(F.when(a == b, 2.0).when(a != b, -2.0) * F.col("lls") / (p(a) * p(b)))}, "lls", "n")
+    else:
+
+        def agreement(_, x, i, j, w):
+            a, b, n = x[i], x[j], len(x)
+            return (np.where(a == b, 2.0, -2.0) * w / ((a % 2**32 / n) * (b % 2**32 / n))).sum(), len(w)
+
+        phi = over_shuffles(net, x, reps, seed, blocks, agreement, "phi double, n long").select(*NET, "rep", F.when(F.col("n") > 0, F.col("phi")).alias("phi"))
     own, rand = F.max(F.when(F.col("rep") == 0, F.col("phi"))), F.when(F.col("rep") > 0, F.col("phi"))
     return phi.groupBy(*NET).agg(own.alias("phi"), F.try_divide(own - F.avg(rand), F.stddev_samp(rand)).alias("z"))
 
