@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from .graph import stored
 from .profiles import adaptive_neighbours
 
 GRAPH = "id long, other long, distance double"
+#: Points of a leaf, about; points from which a tree's planes come; trees.
+LEAF, SAMPLE, TREES = 2**13, 2**15, 6
 
 
 def distances(x: np.ndarray, measure: str) -> np.ndarray:
@@ -84,6 +87,99 @@ def joined_locally(lists: DataFrame, measure: str) -> DataFrame:
     return lists.mapInArrow(measured, GRAPH)
 
 
+def random_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level the planes of its nodes (a normal a row, and where they lie): between two random points of a node, at its median."""
+    levels, groups = [], [np.arange(len(sample))]
+    for _ in range(depth):
+        planes, after = [], []
+        for own in groups:
+            a, b = sample[rng.choice(own, 2, replace=False)] if len(own) > 1 else sample[:1].repeat(2, 0)
+            side = sample[own] @ (a - b)
+            at = np.median(side) if len(own) else 0.0
+            planes.append((a - b, at))
+            after += [own[side < at], own[side >= at]]
+        groups = after
+        levels.append((np.array([p for p, _ in planes]), np.array([at for _, at in planes])))
+    return levels
+
+
+def leaf_of(y: np.ndarray, luck: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The leaf of each row; those on a plane go by bits of ``luck``, so that no leaf takes all of them."""
+    node = np.zeros(len(y), np.int64)
+    for i, (normals, at) in enumerate(levels):
+        side = np.einsum("ij,ij->i", y, normals[node]) - at[node]
+        node = 2 * node + ((side > 0) | ((side == 0) & (luck >> i & 1 == 1)))
+    return node
+
+
+def nearest_within(ids: np.ndarray, x: np.ndarray, k: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """id, other, distance: about the k nearest of each row among the others (for jsd of the nearest by the Hellinger distance)."""
+    y = (np.sqrt(x) if measure == "jsd" else x).astype(np.float32)
+    own = np.where(x > 0, x * np.log2(np.where(x > 0, x, 1)), 0).sum(1)
+    asked, high = min(len(ids) - 1, k + k // 2), max(1, 2**19 // len(ids))
+    for top in range(0, len(ids) if asked else 0, high):
+        rows = np.arange(top, min(len(ids), top + high))
+        near = y[rows] @ y.T
+        near[rows - top, rows] = -np.inf
+        j = np.argpartition(near, len(ids) - asked, 1)[:, len(ids) - asked :] if asked < len(ids) - 1 else np.argsort(near, 1)[:, 1:]
+        i = np.repeat(rows, asked)
+        if measure == "cosine":
+            d = np.clip(1 - np.einsum("ij,ij->i", x[i], x[j.ravel()]), 0, 2)
+        else:
+            mean = (x[i] + x[j.ravel()]) / 2
+            d = np.sqrt(np.clip((own[i] + own[j.ravel()]) / 2 - (mean * np.log2(np.where(mean > 0, mean, 1))).sum(1), 0, 1))
+        d = d.reshape(j.shape)
+        best = np.argsort(d, 1)[:, :k]
+        yield np.repeat(ids[rows], best.shape[1]), ids[np.take_along_axis(j, best, 1).ravel()], np.take_along_axis(d, best, 1).ravel()
+
+
+def begun(cells: DataFrame, n: int, k: int, measure: str, seed: int) -> DataFrame:
+    """id, other, distance: the nearest of each point among those of its leaves in ``TREES`` random trees.
+
+    The planes come from about ``SAMPLE`` points (fewer of long vectors); each point goes to one leaf a tree, of about ``LEAF`` points, where all meet.
+    """
+    few = max(2**10, min(SAMPLE, 2**22 // max(1, cells.select(F.size("x")).first()[0])))
+    drawn = cells.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(-(-n // few))) == 0).orderBy("id").limit(2 * few).toArrow()
+    if not len(drawn):
+        drawn = cells.orderBy("id").limit(1).toArrow()
+    flat = drawn.column("x").combine_chunks()
+    sample, rng = flat.values.to_numpy(zero_copy_only=False).reshape(len(flat), -1), np.random.default_rng(seed)
+    sample = np.sqrt(sample) if measure == "jsd" else sample
+    depth = max(0, math.ceil(math.log2(n / LEAF)))
+    trees = [random_tree(sample, depth, rng) for _ in range(TREES if depth else 1)]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y, luck = np.sqrt(x) if measure == "jsd" else x, batch.column(2).to_numpy()
+            for t, tree in enumerate(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(leaf_of(y, luck >> t, tree) * len(trees) + t), batch.column(0), batch.column(1)], names=["leaf", "id", "x"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def result():
+            for rows in nearest_within(np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]), k, measure):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["id", "other", "distance"])
+
+        for batch in batches:
+            leaf, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            ends = [0, *np.nonzero(np.diff(leaf))[0] + 1, len(leaf)] if len(leaf) else []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if held and leaf[a] != last:
+                    yield from result()
+                    held = []
+                last = leaf[a]
+                held.append((ids[a:b], x[a:b]))
+        if held:
+            yield from result()
+
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = cells.select("id", "x", F.xxhash64("id", F.lit(seed + 1)).alias("luck")).mapInArrow(dealt, "leaf long, id long, x array<double>")
+    return leaves.repartition(tasks, "leaf").sortWithinPartitions("leaf", "id").mapInArrow(met, GRAPH)
+
+
 def nn_descent(points: DataFrame, k: int = 20, measure: str = "jsd", sample: float = 0.8, least: float = 0.002, seed: int = 0, id_col: str = "id", vector_col: str = "x") -> DataFrame:
     """id, other, distance: about the ``k`` nearest of each point (id, vector), by NN-descent; ties to smaller ids among equal vectors.
 
@@ -112,7 +208,7 @@ def nn_descent(points: DataFrame, k: int = 20, measure: str = "jsd", sample: flo
 def searched(cells: DataFrame, k: int, measure: str, sample: float, least: float, seed: int) -> DataFrame:
     """``nn_descent`` of stored points (id, x).
 
-    Neighbours begin at random.  In a round each point gathers a sample of its neighbours and of the
+    Neighbours begin with the nearest of the leaves of random trees (``begun``).  In a round each point gathers a sample of its neighbours and of the
     points that have it as one (at most ``sample`` k of each kind, so a point that is everyone's neighbour
     holds no more than others), and these are compared with one another, if one of a pair is new since
     the last round.  Ends when fewer than ``least`` of all k n places change.  No step sees all pairs:
@@ -121,10 +217,8 @@ def searched(cells: DataFrame, k: int, measure: str, sample: float, least: float
     n = cells.count()
     if n < 2:
         return cells.sparkSession.createDataFrame([], GRAPH)
-    draw = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(n))
-    asked = cells.select("id", F.explode(F.sequence(F.lit(1), F.lit(k + k // 2))).alias("j")).select("id", draw("id", "j", F.lit(seed)).alias("slot"))
-    drawn = asked.join(cells.select(F.col("id").alias("other"), draw("id", F.lit(seed)).alias("slot")), "slot").where("id <> other").select("id", "other").distinct()
-    graph = first_of(drawn, "id", k, F.xxhash64("id", "other")).select("id", "other", F.lit(float("inf")).alias("distance"), F.lit(True).alias("fresh"))
+    first = begun(cells, n, k, measure, seed).repartition("id").groupBy("id", "other").agg(F.min("distance").alias("distance"))
+    graph = first_of(first, "id", k, "distance", "other").withColumn("fresh", F.lit(True))
     size, turn = max(1, round(sample * k)), 0
     while True:
         graph = stored(graph)
